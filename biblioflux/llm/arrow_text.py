@@ -38,8 +38,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Mark a (checkpointed, hence cheap to count) join side for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+    """Mark a (checkpointed, hence cheap to count) join side for broadcast if it is small enough.
+
+    Beyond that both sides are shuffled and this one is hashed, so that the wide side need not be sorted.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
 def row_chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:

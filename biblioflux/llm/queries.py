@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biblioflux.llm import language_id
+from biblioflux.llm import language_id, line_templates
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir)).select("doc_id", "lang", "predicted", "margin", "rejected")
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(_documents(spark, sf_dir)).select("doc_id", "text", "lines_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_templates": op4_line_templates,
     "op6_language_id": op6_language_id,
 }
 
