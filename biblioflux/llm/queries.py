@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biblioflux.llm import language_id, line_templates
+from biblioflux.llm import language_id, line_templates, minhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(_documents(spark, sf_dir)).select("doc_id", "text", "lines_dropped")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_templates": op4_line_templates,
     "op6_language_id": op6_language_id,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
