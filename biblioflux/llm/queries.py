@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from biblioflux.llm import language_id, line_templates, minhash
+from biblioflux.llm import decontaminate, language_id, line_templates, minhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_documents(spark, sf_dir))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_templates": op4_line_templates,
     "op6_language_id": op6_language_id,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": r"""
+        WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+        i AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS k FROM b WHERE w <> ['']),
+        p AS (SELECT DISTINCT item_id, ' ' || array_to_string(w[k:k + 7], ' ') || ' ' AS p FROM i)
+        SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS windows FROM d JOIN p ON contains(d.t, p.p) GROUP BY ALL""",
+}
