@@ -24,6 +24,19 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 
 
+#: Rows of an Arrow batch at most: texts may be long, and two batches are held by each of an executor's tasks.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batch size to BATCH_ROWS where it is larger; returns df."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's spark.checkpoint.dir; set a local folder only where none is set (tests)."""
     sc = spark.sparkContext

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from biblioflux.llm import decontaminate, language_id, line_templates, minhash
+from biblioflux.llm import bpe, decontaminate, language_id, line_templates, minhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.bpe_decode(bpe.bpe_encode(_documents(spark, sf_dir)))
+    return coded.select("doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op4_line_templates": op4_line_templates,
     "op6_language_id": op6_language_id,
     "op8_near_duplicates": op8_near_duplicates,
