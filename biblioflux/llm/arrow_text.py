@@ -44,10 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: survives the loss of executors."""
+def cut_lineage(df: DataFrame, *keys: str) -> DataFrame:
+    """A reliable checkpoint in the shared folder: survives the loss of executors.
+
+    With keys the rows are gathered by them first, so that a small result of many tasks is written in few files.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df.repartition(*keys) if keys else df).checkpoint()
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from biblioflux.llm.arrow_text import concat, list_array, row_chunks, text_buffer
+from biblioflux.llm.arrow_text import bound_batches, concat, list_array, row_chunks, text_buffer
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words of more bytes than this are read one at a time, shorter ones side by side.
@@ -407,7 +407,7 @@ def bpe_encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     Null texts have null ids and 0 tokens, empty ones no ids; texts are encoded whole.  All rows and columns stay;
     input columns named like the results are replaced.  The vocabulary file is read on the driver only.
     """
-    base = docs.drop("token_ids", "n_tokens")
+    base = bound_batches(docs).drop("token_ids", "n_tokens")
     out = base.withColumn("token_ids", encoder(path)("text"))
     return out.withColumn("n_tokens", F.coalesce(F.when(F.col("token_ids").isNotNull(), F.size("token_ids")), F.lit(0)))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from biblioflux.llm.arrow_text import CHUNK_BYTES, concat, list_array, row_chunks, text_buffer
+from biblioflux.llm.arrow_text import CHUNK_BYTES, bound_batches, concat, list_array, row_chunks, text_buffer
 
 WINDOW = 8
 BLOCK = 8
@@ -167,7 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
     kind = benchmark.schema["item_id"].dataType
     if not sets:
         return docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"), F.lit(0).alias("windows")).where("false")
-    text = docs.select("doc_id", plain(F.col("text")).alias("t"))
+    text = bound_batches(docs).select("doc_id", plain(F.col("text")).alias("t"))
     found = F.concat(*[_finder(*s)(F.coalesce("t", F.lit(""))) for s in sets])
     hits = text.select("doc_id", found.alias("f"))
     pairs = hits.where(F.size("f") > 0)
@@ -183,7 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs without the rows in which ``contaminated`` finds a window of any test string; all columns stay, null texts too."""
     _, sets = _passes(benchmark, n)
-    out = docs
+    out = bound_batches(docs)
     for s in sets:
         out = out.where(F.size(_finder(*s)(F.coalesce(plain(F.col("text")), F.lit("")))) == 0)
     return out

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
+from biblioflux.llm.arrow_text import bound_batches
+
 DICT_BYTES = 128 << 10
 #: Bound of the labelled sample that the dictionaries are made of: rows per language, and letters of each row.
 SAMPLE_ROWS = 64
@@ -96,7 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_
     """
     if dictionaries is None:
         dictionaries = train(docs)
-    base = docs.drop("predicted", "margin", "rejected", "_lid")
+    base = bound_batches(docs).drop("predicted", "margin", "rejected", "_lid")
     scored = base.withColumn("_lid", classifier(dictionaries, level)(letters(F.col("text"))))
     return scored.select(
         *base.columns,

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblioflux.llm.arrow_text import cut_lineage, small_side
+from biblioflux.llm.arrow_text import bound_batches, cut_lineage, small_side
 
 FIELD = "<*>"
 LEADING = 2
@@ -25,10 +25,11 @@ MIN_TOKENS = 3
 MAX_SHARE = 0.5
 
 
-def masked(line: Column) -> Column:
-    """Single-spaced tokens with a field for each token that holds a digit."""
-    plain = F.trim(F.when(line.rlike(r"[\t\r\x0B\f]|  "), F.regexp_replace(line, r"[ \t\r\x0B\f]+", " ")).otherwise(line))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
+def masked(text: Column) -> Column:
+    """Text whose lines have single spaces, and a field for each token that holds a digit."""
+    plain = F.when(text.rlike(r"[\t\r\x0B\f]|  "), F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")).otherwise(text)
+    # one step a character: tokens are entered at their start only, and what holds no digit is not given back
+    return F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
 
 
 def token_count(line: Column) -> Column:
@@ -120,21 +121,22 @@ def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     """One row per line of at least min_tokens tokens; _doc stands for a document (doc_id and text)."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), F.length("text").alias("doc_chars"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("_doc", "doc_chars", "line_no", F.length("raw").alias("chars"), masked(F.col("raw")).alias("line"))
-    return rows.withColumn("n_tokens", token_count(F.col("line"))).where((F.col("n_tokens") >= min_tokens))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), masked(F.col("text")).alias("m"))
+    rows = rows.select("_doc", F.length("m").alias("doc_chars"), F.posexplode(F.split("m", "\n")).alias("line_no", "line"))
+    rows = rows.select("_doc", "doc_chars", "line_no", F.trim("line").alias("line"))
+    return rows.withColumn("n_tokens", token_count(F.col("line"))).where(F.col("n_tokens") >= min_tokens).withColumn("chars", F.length("line"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leading: int = LEADING, min_tokens: int = MIN_TOKENS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_doc, drop: array<int>): the lines to drop from each document that has any."""
-    lines = _lines(docs, min_tokens)
+    lines = _lines(bound_batches(docs), min_tokens)
     leaf = F.xxhash64("n_tokens", F.substring_index("line", " ", leading))
     # The lines travel once, by leaf; the count per distinct line and the sort reuse that partitioning.
     tree = lines.select(leaf.alias("leaf"), "line").repartition("leaf").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     tree = tree.withColumn("line_hash", F.xxhash64("line")).sortWithinPartitions("leaf", "line").mapInArrow(_parse_leaves(min_docs, similarity), "line_hash long, leaf long, template int")
-    found = cut_lineage(tree)
+    found = cut_lineage(tree, "line_hash")
     hits = lines.select("_doc", "doc_chars", "line_no", "chars", F.xxhash64("line").alias("line_hash")).join(small_side(found, 20), "line_hash").drop("line_hash")
-    hits = cut_lineage(hits)
+    hits = cut_lineage(hits, "_doc")
     spread = hits.groupBy("leaf", "template").agg(F.countDistinct("_doc").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
     per_doc = hits.join(spread, ["leaf", "template"], "left_semi").groupBy("_doc").agg(F.sort_array(F.collect_set("line_no")).alias("drop"), F.sum(F.col("chars")).alias("held"), F.max("doc_chars").alias("doc_chars"), F.count(F.lit(1)).alias("n"))
     # a row that occurs r times counts r times in n; the share is of one
@@ -147,7 +149,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
 
     A template recurs when at least ``min_docs`` distinct documents (rows that differ in doc_id or text) hold a line
     of it.  Lines of under ``min_tokens`` tokens stay, and so do all lines of a document in which recurring lines
-    make up more than ``max_share`` of the characters: that document is a copy of others, and dropping its lines would
+    make up more than ``max_share`` of the (masked) characters: that document is a copy of others, and dropping its lines would
     empty every copy; near-dedup keeps one of them.  Every row and column stays, in any order; null and empty texts
     stay as they are with 0 dropped; an input column ``lines_dropped`` is replaced, as is ``_doc``.  Repeated rows get
     equal results.  Lines of the same leaf are parsed in the order of their text, so results depend on the data only.

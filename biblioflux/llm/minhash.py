@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from biblioflux.llm.arrow_text import concat, cut_lineage, list_array, mix, row_chunks, small_side, text_buffer, window_hashes, word_hashes, words
+from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, mix, row_chunks, small_side, text_buffer, window_hashes, word_hashes, words
 
 SHINGLE = 3
 BANDS = 32
@@ -199,9 +199,9 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
     connected component.  Rows with null doc_id, and null, empty and blank texts, are in no group.  A doc_id that
     repeats counts once, with the shingles of all its texts.  Texts are read whole; other columns are not looked at.
     """
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = bound_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     exact = F.unhex(F.md5("text"))
-    sketch = cut_lineage(texts.select("id", exact.alias("e"), signature_bands(k, bands, rows)("text").alias("bands")).where("bands is not null"))
+    sketch = cut_lineage(texts.select("id", exact.alias("e"), signature_bands(k, bands, rows)("text").alias("bands")).where("bands is not null"), "e")
     same = sketch.select("id", F.min("id").over(Window.partitionBy("e")).alias("a"))
     copies = same.where("a <> id").select("a", F.col("id").alias("b"))
     # Only the first of identical texts is compared further.
