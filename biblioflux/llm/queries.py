@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioflux.llm import bpe, decontaminate, language_id, line_templates, minhash
+import corpus_pipeline
+from biblioflux.llm import bpe, decontaminate, language_id, line_templates, minhash, suffix_merge
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +36,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_merge.repeated_passages(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_line_templates": op4_line_templates,
     "op6_language_id": op6_language_id,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_near_duplicates": op8_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_repeated_passages": r"""
+        WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+        s AS (SELECT doc_id, hash(text) AS h, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM t),
+        g AS (SELECT doc_id, h, w, unnest(range(1, len(w) - 48)) AS k FROM s WHERE len(w) >= 50),
+        x AS (SELECT doc_id, h, k - 1 AS lo, md5(array_to_string(w[k:k + 49], ' ')) AS g FROM g),
+        r AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        y AS (SELECT doc_id, h, lo, first, CASE WHEN lo > lag(lo) OVER (PARTITION BY doc_id, h ORDER BY lo) + 50 THEN 1 ELSE 0 END AS new FROM x JOIN r USING (g)),
+        z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, h ORDER BY lo) AS island FROM y)
+        SELECT doc_id, CAST(min(lo) AS INTEGER) AS start_word, CAST(max(lo) - min(lo) + 50 AS INTEGER) AS n_words, min(first) AS first_doc_id
+        FROM z GROUP BY doc_id, h, island""",
     "op10_decontamination": r"""
         WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
         b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
