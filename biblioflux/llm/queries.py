@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from biblioflux.llm import bpe, decontaminate, language_id, line_templates, minhash, suffix_merge
+from biblioflux.llm import bpe, decontaminate, divergence, language_id, line_templates, minhash, sharding, suffix_merge
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,18 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_merge.repeated_passages(_documents(spark, sf_dir))
 
 
+def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir)).select("doc_id", "lang", F.round("char_js", 6).alias("char_js"), F.round("word_js", 6).alias("word_js"), "n_words", "flagged")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_divergence": op2_divergence,
+    "op3_sharding": op3_sharding,
     "op4_line_templates": op4_line_templates,
     "op6_language_id": op6_language_id,
     "op7_repeated_passages": op7_repeated_passages,
@@ -51,6 +61,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_divergence": r"""
+        WITH t AS (SELECT *, row_number() OVER () AS id FROM documents),
+        n AS (SELECT id, lang, length(text) AS n, length(regexp_replace(text, '[^a-z]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS b, length(regexp_replace(text, '[^0-9]', '', 'g')) AS c,
+            length(regexp_replace(text, '[^ \t\n\r\f\v]', '', 'g')) AS d, length(regexp_replace(text, '[^.,;:?''"()\-]', '', 'g')) AS e, length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) AS f, length(regexp_replace(text, '[^\x{00C0}-\x{027F}]', '', 'g')) AS g FROM t),
+        c AS (SELECT id, lang, n, unnest(range(8)) AS k, unnest([a, b, c, d, e, f - a - b - c - d - e, g, n - f - g]) AS x FROM n),
+        cr AS (SELECT lang, k, sum(x) / sum(sum(x)) OVER (PARTITION BY lang) AS q FROM c WHERE lang IS NOT NULL GROUP BY lang, k),
+        cp AS (SELECT id, x / n AS p, q, (x / n + q) / 2 AS m FROM c JOIN cr USING (lang, k) WHERE n >= 100),
+        cj AS (SELECT id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2)) AS js FROM cp GROUP BY id),
+        s AS (SELECT id, lang, unnest(string_split_regex(lower(text), '[ \t\n\r\f\v]+')) AS w FROM t),
+        w AS (SELECT * FROM s WHERE w <> ''),
+        wn AS (SELECT id, count(*) AS n FROM w GROUP BY id),
+        r AS (SELECT lang, w, count(*) AS x, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS k FROM w WHERE lang IS NOT NULL GROUP BY lang, w),
+        v AS (SELECT lang, CASE WHEN k <= 64 THEN k ELSE 65 END AS k, w, x FROM r),
+        vr AS (SELECT lang, k, sum(x) AS x FROM v GROUP BY lang, k UNION ALL SELECT lang, 65, 0 FROM r GROUP BY lang HAVING count(*) <= 64),
+        wr AS (SELECT lang, k, x / sum(x) OVER (PARTITION BY lang) AS q FROM vr),
+        wd AS (SELECT w.id, v.k, count(*) AS x FROM w JOIN v ON v.lang = w.lang AND v.w = w.w GROUP BY ALL),
+        wp AS (SELECT t.id, coalesce(wd.x, 0) / wn.n AS p, wr.q, (coalesce(wd.x, 0) / wn.n + wr.q) / 2 AS m
+            FROM t JOIN wn ON wn.id = t.id AND wn.n >= 40 JOIN wr ON wr.lang = t.lang LEFT JOIN wd ON wd.id = t.id AND wd.k = wr.k),
+        wj AS (SELECT id, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END) / 2)) AS js FROM wp GROUP BY id)
+        SELECT doc_id, lang, round(cj.js, 6) AS char_js, round(wj.js, 6) AS word_js, CAST(coalesce(wn.n, 0) AS INTEGER) AS n_words, coalesce(cj.js > 0.25, false) OR coalesce(wj.js > 0.42, false) AS flagged
+        FROM t LEFT JOIN cj USING (id) LEFT JOIN wj USING (id) LEFT JOIN wn USING (id)""",
+    "op3_sharding": r"""
+        WITH k AS (SELECT *, coalesce('=' || source, '') AS s, md5('shards-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        r AS (SELECT *, 2 * row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS r, count(*) OVER (PARTITION BY s) AS n, count(*) OVER () AS total FROM k),
+        x AS (SELECT *, (r * greatest(1, (total + 249) // 250)) // (2 * n) AS shard, CAST(r AS DOUBLE) / CAST(2 * n AS DOUBLE) AS stand FROM r)
+        SELECT doc_id, text, lang, source, n_chars, CAST(shard AS BIGINT) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY stand, s, h, doc_id) AS INTEGER) AS position FROM x""",
     "op7_repeated_passages": r"""
         WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         s AS (SELECT doc_id, hash(text) AS h, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM t),
