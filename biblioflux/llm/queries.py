@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from biblioflux.llm import bpe, decontaminate, divergence, language_id, line_templates, minhash, sharding, suffix_merge
+from biblioflux.llm import bpe, decontaminate, divergence, language_id, licenses, line_templates, minhash, sharding, suffix_merge, weak_labels
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,14 +48,24 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_documents(spark, sf_dir))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(_documents(spark, sf_dir)).select("doc_id", "label", "quality", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_divergence": op2_divergence,
     "op3_sharding": op3_sharding,
     "op4_line_templates": op4_line_templates,
+    "op5_weak_labels": op5_weak_labels,
     "op6_language_id": op6_language_id,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
     "pipeline": corpus_pipeline.run,
 }
