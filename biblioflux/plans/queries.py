@@ -1,9 +1,461 @@
-"""Queries over the driver tables, by name."""
+"""Queries over the driver tables, by name.
+
+The driver tables hold no publications, so each query reads them as such: a ``source`` is a publication, benchmark items
+are bibliography entries of every publication, documents are candidates with the first 80 characters as their title;
+parts, customers and conversations stand for entries, people and trees.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from biblioflux.functions import bibitems, identifiers, latex, people, similarity, text
+from biblioflux.operators import dedup, features, hierarchy, learning, pairs, profile, ranking
+from biblioflux.sources import bibliography, tables
+from biblioflux.sources.tables import table
+
+TITLE = 80
+
+
+def _title(c: str = "text") -> Column:
+    return F.substring(c, 1, TITLE)
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items as entries of every source; the items are few and each is normalised once."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("bib_key"), _title().alias("b_raw"))
+    items = items.withColumn("b_norm", text.normalize(F.col("b_raw")))
+    return items.crossJoin(table(spark, sf, "documents").select(F.col("source").alias("pub_id")).distinct())
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("source").alias("pub_id"), F.col("doc_id").alias("candidate_id"), _title().alias("c_raw"))
+    return docs.withColumn("c_norm", text.normalize(F.col("c_raw")))
+
+
+def _scored_topk(spark: SparkSession, sf: str, arrays: Callable[[Column], Column]) -> DataFrame:
+    bib = _entries(spark, sf).withColumn("b", F.array_distinct(arrays(F.col("b_norm"))))
+    cand = _candidates(spark, sf).withColumn("c", F.array_distinct(arrays(F.col("c_norm"))))
+    scored = pairs.make_pairs(bib.select("pub_id", "bib_key", "b"), cand.select("pub_id", "candidate_id", "c")).withColumn("score", F.round(text.jaccard(F.col("b"), F.col("c")), 6))
+    return ranking.top_k(scored, 5, "candidate_id").select("pub_id", "bib_key", "candidate_id", "rank", "score")
+
+
+def title_jaccard_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored_topk(spark, sf, text.tokens)
+
+
+def bigram_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored_topk(spark, sf, lambda c: text.ngrams(text.tokens(c)))
+
+
+def title_ratio_stats(spark: SparkSession, sf: str) -> DataFrame:
+    p = pairs.make_pairs(_entries(spark, sf), _candidates(spark, sf))
+    ratio, same = text.length_ratio(F.col("b_raw"), F.col("c_raw")), text.exact_match(F.col("b_norm"), F.col("c_norm"))
+    return p.groupBy("pub_id").agg(F.round(F.avg(ratio), 6).alias("avg_ratio"), F.sum(same).alias("exact_pairs"))
+
+
+def pair_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    p = pairs.make_pairs(_entries(spark, sf).select("pub_id", "bib_key"), _candidates(spark, sf).select("pub_id", "candidate_id"))
+    return pairs.pair_statistics(p)
+
+
+def labelling_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.labelling_candidates(_entries(spark, sf), _candidates(spark, sf))
+
+
+def _part_names(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+
+
+def _name_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    n = _part_names(spark, sf)
+    return n.select(F.col("name").alias("a")).join(n.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
+
+
+def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    fa, fb = similarity.fuzz_words(a), similarity.fuzz_words(b)
+    return _name_pairs(spark, sf).select("a", "b", similarity.ratio(a, b).alias("indel"), similarity.token_sort(fa, fb).alias("token_sort"), similarity.token_set(fa, fb).alias("token_set"))
+
+
+def edit_distance_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _name_pairs(spark, sf).select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 4")
+
+
+def partial_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("a")).join(table(spark, sf, "region").select(F.col("r_name").alias("b")))
+    return n.select("a", "b", similarity.partial_ratio(F.col("a"), F.col("b")).alias("partial"))
+
+
+def _people_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    letter = lambda n: F.chr(65 + F.col("c_custkey") % n)
+    who = F.concat(F.initcap("c_mktsegment"), F.lit(", "), letter(5), F.lit(". and "), letter(3), F.lit(". Lee"))
+    c = table(spark, sf, "customer").where("c_custkey < 300").select("c_custkey", "c_nationkey", who.alias("who"))
+    a, b = (c.select("c_nationkey", F.col("c_custkey").alias(f"{x}_key"), F.col("who").alias(f"{x}_who")) for x in "ab")
+    return a.join(b, "c_nationkey").where("a_key < b_key")
+
+
+def author_features(spark: SparkSession, sf: str) -> DataFrame:
+    p = _people_pairs(spark, sf).withColumns({x: people.parse_authors(people.split_authors(F.col(f"{x}_who"))) for x in "ab"})
+    a, b = F.col("a"), F.col("b")
+    la, lb = people.last_names(a), people.last_names(b)
+    return p.select(
+        "a_key", "b_key", people.overlap(la, lb).alias("overlap"), F.size(F.array_intersect(la, lb)).alias("common"),
+        people.end_match(a, b, 1).alias("first_match"), people.end_match(a, b, -1).alias("last_match"), people.initials_match(a, b).alias("initials"),
+    )
+
+
+def loose_author_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    score = people.overlap(people.loose_last_names(F.col("a_who")), people.loose_last_names(F.col("b_who")))
+    return _people_pairs(spark, sf).select("a_key", "b_key", F.round(score, 6).alias("overlap"))
+
+
+def year_features(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), identifiers.year(F.col("o_orderdate").cast("string")).alias("a"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), identifiers.year(F.col("l_shipdate").cast("string")).alias("b"))
+    f = o.join(li, "k", "left").select(*[c.alias(n) for n, c in identifiers.year_features(F.col("a"), F.col("b")).items()])
+    return f.groupBy(*f.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _part_entries(spark: SparkSession, sf: str, most: int = 60) -> DataFrame:
+    """Parts as entries and as candidates: a title of name and type, the brand as author, a year of the size."""
+    return table(spark, sf, "part").where(F.col("p_partkey") < most).select(
+        F.lit("p").alias("pub_id"), F.col("p_partkey").alias("ord"), F.concat(F.lit("part"), F.col("p_partkey")).alias("bib_key"),
+        F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), F.concat(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" and Common")).alias("author"),
+        (1990 + F.col("p_size") % 3).cast("string").alias("year"), F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).alias("journal"), F.when(F.col("p_size") % 3 == 0, "article").otherwise("misc").alias("entry_type"),
+    )
+
+
+def _part_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    e = _part_entries(spark, sf)
+    a = e.select("pub_id", "bib_key", F.col("ord").alias("bib_ord"), *[F.col(c).alias(f"bib_{c}") for c in ("title", "author", "year")])
+    b = e.select("pub_id", F.col("bib_key").alias("candidate_id"), F.col("ord").alias("cand_ord"), *[F.col(c).alias(f"cand_{c}") for c in ("title", "author", "year")])
+    return pairs.make_pairs(a, b).where("bib_key <> candidate_id")
+
+
+def _auto(spark: SparkSession, sf: str) -> DataFrame:
+    label = pairs.auto_label(*[F.col(f"{s}_{c}") for c in ("title", "year", "author") for s in ("bib", "cand")])
+    return _part_pairs(spark, sf).withColumn("label", label)
+
+
+def auto_label(spark: SparkSession, sf: str) -> DataFrame:
+    return _auto(spark, sf).where("label = 1").select("bib_key", "candidate_id", "label")
+
+
+def auto_label_first(spark: SparkSession, sf: str) -> DataFrame:
+    p = _auto(spark, sf)
+    return pairs.auto_label_batch(p, p.where("bib_ord % 7 = 0").select("pub_id", "bib_key").distinct())
+
+
+def suggest_labels(spark: SparkSession, sf: str) -> DataFrame:
+    s = pairs.suggest_labels(_part_pairs(spark, sf).where("bib_ord < 20"))
+    accepted = pairs.auto_accept(s).withColumn("accepted", F.lit(True))
+    return s.join(accepted, ["pub_id", "bib_key", "candidate_id"], "left").select("bib_key", "candidate_id", "rank", F.round("score", 4).alias("score"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (the top five titles), manual labels (the least good document of the source, for every third item) and automatic ones (the top title of at least 0.1)."""
+    top = title_jaccard_topk(spark, sf)
+    good = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    least = good.groupBy(F.col("source").alias("pub_id")).agg(F.min("doc_id").alias("candidate_id"))
+    manual = _entries(spark, sf).where("bib_key % 3 = 0").select("pub_id", "bib_key").join(least, "pub_id")
+    auto = top.where("rank = 1 and score >= 0.1").select("pub_id", "bib_key", "candidate_id")
+    return top, manual, auto
+
+
+def merge_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.merge_labels(*_labelled(spark, sf)).select("pub_id", "bib_key", "candidate_id", "label", "origin")
+
+
+def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.ground_truth(*_labelled(spark, sf)[1:])
+
+
+def label_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.label_gate(_labelled(spark, sf)[1])
+
+
+def label_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.label_statistics(pairs.merge_labels(*_labelled(spark, sf)))
+
+
+def split_publications(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.split_publications(table(spark, sf, "documents").select(F.col("source").alias("pub_id")))
+
+
+def split_by_origin(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("manual").alias("origin")), "doc_id", "left")
+    return pairs.split_by_origin(docs.select(F.col("source").alias("pub_id"), F.coalesce("origin", F.lit("auto")).alias("origin")))
+
+
+def _quality_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").select(F.lit("p").alias("pub_id"), F.col("doc_id").cast("string").alias("bib_key"), F.col("doc_id").cast("string").alias("candidate_id"), (1 - F.col("quality")).alias("label"))
+
+
+def balance_under(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.balance(_quality_pairs(spark, sf), 2.0).select("bib_key", "label")
+
+
+def balance_over(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.balance(_quality_pairs(spark, sf), 2.0, over=True).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "documents").select(F.lit("p").alias("pub_id"), F.col("doc_id").alias("element_id"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_text"))
+    return dedup.duplicate_elements(e).select(F.col("element_id").alias("doc_id"), F.col("canonical_id").alias("canonical"))
+
+
+def _reference_groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = _part_entries(spark, sf, 120)
+    return e, dedup.seed_groups(e, dedup.duplicate_pairs(e))
+
+
+def reference_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return _reference_groups(spark, sf)[1].select("ord", "seed")
+
+
+def reference_merge(spark: SparkSession, sf: str) -> DataFrame:
+    m = dedup.merge_groups(*_reference_groups(spark, sf))
+    return m.select("seed", "bib_key", F.array_join("keys", ",").alias("keys"), "entry_type", "title", "author", "year", "journal")
+
+
+def rename_citations(spark: SparkSession, sf: str) -> DataFrame:
+    renames = dedup.rename_map(dedup.merge_groups(*_reference_groups(spark, sf)))
+    texts = _part_entries(spark, sf, 120).select("pub_id", "ord", F.concat(F.lit("See \\citep[p. 3]{"), F.col("bib_key"), F.lit(", other}.")).alias("text"))
+    return dedup.rename_citations(texts, renames).select("ord", "renamed_text")
+
+
+def _latex(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as LaTeX: two sections, citations of the source and the language, and a trailing comment."""
+    half = (F.length("text") / 2).cast("int")
+    body = F.concat(
+        F.lit("\\section{Introduction} We follow \\cite{"), "source", F.lit(", "), "lang", F.lit("}. "), F.substring(F.col("text"), F.lit(1), half), F.lit(" % note\n\\section{Methods} By \\citep[see]{"), "lang", F.lit("} it holds.\n\n"), F.substring(F.col("text"), half + 1, F.length("text"))
+    )
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("pub_id"), F.lit(1).alias("version"), body.alias("text"))
+
+
+def comment_strip(spark: SparkSession, sf: str) -> DataFrame:
+    return _latex(spark, sf).select("doc_id", latex.remove_comments(F.col("text")).alias("stripped"))
+
+
+def citation_index(spark: SparkSession, sf: str) -> DataFrame:
+    e = _latex(spark, sf).select("pub_id", F.col("doc_id").alias("element_id"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_text"))
+    return hierarchy.citation_index(e).groupBy("bib_key").agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("element_id").alias("elements"))
+
+
+def cocitation(spark: SparkSession, sf: str) -> DataFrame:
+    e = _latex(spark, sf).select(F.lit("p").alias("pub_id"), F.col("doc_id").alias("element_id"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_text"))
+    return hierarchy.cocitations(hierarchy.citation_index(e)).select("bib_key", "co_citation_count")
+
+
+def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.size(latex.sentences(F.col("text"))).alias("sentences"))
+
+
+def latex_plain(spark: SparkSession, sf: str) -> DataFrame:
+    return _latex(spark, sf).select("doc_id", latex.plain_text(F.col("text")).alias("plain"), latex.clean(F.col("text")).alias("clean"))
+
+
+def latex_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.statistics(hierarchy.parse(_latex(spark, sf)))
+
+
+def latex_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of the parsed trees, which the synthetic LaTeX fixes."""
+    e = hierarchy.parse(_latex(spark, sf)).where("element_type = 'section'")
+    return e.groupBy("raw_text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def citation_features(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.citation_features(hierarchy.parse(_latex(spark, sf)))
+
+
+def hierarchy_export(spark: SparkSession, sf: str) -> DataFrame:
+    e = hierarchy.parse(_latex(spark, sf).where("doc_id < 200"))
+    return tables.hierarchy_json(e, hierarchy.edges(e))
+
+
+def html_counts(spark: SparkSession, sf: str) -> DataFrame:
+    tag = lambda t: F.regexp_count("html", F.lit(f"(?i)<{t}[ >]")).alias(t)
+    return table(spark, sf, "pages").select("page_id", tag("h1"), tag("li"), tag("p"), tag("a"))
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of a conversation as a tree: turn t hangs below turn (t - 1) / 2."""
+    return table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("child_id"), F.expr("if(turn = 0, null, (turn - 1) div 2)").alias("parent_id")).where("parent_id is not null")
+
+
+def tree_depth(spark: SparkSession, sf: str) -> DataFrame:
+    c = hierarchy.chains(_tree(spark, sf), ["conv_id"], rounds=4)
+    return c.select("conv_id", F.col("node").alias("turn"), F.col("depth").cast("int").alias("depth"), F.array_join("chain", ">").alias("chain"))
+
+
+def tree_siblings(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.siblings(_tree(spark, sf), ["conv_id"]).groupBy("conv_id", F.col("node").alias("turn")).agg(F.count(F.lit(1)).alias("siblings"))
+
+
+def _embedding_ranks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors 0, 10, 20, .. as entries; candidates share the last digit's half; the truth is the nearest id of the same label."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), "label")
+    v = v.withColumn("n", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
+    a = v.where("vec_id % 10 = 0").select(F.lit("p").alias("pub_id"), F.col("vec_id").alias("bib_key"), F.col("e").alias("ea"), F.col("n").alias("na"), F.col("label").alias("la"))
+    b = v.where("vec_id % 2 = 1").select(F.lit("p").alias("pub_id"), F.col("vec_id").alias("candidate_id"), F.col("e").alias("eb"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    p = pairs.make_pairs(a, b)
+    dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = p.withColumn("score", F.round(dot / (F.col("na") * F.col("nb")), 6)).withColumn("label", (F.col("la") == F.col("lb")).cast("int"))
+    truth = p.where("la = lb").groupBy("pub_id", "bib_key").agg(F.min_by("candidate_id", F.struct(F.abs(F.col("candidate_id") - F.col("bib_key")), "candidate_id")).alias("candidate_id"))
+    return scored, truth
+
+
+def ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    scored, truth = _embedding_ranks(spark, sf)
+    r = ranking.ranks(truth, ranking.predictions(ranking.top_k(scored, 5, "candidate_id")))
+    m = ranking.metrics(r)
+    return m.select(*[F.round(c, 6).alias(c) if c != "queries" else F.col(c) for c in m.columns])
+
+
+def ranking_report(spark: SparkSession, sf: str) -> DataFrame:
+    scored, truth = _embedding_ranks(spark, sf)
+    r = ranking.report(ranking.ranks(truth, ranking.predictions(ranking.top_k(scored, 5, "candidate_id"))))
+    return r.select("bib_key", "candidate_id", "rank", "found", F.round("rr", 6).alias("rr"))
+
+
+def precision_at_5(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.precision_at(_embedding_ranks(spark, sf)[0].withColumn("cand_ord", F.col("candidate_id")), 5).select(F.round("precision_at_5", 6).alias("precision_at_5"))
+
+
+def post_process(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("s"), F.col("o_orderstatus") == "F", (F.col("o_orderkey") % 7).alias("gap"), (F.col("o_custkey") % 2 == 0).alias("first"), (F.col("o_custkey") % 11 == 0).alias("ident"))
+    o = o.toDF("o_orderkey", "s", "exact", "gap", "first", "ident")
+    return o.select("o_orderkey", F.round(ranking.post_process(*[F.col(c) for c in ("s", "exact", "gap", "first", "ident")]), 6).alias("score"))
+
+
+def query_groups(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("pub_id"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0").alias("bib_key"))
+    return ranking.group_ids(li)
+
+
+def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    bib = table(spark, sf, "benchmark").where("item_id < 5").select("item_id", text.tokens(text.normalize(_title())).alias("a"))
+    cand = table(spark, sf, "documents").select("doc_id", text.tokens(text.normalize(_title())).alias("b"))
+    return bib.join(F.broadcast(bib).select("item_id"), "item_id", "left_semi").crossJoin(cand).select("item_id", "doc_id", F.round(features.tfidf_cosine(F.col("a"), F.col("b")), 6).alias("cosine")).where("cosine > 0.2")
+
+
+def numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
+    p = profile.numeric_profile(table(spark, sf, "documents"), ["lang", "source"], "n_chars")
+    return p.withColumn("mean", F.round("mean", 6))
+
+
+def completeness(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").withColumn("short_text", F.when(F.length("text") < 2000, F.col("text")))
+    return profile.completeness(d, ["text", "lang", "short_text"]).withColumn("percent", F.round("percent", 6))
+
+
+def value_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.value_counts(table(spark, sf, "events"), "event_type")
+
+
+def histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.histogram(table(spark, sf, "documents"), "n_chars", [0, 100, 500, 1000, 2000, 5000, 50000])
+
+
+def version_sharing(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select((F.col("user_id") % 50).alias("pub_id"), F.col("event_type").alias("element_id"), (F.col("event_id") % 3).alias("version"))
+    return profile.version_sharing(e).withColumn("ratio", F.round("ratio", 6))
+
+
+def correlations(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.correlations(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).withColumn("r", F.round("r", 6))
+
+
+def bibtex_export(spark: SparkSession, sf: str) -> DataFrame:
+    e = _part_entries(spark, sf)
+    return e.select("bib_key", tables.bibtex_text(F.col("bib_key"), F.col("entry_type"), {c: F.col(c) for c in ("author", "title", "year", "journal")}).alias("bibtex"))
+
+
+def bibtex_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries written as BibTeX, and read again by the parser: what comes back is what went out."""
+    e = bibtex_export(spark, sf).groupBy().agg(F.array_join(F.sort_array(F.collect_list("bibtex")), "\n").alias("text"))
+    files = e.select(F.lit("p").alias("pub_id"), F.lit(1).alias("version"), F.lit("refs.bib").alias("name"), "text", F.length("text").alias("size"))
+    return bibliography.entries(files).select("bib_key", "entry_type", "title", "author", "year", "journal")
+
+
+def bibitem_parse(spark: SparkSession, sf: str) -> DataFrame:
+    item = F.concat(F.lit("\\bibitem{"), F.col("bib_key"), F.lit("} A. Smith and B. Jones. "), F.initcap("title"), F.lit(". Journal of Parts, "), F.col("year"), F.lit(".\n"))
+    e = _part_entries(spark, sf).groupBy().agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("text"))
+    files = e.select(F.lit("p").alias("pub_id"), F.lit(1).alias("version"), F.lit("a.bbl").alias("name"), "text", F.length("text").alias("size"))
+    return bibliography.entries(files).select("bib_key", "entry_type", "author", "title", "journal", "year")
+
+
+def prediction_export(spark: SparkSession, sf: str) -> DataFrame:
+    top, manual, auto = _labelled(spark, sf)
+    as_text = lambda d: d.withColumns({c: F.col(c).cast("string") for c in ("bib_key", "candidate_id")})
+    return tables.prediction_json(ranking.predictions(as_text(top)), as_text(pairs.ground_truth(manual, auto)), split_publications(spark, sf))
+
+
+def arxiv_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids in four kinds of fields made of order keys, and their normal form."""
+    k = F.lpad(F.col("o_orderkey").cast("string"), 5, "0")
+    form = F.col("o_orderkey") % 4
+    raw = F.when(form == 0, F.concat(F.lit("arXiv:2101."), k, F.lit("v2"))).when(form == 1, F.concat(F.lit("https://example.org/abs/hep-th/99"), k)).when(form == 2, F.concat(F.lit("see 1999."), F.substring(k, 2, 4), F.lit("."))).otherwise(F.lit("none"))
+    found = identifiers.parse_arxiv_id(raw)
+    return table(spark, sf, "orders").select("o_orderkey", found.alias("arxiv_id"), F.nullif(identifiers.normalize_arxiv_id(found), F.lit("")).alias("normal"))
+
+
+def folded_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.explode(text.content_tokens(_title()))
+    return table(spark, sf, "documents").where("lang = 'en'").select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def match_features(spark: SparkSession, sf: str) -> DataFrame:
+    """All text features of benchmark items against the best five titles of each source."""
+    bib = features.prepare(_entries(spark, sf), "b", F.col("b_raw"), F.col("pub_id"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("b_raw"))
+    cand = features.prepare(_candidates(spark, sf), "c", F.col("c_raw"), F.col("pub_id"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("c_raw"))
+    top = title_jaccard_topk(spark, sf).select("pub_id", "bib_key", "candidate_id")
+    p = top.join(bib, ["pub_id", "bib_key"]).join(cand, ["pub_id", "candidate_id"])
+    return features.extract(p).select("pub_id", "bib_key", "candidate_id", *features.TEXT_FEATURES)
+
+
+def learned_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairwise ranker on part pairs: trained on automatic labels, then the top five candidates of each entry."""
+    p = _part_pairs(spark, sf)
+    scores = {
+        "f1": similarity.ratio(F.col("bib_title"), F.col("cand_title")),
+        "f2": text.jaccard(F.split("bib_title", " "), F.split("cand_title", " ")),
+        "f3": (F.col("bib_year") == F.col("cand_year")).cast("double"),
+        "f4": people.overlap(people.loose_last_names(F.col("bib_author")), people.loose_last_names(F.col("cand_author"))),
+    }
+    labelled = p.withColumns(scores).withColumn("label", ((F.col("f2") >= 0.6) & (F.col("f4") >= 0.5)).cast("int"))
+    model = learning.train_ranker(labelled, list(scores), rounds=20)
+    return ranking.top_k(learning.predict(model, labelled), 5).select("bib_key", "candidate_id", "rank", F.round("score", 6).alias("score"))
+
+
+def bibliography_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields that every entry schema has, with how many part entries fill them."""
+    e = _part_entries(spark, sf)
+    return profile.completeness(e, [c for c in bibitems.FIELDS if c in e.columns]).withColumn("percent", F.round("percent", 6))
+
+
+def running_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Run-length groups of event types in order of time for each user, as plain window functions."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").withColumn("_new", F.coalesce((F.col("event_type") != F.lag("event_type").over(w)).cast("int"), F.lit(1)))
+    return e.withColumn("run", F.sum("_new").over(w)).groupBy("user_id").agg(F.max("run").alias("runs"), F.count(F.lit(1)).alias("events"))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        title_jaccard_topk, bigram_topk, title_ratio_stats, pair_statistics, labelling_candidates, fuzzy_scores, edit_distance_candidates, partial_ratios,
+        author_features, loose_author_overlap, year_features, auto_label, auto_label_first, suggest_labels, merge_labels, ground_truth, label_gate, label_statistics,
+        split_publications, split_by_origin, balance_under, balance_over, content_dedup, reference_groups, reference_merge, rename_citations,
+        comment_strip, citation_index, cocitation, sentence_counts, latex_plain, latex_elements, latex_sections, citation_features, hierarchy_export,
+        html_counts, tree_depth, tree_siblings, ranking_metrics, ranking_report, precision_at_5, post_process, query_groups, tfidf_cosine,
+        numeric_profile, completeness, value_counts, histogram, version_sharing, correlations, bibtex_export, bibtex_round_trip, bibitem_parse,
+        prediction_export, arxiv_ids, folded_tokens, match_features, learned_ranking, bibliography_fields, running_groups,
+    )
+}
