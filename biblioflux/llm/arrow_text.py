@@ -6,6 +6,8 @@ buffers, cut into pieces of a bounded number of bytes so that memory does not fo
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Iterator
 
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Largest table, in bytes as estimated from its exact row count, that is broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
 
@@ -61,8 +63,22 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
+@functools.lru_cache(maxsize=1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give freed memory back: workers live on between tasks, beside a heap that was sized without them."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def row_chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
-    """Slices of whole rows holding about ``limit`` bytes each (one row may exceed it)."""
+    """Slices of whole rows holding about ``limit`` bytes each (one row may exceed it); after the last, memory is released."""
     n = len(arr)
     if not n:
         return
@@ -72,6 +88,7 @@ def row_chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield arr.slice(lo, min(hi, n) - lo)
         lo = min(hi, n)
+    release()
 
 
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

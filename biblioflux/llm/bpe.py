@@ -34,6 +34,8 @@ from biblioflux.llm.arrow_text import bound_batches, concat, list_array, row_chu
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words of more bytes than this are read one at a time, shorter ones side by side.
 SHORT = 128
+#: Text whose distinct words are encoded together.
+PIECE_BYTES = 2 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
@@ -365,7 +367,7 @@ def encoder(path: str = VOCABULARY):
         machine = automaton(path, stamp)
         for arr in batches:
             parts = []
-            for piece in row_chunks(arr):
+            for piece in row_chunks(arr, PIECE_BYTES):
                 out = list_array(*encode_texts(machine, piece), pa.int32())
                 parts.append(pc.if_else(piece.is_valid(), out, pa.scalar(None, out.type)) if piece.null_count else out)
             yield concat(parts, pa.list_(pa.int32()))
