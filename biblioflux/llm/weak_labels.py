@@ -234,8 +234,15 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np
         few = few.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = few.orderBy("h").limit(train_rows).select("text").collect()
     arr = pa.array([r.text for r in rows], pa.string())
-    target = 1 - model.posterior[pattern(votes(arr))] if len(arr) else np.zeros(0)
-    weights, bias = fit_scorer(*features(arr), target)
+    del rows
+    parts, target, done = [], [np.zeros(0)], 0
+    for piece in row_chunks(arr):  # a piece at a time: what is kept is a few hundred features of each text
+        row, slot, value = features(piece)
+        parts.append(((row + done).astype(np.int32), slot.astype(np.int32), value.astype(np.float32)))
+        target.append(1 - model.posterior[pattern(votes(piece))])
+        done += len(piece)
+    row, slot, value = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    weights, bias = fit_scorer(row, slot, value, np.concatenate(target))
     return model, weights, bias
 
 
