@@ -94,7 +94,7 @@ def comparison_form(text: Column) -> Column:
 def cited_keys(text: Column) -> Column:
     """Distinct keys of all citations, in order of first use."""
     groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITE), F.lit(1))
-    keys = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), F.trim)))
+    keys = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda w: F.trim(w))))
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
 
@@ -110,7 +110,7 @@ def sentences(text: Column) -> Column:
         t = F.replace(t, F.lit(a), F.lit(a.replace(".", held)))
     whole = F.transform(F.split(t, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.replace(s, F.lit(held), F.lit(".")))
     parts = F.flatten(F.transform(whole, lambda s: F.when(F.length(s) - F.length(F.replace(s, F.lit("%"), F.lit(""))) >= 2, F.split(s, r"(?<=\.)\s+(?=[0-9]+%)")).otherwise(F.array(s))))
-    parts = F.transform(parts, F.trim)
+    parts = F.transform(parts, lambda w: F.trim(w))
     return F.filter(parts, lambda s: (F.length(s) >= 5) & ~s.rlike(r"^[0-9\s%.,;:]+$"))
 
 

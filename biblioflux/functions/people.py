@@ -12,7 +12,7 @@ def _words(c: Column) -> Column:
 
 def split_authors(c: Column) -> Column:
     """'A and B; C' -> [A, B, C] without blanks and 'et al.'."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+and\s+|;\s*"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+and\s+|;\s*"), lambda w: F.trim(w))
     return F.filter(parts, lambda p: (p != "") & ~F.contains(F.lower(p), F.lit("et al")))
 
 

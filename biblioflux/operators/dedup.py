@@ -63,6 +63,7 @@ def key_score(key: Column, title: Column, author: Column, year: Column, venue: C
 def merge_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
     """One entry per group: the best key, the longest title, all distinct authors, the first valid year, the most specific
     type and the first value of every other field; ``keys`` lists the group's keys in order."""
+    entries = entries.withColumns({c: F.lit(None).cast("string") for c in ("journal", "booktitle") if c not in entries.columns})
     rows = entries.join(groups, ["pub_id", "ord"]).withColumn("_venue", F.coalesce("journal", "booktitle"))
     rows = rows.withColumn("_score", key_score(F.col("bib_key"), F.col("title"), F.col("author"), F.col("year"), F.col("_venue")))
     first = lambda c: F.expr(f"min_by({c}, ord) filter (where coalesce(trim({c}), '') <> '')").alias(c)
@@ -77,7 +78,7 @@ def merge_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
         F.expr("min_by(year, ord) filter (where year rlike '[0-9]{4}')").alias("year"),
         *[first(c) for c in other],
     )
-    names = F.filter(F.transform(F.flatten(F.transform("_authors", lambda a: F.split(a, r"\s+and\s+"))), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.flatten(F.transform("_authors", lambda a: F.split(a, r"\s+and\s+"))), lambda w: F.trim(w)), lambda n: n != "")
     lower = F.transform(names, F.lower)
     distinct = F.filter(names, lambda n, i: F.array_position(lower, F.lower(n)) == i + 1)
     return merged.withColumn("author", F.nullif(F.array_join(distinct, " and "), F.lit(""))).drop("_authors")
@@ -107,7 +108,8 @@ CONSTANTS = ("Figure", "Table", "Itemize block", "Enumerate block")
 
 def duplicate_elements(elements: DataFrame, text: str = "raw_text") -> DataFrame:
     """(pub_id, element_id, canonical_id): the first element of a publication with the same text in comparison form."""
-    norm = F.when(F.col(text).isin(*CONSTANTS) | F.col(text).rlike("^Item [0-9]+$"), F.col("element_id")).otherwise(latex.comparison_form(F.col(text)))
+    own = F.concat(F.lit("\u0000"), F.col("element_id").cast("string"))
+    norm = F.when(F.col(text).isin(*CONSTANTS) | F.col(text).rlike("^Item [0-9]+$"), own).otherwise(latex.comparison_form(F.col(text)))
     first = F.first_value("element_id").over(Window.partitionBy("pub_id", "_n").orderBy("ord"))
     return elements.withColumn("_n", norm).withColumn("canonical_id", first).select("pub_id", "element_id", "canonical_id")
 

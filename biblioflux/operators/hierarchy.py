@@ -63,23 +63,32 @@ def citation_index(elements: DataFrame, text: str = "raw_text") -> DataFrame:
     return rows.select("pub_id", F.trim("k").alias("bib_key"), "element_id", "ord", "at").where("bib_key <> ''")
 
 
-def ancestors(edge_rows: DataFrame, key: list[str], rounds: int = 7) -> DataFrame:
-    """(key.., node, ancestor, depth): all pairs of node and ancestor, by doubling; depth 1 is the parent.
+def chains(edge_rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key.., node, chain, depth): ancestors of each node from its parent to the root, at most MAX_CHAIN; a cycle's chain
+    ends before it repeats.  A tree is climbed by one task: it is one publication's, and its edges are narrow."""
+    kinds = {f.name: f.dataType.simpleString() for f in edge_rows.schema}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), f"node {kinds['child_id']}", f"chain array<{kinds['child_id']}>", "depth int"])
+
+    def climb(tree: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+        for c, p in zip(tree["child_id"].tolist(), tree["parent_id"].tolist()):
+            parent.setdefault(c, p)
+        out = []
+        for node in parent:
+            chain, at = [], parent[node]
+            while at is not None and at == at and at not in chain and at != node and len(chain) < MAX_CHAIN:
+                chain.append(at)
+                at = parent.get(at)
+            out.append((*(tree[k].iloc[0] for k in key), node, chain, len(chain)))
+        return pd.DataFrame(out, columns=[*key, "node", "chain", "depth"])
 
-    2 ** rounds levels are reached, beyond MAX_CHAIN of any tree here; a cycle's pairs end at that depth.
-    """
-    reach = edge_rows.select(*key, F.col("child_id").alias("node"), F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
-    for _ in range(rounds):
-        up = reach.select(*key, F.col("node").alias("ancestor"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
-        longer = reach.join(up, [*key, "ancestor"]).select(*key, "node", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
-        reach = reach.unionByName(longer.where(F.col("depth") <= MAX_CHAIN)).groupBy(*key, "node", "ancestor").agg(F.min("depth").alias("depth"))
-    return reach
-
-
-def chains(edge_rows: DataFrame, key: list[str], rounds: int = 7) -> DataFrame:
-    """(key.., node, chain, depth): ancestors of each node from its parent to the root."""
-    pairs = ancestors(edge_rows, key, rounds)
-    return pairs.groupBy(*key, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"]).alias("chain"), F.max("depth").alias("depth"))
+    return edge_rows.select(*key, "child_id", "parent_id").groupBy(*key).applyInPandas(climb, schema)
+
+
+def ancestors(edge_rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key.., node, ancestor, depth): all pairs of node and ancestor; depth 1 is the parent."""
+    rows = chains(edge_rows, key).select(*key, "node", F.posexplode("chain").alias("at", "ancestor"))
+    return rows.select(*key, "node", "ancestor", (F.col("at") + 1).alias("depth"))
 
 
 def siblings(edge_rows: DataFrame, key: list[str]) -> DataFrame:

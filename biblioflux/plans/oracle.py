@@ -1,3 +1,235 @@
-"""DuckDB SQL for the rows of the queries, by name."""
+"""DuckDB SQL for the rows of the queries, by name: written from the definitions, not from the Spark code."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+
+def _norm(x: str) -> str:
+    x = rf"regexp_replace(regexp_replace(lower({x}), '\\[A-Za-z]+\{{([^}}]*)\}}', '\1', 'g'), '[{{}}$\\]', '', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _words(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END"
+
+
+_PAIRS = f"""
+    e AS (SELECT source AS pub_id, item_id AS bib_key, substr(text, 1, 80) AS b_raw FROM benchmark, (SELECT DISTINCT source FROM documents)),
+    c AS (SELECT source AS pub_id, doc_id AS candidate_id, substr(text, 1, 80) AS c_raw FROM documents),
+    en AS (SELECT *, {_norm('b_raw')} AS b_norm FROM e), cn AS (SELECT *, {_norm('c_raw')} AS c_norm FROM c)"""
+
+
+def _topk(words: str) -> str:
+    return f"""{_PAIRS},
+    ew AS (SELECT pub_id, bib_key, {words.format('b_norm')} AS b FROM en), cw AS (SELECT pub_id, candidate_id, {words.format('c_norm')} AS c FROM cn),
+    s AS (SELECT pub_id, bib_key, candidate_id, round({_jaccard('b', 'c')}, 6) AS score FROM ew JOIN cw USING (pub_id)),
+    top AS (SELECT *, CAST(row_number() OVER (PARTITION BY pub_id, bib_key ORDER BY score DESC, candidate_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5)"""
+
+
+_TITLES = _topk(_words("{}"))
+_BIGRAM_WORDS = "list_distinct([array_to_string(list_filter(string_split({0}, ' '), lambda w: w <> '')[i:i + 1], ' ') for i in range(1, len(list_filter(string_split({0}, ' '), lambda w: w <> '')))])"
+
+#: Longest common subsequence of each pair (a, b) of table q, one row of the table at a time:
+#: new[j] is the largest of old[k] and old[k - 1] + (b[k] = character) for k up to j.
+_LCS = """
+    step(a, b, i, row) AS (
+        SELECT a, b, 0, [0 for _ in range(len(b) + 1)] FROM q
+        UNION ALL
+        SELECT a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max([greatest(row[k], CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN row[k - 1] + 1 ELSE 0 END) for k in range(1, j + 1)]))
+        FROM step WHERE i < len(a)),
+    lcs AS (SELECT a, b, row[-1] AS n FROM step WHERE i = len(a)),
+    ratio AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 ELSE round_even(100 * (2.0 * n / (len(a) + len(b))), 0) / 100 END AS r FROM lcs)"""
+
+_SORTED = "array_to_string(list_sort(list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> '')), ' ')"
+_LIST = "list_sort(list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+_NAMES = "n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT x.name AS a0, y.name AS b0 FROM n x JOIN n y ON x.name < y.name)"
+
+_PEOPLE = """
+    w AS (SELECT c_custkey, c_nationkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS seg, chr(CAST(65 + c_custkey % 5 AS INTEGER)) AS i1, chr(CAST(65 + c_custkey % 3 AS INTEGER)) AS i2 FROM customer WHERE c_custkey < 300),
+    p AS (SELECT x.c_custkey AS a_key, y.c_custkey AS b_key, lower(x.seg) AS sa, lower(y.seg) AS sb, x.i1 AS a1, y.i1 AS b1, x.i2 AS a2, y.i2 AS b2 FROM w x JOIN w y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey)"""
+
+_PARTS = """
+    e AS (SELECT p_partkey AS ord, 'part' || p_partkey AS bib_key, p_name || ' ' || lower(p_type) AS title, replace(p_brand, '#', ' ') || ' and Common' AS author, CAST(1990 + p_size % 3 AS VARCHAR) AS year,
+        CASE WHEN p_size % 2 = 0 THEN lower(p_brand) END AS journal, CASE WHEN p_size % 3 = 0 THEN 'article' ELSE 'misc' END AS entry_type FROM part WHERE p_partkey < {n})"""
+
+_AUTO = (
+    _PARTS.format(n=60)
+    + """,
+    pp AS (SELECT x.bib_key, y.bib_key AS candidate_id, x.ord AS bib_ord, y.ord AS cand_ord, x.title AS t1, y.title AS t2, x.year AS y1, y.year AS y2, x.author AS w1, y.author AS w2 FROM e x JOIN e y ON x.ord <> y.ord),
+    q AS (SELECT DISTINCT t1 AS a, t2 AS b FROM pp), """
+    + _LCS
+    + """,
+    lab AS (SELECT pp.*, CASE WHEN len(t1) > 10 AND len(t2) > 10 AND (r >= 1 OR r >= 0.9 AND abs(CAST(y1 AS INTEGER) - CAST(y2 AS INTEGER)) <= 1
+        OR r >= 0.8 AND len(list_intersect(list_distinct([split_part(lower(w1), ' ', 2), 'common']), list_distinct([split_part(lower(w2), ' ', 2), 'common']))) / 2 >= 0.6) THEN 1 END AS label
+        FROM pp JOIN ratio ON a = t1 AND b = t2)"""
+)
+
+_LABELS = (
+    _TITLES
+    + """,
+    least AS (SELECT source AS pub_id, min(doc_id) AS cand FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY source),
+    manual AS (SELECT e.pub_id, e.bib_key, cand AS candidate_id FROM e JOIN least USING (pub_id) WHERE e.bib_key % 3 = 0),
+    auto AS (SELECT pub_id, bib_key, candidate_id FROM top WHERE rank = 1 AND score >= 0.1),
+    merged AS (SELECT t.pub_id, t.bib_key, t.candidate_id,
+        CASE WHEN m.candidate_id IS NOT NULL THEN CAST(t.candidate_id = m.candidate_id AS INTEGER) WHEN a.candidate_id IS NOT NULL THEN CAST(t.candidate_id = a.candidate_id AS INTEGER) ELSE 0 END AS label,
+        CASE WHEN m.candidate_id IS NOT NULL THEN 'manual' WHEN a.candidate_id IS NOT NULL THEN 'auto' ELSE 'none' END AS origin
+        FROM top t LEFT JOIN manual m USING (pub_id, bib_key) LEFT JOIN auto a USING (pub_id, bib_key))"""
+)
+
+_SPLIT = """
+    pubs AS (SELECT DISTINCT source AS pub_id FROM documents),
+    r AS (SELECT pub_id, row_number() OVER (ORDER BY md5('42:' || pub_id), pub_id) AS r, count(*) OVER () AS n FROM pubs),
+    split AS (SELECT pub_id, CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.7) + floor(n * 0.15) THEN 'valid' ELSE 'test' END AS split FROM r)"""
+
+_GROUPS = (
+    _PARTS.format(n=120)
+    + """,
+    pp AS (SELECT x.ord AS x, y.ord AS y, lower(x.title) AS t1, lower(y.title) AS t2, x.author AS w1, y.author AS w2 FROM e x JOIN e y ON x.ord < y.ord),
+    q AS (SELECT DISTINCT t1 AS a, t2 AS b FROM pp), """
+    + _LCS
+    + """,
+    dup AS (SELECT x, y FROM pp JOIN ratio ON a = t1 AND b = t2 WHERE r >= 0.95 OR r >= 0.8 AND w1 = w2),
+    earlier AS (SELECT e.ord, coalesce(list(x ORDER BY x) FILTER (WHERE x IS NOT NULL), []) AS before FROM e LEFT JOIN dup ON y = ord GROUP BY e.ord),
+    walk(k, seeds) AS (
+        SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[])
+        UNION ALL
+        SELECT ord, CASE WHEN list_has_any(seeds, before) THEN seeds ELSE list_append(seeds, ord) END FROM walk JOIN earlier ON ord = k + 1),
+    final AS (SELECT seeds FROM walk ORDER BY k DESC LIMIT 1),
+    grp AS (SELECT ord, CASE WHEN list_contains(seeds, ord) THEN ord ELSE list_min(list_intersect(before, seeds)) END AS seed FROM earlier, final),
+    m AS (SELECT e.*, seed, 10 + 10 + 5 + CASE WHEN journal IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN regexp_matches(bib_key, '^[a-z]+[0-9]{4}') THEN 5 ELSE 0 END AS score,
+        CASE WHEN entry_type = 'article' THEN 3 ELSE 1 END AS pri FROM e JOIN grp USING (ord)),
+    who AS (SELECT seed, list(name ORDER BY place) AS names FROM (SELECT seed, name, min(ord * 10 + k) AS place FROM (SELECT seed, ord, unnest(string_split(author, ' and ')) AS name, generate_subscripts(string_split(author, ' and '), 1) AS k FROM m) GROUP BY seed, name) GROUP BY seed),
+    mg AS (SELECT seed, arg_min(bib_key, (-score, len(bib_key), ord)) AS bib_key, string_agg(bib_key, ',' ORDER BY ord) AS keys, arg_min(entry_type, (-pri, ord)) AS entry_type,
+        arg_min(title, (-len(title), ord)) AS title, arg_min(year, ord) AS year, arg_min(journal, ord) FILTER (WHERE journal IS NOT NULL) AS journal FROM m GROUP BY seed)"""
+)
+
+_LATEX = r"""
+    t AS (SELECT doc_id, '\section{Introduction} We follow \cite{' || source || ', ' || lang || '}. ' || substr(text, 1, CAST(trunc(length(text) / 2) AS INTEGER)) || ' % note' || chr(10)
+        || '\section{Methods} By \citep[see]{' || lang || '} it holds.' || chr(10) || chr(10) || substr(text, CAST(trunc(length(text) / 2) AS INTEGER) + 1) AS text FROM (SELECT doc_id, source, lang, replace(text, '$', '') AS text FROM documents))"""
+
+_CITES = (
+    _LATEX
+    + r""",
+    g AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\cite(?:[pt]|author|year|alp)?\*?(?:\[[^\]]*\])?\{([^}]+)\}', 1)) AS g FROM t),
+    k AS (SELECT doc_id, trim(unnest(string_split(g, ','))) AS bib_key FROM g)"""
+)
+
+_TREE = "x AS (SELECT conv_id, turn, CAST(CASE WHEN turn = 0 THEN NULL ELSE (turn - 1) // 2 END AS BIGINT) AS parent FROM conversations)"
+
+_VECTORS = """
+    v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+    s AS (SELECT a.vec_id AS bib_key, b.vec_id AS candidate_id, a.label = b.label AS same,
+        round(list_sum([a.e[i] * b.e[i] for i in range(1, len(a.e) + 1)]) / (sqrt(list_sum([x * x for x in a.e])) * sqrt(list_sum([x * x for x in b.e]))), 6) AS score FROM v a JOIN v b ON a.vec_id % 10 = 0 AND b.vec_id % 2 = 1),
+    top AS (SELECT *, row_number() OVER (PARTITION BY bib_key ORDER BY score DESC, candidate_id) AS rank FROM s QUALIFY rank <= 5),
+    truth AS (SELECT bib_key, arg_min(candidate_id, (abs(candidate_id - bib_key), candidate_id)) AS candidate_id FROM s WHERE same GROUP BY bib_key),
+    r AS (SELECT truth.bib_key, truth.candidate_id, top.rank FROM truth LEFT JOIN top USING (bib_key, candidate_id))"""
+
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+SQL: dict[str, str] = {
+    "title_jaccard_topk": f"WITH {_TITLES} SELECT pub_id, bib_key, candidate_id, rank, score FROM top",
+    "bigram_topk": f"WITH {_topk(_BIGRAM_WORDS)} SELECT pub_id, bib_key, candidate_id, rank, score FROM top",
+    "title_ratio_stats": f"""WITH {_PAIRS},
+        en2 AS (SELECT *, len(list_filter(string_split_regex(b_raw, '\\s+'), lambda w: w <> '')) AS x FROM en), cn2 AS (SELECT *, len(list_filter(string_split_regex(c_raw, '\\s+'), lambda w: w <> '')) AS y FROM cn)
+        SELECT pub_id, round(avg(CASE WHEN x > 0 AND y > 0 THEN least(x, y) / greatest(x, y) ELSE 0.0 END), 6) AS avg_ratio, sum(CASE WHEN b_norm = c_norm AND b_norm <> '' THEN 1 ELSE 0 END) AS exact_pairs FROM en2 JOIN cn2 USING (pub_id) GROUP BY pub_id""",
+    "pair_statistics": """WITH d AS (SELECT source, count(*) AS n FROM documents GROUP BY source), b AS (SELECT count(*) AS m FROM benchmark)
+        SELECT count(*) AS publications, sum(n * m) AS pairs, avg(m) AS avg_m, avg(n) AS avg_n, avg(n) - 1 AS imbalance FROM d, b""",
+    "labelling_candidates": """WITH d AS (SELECT source AS pub_id, count(*) AS n FROM documents GROUP BY source), b AS (SELECT count(*) AS m FROM benchmark)
+        SELECT pub_id, m, n, least(m, n) AS potential, CASE WHEN least(m, n) < 20 THEN 'too few' ELSE 'eligible' END AS status FROM d, b""",
+    "fuzzy_scores": f"""WITH RECURSIVE {_NAMES},
+        s AS (SELECT a0, b0, {_LIST.format('a0')} AS x, {_LIST.format('b0')} AS y FROM p),
+        f AS (SELECT a0, b0, array_to_string(x, ' ') AS sx, array_to_string(y, ' ') AS sy, array_to_string(list_sort(list_intersect(x, y)), ' ') AS i,
+            trim(array_to_string(list_sort(list_intersect(x, y)), ' ') || ' ' || array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ')) AS ix,
+            trim(array_to_string(list_sort(list_intersect(x, y)), ' ') || ' ' || array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ')) AS iy FROM s),
+        q AS (SELECT a0 AS a, b0 AS b FROM p UNION SELECT sx, sy FROM f UNION SELECT i, ix FROM f UNION SELECT i, iy FROM f UNION SELECT ix, iy FROM f), {_LCS}
+        SELECT f.a0 AS a, f.b0 AS b, r1.r AS indel, r2.r AS token_sort, greatest(r3.r, r4.r, r5.r) AS token_set FROM f
+        JOIN ratio r1 ON r1.a = f.a0 AND r1.b = f.b0 JOIN ratio r2 ON r2.a = sx AND r2.b = sy JOIN ratio r3 ON r3.a = i AND r3.b = ix JOIN ratio r4 ON r4.a = i AND r4.b = iy JOIN ratio r5 ON r5.a = ix AND r5.b = iy""",
+    "edit_distance_candidates": f"WITH {_NAMES} SELECT a0 AS a, b0 AS b, CAST(levenshtein(a0, b0) AS INTEGER) AS distance FROM p WHERE levenshtein(a0, b0) <= 4",
+    "partial_ratios": f"""WITH RECURSIVE p AS (SELECT n_name, r_name, CASE WHEN len(n_name) <= len(r_name) THEN n_name ELSE r_name END AS s, CASE WHEN len(n_name) <= len(r_name) THEN r_name ELSE n_name END AS l FROM nation, region),
+        w AS (SELECT n_name, r_name, s, unnest([substr(l, greatest(1, i), len(s) + least(0, i - 1)) for i in range(2 - len(s), len(l) + 1)]) AS x FROM p),
+        q AS (SELECT DISTINCT s AS a, x AS b FROM w WHERE x <> ''), {_LCS}
+        SELECT n_name AS a, r_name AS b, max(r) AS partial FROM w JOIN ratio ON a = s AND b = x GROUP BY n_name, r_name""",
+    "author_features": f"""WITH {_PEOPLE}
+        SELECT a_key, b_key, CASE WHEN sa = sb THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS overlap, CAST(CASE WHEN sa = sb THEN 2 ELSE 1 END AS INTEGER) AS common, CAST(sa = sb AS INTEGER) AS first_match, 1 AS last_match,
+        (CASE WHEN sa = sb AND a1 = b1 THEN 1 ELSE 0 END + CASE WHEN a2 = b2 THEN 1 ELSE 0 END)::DOUBLE / 2 AS initials FROM p""",
+    "loose_author_overlap": f"""WITH {_PEOPLE}, l AS (SELECT a_key, b_key, list_distinct([sa, lower(a1) || '.', 'lee']) AS x, list_distinct([sb, lower(b1) || '.', 'lee']) AS y FROM p)
+        SELECT a_key, b_key, round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) AS overlap FROM l""",
+    "year_features": """WITH j AS (SELECT year(o_orderdate) AS a, year(l_shipdate) AS b FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey),
+        f AS (SELECT CAST(CASE WHEN b IS NULL THEN -1 ELSE least(abs(a - b), 10) END AS INTEGER) AS year_diff, CAST(coalesce(a = b, false) AS INTEGER) AS year_exact_match, CAST(coalesce(abs(a - b) <= 1, false) AS INTEGER) AS year_within_1, CAST(b IS NOT NULL AS INTEGER) AS both_years_present FROM j)
+        SELECT *, count(*) AS n FROM f GROUP BY ALL""",
+    "auto_label": f"WITH RECURSIVE {_AUTO} SELECT bib_key, candidate_id, label FROM lab WHERE label = 1",
+    "auto_label_first": f"WITH RECURSIVE {_AUTO} SELECT 'p' AS pub_id, bib_key, arg_min(candidate_id, cand_ord) AS candidate_id FROM lab WHERE label = 1 AND bib_ord % 7 <> 0 GROUP BY bib_key",
+    "merge_labels": f"WITH {_LABELS} SELECT pub_id, bib_key, candidate_id, label, origin FROM merged",
+    "ground_truth": f"WITH {_LABELS} SELECT pub_id, bib_key, coalesce(m.candidate_id, a.candidate_id) AS candidate_id FROM manual m FULL JOIN auto a USING (pub_id, bib_key)",
+    "label_gate": f"WITH {_LABELS} SELECT count(DISTINCT pub_id) AS publications, count(*) AS labels, CASE WHEN count(DISTINCT pub_id) >= 5 AND count(*) >= 20 THEN 'PASS' ELSE 'FAIL' END AS status FROM manual",
+    "label_statistics": f"""WITH {_LABELS}, per AS (SELECT pub_id, max(CAST(origin = 'manual' AS INTEGER)) AS m, max(CAST(origin = 'auto' AS INTEGER)) AS a FROM merged GROUP BY pub_id)
+        SELECT CAST(sum(m) AS BIGINT) AS manual_publications, CAST(sum(CASE WHEN m = 0 THEN a ELSE 0 END) AS BIGINT) AS auto_publications, CAST(100.0 * sum(CASE WHEN m = 0 THEN a ELSE 0 END) / nullif(sum(CASE WHEN m = 0 THEN 1 ELSE 0 END), 0) AS DOUBLE) AS auto_percent FROM per""",
+    "split_publications": f"WITH {_SPLIT} SELECT pub_id, split FROM split",
+    "split_by_origin": """WITH o AS (SELECT source AS pub_id, max(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 2 ELSE 1 END) AS o FROM documents GROUP BY source),
+        r AS (SELECT pub_id, row_number() OVER (PARTITION BY o ORDER BY pub_id) AS r FROM o) SELECT pub_id, CASE r WHEN 1 THEN 'test' WHEN 2 THEN 'valid' ELSE 'train' END AS split FROM r""",
+    "balance_under": """WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS bib_key, 1 - quality AS label FROM labels),
+        r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:p:' || bib_key || ':' || bib_key)) AS r FROM l)
+        SELECT bib_key, label FROM r WHERE label = 1 OR r <= (SELECT least(count(*) FILTER (WHERE label = 0), 2 * count(*) FILTER (WHERE label = 1)) FROM l)""",
+    "balance_over": """WITH n AS (SELECT count(*) FILTER (WHERE quality = 0) AS p, count(*) FILTER (WHERE quality = 1) AS n FROM labels)
+        SELECT 1 AS label, CAST(p * greatest(1, floor(n / (greatest(p, 1) * 2.0))) AS BIGINT) AS n FROM n WHERE p > 0 UNION ALL SELECT 0, n FROM n WHERE n > 0""",
+    "content_dedup": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[“”‘’''`]', '"', 'g') AS a FROM documents),
+        n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(a, '[–—−]', '-', 'g'), '\s+([.,;:!?])', '\1', 'g'), '([.,;:!?])\s+', '\1 ', 'g')) AS n FROM t)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS canonical FROM n""",
+    "reference_groups": f"WITH RECURSIVE {_GROUPS} SELECT ord, seed FROM grp",
+    "reference_merge": f"WITH RECURSIVE {_GROUPS} SELECT seed, bib_key, keys, entry_type, title, array_to_string(names, ' and ') AS author, year, journal FROM mg JOIN who USING (seed)",
+    "rename_citations": f"""WITH RECURSIVE {_GROUPS} SELECT ord, 'See \\citep[p. 3]{{' || mg.bib_key || ',other}}.' AS renamed_text FROM grp JOIN mg USING (seed) WHERE len(string_split(keys, ',')) > 1
+        UNION ALL SELECT ord, 'See \\citep[p. 3]{{' || mg.bib_key || ',other}}.' FROM grp JOIN mg USING (seed) WHERE len(string_split(keys, ',')) = 1""",
+    "comment_strip": _LATEX.join(["WITH ", ""])
+    + r""",
+        x AS (SELECT doc_id, list_filter(string_split(replace(text, '\%', chr(57344)), chr(10)), lambda x: NOT regexp_matches(x, '^\s*%')) AS x FROM t)
+        SELECT doc_id, replace(array_to_string([rtrim(regexp_replace(regexp_replace(l, '(^|[^0-9])%.*$', '\1'), '[ \t\r]+$', '')) for l in x], chr(10)), chr(57344), '%') AS stripped FROM x""",
+    "citation_index": f"WITH {_CITES} SELECT bib_key, count(*) AS citations, count(DISTINCT doc_id) AS elements FROM k WHERE bib_key <> '' GROUP BY bib_key",
+    "cocitation": f"""WITH {_CITES}, d AS (SELECT DISTINCT doc_id, bib_key FROM k)
+        SELECT x.bib_key, CAST(count(DISTINCT y.bib_key) AS INTEGER) AS co_citation_count FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.bib_key <> y.bib_key GROUP BY x.bib_key""",
+    "latex_sections": "SELECT 'Introduction' AS raw_text, count(*) AS n FROM documents UNION ALL SELECT 'Methods', count(*) FROM documents",
+    "html_counts": "SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '(?i)<{t}[ >]')) AS INTEGER) AS {t}" for t in ("h1", "li", "p", "a")) + " FROM pages",
+    "tree_depth": f"""WITH RECURSIVE {_TREE}, c(conv_id, turn, node, depth, chain) AS (SELECT conv_id, turn, parent, 1, CAST(parent AS VARCHAR) FROM x WHERE parent IS NOT NULL
+        UNION ALL SELECT c.conv_id, c.turn, x.parent, depth + 1, chain || '>' || x.parent FROM c JOIN x ON x.conv_id = c.conv_id AND x.turn = c.node WHERE x.parent IS NOT NULL)
+        SELECT conv_id, turn, depth, chain FROM c QUALIFY depth = max(depth) OVER (PARTITION BY conv_id, turn)""",
+    "tree_siblings": f"WITH {_TREE} SELECT a.conv_id, a.turn, count(*) AS siblings FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.parent = b.parent GROUP BY ALL",
+    "ranking_metrics": f"""WITH {_VECTORS} SELECT round(avg(coalesce(1 / rank, 0)), 6) AS mrr, {', '.join(f'round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_at_{k}' for k in (1, 3, 5))}, round(avg(CAST(coalesce(rank, 6) AS DOUBLE)), 6) AS avg_rank, count(*) AS queries FROM r""",
+    "ranking_report": f"WITH {_VECTORS} SELECT bib_key, candidate_id, CAST(rank AS INTEGER) AS rank, rank IS NOT NULL AS found, round(coalesce(1 / rank, 0), 6) AS rr FROM r",
+    "precision_at_5": f"WITH {_VECTORS}, p AS (SELECT bib_key, sum(CAST(same AS INTEGER)) / 5 AS p FROM top GROUP BY bib_key) SELECT round(avg(p), 6) AS precision_at_5 FROM p",
+    "post_process": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE o_totalprice / 100000 END AS s, o_orderkey % 7 AS gap, o_custkey FROM orders),
+        p AS (SELECT o_orderkey, s * CASE WHEN gap > 3 THEN 0.1::DOUBLE ELSE 1 END * CASE WHEN o_custkey % 2 = 0 THEN 1.2::DOUBLE ELSE 1 END AS s, o_custkey FROM o)
+        SELECT o_orderkey, round(CASE WHEN o_custkey % 11 = 0 THEN 1.0::DOUBLE ELSE s END, 8) AS score FROM p""",
+    "query_groups": """WITH g AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS pub_id, lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS bib_key, count(*) AS n FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL)
+        SELECT *, CAST(row_number() OVER (ORDER BY pub_id, bib_key) AS INTEGER) AS group_id FROM g""",
+    "tfidf_cosine": f"""WITH b AS (SELECT item_id, list_filter(string_split({_norm('substr(text, 1, 80)')}, ' '), lambda w: w <> '') AS a FROM benchmark WHERE item_id < 5),
+        d AS (SELECT doc_id, list_filter(string_split({_norm('substr(text, 1, 80)')}, ' '), lambda w: w <> '') AS b FROM documents),
+        p AS (SELECT item_id, doc_id, a, b, list_intersect(a, b) AS s FROM b, d WHERE len(a) > 0 AND len(b) > 0),
+        v AS (SELECT item_id, doc_id, list_sum([len(list_filter(a, lambda x: x = w)) * len(list_filter(b, lambda x: x = w)) for w in s]) AS dot,
+            list_sum([pow(len(list_filter(a, lambda x: x = w)) * CASE WHEN list_contains(s, w) THEN 1.0 ELSE 1 + ln(1.5) END, 2) for w in list_distinct(a)]) AS na,
+            list_sum([pow(len(list_filter(b, lambda x: x = w)) * CASE WHEN list_contains(s, w) THEN 1.0 ELSE 1 + ln(1.5) END, 2) for w in list_distinct(b)]) AS nb FROM p WHERE len(s) > 0)
+        SELECT item_id, doc_id, round(dot / (sqrt(na) * sqrt(nb)), 6) AS cosine FROM v WHERE round(dot / (sqrt(na) * sqrt(nb)), 6) > 0.2""",
+    "numeric_profile": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars), 6) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang, source",
+    "completeness": " UNION ALL ".join(f"SELECT '{n}' AS field, count(*) FILTER (WHERE {c}) AS present, round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 6)::DOUBLE AS percent FROM documents" for n, c in (("text", "trim(text) <> ''"), ("lang", "trim(lang) <> ''"), ("short_text", "length(text) < 2000 AND trim(text) <> ''"))),
+    "value_counts": "SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type",
+    "histogram": "SELECT CAST(CASE WHEN n_chars < 100 THEN 0 WHEN n_chars < 500 THEN 1 WHEN n_chars < 1000 THEN 2 WHEN n_chars < 2000 THEN 3 WHEN n_chars < 5000 THEN 4 ELSE 5 END AS INTEGER) AS bucket, count(*) AS n FROM documents WHERE n_chars BETWEEN 0 AND 50000 GROUP BY 1",
+    "version_sharing": """WITH e AS (SELECT user_id % 50 AS pub_id, event_type AS k, event_id % 3 AS v FROM events), n AS (SELECT pub_id, count(DISTINCT v) AS vs FROM e GROUP BY pub_id), p AS (SELECT pub_id, k, count(DISTINCT v) AS v FROM e GROUP BY pub_id, k)
+        SELECT pub_id, count(*) FILTER (WHERE v = vs) AS shared, count(*) AS total, round(count(*) FILTER (WHERE v = vs) / count(*), 6) AS ratio FROM p JOIN n USING (pub_id) GROUP BY pub_id""",
+    "correlations": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1 :]),
+    "bibtex_export": f"""WITH {_PARTS.format(n=60)} SELECT bib_key, '@' || entry_type || '{{' || bib_key || ',' || chr(10) || '  author = {{' || author || '}},' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}}'
+        || CASE WHEN journal IS NULL THEN '' ELSE ',' || chr(10) || '  journal = {{' || journal || '}}' END || chr(10) || '}}' || chr(10) AS bibtex FROM e""",
+    "bibtex_round_trip": f"WITH {_PARTS.format(n=60)} SELECT bib_key, entry_type, title, author, year, journal FROM e",
+    "bibitem_parse": f"""WITH {_PARTS.format(n=60)} SELECT bib_key, 'misc' AS entry_type, 'A. Smith and B. Jones' AS author, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(title, ' ')], ' ') AS title, 'Journal of Parts, ' || year AS journal, year FROM e""",
+    "arxiv_ids": """WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS k, o_orderkey % 4 AS f FROM orders),
+        a AS (SELECT o_orderkey, CASE f WHEN 0 THEN '2101.' || k WHEN 1 THEN 'hep-th/99' || k WHEN 2 THEN '1999.' || substr(k, 2, 4) END AS arxiv_id FROM k)
+        SELECT o_orderkey, arxiv_id, replace(arxiv_id, '.', '-') AS normal FROM a""",
+    "bibliography_fields": f"WITH {_PARTS.format(n=60)} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, round(100.0 * count({c}) / count(*), 6)::DOUBLE AS percent FROM e" for c in ("title", "author", "year", "journal")),
+    "running_groups": """WITH w AS (SELECT user_id, CAST(event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS runs, count(*) AS events FROM w GROUP BY user_id""",
+    "sentence_counts": r"""WITH d AS (SELECT doc_id, text AS t FROM documents),
+        h AS (SELECT doc_id, list_reduce(list_concat([t], ['Dr.', 'Mr.', 'Mrs.', 'Ms.', 'Prof.', 'vs.', 'e.g.', 'i.e.', 'etc.', 'Fig.', 'Eq.', 'No.', 'Vol.', 'Ph.D.', 'M.D.', 'U.S.', 'U.K.', 'A.I.', 'M.L.', 'et al.']), lambda a, x: replace(a, x, replace(x, '.', chr(57345)))) AS t FROM d),
+        s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), chr(57346))) AS s FROM h),
+        p AS (SELECT doc_id, trim(unnest(CASE WHEN len(s) - len(replace(s, '%', '')) >= 2 THEN string_split(regexp_replace(s, '\.\s+([0-9]+%)', '.' || chr(57346) || '\1', 'g'), chr(57346)) ELSE [s] END)) AS s FROM s)
+        SELECT d.doc_id, CAST(count(p.s) FILTER (WHERE len(p.s) >= 5 AND NOT regexp_matches(p.s, '^[0-9\s%.,;:]+$')) AS INTEGER) AS sentences FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""",
+}

@@ -235,7 +235,8 @@ def _latex(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(
         F.lit("\\section{Introduction} We follow \\cite{"), "source", F.lit(", "), "lang", F.lit("}. "), F.substring(F.col("text"), F.lit(1), half), F.lit(" % note\n\\section{Methods} By \\citep[see]{"), "lang", F.lit("} it holds.\n\n"), F.substring(F.col("text"), half + 1, F.length("text"))
     )
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("pub_id"), F.lit(1).alias("version"), body.alias("text"))
+    docs = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("$"), F.lit("")))  # lone math signs pair up at random
+    return docs.select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("pub_id"), F.lit(1).alias("version"), body.alias("text"))
 
 
 def comment_strip(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,7 +291,7 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_depth(spark: SparkSession, sf: str) -> DataFrame:
-    c = hierarchy.chains(_tree(spark, sf), ["conv_id"], rounds=4)
+    c = hierarchy.chains(_tree(spark, sf), ["conv_id"])
     return c.select("conv_id", F.col("node").alias("turn"), F.col("depth").cast("int").alias("depth"), F.array_join("chain", ">").alias("chain"))
 
 
@@ -331,7 +332,7 @@ def precision_at_5(spark: SparkSession, sf: str) -> DataFrame:
 def post_process(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("s"), F.col("o_orderstatus") == "F", (F.col("o_orderkey") % 7).alias("gap"), (F.col("o_custkey") % 2 == 0).alias("first"), (F.col("o_custkey") % 11 == 0).alias("ident"))
     o = o.toDF("o_orderkey", "s", "exact", "gap", "first", "ident")
-    return o.select("o_orderkey", F.round(ranking.post_process(*[F.col(c) for c in ("s", "exact", "gap", "first", "ident")]), 6).alias("score"))
+    return o.select("o_orderkey", F.round(ranking.post_process(*[F.col(c) for c in ("s", "exact", "gap", "first", "ident")]), 8).alias("score"))
 
 
 def query_groups(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,7 +65,9 @@ def hierarchy_json(elements: DataFrame, edges: DataFrame) -> DataFrame:
     by_pub = kept.groupBy("pub_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element_id", "plain")))).alias("elements"))
     live = edges.join(kept.select("pub_id", F.col("element_id").alias("child_id")), ["pub_id", "child_id"], "left_semi")
     versions = live.groupBy("pub_id", "version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("child_id", "parent_id")))).alias("m"))
-    tree = versions.groupBy("pub_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("version").cast("string"), "m")))).alias("hierarchy"))
+    by_version = lambda x, y: x["version"] - y["version"]
+    rows = F.array_sort(F.collect_list(F.struct("version", "m")), by_version)
+    tree = versions.groupBy("pub_id").agg(F.map_from_entries(F.transform(rows, lambda x: F.struct(x["version"].cast("string"), x["m"]))).alias("hierarchy"))
     return by_pub.join(tree, "pub_id", "left").select("pub_id", F.to_json(F.struct("elements", "hierarchy")).alias("json"))
 
 
