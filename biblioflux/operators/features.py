@@ -25,7 +25,8 @@ def prepare(side: DataFrame, prefix: str, title: Column, authors: Column, year:
 
     authors is an array of names or a string joined by 'and' or ';'.
     """
-    names = authors if isinstance(side.select(authors).schema[0].dataType.simpleString(), str) and side.select(authors).schema[0].dataType.simpleString().startswith("array") else people.split_authors(authors)
+    listed = side.select(authors).schema[0].dataType.typeName() == "array"
+    names = F.coalesce(authors, F.array().cast("array<string>")) if listed else people.split_authors(authors)
     t, a = text.normalize(title), text.normalize(abstract)
     return side.withColumns(
         {

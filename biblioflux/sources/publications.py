@@ -94,27 +94,28 @@ def combined_sources(files: DataFrame, passes: int = MAX_INCLUDES) -> DataFrame:
     """(pub_id, version, text, n_files): the main file with included files in place of the commands that include them."""
     key = ["pub_id", "version"]
     used = included_files(files)
-    parts = files.join(used.select(*key, "path", "trail"), [*key, "path"])
-    table = parts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("files"), F.count(F.lit(1)).alias("n_files"))
+    parts = files.join(used.where("depth > 0").select(*key, "path"), [*key, "path"]).withColumn("text", latex.remove_comments(F.col("text")))
+    table = parts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("files"), (F.count(F.lit(1)) + 1).alias("n_files"))
     main = main_files(files).join(files.select(*key, "path", "text"), [*key, "path"])
-    joined = main.join(table, key)
-    return joined.select(*key, _inline(F.col("text"), F.col("files"), passes).alias("text"), "n_files")
+    none = F.create_map().cast("map<string,string>")
+    joined = main.join(table, key, "left")
+    return joined.select(*key, _inline(F.col("text"), F.coalesce("files", none), passes).alias("text"), F.coalesce("n_files", F.lit(1)).alias("n_files"))
 
 
 def _inline(text, files, passes):
-    """Cut the text at include commands and put the named files in, ``passes`` levels deep; unknown files leave nothing."""
+    """Cut the text at include commands and put the named files in, level by level; each file once, unknown ones leave nothing."""
     command = r"\\(?:input|include|subfile)\{[^}]+\}|\\import\{[^}]*\}\{[^}]+\}"
 
     def name(m):
         raw = F.trim(F.regexp_extract(m, r"\{([^{}]+)\}$", 1))
         return F.regexp_replace(F.when(raw.rlike(r"\.[A-Za-z]+$"), raw).otherwise(F.concat(raw, F.lit(".tex"))), r"^\./", "")
 
-    from functools import reduce
+    def level(state, _):
+        names = F.transform(F.regexp_extract_all(state["t"], F.lit(command), F.lit(0)), lambda m: name(m))
+        fresh = lambda i: ~F.array_contains(state["seen"], F.get(names, i)) & (F.array_position(names, F.get(names, i)) == i + 1)
+        put = lambda i: F.when((i < F.size(names)) & fresh(i), F.coalesce(F.try_element_at(files, F.get(names, i)), F.lit(""))).otherwise("")
+        pieces = F.transform(F.split(state["t"], command), lambda x, i: F.concat(x, put(i)))
+        return F.struct(F.array_join(pieces, "").alias("t"), F.array_union(state["seen"], names).alias("seen"))
 
-    def once(t, _):
-        held = F.regexp_extract_all(t, F.lit(command), F.lit(0))
-        rest = F.split(t, command)
-        pieces = F.transform(rest, lambda x, i: F.concat(x, F.when(i < F.size(held), F.coalesce(F.try_element_at(files, name(F.get(held, i))), F.lit(""))).otherwise("")))
-        return F.array_join(pieces, "")
-
-    return reduce(once, range(min(passes, 3)), latex.remove_comments(text))
+    start = F.struct(latex.remove_comments(text).alias("t"), F.array().cast("array<string>").alias("seen"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, level, lambda s: s["t"])
