@@ -35,7 +35,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words of more bytes than this are read one at a time, shorter ones side by side.
 SHORT = 128
 #: Text whose distinct words are encoded together.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
@@ -80,6 +80,15 @@ class _Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.down).astype(np.int64)
 
+    def one(self, key: int) -> int:
+        """``get`` for a single key."""
+        slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> int(self.down)
+        while (there := self.keys.item(slot)) >= 0:
+            if there == key:
+                return self.values.item(slot)
+            slot = (slot + 1) & self.size
+        return self.missing
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         slot = self._slot(keys)
         there = self.keys[slot]
@@ -96,47 +105,51 @@ class _Table:
         return out
 
 
+def _arc(t: int, x: int, never: int, lacks, left, right, born) -> bool:
+    """Whether no pair of t or a right part, and x or a left part, was removed while both were whole; lacks gives ``never`` for other pairs."""
+    until = never
+    while t >= 0:
+        y, before = x, never - 1
+        while y >= 0:
+            time = lacks(t << 32 | y)
+            if time < until and time <= before:
+                return False
+            y, before = left(y), born(y)
+        t, until = right(t), born(t)
+    return True
+
+
 class Automaton:
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]]):
-        n = len(labels)
-        never = len(merges) + 1
-        self.labels = labels
+        n, never = len(labels), len(merges) + 1
         #: By token: state its arcs lead to (-1: it has none), parts, and birth.  By state: the one it was copied from, and the token removed.
-        self.target, self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n, [0] * n
-        self.parent, self.removed, self.state_born = [-1], [-1], [0]
-        self.lacks: dict[int, int] = {}
+        target, left, right, born = [-1] * n, [-1] * n, [-1] * n, [0] * n
+        parent, removed, state_born = [-1], [-1], [0]
+        lacks: dict[int, int] = {}
         merged = {ab for _, _, ab in merges}
         for i, label in enumerate(labels):
             if len(label) == 1 and i not in merged:
-                self.target[i] = 0
+                target[i] = 0
         for time, (a, b, ab) in enumerate(merges, 1):
-            if self.target[a] < 0 or self.target[b] < 0 or self.target[ab] >= 0 or not self.arc(a, b):
+            if target[a] < 0 or target[b] < 0 or target[ab] >= 0 or not _arc(a, b, never, lambda k: lacks.get(k, never), left.__getitem__, right.__getitem__, born.__getitem__):
                 continue  # b never follows a any more, or the token is there already
-            s = self.target[a]
-            self.target[ab] = self.target[b] if a != b else s
-            self.left[ab], self.right[ab], self.born[ab] = a, b, time
-            self.lacks[a << 32 | b] = time
-            self.target[a] = len(self.parent)
-            self.parent.append(s)
-            self.removed.append(b)
-            self.state_born.append(time)
-        self._left, self._right, self._born = (np.array(x, np.int32) for x in (self.left, self.right, self.born))
+            s = target[a]
+            target[ab] = target[b] if a != b else s
+            left[ab], right[ab], born[ab] = a, b, time
+            lacks[a << 32 | b] = time
+            target[a] = len(parent)
+            parent.append(s)
+            removed.append(b)
+            state_born.append(time)
+        self.target, self.left, self.right, self.born, self.parent, self.removed, self.state_born = (np.array(x, np.int32) for x in (target, left, right, born, parent, removed, state_born))
+        self.size = np.array([len(x) for x in labels], np.int32)
         self._never = never
-        self._lacks = _Table(np.fromiter(self.lacks, np.int64, len(self.lacks)), np.fromiter(self.lacks.values(), np.int32, len(self.lacks)), never)
-        self._build_trie()
+        self._lacks = _Table(np.fromiter(lacks, np.int64, len(lacks)), np.fromiter(lacks.values(), np.int32, len(lacks)), never)
+        self._build_trie(labels)
 
     def arc(self, t: int, x: int) -> bool:
         """Whether the state after token t (-1: the start) has an arc for token x."""
-        until = 1 << 60
-        while t >= 0:
-            y, before = x, 1 << 60
-            while y >= 0:
-                time = self.lacks.get(t << 32 | y)
-                if time is not None and time < until and time <= before:
-                    return False
-                y, before = self.left[y], self.born[y]
-            t, until = self.right[t], self.born[t]
-        return True
+        return _arc(t, x, self._never, self._lacks.one, self.left.item, self.right.item, self.born.item)
 
     def state_has_arc(self, state: int, x: int) -> bool:
         """The same from the states themselves: step down the copies and the token's left parts, the younger first."""
@@ -153,10 +166,10 @@ class Automaton:
     def states(self) -> int:
         return len(self.parent)
 
-    def _build_trie(self) -> None:
+    def _build_trie(self, labels: list[bytes]) -> None:
         child: dict[int, int] = {}
         token = [-1]
-        for i, label in enumerate(self.labels):
+        for i, label in enumerate(labels):
             if self.target[i] < 0:
                 continue
             node = 0
@@ -166,7 +179,7 @@ class Automaton:
                 if node == len(token):
                     token.append(-1)
             token[node] = i
-        self.trie, self.token_of, self._token_list = child, np.array(token, np.int32), token
+        self.token_of = np.array(token, np.int32)
         self._goto = _Table(np.fromiter(child, np.int64, len(child)), np.fromiter(child.values(), np.int32, len(child)), -1)
 
     def arcs(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -180,32 +193,31 @@ class Automaton:
                 time = self._lacks.get((t[sub].astype(np.int64) << 32) | y)
                 gone = (time < until[sub]) & (time <= before)
                 out[at[sub[gone]]] = False
-                below = self._left[y]
+                below = self.left[y]
                 go = np.flatnonzero((below >= 0) & ~gone)
-                before, sub, y = self._born[y[go]], sub[go], below[go]
-            right = self._right[t]
+                before, sub, y = self.born[y[go]], sub[go], below[go]
+            right = self.right[t]
             go = np.flatnonzero((right >= 0) & out[at])
-            until = self._born[t[go]]
+            until = self.born[t[go]]
             at, t, x = at[go], right[go], x[go]
         return out
 
     def encode_word(self, word: bytes) -> list[int]:
         """One word, by the same tables; the time is in proportion to its length."""
-        child, token_of = self.trie, self._token_list
         last: list[int | None] = [-1] + [None] * len(word)
         for i in range(len(word)):
             if last[i] is None:
                 continue
             node, j = 0, i
-            while j < len(word) and (node := child.get(node << 8 | word[j], 0)):
+            while j < len(word) and (node := self._goto.one(node << 8 | word[j])) > 0:
                 j += 1
-                x = token_of[node]
+                x = self.token_of.item(node)
                 if x >= 0 and last[j] is None and self.arc(last[i], x):
                     last[j] = x
         out, j = [], len(word)
         while j:
             out.append(last[j])
-            j -= len(self.labels[last[j]])
+            j -= self.size.item(last[j])
         return out[::-1]
 
     def encode_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,13 +380,26 @@ def encoder(path: str = VOCABULARY):
         for arr in batches:
             parts = []
             for piece in row_chunks(arr, PIECE_BYTES):
-                out = list_array(*encode_texts(machine, piece), pa.int32())
-                parts.append(pc.if_else(piece.is_valid(), out, pa.scalar(None, out.type)) if piece.null_count else out)
+                parts.append(_encoded(machine, piece))
             yield concat(parts, pa.list_(pa.int32()))
 
     return run
 
 
+def decode_ids(table: pa.Array, ids: pa.Array) -> pa.Array:
+    """Texts that lists of ids spell; table holds the label of each id."""
+    flat = ids.flatten()
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+    arcs = table.take(pc.if_else(known, flat, pa.scalar(None, flat.type))).fill_null(b"")
+    size = ids.value_lengths().fill_null(0)
+    raw = pc.binary_join(list_arc(arcs, size.to_numpy(zero_copy_only=False)), b"")
+    try:
+        text = raw.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that do not spell UTF-8
+        text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+    return pc.if_else(ids.is_valid(), text, pa.scalar(None, pa.string()))
+
+
 def decoder(path: str = VOCABULARY):
     """Arrow UDF: token ids -> text; null for null.  Ids without a label, and null ids, emit nothing."""
     labels, _ = read_vocabulary(path)
@@ -383,20 +408,35 @@ def decoder(path: str = VOCABULARY):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pa.array(labels, pa.binary())
         for arr in batches:
-            flat = arr.flatten()
-            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(labels)))
-            arcs = table.take(pc.if_else(known, flat, pa.scalar(None, flat.type))).fill_null(b"")
-            size = arr.value_lengths().fill_null(0)
-            raw = pc.binary_join(list_arc(arcs, size.to_numpy(zero_copy_only=False)), b"")
-            try:
-                text = raw.cast(pa.string())
-            except pa.ArrowInvalid:  # ids that do not spell UTF-8
-                text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
-            yield pc.if_else(arr.is_valid(), text, pa.scalar(None, pa.string()))
+            yield decode_ids(table, arr)
 
     return run
 
 
+def round_tripper(path: str = VOCABULARY):
+    """Arrow UDF: text -> struct of its token ids, and whether they decode to the text; one worker does both."""
+    stamp, labels = _vocabulary_stamp(path), read_vocabulary(path)[0]
+    kind = pa.struct([("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+
+    @arrow_udf("struct<token_ids:array<int>,round_trip:boolean>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine, table = automaton(path, stamp), pa.array(labels, pa.binary())
+        for arr in batches:
+            parts = []
+            for piece in row_chunks(arr, PIECE_BYTES):
+                ids = _encoded(machine, piece)
+                same = pc.equal(decode_ids(table, ids), piece).fill_null(True)  # null for null
+                parts.append(pa.StructArray.from_arrays([ids, same], fields=list(kind)))
+            yield concat(parts, kind)
+
+    return run
+
+
+def _encoded(machine: Automaton, piece: pa.Array) -> pa.Array:
+    out = list_array(*encode_texts(machine, piece), pa.int32())
+    return pc.if_else(piece.is_valid(), out, pa.scalar(None, out.type)) if piece.null_count else out
+
+
 def list_arc(arcs: pa.Array, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
@@ -417,3 +457,13 @@ def bpe_encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def bpe_decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """encoded plus ``decoded``, the text that ``token_ids`` spell; null ids give null."""
     return encoded.drop("decoded").withColumn("decoded", decoder(path)("token_ids"))
+
+
+def bpe_round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """docs plus ``token_ids`` and ``n_tokens`` as ``bpe_encode`` gives them, and ``round_trip``: whether they decode to the text.
+
+    Null texts decode to null, so their round trip holds.
+    """
+    base = bound_batches(docs).drop("token_ids", "n_tokens", "round_trip", "_bpe")
+    out = base.withColumn("_bpe", round_tripper(path)("text")).select(*base.columns, "_bpe.token_ids", "_bpe.round_trip")
+    return out.withColumn("n_tokens", F.coalesce(F.when(F.col("token_ids").isNotNull(), F.size("token_ids")), F.lit(0)))

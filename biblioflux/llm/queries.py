@@ -32,8 +32,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.bpe_decode(bpe.bpe_encode(_documents(spark, sf_dir)))
-    return coded.select("doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return bpe.bpe_round_trip(_documents(spark, sf_dir)).select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

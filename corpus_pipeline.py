@@ -41,8 +41,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, decoded again to check them."""
-    coded = bpe.bpe_decode(bpe.bpe_encode(docs))
-    return coded.select("doc_id", "lang", "source", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return bpe.bpe_round_trip(docs).select("doc_id", "lang", "source", "n_tokens", "token_ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
