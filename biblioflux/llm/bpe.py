@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import functools
 import json
+import os
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -264,18 +267,26 @@ class Automaton:
 
 
 @functools.lru_cache(maxsize=2)
-def automaton(path: str, stamp: bytes) -> Automaton:
-    """Compiled once in each Python worker; stamp holds the vocabulary, read on the driver, in compact form."""
-    import pickle
-    import zlib
+def automaton(compiled: bytes) -> Automaton:
+    """The tables as compiled on the driver, unpacked once in each Python worker."""
+    return pickle.loads(zlib.decompress(compiled))
 
-    return Automaton(*pickle.loads(zlib.decompress(stamp)))
+
+@functools.lru_cache(maxsize=2)
+def compiled(path: str, _modified: float) -> tuple[bytes, list[bytes]]:
+    """On the driver: the packed automaton of a vocabulary file, and the label of each id."""
+    labels, merges = read_vocabulary(path)
+    return zlib.compress(pickle.dumps(Automaton(labels, merges)), 1), labels
+
+
+def _compiled(path: str) -> tuple[bytes, list[bytes]]:
+    return compiled(path, os.path.getmtime(path))
 
 
 @functools.lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     """Class of each code point, as the pre-splitting pattern sees it."""
-    points = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4").tobytes().decode("utf-32-le")
     out = np.full(0x110000, _OTHER, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for m in regex.finditer(pattern, points):
@@ -363,20 +374,13 @@ def encode_texts(machine: Automaton, arr: pa.Array) -> tuple[np.ndarray, np.ndar
     return ids[take], np.bincount(word_row, per_word, len(arr)).astype(np.int64)
 
 
-def _vocabulary_stamp(path: str) -> bytes:
-    import pickle
-    import zlib
-
-    return zlib.compress(pickle.dumps(read_vocabulary(path)), 1)
-
-
 def encoder(path: str = VOCABULARY):
     """Arrow UDF: text -> token ids; null for null."""
-    stamp = _vocabulary_stamp(path)
+    tables, _ = _compiled(path)
 
     @arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = automaton(path, stamp)
+        machine = automaton(tables)
         for arr in batches:
             parts = []
             for piece in row_chunks(arr, PIECE_BYTES):
@@ -402,7 +406,7 @@ def decode_ids(table: pa.Array, ids: pa.Array) -> pa.Array:
 
 def decoder(path: str = VOCABULARY):
     """Arrow UDF: token ids -> text; null for null.  Ids without a label, and null ids, emit nothing."""
-    labels, _ = read_vocabulary(path)
+    labels = _compiled(path)[1]
 
     @arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -415,12 +419,12 @@ def decoder(path: str = VOCABULARY):
 
 def round_tripper(path: str = VOCABULARY):
     """Arrow UDF: text -> struct of its token ids, and whether they decode to the text; one worker does both."""
-    stamp, labels = _vocabulary_stamp(path), read_vocabulary(path)[0]
+    tables, labels = _compiled(path)
     kind = pa.struct([("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
     @arrow_udf("struct<token_ids:array<int>,round_trip:boolean>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine, table = automaton(path, stamp), pa.array(labels, pa.binary())
+        machine, table = automaton(tables), pa.array(labels, pa.binary())
         for arr in batches:
             parts = []
             for piece in row_chunks(arr, PIECE_BYTES):
