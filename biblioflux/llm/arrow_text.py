@@ -27,7 +27,7 @@ _BASE = 0x100000001B3
 
 
 #: Rows of an Arrow batch at most: texts may be long, and two batches are held by each of an executor's tasks.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
