@@ -169,12 +169,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
         return docs.select("doc_id", F.lit(None).cast(kind).alias("item_id"), F.lit(0).alias("windows")).where("false")
     text = bound_batches(docs).select("doc_id", plain(F.col("text")).alias("t"))
     found = F.concat(*[_finder(*s)(F.coalesce("t", F.lit(""))) for s in sets])
-    hits = text.select("doc_id", found.alias("f"))
-    pairs = hits.where(F.size("f") > 0)
+    pairs = text.select("doc_id", found.alias("f"))
     if len(sets) > 1:  # windows of an item may lie in several sets
         total = F.aggregate(F.filter("f", lambda x: x["item"] == F.col("i")), F.lit(0), lambda a, x: a + x["windows"])
         pairs = pairs.select("doc_id", "f", F.explode(F.array_distinct(F.transform("f", lambda x: x["item"]))).alias("i")).select("doc_id", F.col("i").alias("item"), total.alias("windows"))
-    else:
+    else:  # a filter on the list would search twice; rows without hits have nothing to unnest
         pairs = pairs.select("doc_id", F.inline("f"))
     names = docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"item int, item_id {kind.simpleString()}")
     return pairs.join(F.broadcast(names) if len(ids) <= 1_000_000 else names, "item").select("doc_id", "item_id", "windows")
