@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from biblioflux.llm.arrow_text import bound_batches, concat, list_array, row_chunks, text_buffer, words
+from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, row_chunks, text_buffer, words
 
 COMMON_WORDS = 64
 MIN_CHARS = 100
@@ -66,11 +66,11 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, t
     known = docs.where("lang is not null and text is not null").select("lang", "text")
     per_class = bound_batches(known).select("lang", _classes()("text").alias("c")).groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(CLASSES)])
     word = F.explode(F.split(F.lower("text"), r"[ \t\n\r\x0B\f]+"))
-    counted = known.select("lang", word.alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut_lineage(known.select("lang", word.alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "w")
-    # the number of all words rides on each language's first rows
-    total = F.sum("n").over(Window.partitionBy("lang"))
-    top = counted.withColumn("total", total).withColumn("r", F.row_number().over(order)).where(F.col("r") <= common_words)
+    # the limit on the rank cuts each part down before rows meet by language; no task sees a whole vocabulary
+    top = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= common_words)
+    totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     found: dict[str, list] = {}
     for r in sorted(top.collect(), key=lambda r: (r.lang, r.r)):
         found.setdefault(r.lang, []).append(r)
@@ -78,7 +78,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> dict[str, t
     for r in per_class.collect():
         rows = found.get(r.lang, [])
         n = [x.n for x in rows]
-        out[r.lang] = ([r[f"c{i}"] for i in range(CLASSES)], [x.w for x in rows], [*n, (rows[0].total if rows else 0) - sum(n)])
+        out[r.lang] = ([r[f"c{i}"] for i in range(CLASSES)], [x.w for x in rows], [*n, totals.get(r.lang, 0) - sum(n)])
     return out
 
 
