@@ -15,7 +15,7 @@ _TRIM = ".,;: "
 def tidy(value: str) -> str:
     """Field value without ties, links, fonts, comments and outer signs."""
     v = value.replace("~", " ")
-    v = re.sub(r"\\href\{[^}]*\}\s*\{([^}]*)\}", r"\1", v)
+    v = re.sub(r"\\href\s*\{[^{}]*\}\s*\{([^{}]*)\}", r"\1", v)
     v = re.sub(r"\\(?:emph|text(?:it|bf|rm)?)\{([^}]*)\}", r"\1", v)
     return re.sub(r"\s+", " ", re.sub(r"%[^\n]*", "", v)).strip().strip(_TRIM)
 
@@ -99,7 +99,7 @@ def _periods(text: str, faithful: bool) -> list[str]:
     return [s.strip() for s in parts if s.strip()]
 
 
-_NAME = r"[A-Z]\.?\s*(?:[A-Z]\.?\s*)?[A-Z][a-z]+"
+_NAME = r"(?:[A-Z]\.?\s*){1,2}[A-Z][a-z]+"
 _BOOK = re.compile(rf"({_NAME}(?:\s+(?:and|&)\s+{_NAME})*),\s*(.+?)\s*\(([^)]+),\s*\d{{4}}\)\s*\.?\s*$", re.I)
 
 
@@ -148,14 +148,13 @@ def parse_bibitem(key: str, text: str, faithful: bool = False) -> dict[str, str]
     t = re.sub(r"%[^\n]*", "", text) if not faithful else re.sub(r"%.*$", "", re.sub(r"\s+", " ", text))
     t = re.sub(r"\s+", " ", t.replace("~", " ")).strip()
     entry = {"ID": key, "ENTRYTYPE": "misc"}
-    if m := re.search(r"\\href\{(https?://doi\.org/([^}]+))\}\s*\{([^}]+)\}", t):
+    if m := re.search(r"\\href\s*\{\s*(https?://doi\.org/([^{}]+))\}\s*\{([^{}]+)\}", t):
         entry |= {"doi": m.group(2)} | journal_parts(m.group(3).strip())
         entry |= authors_and_title(t[: m.start()].strip().rstrip(",").strip())
-        if any(x in entry["journal"].lower() for x in ("proc", "conf", "workshop", "sympos")):
-            entry["ENTRYTYPE"] = "inproceedings"
+        meeting = re.search("workshop|sympos|conf|proc", entry["journal"], re.I)
+        entry["ENTRYTYPE"] = "inproceedings" if meeting else "article"
+        if meeting:
             entry["booktitle"] = entry.pop("journal")
-        else:
-            entry["ENTRYTYPE"] = "article"
     else:
         bare = re.sub(r"\s+", " ", re.sub(r"https?://doi\.org/[^\s}]+|\\doi\{[^}]*\}", "", t)).strip()
         entry |= standard_parts(bare or t, faithful)
@@ -165,7 +164,7 @@ def parse_bibitem(key: str, text: str, faithful: bool = False) -> dict[str, str]
     return entry
 
 
-_ITEM = re.compile(r"\\bibitem\s*(?:\[[^\]]*\])?\s*\{\s*([^}]+?)\s*\}(.*?)(?=\\bibitem|\\(?:begin|end)\{thebibliography\}|\\end\{document\}|\\section|\\chapter|\Z)", re.S)
+_ITEM = re.compile(r"\\bibitem\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}(.*?)(?=\\(?:bibitem|section|chapter|(?:begin|end)\{thebibliography\}|end\{document\})|\Z)", re.S)
 
 
 def parse_bibitems(text: str, faithful: bool = False) -> list[dict[str, str]]:

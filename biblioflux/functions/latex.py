@@ -18,7 +18,7 @@ _LAYOUT = [
 _TABULAR = [r"\[htpb!?\]|\[H\]|\[[htb]!\]|\[p\]", r"\\(?:midrule|toprule|bottomrule|hline)", r"\\cline\{[^}]*\}"]
 _STYLED = r"\\(?:textbf|textit|emph|underline|textrm|textsf|texttt|text)\{([^}]*)\}"
 _SIZES = r"\\(?:tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge)\b"
-CITE = r"\\cite(?:[pt]|author|year|alp)?\*?(?:\[[^\]]*\])?\{([^}]+)\}"
+CITE = r"\\cite(?:p|t|author|year|alp)?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}"
 #: Nested commands are unwrapped from the inside, one level a pass; passes beyond the nesting change nothing.
 PASSES = 10
 
@@ -75,11 +75,11 @@ def plain_text(text: Column, strip_comments: bool = True) -> Column:
     for _ in range(PASSES):
         t = F.regexp_replace(t, _STYLED, "$1")
     t = _drop(t, _SIZES)
-    t = _sub(t, (r"~?\s*\\cite[pt]?\*?(?:\[[^\]]*\])?\{([^}]+)\}", "[$1]"), (r"\\cite(?:author|year)\*?(?:\[[^\]]*\])?\{([^}]+)\}", "[$1]"))
+    t = _sub(t, (r"~?\s*\\cite[pt]?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"), (r"\\cite(?:author|year)\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"))
     t = _sub(t, (r"\\ref\{([^}]*)\}", "$1"), (r"\\label\{[^}]*\}", ""), ("~", " "), (r"\\([%&$_])", "$1"))
     t = _drop(t, r"\[[htpb!]+\]", r"\[(?:width|height|scale)=[^\]]+\]", r"(?i)[\p{L}\p{N}_/-]+\.(?:png|jpg|jpeg|pdf|eps|svg)", r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}")
     for _ in range(PASSES):
-        t = F.regexp_replace(t, r"\\[a-zA-Z]+\*?\{([^}]*)\}", "$1")
+        t = F.regexp_replace(t, r"\\[A-Za-z]+[*]?\{([^{}]*)\}", "$1")
     t = _drop(t, r"\\[a-zA-Z]+\*?", r"[{}]")
     t = _sub(t, (r"\\\\", " "), (r"[\n\t\r]", " "), (r"[\x00-\x1f\x7f-\x9f]", ""), (r"\s+", " "), (r"\s+([.,;:!?])", "$1"), (r"([.,;:!?])([.,;:!?])", "$1 $2"))
     return F.trim(t)
@@ -98,7 +98,7 @@ def cited_keys(text: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
 
-_DOTTED = ("Dr. Mr. Mrs. Ms. Prof. vs. e.g. i.e. etc. Fig. Eq. No. Vol. Ph.D. M.D. U.S. U.K. A.I. M.L.".split()) + ["et al."]
+_DOTTED = ("A.I. Dr. Eq. Fig. M.D. M.L. Mr. Mrs. Ms. No. Ph.D. Prof. U.K. U.S. Vol. e.g. etc. i.e. vs.".split()) + ["et al."]
 
 
 def sentences(text: Column) -> Column:
@@ -108,7 +108,7 @@ def sentences(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     for a in _DOTTED:
         t = F.replace(t, F.lit(a), F.lit(a.replace(".", held)))
-    whole = F.transform(F.split(t, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda s: F.replace(s, F.lit(held), F.lit(".")))
+    whole = F.transform(F.split(t, r"(?<=[!?.])\s+(?=[0-9A-Z])"), lambda s: F.replace(s, F.lit(held), F.lit(".")))
     parts = F.flatten(F.transform(whole, lambda s: F.when(F.length(s) - F.length(F.replace(s, F.lit("%"), F.lit(""))) >= 2, F.split(s, r"(?<=\.)\s+(?=[0-9]+%)")).otherwise(F.array(s))))
     parts = F.transform(parts, lambda w: F.trim(w))
     return F.filter(parts, lambda s: (F.length(s) >= 5) & ~s.rlike(r"^[0-9\s%.,;:]+$"))

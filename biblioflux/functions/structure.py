@@ -65,7 +65,7 @@ def caption(text: str, default: str) -> str:
 def split_sentences(text: str) -> list[str]:
     held = _DOTTED.sub(lambda m: m.group().replace(".", "\ue001"), text)
     out = []
-    for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", held):
+    for s in re.split(r"(?<=[!?.])\s+(?=[0-9A-Z])", held):
         s = s.replace("\ue001", ".")
         out += re.split(r"(?<=\.)\s+(?=\d+%)", s) if s.count("%") >= 2 else [s]
     return [s for s in (x.strip() for x in out) if len(s) >= 5 and not _FIGURES.fullmatch(s)]

@@ -14,8 +14,8 @@ TEXT_FEATURES = (
     "abstract_jaccard venue_similarity text_word_overlap bigram_similarity title_length_ratio"
 ).split()
 HIERARCHY_FEATURES = (
-    "citation_count has_citation cited_in_intro cited_in_related_work cited_in_methods cited_in_results cited_in_conclusion cited_in_abstract "
-    "avg_citation_depth min_citation_depth max_citation_depth first_citation_depth near_figure near_table near_formula in_itemize co_citation_count has_co_citations"
+    "avg_citation_depth citation_count cited_in_abstract cited_in_conclusion cited_in_intro cited_in_methods cited_in_related_work cited_in_results co_citation_count "
+    "first_citation_depth has_citation has_co_citations in_itemize max_citation_depth min_citation_depth near_figure near_formula near_table"
 ).split()
 GROUPS = {"title": TEXT_FEATURES[:5], "author": TEXT_FEATURES[5:10], "year": TEXT_FEATURES[10:14], "text": TEXT_FEATURES[14:], "hierarchy": HIERARCHY_FEATURES}
 

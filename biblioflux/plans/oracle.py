@@ -114,7 +114,7 @@ _LATEX = r"""
 _CITES = (
     _LATEX
     + r""",
-    g AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\cite(?:[pt]|author|year|alp)?\*?(?:\[[^\]]*\])?\{([^}]+)\}', 1)) AS g FROM t),
+    g AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\cite(?:p|t|author|year|alp)?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}', 1)) AS g FROM t),
     k AS (SELECT doc_id, trim(unnest(string_split(g, ','))) AS bib_key FROM g)"""
 )
 
@@ -228,7 +228,7 @@ SQL: dict[str, str] = {
     "bibliography_fields": f"WITH {_PARTS.format(n=60)} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, round(100.0 * count({c}) / count(*), 6)::DOUBLE AS percent FROM e" for c in ("title", "author", "year", "journal")),
     "running_groups": """WITH w AS (SELECT user_id, CAST(event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS runs, count(*) AS events FROM w GROUP BY user_id""",
     "sentence_counts": r"""WITH d AS (SELECT doc_id, text AS t FROM documents),
-        h AS (SELECT doc_id, list_reduce(list_concat([t], ['Dr.', 'Mr.', 'Mrs.', 'Ms.', 'Prof.', 'vs.', 'e.g.', 'i.e.', 'etc.', 'Fig.', 'Eq.', 'No.', 'Vol.', 'Ph.D.', 'M.D.', 'U.S.', 'U.K.', 'A.I.', 'M.L.', 'et al.']), lambda a, x: replace(a, x, replace(x, '.', chr(57345)))) AS t FROM d),
+        h AS (SELECT doc_id, list_reduce(list_concat([t], ['vs.', 'i.e.', 'etc.', 'e.g.', 'Vol.', 'U.S.', 'U.K.', 'Prof.', 'Ph.D.', 'No.', 'Ms.', 'Mrs.', 'Mr.', 'M.L.', 'M.D.', 'Fig.', 'Eq.', 'Dr.', 'A.I.', 'et al.']), lambda a, x: replace(a, x, replace(x, '.', chr(57345)))) AS t FROM d),
         s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), chr(57346))) AS s FROM h),
         p AS (SELECT doc_id, trim(unnest(CASE WHEN len(s) - len(replace(s, '%', '')) >= 2 THEN string_split(regexp_replace(s, '\.\s+([0-9]+%)', '.' || chr(57346) || '\1', 'g'), chr(57346)) ELSE [s] END)) AS s FROM s)
         SELECT d.doc_id, CAST(count(p.s) FILTER (WHERE len(p.s) >= 5 AND NOT regexp_matches(p.s, '^[0-9\s%.,;:]+$')) AS INTEGER) AS sentences FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""",
