@@ -56,7 +56,7 @@ def test_alignment():
 def test_licenses(spark, edges, empty, words):
     rng = random.Random(9)
     mit = licenses.TEMPLATES["mit-text"]
-    texts = [(1, words(rng) + "\nLICENSED under the *Apache License*, Version 2.0.\n" + words(rng)), (2, "the License of Apache under Version 2.0, licensed"), (3, words(rng) + " " + mit.replace("free of charge", "gratis") + " " + words(rng)), (4, "All rights reserved"), (None, "released under the MIT license"), (5, None)]
+    texts = [(1, words(rng) + "\nLICENSED under the *Apache License*, Version 2.0.\n" + words(rng)), (2, "the License of Apache under Version 2.0, licensed"), (3, words(rng) + " " + mit.replace("any person", "each person") + " " + words(rng)), (4, "All rights reserved"), (None, "released under the MIT license"), (5, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.license): r.coverage for r in licenses.scan(docs).collect()}
     assert set(got) == {(1, "apache-2.0"), (3, "mit-text"), (4, "all-rights-reserved"), (None, "mit")}
