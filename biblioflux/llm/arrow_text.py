@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 512 << 10
 #: Largest table, in bytes as estimated from its exact row count, that is broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
 

@@ -38,7 +38,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words of more bytes than this are read one at a time, shorter ones side by side.
 SHORT = 128
 #: Text whose distinct words are encoded together.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 512 << 10
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
