@@ -2,7 +2,8 @@
 
 A line is a sequence of tokens; tokens that hold a digit are variable fields.  The tree has a fixed depth: token
 count, then the leading tokens.  Under a leaf, lines that agree in most positions share a template in which the
-other positions become variable.  Templates that recur across documents are boilerplate, and their lines go.
+other positions become variable.  Templates that recur across documents are boilerplate, and their lines go; near copies
+of one document can count as one, for their lines recur with the document.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from biblioflux.llm import minhash
 from biblioflux.llm.arrow_text import bound_batches, cut_lineage, small_side
 
 FIELD = "<*>"
@@ -21,7 +23,7 @@ LEADING = 2
 SIMILARITY = 0.75
 MIN_DOCS = 5
 MIN_TOKENS = 3
-#: A document whose recurring lines hold more than this share of its characters is itself a copy, left whole for near-dedup.
+#: Default of drop_recurring_lines: a document whose recurring lines hold more than this share of its characters is left whole.  The query and the pipeline set no such limit.
 MAX_SHARE = 0.5
 
 
@@ -120,14 +122,29 @@ def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """One row per line of at least min_tokens tokens; _doc stands for a document (doc_id and text)."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), masked(F.col("text")).alias("m"))
-    rows = rows.select("_doc", F.length("m").alias("doc_chars"), F.posexplode(F.split("m", "\n")).alias("line_no", "line"))
-    rows = rows.select("_doc", "doc_chars", "line_no", F.trim("line").alias("line"))
+    """One row per line of at least min_tokens tokens; _doc stands for a document (doc_id and text), _text for its text."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), F.xxhash64("text").alias("_text"), masked(F.col("text")).alias("m"))
+    rows = rows.select("_doc", "_text", F.length("m").alias("doc_chars"), F.posexplode(F.split("m", "\n")).alias("line_no", "line"))
+    rows = rows.select("_doc", "_text", "doc_chars", "line_no", F.trim("line").alias("line"))
     return rows.withColumn("n_tokens", token_count(F.col("line"))).where(F.col("n_tokens") >= min_tokens).withColumn("chars", F.length("line"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leading: int = LEADING, min_tokens: int = MIN_TOKENS, max_share: float = MAX_SHARE) -> DataFrame:
+def _spread(docs: DataFrame, hits: DataFrame, min_docs: int) -> DataFrame:
+    """(leaf, template) of the templates that at least min_docs documents hold, near copies counted as one.
+
+    Only texts with a line of a template that min_docs distinct texts hold are compared with one another.
+    """
+    held = hits.select("leaf", "template", "_text", "_doc").distinct()
+    wide = held.groupBy("leaf", "template").agg(F.countDistinct("_text").alias("texts")).where(F.col("texts") >= min_docs).drop("texts")
+    held = cut_lineage(held.join(wide, ["leaf", "template"], "left_semi").groupBy("leaf", "template", "_text").agg(F.min("_doc").alias("_doc")), "_text")
+    one = cut_lineage(held.groupBy("_text").agg(F.min("_doc").alias("_doc")).select("_doc"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), F.xxhash64("text").alias("doc_id"), "text").join(small_side(one, 8), "_doc", "left_semi")
+    groups = cut_lineage(minhash.near_groups(texts.drop("_doc")).select(F.col("doc_id").alias("_text"), "group_id"))
+    counted = held.join(small_side(groups, 16), "_text", "left").groupBy("leaf", "template").agg(F.countDistinct(F.coalesce("group_id", "_text")).alias("docs"))
+    return cut_lineage(counted.where(F.col("docs") >= min_docs).drop("docs"))
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leading: int = LEADING, min_tokens: int = MIN_TOKENS, max_share: float | None = MAX_SHARE) -> DataFrame:
     """(_doc, drop: array<int>): the lines to drop from each document that has any."""
     lines = _lines(bound_batches(docs), min_tokens)
     leaf = F.xxhash64("n_tokens", F.substring_index("line", " ", leading))
@@ -135,22 +152,29 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     tree = lines.select(leaf.alias("leaf"), "line").repartition("leaf").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     tree = tree.withColumn("line_hash", F.xxhash64("line")).sortWithinPartitions("leaf", "line").mapInArrow(_parse_leaves(min_docs, similarity), "line_hash long, leaf long, template int")
     found = cut_lineage(tree, "line_hash")
-    hits = lines.select("_doc", "doc_chars", "line_no", "chars", F.xxhash64("line").alias("line_hash")).join(small_side(found, 20), "line_hash").drop("line_hash")
+    hits = lines.select("_doc", "_text", "doc_chars", "line_no", "chars", F.xxhash64("line").alias("line_hash")).join(small_side(found, 20), "line_hash").drop("line_hash")
     hits = cut_lineage(hits, "_doc")
-    spread = hits.groupBy("leaf", "template").agg(F.countDistinct("_doc").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
+    if max_share is None:
+        spread = _spread(docs, hits, min_docs)
+    else:
+        spread = hits.groupBy("leaf", "template").agg(F.countDistinct("_doc").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
     per_doc = hits.join(spread, ["leaf", "template"], "left_semi").groupBy("_doc").agg(F.sort_array(F.collect_set("line_no")).alias("drop"), F.sum(F.col("chars")).alias("held"), F.max("doc_chars").alias("doc_chars"), F.count(F.lit(1)).alias("n"))
+    if max_share is None:
+        return per_doc.select("_doc", "drop")
     # a row that occurs r times counts r times in n; the share is of one
     share = F.col("held") * F.size("drop") / F.col("n") / F.col("doc_chars")
     return per_doc.where(share <= max_share).select("_doc", "drop")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leading: int = LEADING, min_tokens: int = MIN_TOKENS, max_share: float = MAX_SHARE) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leading: int = LEADING, min_tokens: int = MIN_TOKENS, max_share: float | None = MAX_SHARE) -> DataFrame:
     """docs with the lines of recurring templates taken out of ``text``, and ``lines_dropped``.
 
-    A template recurs when at least ``min_docs`` distinct documents (rows that differ in doc_id or text) hold a line
-    of it.  Lines of under ``min_tokens`` tokens stay, and so do all lines of a document in which recurring lines
-    make up more than ``max_share`` of the (masked) characters: that document is a copy of others, and dropping its lines would
-    empty every copy; near-dedup keeps one of them.  Every row and column stays, in any order; null and empty texts
+    A template recurs when at least ``min_docs`` documents hold a line of it.  With ``max_share`` None, as the query and
+    the pipeline call it, exact copies and the near copies of one group of ``minhash.near_groups`` count as one document,
+    so a copied document does not make its own lines recur, and every recurring line goes.  With a number, rows that
+    differ in doc_id or text count each, and a document in which recurring lines make up more than that share of the
+    (masked) characters is taken for a copy and left whole, mere boilerplate included.  Lines of under ``min_tokens``
+    tokens stay.  Every row and column stays, in any order; null and empty texts
     stay as they are with 0 dropped; an input column ``lines_dropped`` is replaced, as is ``_doc``.  Repeated rows get
     equal results.  Lines of the same leaf are parsed in the order of their text, so results depend on the data only.
     """

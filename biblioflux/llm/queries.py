@@ -20,7 +20,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.drop_recurring_lines(_documents(spark, sf_dir)).select("doc_id", "text", "lines_dropped")
+    return line_templates.drop_recurring_lines(_documents(spark, sf_dir), max_share=None).select("doc_id", "text", "lines_dropped")
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from biblioflux.llm import line_templates, minhash, suffix_merge
+from biblioflux.llm import line_templates, minhash, queries, suffix_merge
 
 
 def jaccard(x, y):
@@ -189,6 +189,21 @@ def test_line_edges(spark, edges, empty):
     assert line_templates.drop_recurring_lines(same).where("lines_dropped > 0").isEmpty()
 
 
+def test_boilerplate_goes_from_documents_it_fills_and_copies_stay(spark, tmp_path, words):
+    rng = random.Random(21)
+    boiler = [words(rng, "en", 8) for _ in range(4)]
+    docs = [(i, "\n".join([words(rng, "en", 90), boiler[i % 4]])) for i in range(40)]
+    docs += [(50, "\n".join([*boiler, "what is its own here"]))]  # mostly boilerplate, and no copy
+    base = [words(rng, "en", 20) for _ in range(8)]
+    docs += [(100 + i, "\n".join([words(rng, "en", 20) if j == i else s for j, s in enumerate(base)] + [boiler[0]])) for i in range(8)]  # near copies
+    docs += [(200 + i, docs[0][1]) for i in range(8)]  # exact copies
+    spark.createDataFrame([(*d, "en", "s", len(d[1])) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_line_templates(spark, str(tmp_path)).collect()}
+    for i, t in docs:
+        kept = [s for s in t.split("\n") if s not in boiler]
+        assert got[i].text == "\n".join(kept) and got[i].lines_dropped == t.count("\n") + 1 - len(kept)
+
+
 def test_best_template_of_equals_is_the_oldest():
     tree = line_templates.Leaf(4)
     assert [tree.add(x) for x in ("a b c d", "a b c e", "a b x y", "a b c d")] == [0, 0, 1, 0]
