@@ -22,7 +22,7 @@ FIELD = "<*>"
 LEADING = 2
 SIMILARITY = 0.75
 MIN_DOCS = 5
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 #: Default of drop_recurring_lines: a document whose recurring lines hold more than this share of its characters is left whole.  The query and the pipeline set no such limit.
 MAX_SHARE = 0.5
 
@@ -122,11 +122,11 @@ def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """One row per line of at least min_tokens tokens; _doc stands for a document (doc_id and text), _text for its text."""
+    """One row per non-empty line of at least min_tokens tokens; _doc stands for a document (doc_id and text), _text for its text."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), F.xxhash64("text").alias("_text"), masked(F.col("text")).alias("m"))
     rows = rows.select("_doc", "_text", F.length("m").alias("doc_chars"), F.posexplode(F.split("m", "\n")).alias("line_no", "line"))
     rows = rows.select("_doc", "_text", "doc_chars", "line_no", F.trim("line").alias("line"))
-    return rows.withColumn("n_tokens", token_count(F.col("line"))).where(F.col("n_tokens") >= min_tokens).withColumn("chars", F.length("line"))
+    return rows.withColumn("n_tokens", token_count(F.col("line"))).where((F.col("line") != "") & (F.col("n_tokens") >= min_tokens)).withColumn("chars", F.length("line"))
 
 
 def _spread(docs: DataFrame, hits: DataFrame, min_docs: int) -> DataFrame:
@@ -173,8 +173,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
     the pipeline call it, exact copies and the near copies of one group of ``minhash.near_groups`` count as one document,
     so a copied document does not make its own lines recur, and every recurring line goes.  With a number, rows that
     differ in doc_id or text count each, and a document in which recurring lines make up more than that share of the
-    (masked) characters is taken for a copy and left whole, mere boilerplate included.  Lines of under ``min_tokens``
-    tokens stay.  Every row and column stays, in any order; null and empty texts
+    (masked) characters is taken for a copy and left whole, mere boilerplate included.  Empty lines
+    and lines of under ``min_tokens`` tokens stay; a line of 1 to 3 tokens is of a template only if its masked tokens are equal.  Every row and column stays, in any order; null and empty texts
     stay as they are with 0 dropped; an input column ``lines_dropped`` is replaced, as is ``_doc``.  Repeated rows get
     equal results.  Lines of the same leaf are parsed in the order of their text, so results depend on the data only.
     """

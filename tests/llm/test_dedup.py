@@ -204,6 +204,16 @@ def test_boilerplate_goes_from_documents_it_fills_and_copies_stay(spark, tmp_pat
         assert got[i].text == "\n".join(kept) and got[i].lines_dropped == t.count("\n") + 1 - len(kept)
 
 
+def test_short_lines_recur_and_empty_ones_stay(spark, words):
+    rng = random.Random(22)
+    docs = [(i, "\n".join(["Menu", words(rng, "en", 30), "", "Read on", words(rng, "en", 30), "Once" + "xyzuvw"[i]])) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for share in (None, line_templates.MAX_SHARE):
+        got = {r.doc_id: r for r in line_templates.drop_recurring_lines(df, max_share=share).collect()}
+        for i, t in docs:
+            assert got[i].text == "\n".join(s for s in t.split("\n") if s not in ("Menu", "Read on")) and got[i].lines_dropped == 2
+
+
 def test_best_template_of_equals_is_the_oldest():
     tree = line_templates.Leaf(4)
     assert [tree.add(x) for x in ("a b c d", "a b c e", "a b x y", "a b c d")] == [0, 0, 1, 0]
