@@ -23,21 +23,31 @@ MIN_COVERAGE = 0.8
 #: Words of text that may lie between two aligned words, beyond the template's own, before they count as different places.
 MAX_GAP = 8
 
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CLAUSES = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
 #: Notices by which works are put under common public licences, and a proprietary one.
 TEMPLATES: dict[str, str] = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "mit": "Released under the MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-notice": _BSD_OPENING,
+    "bsd-2-clause": f"{_BSD_OPENING} {_BSD_CLAUSES} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_OPENING} {_BSD_CLAUSES} {_BSD_NAMES} {_BSD_DISCLAIMER}",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "all-rights-reserved": "All rights reserved",
 }
 
+#: Whole texts that differ by a clause: a row gets the one with the most words aligned beyond those that are missing.
+VARIANTS = [{"bsd-2-clause", "bsd-3-clause"}]
+
 
 def plain_words(text: str) -> list[str]:
     """Lower-case words without the signs around them."""
@@ -128,6 +138,16 @@ def coverage(template: list, text: list) -> float:
     return best / len(template)
 
 
+def _one_variant(found: list[tuple[str, float]], length: dict[str, int]) -> list[tuple[str, float]]:
+    """Of the templates found in a row, one of each set of VARIANTS."""
+    for kin in VARIANTS:
+        rivals = [x for x in found if x[0] in kin]
+        if len(rivals) > 1:
+            best = max(rivals, key=lambda x: (2 * x[1] - 1) * length[x[0]])
+            found = [x for x in found if x[0] not in kin or x is best]
+    return found
+
+
 def _scanner(templates: dict[str, str], min_coverage: float):
     names = sorted(templates)
     split = [plain_words(templates[n]) for n in names]
@@ -138,6 +158,7 @@ def _scanner(templates: dict[str, str], min_coverage: float):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = pa.array(sorted({w for t in split for w in t}), pa.string())
         number = {w: i for i, w in enumerate(vocabulary.to_pylist())}
+        length = {name: len(t) for name, t in zip(names, split)}
         need = [np.bincount([number[w] for w in t], minlength=len(number)) for t in split]
         for arr in batches:
             parts = []
@@ -166,6 +187,7 @@ def _scanner(templates: dict[str, str], min_coverage: float):
                             c = coverage([number[w] for w in t], text)
                             if c >= min_coverage - 1e-9:
                                 found[i].append((name, c))
+                found = [_one_variant(f, length) for f in found]
                 flat = [x for f in found for x in f]
                 values = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.float64())], fields=list(kind.value_type))
                 offs = np.zeros(n + 1, np.int32)
@@ -181,7 +203,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
 
     Words are compared without case and the signs around them.  Rows without a match, null and empty texts among them,
     have no result; rows that repeat, repeat; null doc_ids are kept.  Texts are scanned whole, and a template is reported
-    once for a row, with its best coverage, however often it occurs.  Templates without words are not looked for.
+    once for a row, with its best coverage, however often it occurs; of VARIANTS the one that fits best is reported.  Templates without words are not looked for.
     """
     templates = {k: v for k, v in (templates or TEMPLATES).items() if plain_words(v)}
     return bound_batches(docs).select("doc_id", F.inline(_scanner(templates, min_coverage)("text")))

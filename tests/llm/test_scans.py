@@ -69,6 +69,17 @@ def test_licenses(spark, edges, empty, words):
     assert licenses.scan(edges).count() == 0 == licenses.scan(empty).count()
 
 
+def test_whole_licence_texts(spark, words):
+    rng = random.Random(19)
+    t = licenses.TEMPLATES
+    clause = "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    bsd3 = t["bsd-3-clause"].replace("Redistributions", "* Redistributions").replace("promote products", "promote works")
+    texts = [t["mit-text"].replace("free of charge", "gratis"), t["mit-text"].replace(clause, "Anyone may freely get a copy"), f"The text begins {clause} and so on", clause + " of the software and accompanying documentation covered by this license", t["bsd-2-clause"], bsd3, t["bsd-notice"]]
+    docs = spark.createDataFrame([(i, words(rng) + "\n" + x + "\n" + words(rng)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
+    assert got == {(0, "mit-text"), (1, "mit-text"), (4, "bsd-notice"), (4, "bsd-2-clause"), (5, "bsd-notice"), (5, "bsd-3-clause"), (6, "bsd-notice")}
+
+
 def test_language_id(spark, edges, empty, words):
     rng = random.Random(10)
     train = spark.createDataFrame([(i, words(rng, lang, 120), lang) for i, lang in enumerate(["en", "de", "fr"] * 30)], "doc_id long, text string, lang string")
