@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 512 << 10
 #: Largest table, in bytes as estimated from its exact row count, that is broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
+LEAST_ROW_BYTES = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -40,10 +41,32 @@ def bound_batches(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a local folder only where none is set (tests)."""
+    """Keep the cluster's spark.checkpoint.dir; only a session in one process (tests) gets a folder of its own where none is set."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name made from ``name`` that none of the frames has, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of that name, dots and quotes in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def without(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df but those named, whatever the case."""
+    gone = {n.lower() for n in names}
+    return [column(c) for c in df.columns if c.lower() not in gone]
 
 
 def cut_lineage(df: DataFrame, *keys: str) -> DataFrame:
@@ -58,9 +81,9 @@ def cut_lineage(df: DataFrame, *keys: str) -> DataFrame:
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a (checkpointed, hence cheap to count) join side for broadcast if it is small enough.
 
-    Beyond that both sides are shuffled and this one is hashed, so that the wide side need not be sorted.
+    A row counts as row_bytes, and as LEAST_ROW_BYTES at least: what a hashed relation spends on the narrowest row.  Beyond that both sides are shuffled and this one is hashed, so that the wide side need not be sorted.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
+    return F.broadcast(df) if df.count() * max(row_bytes, LEAST_ROW_BYTES) <= BROADCAST_BYTES else df.hint("shuffle_hash")
 
 
 @functools.lru_cache(maxsize=1)

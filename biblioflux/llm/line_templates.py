@@ -2,8 +2,9 @@
 
 A line is a sequence of tokens; tokens that hold a digit are variable fields.  The tree has a fixed depth: token
 count, then the leading tokens.  Under a leaf, lines that agree in most positions share a template in which the
-other positions become variable.  Templates that recur across documents are boilerplate, and their lines go; near copies
-of one document can count as one, for their lines recur with the document.
+other positions become variable.  Templates that recur across documents are boilerplate, and their lines go.  Near copies of
+one document are no evidence of boilerplate, for their lines recur with the document: a template recurs if enough texts
+hold it of which no two are near copies.
 """
 
 from __future__ import annotations
@@ -14,17 +15,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from biblioflux.llm import minhash
-from biblioflux.llm.arrow_text import bound_batches, cut_lineage, small_side
+from biblioflux.llm.arrow_text import bound_batches, column, concat, cut_lineage, row_chunks, small_side, unused
 
 FIELD = "<*>"
 LEADING = 2
 SIMILARITY = 0.75
 MIN_DOCS = 5
-MIN_TOKENS = 1
-#: Default of drop_recurring_lines: a document whose recurring lines hold more than this share of its characters is left whole.  The query and the pipeline set no such limit.
-MAX_SHARE = 0.5
+#: Estimated probability Jaccard similarity from which two texts count as near copies, and the registers it is estimated with.
+COPY_SIMILARITY = 0.5
+REGISTERS = 128
+#: Parts in which the texts of one template are compared, so that a template of many texts is not one task's work.
+PARTS = 64
 
 
 def masked(text: Column) -> Column:
@@ -121,66 +125,123 @@ def _batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(leaf, pa.int64()), pa.array(g, pa.int32())], names=["line_hash", "leaf", "template"])
 
 
-def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """One row per non-empty line of at least min_tokens tokens; _doc stands for a document (doc_id and text), _text for its text."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), F.xxhash64("text").alias("_text"), masked(F.col("text")).alias("m"))
-    rows = rows.select("_doc", "_text", F.length("m").alias("doc_chars"), F.posexplode(F.split("m", "\n")).alias("line_no", "line"))
-    rows = rows.select("_doc", "_text", "doc_chars", "line_no", F.trim("line").alias("line"))
-    return rows.withColumn("n_tokens", token_count(F.col("line"))).where((F.col("line") != "") & (F.col("n_tokens") >= min_tokens)).withColumn("chars", F.length("line"))
+def _lines(docs: DataFrame) -> DataFrame:
+    """(t, line_no, leaf, line) of every non-empty line; t stands for the text."""
+    rows = docs.select(text_key(F.col("text")).alias("t"), F.posexplode(F.split(masked(F.col("text")), "\n")).alias("line_no", "line"))
+    rows = rows.select("t", "line_no", F.trim("line").alias("line")).where("line <> ''")
+    return rows.select("t", "line_no", F.xxhash64(token_count(F.col("line")), F.substring_index("line", " ", LEADING)).alias("leaf"), "line")
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _sketches():
+    """Arrow UDF: text -> its REGISTERS registers, a byte of each."""
+
+    @arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arr in batches:
+            parts = []
+            for piece in row_chunks(arr):
+                row, value, weight = minhash.shingles(piece)
+                z = minhash.signatures(row, value, weight.astype(np.float64), len(piece), REGISTERS)
+                flat = np.ascontiguousarray(z.astype(np.uint8))
+                cuts = np.arange(len(piece) + 1, dtype=np.int32) * REGISTERS
+                parts.append(pa.Array.from_buffers(pa.binary(), len(piece), [None, pa.py_buffer(cuts), pa.py_buffer(flat.tobytes())]))
+            yield concat(parts, pa.binary())
+
+    return run
+
+
+def leaders(sketches: list[bytes], enough: int, held: list[np.ndarray] | None = None) -> list[int]:
+    """Numbers of the sketches that are no near copies of an earlier leader, until ``enough`` leaders are held."""
+    held = [] if held is None else held
+    need, out = int(np.ceil(COPY_SIMILARITY * REGISTERS)), []
+    for i, raw in enumerate(sketches):
+        if len(held) >= enough:
+            break
+        own = np.frombuffer(raw, np.uint8)
+        if all(np.count_nonzero(own == x) < need for x in held):
+            held.append(own)
+            out.append(i)
+    return out
+
+
+def _leaders(keys: list[str], enough: int):
+    """Arrow batches sorted by the keys and t -> the rows that are leaders of their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+            starts = np.concatenate([[0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+            sketch, take = batch.column("sketch"), []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if (key := tuple(at[:, lo].tolist())) != now:
+                    now, held = key, []
+                for x in range(lo, hi, 64):  # what comes after enough leaders is not read
+                    if len(held) >= enough:
+                        break
+                    take += [x + i for i in leaders(sketch.slice(x, min(64, hi - x)).to_pylist(), enough, held)]
+            yield batch.take(pa.array(take, pa.int64()))
+
+    return run
 
 
 def _spread(docs: DataFrame, hits: DataFrame, min_docs: int) -> DataFrame:
-    """(leaf, template) of the templates that at least min_docs documents hold, near copies counted as one.
+    """(leaf, template) of the templates held by at least min_docs texts of which no two are near copies.
 
-    Only texts with a line of a template that min_docs distinct texts hold are compared with one another.
+    Texts are taken in the order of their key, first in PARTS parts and then those that lead a part; a template is settled
+    by its first min_docs leaders.  Only texts with a template that min_docs texts hold are sketched.
     """
-    held = hits.select("leaf", "template", "_text", "_doc").distinct()
-    wide = held.groupBy("leaf", "template").agg(F.countDistinct("_text").alias("texts")).where(F.col("texts") >= min_docs).drop("texts")
-    held = cut_lineage(held.join(wide, ["leaf", "template"], "left_semi").groupBy("leaf", "template", "_text").agg(F.min("_doc").alias("_doc")), "_text")
-    one = cut_lineage(held.groupBy("_text").agg(F.min("_doc").alias("_doc")).select("_doc"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("_doc"), F.xxhash64("text").alias("doc_id"), "text").join(small_side(one, 8), "_doc", "left_semi")
-    groups = cut_lineage(minhash.near_groups(texts.drop("_doc")).select(F.col("doc_id").alias("_text"), "group_id"))
-    counted = held.join(small_side(groups, 16), "_text", "left").groupBy("leaf", "template").agg(F.countDistinct(F.coalesce("group_id", "_text")).alias("docs"))
-    return cut_lineage(counted.where(F.col("docs") >= min_docs).drop("docs"))
-
-
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leading: int = LEADING, min_tokens: int = MIN_TOKENS, max_share: float | None = MAX_SHARE) -> DataFrame:
-    """(_doc, drop: array<int>): the lines to drop from each document that has any."""
-    lines = _lines(bound_batches(docs), min_tokens)
-    leaf = F.xxhash64("n_tokens", F.substring_index("line", " ", leading))
+    held = hits.select("leaf", "template", "t").distinct()
+    wide = cut_lineage(held.groupBy("leaf", "template").count().where(F.col("count") >= min_docs).select("leaf", "template"), "leaf")
+    held = cut_lineage(held.join(small_side(wide, 16), ["leaf", "template"], "left_semi"), "t")
+    texts = cut_lineage(held.select("t").distinct(), "t")
+    rows = docs.where("text is not null").select(text_key(F.col("text")).alias("t"), "text").join(small_side(texts, 16), "t", "left_semi")
+    sketched = rows.select("t", _sketches()("text").alias("sketch")).groupBy("t").agg(F.first("sketch").alias("sketch"))
+    part = F.pmod(F.xxhash64("t"), F.lit(PARTS)).cast("int")
+    schema = "leaf long, template int, part int, t binary, sketch binary"
+    posted = held.join(sketched, "t").select("leaf", "template", part.alias("part"), "t", "sketch")
+    first, then = ["leaf", "template", "part"], ["leaf", "template"]
+    led = posted.repartition(*first).sortWithinPartitions(*first, "t").mapInArrow(_leaders(first, min_docs), schema)
+    led = led.repartition(*then).sortWithinPartitions(*then, "t").mapInArrow(_leaders(then, min_docs), schema)
+    return cut_lineage(led.groupBy(*then).count().where(F.col("count") >= min_docs).select(*then))
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
+    """(t, drop: array<int>): the lines to drop from each text that has any."""
+    texts = bound_batches(docs.select("text"))
+    lines = _lines(texts)
     # The lines travel once, by leaf; the count per distinct line and the sort reuse that partitioning.
-    tree = lines.select(leaf.alias("leaf"), "line").repartition("leaf").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
+    tree = lines.select("leaf", "line").repartition("leaf").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"))
     tree = tree.withColumn("line_hash", F.xxhash64("line")).sortWithinPartitions("leaf", "line").mapInArrow(_parse_leaves(min_docs, similarity), "line_hash long, leaf long, template int")
     found = cut_lineage(tree, "line_hash")
-    hits = lines.select("_doc", "_text", "doc_chars", "line_no", "chars", F.xxhash64("line").alias("line_hash")).join(small_side(found, 20), "line_hash").drop("line_hash")
-    hits = cut_lineage(hits, "_doc")
-    if max_share is None:
-        spread = _spread(docs, hits, min_docs)
-    else:
-        spread = hits.groupBy("leaf", "template").agg(F.countDistinct("_doc").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    per_doc = hits.join(spread, ["leaf", "template"], "left_semi").groupBy("_doc").agg(F.sort_array(F.collect_set("line_no")).alias("drop"), F.sum(F.col("chars")).alias("held"), F.max("doc_chars").alias("doc_chars"), F.count(F.lit(1)).alias("n"))
-    if max_share is None:
-        return per_doc.select("_doc", "drop")
-    # a row that occurs r times counts r times in n; the share is of one
-    share = F.col("held") * F.size("drop") / F.col("n") / F.col("doc_chars")
-    return per_doc.where(share <= max_share).select("_doc", "drop")
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leading: int = LEADING, min_tokens: int = MIN_TOKENS, max_share: float | None = MAX_SHARE) -> DataFrame:
+    hits = lines.select("t", "line_no", "leaf", F.xxhash64("line").alias("line_hash")).join(small_side(found, 20), ["leaf", "line_hash"]).select("t", "line_no", "leaf", "template")
+    hits = cut_lineage(hits, "t")
+    return hits.join(small_side(_spread(texts, hits, min_docs), 16), ["leaf", "template"], "left_semi").groupBy("t").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the lines of recurring templates taken out of ``text``, and ``lines_dropped``.
 
-    A template recurs when at least ``min_docs`` documents hold a line of it.  With ``max_share`` None, as the query and
-    the pipeline call it, exact copies and the near copies of one group of ``minhash.near_groups`` count as one document,
-    so a copied document does not make its own lines recur, and every recurring line goes.  With a number, rows that
-    differ in doc_id or text count each, and a document in which recurring lines make up more than that share of the
-    (masked) characters is taken for a copy and left whole, mere boilerplate included.  Empty lines
-    and lines of under ``min_tokens`` tokens stay; a line of 1 to 3 tokens is of a template only if its masked tokens are equal.  Every row and column stays, in any order; null and empty texts
-    stay as they are with 0 dropped; an input column ``lines_dropped`` is replaced, as is ``_doc``.  Repeated rows get
-    equal results.  Lines of the same leaf are parsed in the order of their text, so results depend on the data only.
+    A template recurs when at least ``min_docs`` distinct texts hold a line of it of which no two are near copies, so neither
+    exact nor near copies of a document make its own lines recur.  Every recurring line goes, from copies too, and a text of
+    nothing else becomes empty.  Every non-empty line counts; one of 1 to 3 tokens is of a template only if its masked
+    tokens are equal, and empty lines stay.  Every row and column stays, in any order; null and empty texts stay as they are
+    with 0 dropped.  An input column ``lines_dropped`` is replaced, all others keep their values whatever their names.  An
+    empty table stays empty.  Equal texts get equal results; lines of the same leaf are parsed in the order of their text
+    (ties: equal lines are one), so results depend on the data only.  Texts are read whole, whatever their length.
     """
-    base = docs.drop("lines_dropped", "_doc", "drop")
-    drops = cut_lineage(recurring_lines(base, min_docs, similarity, leading, min_tokens, max_share))
-    joined = base.withColumn("_doc", F.xxhash64("doc_id", "text")).join(small_side(drops, 64), "_doc", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text")
-    return joined.select(*[text if c == "text" else F.col(c) for c in base.columns], F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("lines_dropped"))
+    drops = cut_lineage(recurring_lines(docs, min_docs, similarity))
+    key, drop = unused("t", docs), unused("drop", docs)
+    side = small_side(drops, 128).select(F.col("t").alias(key), F.col("drop").alias(drop))
+    joined = docs.withColumn(key, text_key(F.col("text"))).join(side, key, "left")
+    gone = F.col(drop)
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(gone.isNull(), F.col("text")).otherwise(kept).alias("text")
+    columns = [text if c == "text" else column(c) for c in docs.columns if c.lower() != "lines_dropped"]
+    return joined.select(*columns, F.when(gone.isNull(), 0).otherwise(F.size(gone)).alias("lines_dropped"))

@@ -1,6 +1,8 @@
 """Near-dedup, repeated passages and line dedup against brute force."""
 
+import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -130,16 +132,15 @@ def test_repeated_passage_edges(spark, edges, empty):
     assert suffix_merge.repeated_passages(empty).count() == 0
 
 
-def brute_lines(docs, min_docs, similarity, max_share):
+def brute_lines(docs, min_docs, similarity):
+    """Numbers of the lines to drop, by text: templates in the order of their lines, and all texts of one compared by definition."""
     leaves, lines = defaultdict(list), defaultdict(set)
-    import re
-
     mask = lambda s: " ".join("<*>" if re.search("[0-9]", w) else w for w in s.split())
-    for i, t in docs:
+    texts = sorted({t for _, t in docs}, key=lambda t: hashlib.md5(t.encode()).digest())
+    for t in texts:
         for n, s in enumerate(t.split("\n")):
-            m = mask(s)
-            if len(m.split()) >= 3:
-                lines[m].add((i, n))
+            if m := mask(s):
+                lines[m].add((t, n))
     for m in sorted(lines):
         w = m.split()
         groups = leaves[len(w), *w[:2]]
@@ -149,34 +150,53 @@ def brute_lines(docs, min_docs, similarity, max_share):
             best[1].append(m)
         else:
             groups.append([w, [m]])
-    hot = {p for gs in leaves.values() for _, ms in gs if len({i for m in ms for i, _ in lines[m]}) >= min_docs for m in ms for p in lines[m]}
-    out = {}
-    for i, t in docs:
-        whole = "\n".join(mask(s) for s in t.split("\n"))
-        own = [n for j, n in hot if j == i]
-        if sum(len(mask(t.split("\n")[n])) for n in own) <= max_share * len(whole):
-            out[i] = sorted(own)
+    out = defaultdict(set)
+    for groups in leaves.values():
+        for _, members in groups:
+            held, led = {t for m in members for t, _ in lines[m]}, []
+            for t in texts:
+                if t in held and all(jaccard(vector(t), vector(x)) < 0.5 for x in led):
+                    led.append(t)
+            if len(led) >= min_docs:
+                for m in members:
+                    for t, n in lines[m]:
+                        out[t].add(n)
     return out
 
 
 def test_lines_against_brute_force(spark, words):
     rng = random.Random(4)
-    boiler = ["Page {} of {} in this book", "Copyright {} by the authors of it all", "read more about {} here and there now"]
+    boiler = ["Page {} of {} in this book", "Copyright {} by the authors of it all", "read more about {} here and there now", "Menu"]
     docs = []
     for i in range(60):
-        lines = [words(rng, "en", rng.randint(1, 12)) for _ in range(rng.randint(3, 9))]
+        lines = [words(rng, "en", rng.randint(1, 12)) for _ in range(rng.randint(6, 14))]
         for b in boiler:
             if rng.random() < 0.4:
                 lines.insert(rng.randrange(len(lines)), b.format(rng.choice(["7", "12a", "cats", "dogs"]), rng.randint(1, 99)))
         docs.append((i, "\n".join(lines)))
-    docs += [(100 + i, docs[0][1]) for i in range(8)]  # copies stay whole
+    docs += [(100 + i, docs[0][1]) for i in range(8)]  # exact copies
+    docs += [(200 + i, docs[1][1] + f"\nof its own {chr(97 + i)}") for i in range(8)]  # near copies
+    docs += [(300, "\n".join(b.format("7", "8") for b in boiler))]  # nothing but boilerplate
+    docs += [(400 + i, f"{x} {y}\nof a few {x}\n" + words(rng, "en", 30)) for i, (x, y) in enumerate(["ab", "cd", "ef", "gh"])]  # held by too few
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r for r in line_templates.drop_recurring_lines(df).collect()}
-    want = brute_lines(docs, 5, 0.75, 0.5)
+    want = brute_lines(docs, 5, 0.75)
     for i, t in docs:
-        kept = "\n".join(s for n, s in enumerate(t.split("\n")) if n not in want.get(i, []))
-        assert got[i].text == kept and got[i].lines_dropped == len(want.get(i, []))
-    assert got[100].lines_dropped == 0 and sum(r.lines_dropped for r in got.values()) > 30
+        kept = "\n".join(s for n, s in enumerate(t.split("\n")) if n not in want[t])
+        assert got[i].text == kept and got[i].lines_dropped == len(want[t])
+    assert got[300].text == "" and sum(r.lines_dropped for r in got.values()) > 30
+    assert all(got[i].lines_dropped == got[0].lines_dropped for i in range(100, 108)) and len(got[203].text) > len(docs[1][1]) / 2
+
+
+def test_leaders_stop_at_enough_and_carry_over():
+    rng = np.random.default_rng(3)
+    own = rng.integers(0, 256, (9, line_templates.REGISTERS)).astype(np.uint8)
+    near = own[0].copy()
+    near[: line_templates.REGISTERS // 4] ^= 1
+    raw = [own[0].tobytes(), near.tobytes(), *(x.tobytes() for x in own[1:])]
+    assert line_templates.leaders(raw, 99) == [0, *range(2, 10)] and line_templates.leaders(raw, 3) == [0, 2, 3]
+    held = []
+    assert line_templates.leaders(raw[:2], 3, held) == [0] and line_templates.leaders(raw[1:], 3, held) == [1, 2] and line_templates.leaders(raw, 3, held) == []
 
 
 def test_line_edges(spark, edges, empty):
@@ -208,10 +228,9 @@ def test_short_lines_recur_and_empty_ones_stay(spark, words):
     rng = random.Random(22)
     docs = [(i, "\n".join(["Menu", words(rng, "en", 30), "", "Read on", words(rng, "en", 30), "Once" + "xyzuvw"[i]])) for i in range(6)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for share in (None, line_templates.MAX_SHARE):
-        got = {r.doc_id: r for r in line_templates.drop_recurring_lines(df, max_share=share).collect()}
-        for i, t in docs:
-            assert got[i].text == "\n".join(s for s in t.split("\n") if s not in ("Menu", "Read on")) and got[i].lines_dropped == 2
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(df).collect()}
+    for i, t in docs:
+        assert got[i].text == "\n".join(s for s in t.split("\n") if s not in ("Menu", "Read on")) and got[i].lines_dropped == 2
 
 
 def test_best_template_of_equals_is_the_oldest():
