@@ -2,7 +2,8 @@
 
 Each language owns a zstandard raw-content dictionary made of its own text.  A document is compressed once
 with every dictionary; the language with the smallest frame wins, and the answer is rejected when the
-second-best frame is nearly as small.
+second-best frame is nearly as small.  Labels may be wrong, so texts of the training sample that dictionaries of the other
+half of the sample give to another language are left out.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from biblioflux.llm.arrow_text import bound_batches
+from biblioflux.llm.arrow_text import bound_batches, unused, without
 
-DICT_BYTES = 128 << 10
-#: Bound of the labelled sample that the dictionaries are made of: rows per language, and letters of each row.
+#: Bound of the labelled sample that the dictionaries are made of: distinct texts of each language.  They are taken whole.
 SAMPLE_ROWS = 64
-SAMPLE_CHARS = 4096
 LEVEL = 3
-MIN_MARGIN = 0.005
-RESULT = "struct<predicted:string,margin:double,size:int>"
+#: A text is rejected if the second-best frame is larger by less than this share, or by fewer bytes than MIN_GAP.
+MIN_MARGIN = 0.01
+MIN_GAP = 2
+#: Margin by which another language must win a text of the sample for its label to count as wrong.
+MISLABELLED = 0.05
+RESULT = "struct<predicted:string,margin:double,gap:int>"
 
 
 def letters(text: Column) -> Column:
@@ -33,20 +36,44 @@ def letters(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")))
 
 
-def train(docs: DataFrame, dict_bytes: int = DICT_BYTES, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """Dictionaries by language from a bounded sample of rows labelled in ``lang``.
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+    """Dictionaries by language from a bounded sample of the rows labelled in ``lang``: ``sample_rows`` distinct texts of each.
 
-    The sample is the ``sample_rows`` rows of each language whose hashed text comes first; only hashes travel
-    for the choice, and the texts of the chosen rows are read in a second scan.
+    The sample is the texts whose hash comes first, among all that have a letter; their letters are taken whole, but for
+    texts that ``agreeing`` finds mislabelled.  Only hashes travel for the choice, and the chosen texts are read in a second scan.
     """
-    labelled = docs.where("lang is not null and length(text) >= 200").select("lang", "text", F.xxhash64("text").alias("_h"))
-    first = Window.partitionBy("lang").orderBy("_h")
-    chosen = labelled.select("lang", "_h").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_rows).select("_h").distinct()
-    rows = labelled.where(F.col("_h").isin([r._h for r in chosen.collect()])).select("lang", "_h", F.substring(letters(F.col("text")), 1, SAMPLE_CHARS).alias("t")).distinct()
-    parts: dict[str, list[bytes]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r._h)):
-        parts.setdefault(r.lang, []).append(r.t.encode())
-    return {k: b" ".join(v)[-dict_bytes:] for k, v in parts.items()}
+    labelled = docs.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = labelled.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_rows).select("h").distinct()
+    rows = labelled.where(F.col("h").isin([r.h for r in chosen.collect()])).select("lang", "h", letters(F.col("text")).alias("t")).distinct()
+    sample: dict[str, list[tuple[int, str]]] = {}
+    for r in rows.collect():
+        sample.setdefault(r.lang, []).append((r.h, r.t))
+    return {k: " ".join(v).encode() for k, v in agreeing({k: [t for _, t in sorted(v)[:sample_rows]] for k, v in sample.items()}).items()}
+
+
+def rejects(gap: int, margin: float, min_margin: float = MIN_MARGIN) -> bool:
+    return gap < MIN_GAP or margin < min_margin
+
+
+def agreeing(sample: dict[str, list[str]]) -> dict[str, list[str]]:
+    """The sample without the texts that another language wins, by a margin of MISLABELLED, under dictionaries made of the other half.
+
+    Texts at even places are judged by those at odd places and the other way round, if these hold the text's own language.
+    A language of which nothing would be left keeps all.
+    """
+    halves = [{k: " ".join(v[i::2]).encode() for k, v in sample.items() if v[i::2]} for i in (0, 1)]
+    judges = [_compressors(tuple(sorted(h.items())), LEVEL) for h in halves]
+    out = {}
+    for lang, texts in sample.items():
+        kept = []
+        for i, t in enumerate(texts):
+            raw, there = t.encode(), lang in halves[1 - i % 2]
+            sizes = {k: len(c.compress(raw)) for k, c in judges[1 - i % 2]} if there else {}
+            if not there or sizes[lang] - min(sizes.values()) < MISLABELLED * sizes[lang]:
+                kept.append(t)
+        out[lang] = kept or texts
+    return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -60,21 +87,27 @@ def _compressors(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> lis
     return out
 
 
+def best(text: str, compressors: list) -> tuple[str, int, int, float]:
+    """(language, its frame's size, bytes by which the second-best is larger, and their share of it); of equal sizes the first language by name."""
+    raw = text.encode()
+    sizes = sorted((len(c.compress(raw)), lang) for lang, c in compressors)
+    size, lang = sizes[0]
+    second = sizes[1][0] if len(sizes) > 1 else size + max(size, MIN_GAP)
+    return lang, size, second - size, (second - size) / second if len(sizes) > 1 else 1.0
+
+
 def classify(text: str | None, compressors: list) -> tuple[str | None, float | None, int | None]:
-    """(language, margin, frame size); all None without letters or without dictionaries."""
+    """(language, margin, gap in bytes); all None without letters or without dictionaries."""
     if not text or not compressors:
         return None, None, None
-    raw = text.encode()
-    sizes = sorted((len(c.compress(raw)), lang) for lang, c in compressors)
-    best = sizes[0]
-    margin = (sizes[1][0] - best[0]) / sizes[1][0] if len(sizes) > 1 else 1.0
-    return best[1], margin, best[0]
+    lang, _, gap, margin = best(text, compressors)
+    return lang, margin, gap
 
 
 def classifier(dictionaries: dict[str, bytes], level: int = LEVEL):
     """Arrow UDF over letters(text) giving RESULT."""
     fixed = tuple(sorted(dictionaries.items()))
-    kind = pa.struct([("predicted", pa.string()), ("margin", pa.float64()), ("size", pa.int32())])
+    kind = pa.struct([("predicted", pa.string()), ("margin", pa.float64()), ("gap", pa.int32())])
 
     @arrow_udf(RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -87,27 +120,30 @@ def classifier(dictionaries: dict[str, bytes], level: int = LEVEL):
     return run
 
 
+def _accepted(verdict: Column, min_margin: float) -> Column:
+    return F.coalesce((verdict["margin"] >= F.lit(min_margin)) & (verdict["gap"] >= MIN_GAP), F.lit(False))
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN, level: int = LEVEL) -> DataFrame:
     """docs plus ``predicted``, ``margin`` and ``rejected``.
 
-    Needs ``text`` (and ``lang`` for training, when no dictionaries are given); all columns are kept, and input
-    columns named like the three results are replaced.  Rows with null, empty or letterless text have null
-    ``predicted`` and ``margin`` and are rejected.  Ties count as margin 0 and are rejected.  With a single
-    language every text with letters is accepted; with none (an empty table) every row is rejected.  Repeated
-    rows get equal results; texts are compressed whole, whatever their length.
+    Needs ``text`` (and ``lang`` for training, when no dictionaries are given).  All rows and columns stay; input columns
+    named like the three results are replaced, others keep their values whatever their names.  Rows with null, empty or
+    letterless text have null ``predicted`` and ``margin`` and are rejected.  Equally small frames have margin 0 and are
+    rejected, as are margins under ``min_margin`` or of fewer than MIN_GAP bytes.  With a single language every text with letters is accepted; with none (an empty table) every row is rejected.
+    Repeated rows get equal results; texts are compressed whole, whatever their length.
     """
     if dictionaries is None:
         dictionaries = train(docs)
-    base = bound_batches(docs).drop("predicted", "margin", "rejected", "_lid")
-    scored = base.withColumn("_lid", classifier(dictionaries, level)(letters(F.col("text"))))
-    return scored.select(
-        *base.columns,
-        F.col("_lid.predicted").alias("predicted"),
-        F.col("_lid.margin").alias("margin"),
-        F.coalesce(F.col("_lid.margin") < F.lit(min_margin), F.lit(True)).alias("rejected"),
-    )
-
-
-def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of docs that ``identify`` does not reject, with the columns of docs."""
-    return identify(docs, dictionaries, min_margin).where("not rejected").select(*docs.columns)
+    results, own = without(docs, "predicted", "margin", "rejected"), unused("lid", docs)
+    scored = bound_batches(docs).withColumn(own, classifier(dictionaries, level)(letters(F.col("text"))))
+    part = F.col(own)
+    return scored.select(*results, part["predicted"].alias("predicted"), part["margin"].alias("margin"), (~_accepted(part, min_margin)).alias("rejected"))
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN, level: int = LEVEL) -> DataFrame:
+    """The rows of docs that ``identify`` does not reject; all columns keep their values, those named like its results too."""
+    if dictionaries is None:
+        dictionaries = train(docs)
+    verdict = classifier(dictionaries, level)(letters(F.col("text")))
+    return bound_batches(docs).where(_accepted(verdict, min_margin))
