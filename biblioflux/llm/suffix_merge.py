@@ -6,9 +6,9 @@
 3. The segments of an anchor are spread over shards.  Each shard sorts the suffixes of its own segments, which gives
    its transform.  The transforms are then merged by refining their interleave: after h rounds the rows of all shards are
    in the order of their first h words, and each round follows from the last one by stepping every row to its
-   predecessor through its shard's transform, so suffixes are not sorted again.  Where two neighbours part in round h,
-   their common prefix has h - 1 words; rows that are alone in their block are done.  Blocks left after MIN_WORDS rounds
-   are the repeated intervals.
+   predecessor through its shard's transform, so suffixes are not sorted again.  Rows that are alone in their block are
+   done.  Blocks left after MIN_WORDS rounds are the repeated intervals, whose common prefixes have MIN_WORDS words or more;
+   shorter common prefixes are not kept, for no passage comes of them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -214,18 +215,24 @@ def repeated_windows(texts: list[str], low: np.ndarray, high: np.ndarray, size:
 
 
 def _merge_blocks(size: int):
-    """Arrow batches sorted by (a, seg) -> runs (_row, doc_id, lo, hi, first) of repeated windows, by word number."""
+    """Arrow batches sorted by (a, seg) -> runs (doc, h, lo, hi, first) of repeated windows, by word number."""
 
     def flush(held: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(held).unify_dictionaries().combine_chunks()
         seg = table.column("seg").chunk(0) if table.num_rows else None
-        names = ["_row", "doc_id", "lo", "hi", "first"]
-        empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())], names=names)
+        names = ["doc", "h", "lo", "hi", "first"]
+        kind = table.schema.field("doc").type
+        empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), kind)], names=names)
         if seg is None:
             return empty
         code = seg.indices.to_numpy()
         texts = seg.dictionary.to_pylist()
-        doc, row, start = (table.column(c).to_numpy() for c in ("doc_id", "_row", "start"))
+        row, start = (table.column(c).to_numpy() for c in ("h", "start"))
+        known = table.column("doc").chunk(0).dictionary_encode()  # ids of any type, by their rank
+        ranked = pc.sort_indices(known.dictionary)
+        ids, rank = known.dictionary.take(ranked), np.empty(len(ranked), np.int64)
+        rank[ranked.to_numpy()] = np.arange(len(ranked))
+        doc = rank[known.indices.to_numpy()]
         low, high = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
         np.minimum.at(low, code, doc)
         np.maximum.at(high, code, doc)
@@ -240,7 +247,7 @@ def _merge_blocks(size: int):
         member = np.repeat(np.arange(len(code)), n_runs)
         total = np.cumsum(n_runs)
         pick = np.arange(len(member)) - np.repeat(total - n_runs, n_runs) + run_at[code[member]]
-        return pa.RecordBatch.from_arrays([pa.array(row[member]), pa.array(doc[member]), pa.array((start[member] + lo[pick]).astype(np.int32)), pa.array((start[member] + hi[pick]).astype(np.int32)), pa.array(least[pick])], names=names)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[member])), pa.array(row[member]), pa.array((start[member] + lo[pick]).astype(np.int32)), pa.array((start[member] + hi[pick]).astype(np.int32)), ids.take(pa.array(least[pick]))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -270,23 +277,25 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id): the maximal passages of each document made of repeated windows.
 
     A window is ``size`` consecutive words (runs without white space, compared exactly); it repeats if at least two
-    distinct doc_ids hold it.  Windows that overlap or touch form one passage; start_word counts from 0, and
-    first_doc_id is the least doc_id that holds any of the passage's windows.  Rows with null doc_id and texts that are
-    null, empty or shorter than ``size`` words have no passages.  A row that repeats counts once; rows with one doc_id
-    and different texts have passages of their own, which do not make each other repeat.  Other columns are not looked at.
+    distinct doc_ids, of any type that has an order, hold it.  Windows that overlap or touch form one passage; start_word
+    counts from 0, and first_doc_id is the least doc_id that holds any of the passage's windows.  Rows with null doc_id and
+    texts that are null, empty or shorter than ``size`` words have no passages, nor has an empty table.  A row that repeats
+    counts once; rows with one doc_id and different texts have passages of their own, which do not make each other repeat.
+    Equal windows are all reported, none is preferred.  Texts are read whole, whatever their length; other columns, whatever
+    their names, are not looked at.
     """
-    texts = bound_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
-    anchors = texts.select("doc_id", "_row", F.inline(_anchors(size)("text")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = bound_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("h"))
+    anchors = texts.select("doc", "h", F.inline(_anchors(size)("text")))
     by_anchor = Window.partitionBy("a")
-    recurring = anchors.withColumn("_lo", F.min("doc_id").over(by_anchor)).withColumn("_hi", F.max("doc_id").over(by_anchor)).where("_lo < _hi")
-    places = cut_lineage(recurring.groupBy("_row").agg(F.sort_array(F.collect_set("pos")).alias("anchors")))
+    recurring = anchors.withColumn("least", F.min("doc").over(by_anchor)).withColumn("greatest", F.max("doc").over(by_anchor)).where("least < greatest")
+    places = cut_lineage(recurring.groupBy("doc", "h").agg(F.sort_array(F.collect_set("pos")).alias("anchors")))
     held = int(places.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0])
-    located = texts.join(small_side(places, 24 + 4 * held // max(1, places.count())), "_row")
-    segments = located.select("doc_id", "_row", F.inline(_segments(size)("text", "anchors")))
-    runs = segments.repartition("a").sortWithinPartitions("a", "seg").mapInArrow(_merge_blocks(size), "_row long, doc_id long, lo int, hi int, first long")
-    order = Window.partitionBy("_row").orderBy("lo", "hi")
+    located = texts.join(small_side(places, 96 + 4 * held // max(1, places.count())), ["doc", "h"])
+    segments = located.select("doc", "h", F.inline(_segments(size)("text", "anchors")))
+    runs = segments.repartition("a").sortWithinPartitions("a", "seg").mapInArrow(_merge_blocks(size), f"doc {kind}, h long, lo int, hi int, first {kind}")
+    order = Window.partitionBy("doc", "h").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = runs.distinct().withColumn("_new", F.coalesce((F.col("lo") > reach + size).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = islands.groupBy("_row", "_island").agg(F.min("doc_id").alias("doc_id"), F.min("lo").alias("start_word"), (F.max("hi") - F.min("lo") + size).cast("int").alias("n_words"), F.min("first").alias("first_doc_id"))
-    return passages.select("doc_id", "start_word", "n_words", "first_doc_id")
+    islands = runs.distinct().withColumn("new", F.coalesce((F.col("lo") > reach + size).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = islands.groupBy("doc", "h", "island").agg(F.min("lo").alias("start_word"), (F.max("hi") - F.min("lo") + size).cast("int").alias("n_words"), F.min("first").alias("first_doc_id"))
+    return passages.select(F.col("doc").alias("doc_id"), "start_word", "n_words", "first_doc_id")
