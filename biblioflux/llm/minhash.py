@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, mix, row_chunks, small_side, text_buffer, window_hashes, word_hashes, words
+from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, mix, row_chunks, small_side, text_buffer, unused, window_hashes, word_hashes, words
 
 SHINGLE = 3
 BANDS = 32
@@ -194,18 +194,19 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, group_id, group_size) of every document in a group of at least two near or exact copies.
 
-    Documents are the distinct doc_ids; group_id is the least doc_id of the group.  Two documents are linked if their
-    probability Jaccard similarity over k-word shingles is at least ``threshold`` and they share a band; a group is a
-    connected component.  Rows with null doc_id, and null, empty and blank texts, are in no group.  A doc_id that
-    repeats counts once, with the shingles of all its texts.  Texts are read whole; other columns are not looked at.
+    Documents are the distinct doc_ids, of any type that has an order; group_id is the least doc_id of the group.  Two
+    documents are linked if their probability Jaccard similarity over k-word shingles is at least ``threshold`` (equal to it
+    counts) and they share a band; a group is a connected component.  Rows with null doc_id, and null, empty and blank texts,
+    are in no group; an empty table has none.  A doc_id that repeats counts once, with the shingles of all its texts.  Texts
+    are read whole, whatever their length; other columns, whatever their names, are not looked at.
     """
-    texts = bound_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = bound_batches(docs).where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
     exact = F.unhex(F.md5("text"))
     sketch = cut_lineage(texts.select("id", exact.alias("e"), signature_bands(k, bands, rows)("text").alias("bands")).where("bands is not null"), "e")
-    same = sketch.select("id", F.min("id").over(Window.partitionBy("e")).alias("a"))
-    copies = same.where("a <> id").select("a", F.col("id").alias("b"))
     # Only the first of identical texts is compared further.
-    first = sketch.groupBy("e").agg(F.min("id").alias("id"), F.min("bands").alias("bands")).select("id", F.explode("bands").alias("band"))
+    alike = cut_lineage(sketch.groupBy("e").agg(F.min("id").alias("a"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
+    copies = cut_lineage(sketch.select("id", "e").join(alike.where("n > 1").select("e", "a"), "e").where("a <> id").select("a", "id").distinct())
+    first = alike.select(F.col("a").alias("id"), F.explode("bands").alias("band"))
     in_band = Window.partitionBy("band")
     shared = cut_lineage(first.distinct().withColumn("n", F.count(F.lit(1)).over(in_band)).withColumn("a", F.min("id").over(in_band)).where("n > 1").drop("n"))
     stars = cut_lineage(shared.where("a <> id").select("a", F.col("id").alias("b")).distinct())
@@ -218,23 +219,32 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
     split = placed.withColumn("r", F.min("root").over(in_band)).withColumn("r2", F.max("root").over(in_band)).where("r <> r2").select("band", "id", "root")
     rest = split.alias("x").join(split.alias("y"), F.expr("x.band = y.band and x.root <> y.root and x.id < y.id")).selectExpr("x.id as a", "y.id as b").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(cut_lineage(rest), vectors, threshold)
-    groups = components(links.unionByName(more).unionByName(copies))
+    # Exact copies follow the first of their text; only documents of several texts can tie groups together.
+    several = cut_lineage(sketch.select("id", "e").distinct().groupBy("id").count().where("count > 1").select("id"))
+    ties = copies.join(several, "id", "left_semi").select("a", F.col("id").alias("b"))
+    joined = cut_lineage(components(links.unionByName(more).unionByName(ties)))
+    led = copies.join(several, "id", "left_anti").join(joined.select(F.col("id").alias("a"), "root"), "a", "left")
+    followers = led.select("id", F.coalesce("root", "a").alias("root"))
+    heads = led.where("root is null").select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()
+    groups = joined.unionByName(followers).unionByName(heads)
     return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), F.count(F.lit(1)).over(Window.partitionBy("root")).alias("group_size"))
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs without the later members of each group of ``near_groups``: the least doc_id stays.
 
-    All columns stay; rows that are in no group stay, null ones included.  Of rows with one doc_id (all one document)
-    the one whose text sorts first stays.
+    All columns keep their values, whatever their names; rows that are in no group stay, those with null doc_id or null,
+    empty or blank text among them.  Of rows with one doc_id (all one document) the one whose text sorts first stays, of
+    equal texts any.  An empty table stays empty.
     """
     groups = near_groups(docs, threshold, k, bands, rows)
-    later = cut_lineage(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_later")))
-    kept = docs.join(small_side(later, 8), docs["doc_id"].cast("long") == F.col("_later"), "left_anti")
-    repeated = cut_lineage(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"))
+    gone, again, rank = (unused(x, docs) for x in ("gone", "again", "rank"))
+    later = cut_lineage(groups.where("doc_id <> group_id").select(F.col("doc_id").alias(gone)))
+    kept = docs.join(small_side(later, 8), F.col("doc_id") == F.col(gone), "left_anti")
+    repeated = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rank)).where(F.col(rank) > 1).select(F.col("doc_id").alias(again)))
     if repeated.isEmpty():
         return kept
-    same = kept["doc_id"] == F.col("_again")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    one = kept.join(repeated, same, "left_semi").withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    same = F.col("doc_id") == F.col(again)
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    one = kept.join(repeated, same, "left_semi").withColumn(rank, order).where(F.col(rank) == 1).drop(rank)
     return kept.join(repeated, same, "left_anti").unionByName(one)
