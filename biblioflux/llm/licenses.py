@@ -2,12 +2,16 @@
 
 A template is aligned with a text by anchoring on the words that occur once in each, keeping the longest run of anchors
 whose order agrees, and aligning the gaps between them in the same way; a gap without such words is aligned from its
-two ends.  Coverage is the share of the template's words that are aligned.
+two ends.  Coverage is the share of the template's words that are aligned with one passage of the text, and a passage may be
+longer than the template by no more than what coverage may lack.
 """
 
 from __future__ import annotations
 
 import bisect
+import collections
+import functools
+import pathlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,33 +24,56 @@ from pyspark.sql.functions import arrow_udf
 from biblioflux.llm.arrow_text import bound_batches, concat, row_chunks, text_buffer, word_hashes, words
 
 MIN_COVERAGE = 0.8
-#: Words of text that may lie between two aligned words, beyond the template's own, before they count as different places.
-MAX_GAP = 8
 
 _BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 _BSD_CLAUSES = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 
-#: Notices by which works are put under common public licences, and a proprietary one.
-TEMPLATES: dict[str, str] = {
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_DISCLAIMER = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+
+#: Notices by which works are put under common public licences, a proprietary one, and short licences whole.
+NOTICES: dict[str, str] = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "apache-2.0-title": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
     "mit": "Released under the MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-text": _MIT_GRANT,
+    "mit-whole": f"{_MIT_GRANT} {_MIT_DISCLAIMER}",
+    "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
+    "isc-whole": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "boost-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "bsd-notice": _BSD_OPENING,
     "bsd-2-clause": f"{_BSD_OPENING} {_BSD_CLAUSES} {_BSD_DISCLAIMER}",
     "bsd-3-clause": f"{_BSD_OPENING} {_BSD_CLAUSES} {_BSD_NAMES} {_BSD_DISCLAIMER}",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "all-rights-reserved": "All rights reserved",
 }
+#: Identifiers that stand after an SPDX tag.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+
+#: Templates that differ by a clause or a name: a row gets the one with the most words aligned beyond those that are missing.
+VARIANTS = [{"bsd-2-clause", "bsd-3-clause"}, {"gpl-2.0-header", "gpl-header", "lgpl-header", "agpl-header"}, {"cc-by-4.0", "cc-by-sa-4.0"}]
+
 
-#: Whole texts that differ by a clause: a row gets the one with the most words aligned beyond those that are missing.
-VARIANTS = [{"bsd-2-clause", "bsd-3-clause"}]
+@functools.cache
+def default_templates() -> dict[str, str]:
+    """NOTICES, SPDX tags, and the whole texts of ``license_texts``; read on the driver only."""
+    texts = {f"{p.stem}-whole": p.read_text(encoding="utf-8") for p in sorted((pathlib.Path(__file__).parent / "license_texts").glob("*.txt"))}
+    return NOTICES | {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in SPDX} | texts
 
 
 def plain_words(text: str) -> list[str]:
@@ -107,35 +134,42 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def passages(template: list, text: list) -> list[tuple[int, int]]:
-    """Stretches [from, to) of the text in which words of the template stand close enough to be one notice.
-
-    Stretches of under half the template's length are left out, so coverage of under one half counts as 0.  A notice may stand anywhere and more than once, and its words may recur in a long text, so each candidate place is
-    aligned by itself.
-    """
-    known = set(template)
-    at = [j for j, w in enumerate(text) if w in known]
-    out: list[tuple[int, int]] = []
-    reach = len(template) + MAX_GAP
-    for j in at:
-        if out and j - out[-1][1] < MAX_GAP:
-            out[-1] = (out[-1][0], j + 1)
-        else:
-            out.append((j, j + 1))
-    need = max(1, int(np.ceil(len(template) * 0.5)))
-    places = []
-    for lo, hi in out:
-        if hi - lo < need:
-            continue
-        step = max(1, len(template) // 2)
-        places += [(lo, hi)] if hi - lo <= 2 * reach else [(x, min(hi, x + 2 * reach)) for x in range(lo, hi, step)]
-    return places
+def window_words(template: list, min_coverage: float) -> int:
+    """Words of the longest passage in which a template is looked for: it may have as large a share of other words as coverage may lack."""
+    return max(len(template), int(len(template) / min_coverage + 1e-9))
 
 
-def coverage(template: list, text: list) -> float:
-    """Share of the template's words aligned with the best passage of the text."""
-    best = max((len(align(template, text[lo:hi])) for lo, hi in passages(template, text)), default=0)
-    return best / len(template)
+def bounds(template: list, text: list, size: int) -> list[tuple[int, int]]:
+    """(bound, start) of every window of ``size`` words that begins with a word of the template: no alignment with it has more pairs than the words that both hold."""
+    room = collections.Counter(template)
+    at = [j for j, w in enumerate(text) if w in room]
+    held: collections.Counter = collections.Counter()
+    out, common, stop = [], 0, 0
+    for j in at:
+        while stop < len(at) and at[stop] < j + size:
+            w = text[at[stop]]
+            held[w] += 1
+            common += held[w] <= room[w]
+            stop += 1
+        out.append((common, j))
+        w = text[j]
+        common -= held[w] <= room[w]
+        held[w] -= 1
+    return out
+
+
+def coverage(template: list, text: list, min_coverage: float = MIN_COVERAGE) -> float:
+    """Share of the template's words aligned with the best passage, over all windows that begin with a word of it; 0 below min_coverage.
+
+    Windows are taken by falling bound until no bound exceeds the best alignment, so none that could be better is left out.
+    """
+    size, need = window_words(template, min_coverage), min_coverage * len(template) - 1e-9
+    best = 0
+    for bound, j in sorted(bounds(template, text, size), key=lambda x: (-x[0], x[1])):
+        if bound <= best or bound < need:
+            break
+        best = max(best, len(align(template, text[j : j + size])))
+    return best / len(template) if best >= need else 0.0
 
 
 def _one_variant(found: list[tuple[str, float]], length: dict[str, int]) -> list[tuple[str, float]]:
@@ -159,7 +193,8 @@ def _scanner(templates: dict[str, str], min_coverage: float):
         vocabulary = pa.array(sorted({w for t in split for w in t}), pa.string())
         number = {w: i for i, w in enumerate(vocabulary.to_pylist())}
         length = {name: len(t) for name, t in zip(names, split)}
-        need = [np.bincount([number[w] for w in t], minlength=len(number)) for t in split]
+        coded = [[number[w] for w in t] for t in split]
+        own_words = [np.unique(t, return_counts=True) for t in coded]
         for arr in batches:
             parts = []
             for piece in row_chunks(arr):
@@ -175,17 +210,18 @@ def _scanner(templates: dict[str, str], min_coverage: float):
                     known = pc.index_in(spelled, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
                     hit = known[code]
                     at = np.flatnonzero(hit >= 0)
-                    have = np.bincount(rows[at] * len(number) + hit[at], minlength=n * len(number)).reshape(n, -1)
+                    have = np.bincount(rows[at] * len(number) + hit[at], minlength=n * len(number)).reshape(n, -1).astype(np.int32)
                     row_at = np.searchsorted(rows, np.arange(n + 1))
                     blank = (pc.equal(spelled, "").to_numpy(zero_copy_only=False))[code]
-                    for name, t, k in zip(names, split, need):
+                    texts: dict[int, list] = {}
+                    for name, t, (w, k) in zip(names, coded, own_words):
                         # no alignment covers more than the words that both hold
-                        bound = np.minimum(have, k).sum(axis=1) / len(t)
+                        bound = np.minimum(have[:, w], k).sum(axis=1) / len(t)
                         for i in np.flatnonzero(bound >= min_coverage - 1e-9).tolist():
-                            own = slice(row_at[i], row_at[i + 1])
-                            text = hit[own][~blank[own]].tolist()
-                            c = coverage([number[w] for w in t], text)
-                            if c >= min_coverage - 1e-9:
+                            if i not in texts:
+                                own = slice(row_at[i], row_at[i + 1])
+                                texts[i] = hit[own][~blank[own]].tolist()
+                            if c := coverage(t, texts[i], min_coverage):
                                 found[i].append((name, c))
                 found = [_one_variant(f, length) for f in found]
                 flat = [x for f in found for x in f]
@@ -199,11 +235,15 @@ def _scanner(templates: dict[str, str], min_coverage: float):
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage): for each row of docs, the templates that a passage of it covers well enough.
-
-    Words are compared without case and the signs around them.  Rows without a match, null and empty texts among them,
-    have no result; rows that repeat, repeat; null doc_ids are kept.  Texts are scanned whole, and a template is reported
-    once for a row, with its best coverage, however often it occurs; of VARIANTS the one that fits best is reported.  Templates without words are not looked for.
+    """(doc_id, license, coverage): for each row of docs, the templates that a passage of it covers by ``min_coverage`` or more.
+
+    Templates are ``default_templates()`` unless given.  A passage is a window of at most 1 / min_coverage times the
+    template's words, so words in between count against a match as missing ones do.  Words are compared without case and the
+    signs around them.  Rows without a match, null and empty texts among them, have no result; rows that repeat, repeat; null
+    doc_ids are kept, of whatever type.  Texts are scanned whole, and a template is reported once for a row, with its best
+    coverage, however often it occurs (of equal passages any stands for it); of VARIANTS the one that fits best is reported,
+    the first by name of equals.  An empty table gives no rows.  Columns other than doc_id and text, those named like the
+    results among them, are not looked at.  Templates without words are not looked for.
     """
-    templates = {k: v for k, v in (templates or TEMPLATES).items() if plain_words(v)}
-    return bound_batches(docs).select("doc_id", F.inline(_scanner(templates, min_coverage)("text")))
+    templates = {k: v for k, v in (templates or default_templates()).items() if plain_words(v)}
+    return bound_batches(docs.select("doc_id", "text")).select("doc_id", F.inline(_scanner(templates, min_coverage)("text")))
