@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from biblioflux.llm.arrow_text import bound_batches, concat, list_array, row_chunks, text_buffer
+from biblioflux.llm.arrow_text import bound_batches, concat, list_array, row_chunks, text_buffer, unused, without
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words of more bytes than this are read one at a time, shorter ones side by side.
@@ -447,27 +447,31 @@ def list_arc(arcs: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), arcs)
 
 
+def _counted(out: DataFrame) -> DataFrame:
+    return out.withColumn("n_tokens", F.coalesce(F.when(F.col("token_ids").isNotNull(), F.size("token_ids")), F.lit(0)))
+
+
 def bpe_encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs plus ``token_ids`` and ``n_tokens``.
 
-    Null texts have null ids and 0 tokens, empty ones no ids; texts are encoded whole.  All rows and columns stay;
-    input columns named like the results are replaced.  The vocabulary file is read on the driver only.
+    Null texts have null ids and 0 tokens, empty ones no ids; texts are encoded whole, whatever their length.  All rows and
+    columns stay; input columns named like the results are replaced, others keep their values whatever their names.  A text
+    has one encoding, so repeated rows get equal ids and there are no ties.  An empty table stays empty.  The vocabulary file
+    is read on the driver only.
     """
-    base = bound_batches(docs).drop("token_ids", "n_tokens")
-    out = base.withColumn("token_ids", encoder(path)("text"))
-    return out.withColumn("n_tokens", F.coalesce(F.when(F.col("token_ids").isNotNull(), F.size("token_ids")), F.lit(0)))
+    return _counted(bound_batches(docs).select(*without(docs, "token_ids", "n_tokens"), encoder(path)("text").alias("token_ids")))
 
 
 def bpe_decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """encoded plus ``decoded``, the text that ``token_ids`` spell; null ids give null."""
-    return encoded.drop("decoded").withColumn("decoded", decoder(path)("token_ids"))
+    """encoded plus ``decoded``, the text that ``token_ids`` spell; null ids give null.  An input column ``decoded`` is replaced."""
+    return bound_batches(encoded).select(*without(encoded, "decoded"), decoder(path)("token_ids").alias("decoded"))
 
 
 def bpe_round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """docs plus ``token_ids`` and ``n_tokens`` as ``bpe_encode`` gives them, and ``round_trip``: whether they decode to the text.
 
-    Null texts decode to null, so their round trip holds.
+    Null texts decode to null, so their round trip holds.  Rows and columns are treated as ``bpe_encode`` treats them.
     """
-    base = bound_batches(docs).drop("token_ids", "n_tokens", "round_trip", "_bpe")
-    out = base.withColumn("_bpe", round_tripper(path)("text")).select(*base.columns, "_bpe.token_ids", "_bpe.round_trip")
-    return out.withColumn("n_tokens", F.coalesce(F.when(F.col("token_ids").isNotNull(), F.size("token_ids")), F.lit(0)))
+    own = unused("bpe", docs)
+    out = bound_batches(docs).withColumn(own, round_tripper(path)("text"))
+    return _counted(out.select(*without(docs, "token_ids", "n_tokens", "round_trip"), F.col(own)["token_ids"].alias("token_ids"), F.col(own)["round_trip"].alias("round_trip")))

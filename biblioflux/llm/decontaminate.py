@@ -159,7 +159,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
 
     A test string of under n words is one window.  Only pairs with a hit are returned, one for each row of docs (rows
     that repeat, repeat).  Case, punctuation and spacing do not count; words match whole.  Null and empty texts on
-    either side match nothing; null doc_ids and item_ids are kept; test strings that repeat under one item_id count once.
+    either side match nothing, nor does an empty table on either side; null doc_ids and item_ids, of any type, are kept; test
+    strings that repeat under one item_id count once, and a window of several items counts for each.  Texts are searched
+    whole, whatever their length.  Other columns, whatever their names, are not looked at.
     The benchmark is read to the driver, since it does not grow with the corpus; whatever its size, a pass holds at most
     PATTERN_BYTES of patterns.
     """
@@ -180,7 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Data
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs without the rows in which ``contaminated`` finds a window of any test string; all columns stay, null texts too."""
+    """docs without the rows in which ``contaminated`` finds a window of any test string; all columns keep their values, and null and empty texts stay."""
     _, sets = _passes(benchmark, n)
     out = bound_batches(docs)
     for s in sets:

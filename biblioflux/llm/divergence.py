@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, row_chunks, text_buffer, words
+from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, row_chunks, text_buffer, unused, without, words
 
 COMMON_WORDS = 64
 MIN_CHARS = 100
@@ -131,13 +131,15 @@ def divergence(docs: DataFrame, refs: dict | None = None, min_chars: int = MIN_C
 
     References are counted over all rows of a language, unless given.  A distance is null if the text has under
     ``min_chars`` characters or ``min_words`` words, or its language is null or has no reference; a row is flagged if a
-    distance it has exceeds its limit, so short and unknown texts are never flagged.  Null texts count as empty.  All
-    rows and columns stay; input columns named like the results are replaced.  Equally common words are taken in the order
-    of their bytes, and repeated rows count as often as they occur.
+    distance it has exceeds its limit (one that equals it does not), so short and unknown texts are never flagged.  Null
+    texts count as empty; texts are read whole, whatever their length.  All rows and columns stay; input columns named like
+    the results are replaced, others keep their values whatever their names.  Equally common words are taken in the order of
+    their bytes, and repeated rows count as often as they occur.  An empty table has no references and no rows.
     """
     if refs is None:
         refs = references(docs)
-    base = bound_batches(docs).drop("char_js", "word_js", "n_words", "flagged", "_d")
-    out = base.withColumn("_d", _scorer(refs, min_chars, min_words)("text", "lang"))
-    flagged = F.coalesce(F.col("_d.char_js") > max_char, F.lit(False)) | F.coalesce(F.col("_d.word_js") > max_word, F.lit(False))
-    return out.select(*base.columns, "_d.char_js", "_d.word_js", "_d.n_words", flagged.alias("flagged"))
+    own = unused("d", docs)
+    out = bound_batches(docs).withColumn(own, _scorer(refs, min_chars, min_words)("text", "lang"))
+    part = F.col(own)
+    flagged = F.coalesce(part["char_js"] > max_char, F.lit(False)) | F.coalesce(part["word_js"] > max_word, F.lit(False))
+    return out.select(*without(docs, "char_js", "word_js", "n_words", "flagged"), *[part[c].alias(c) for c in ("char_js", "word_js", "n_words")], flagged.alias("flagged"))

@@ -225,14 +225,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     return hits.join(small_side(_spread(texts, hits, min_docs), 16), ["leaf", "template"], "left_semi").groupBy("t").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the lines of recurring templates taken out of ``text``, and ``lines_dropped``.
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, result: str = "lines_dropped") -> DataFrame:
+    """docs with the lines of recurring templates taken out of ``text``, and ``lines_dropped`` (or another name, ``result``).
 
     A template recurs when at least ``min_docs`` distinct texts hold a line of it of which no two are near copies, so neither
     exact nor near copies of a document make its own lines recur.  Every recurring line goes, from copies too, and a text of
     nothing else becomes empty.  Every non-empty line counts; one of 1 to 3 tokens is of a template only if its masked
     tokens are equal, and empty lines stay.  Every row and column stays, in any order; null and empty texts stay as they are
-    with 0 dropped.  An input column ``lines_dropped`` is replaced, all others keep their values whatever their names.  An
+    with 0 dropped.  An input column named like the result is replaced, all others keep their values whatever their names.  An
     empty table stays empty.  Equal texts get equal results; lines of the same leaf are parsed in the order of their text
     (ties: equal lines are one), so results depend on the data only.  Texts are read whole, whatever their length.
     """
@@ -243,5 +243,5 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
     gone = F.col(drop)
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(gone.isNull(), F.col("text")).otherwise(kept).alias("text")
-    columns = [text if c == "text" else column(c) for c in docs.columns if c.lower() != "lines_dropped"]
-    return joined.select(*columns, F.when(gone.isNull(), 0).otherwise(F.size(gone)).alias("lines_dropped"))
+    columns = [text if c == "text" else column(c) for c in docs.columns if c.lower() != result.lower()]
+    return joined.select(*columns, F.when(gone.isNull(), 0).otherwise(F.size(gone)).alias(result))

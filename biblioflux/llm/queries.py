@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from biblioflux.llm import bpe, decontaminate, divergence, language_id, licenses, line_templates, minhash, sharding, suffix_merge, weak_labels
 
 
@@ -66,7 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,10 +90,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, lang, round(cj.js, 6) AS char_js, round(wj.js, 6) AS word_js, CAST(coalesce(wn.n, 0) AS INTEGER) AS n_words, coalesce(cj.js > 0.25, false) OR coalesce(wj.js > 0.42, false) AS flagged
         FROM t LEFT JOIN cj USING (id) LEFT JOIN wj USING (id) LEFT JOIN wn USING (id)""",
     "op3_sharding": r"""
-        WITH k AS (SELECT *, coalesce('=' || source, '') AS s, md5('shards-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-        r AS (SELECT *, 2 * row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS r, count(*) OVER (PARTITION BY s) AS n, count(*) OVER () AS total FROM k),
-        x AS (SELECT *, (r * greatest(1, (total + 249) // 250)) // (2 * n) AS shard, CAST(r AS DOUBLE) / CAST(2 * n AS DOUBLE) AS stand FROM r)
-        SELECT doc_id, text, lang, source, n_chars, CAST(shard AS BIGINT) AS shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY stand, s, h, doc_id) AS INTEGER) AS position FROM x""",
+        WITH k AS (SELECT *, coalesce('=' || source, '') AS s, md5('shards-1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h, doc_id) AS r, count(*) OVER (PARTITION BY s) AS n, (CAST('0x' || substr(md5('shards-1;' || s), 1, 8) AS BIGINT) + 0.5) / 4294967296 AS u FROM k),
+        x AS (SELECT *, (CAST(r AS DOUBLE) - 1 + u) / CAST(n AS DOUBLE) AS stand FROM r),
+        p AS (SELECT *, row_number() OVER (ORDER BY stand, s, h, doc_id) - 1 AS p FROM x)
+        SELECT doc_id, text, lang, source, n_chars, p // 250 AS shard, CAST(p % 250 + 1 AS INTEGER) AS position FROM p""",
     "op7_repeated_passages": r"""
         WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         s AS (SELECT doc_id, hash(text) AS h, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM t),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from biblioflux.llm.arrow_text import bound_batches, concat, mix, row_chunks, text_buffer, word_hashes, words
+from biblioflux.llm.arrow_text import bound_batches, concat, mix, row_chunks, text_buffer, unused, without, word_hashes, words
 
 #: Bound of the sample that trains the scorer.
 TRAIN_ROWS = 5000
@@ -224,7 +224,7 @@ def label_model(docs: DataFrame) -> LabelModel:
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np.ndarray, float]:
-    """Label model of all rows, and the scorer trained on the ``train_rows`` rows whose hashed text comes first."""
+    """Label model of all rows, and the scorer trained on the ``train_rows`` distinct texts whose hash comes first."""
     model = label_model(docs)
     h = F.xxhash64(F.lit(7), "text")
     total = docs.count()
@@ -232,7 +232,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[LabelModel, np
     few = docs.where("text is not null").select("text", h.alias("h"))
     if share < 1.0:  # so that the sort sees about twice the sample, whatever the input
         few = few.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = few.orderBy("h").limit(train_rows).select("text").collect()
+    rows = few.dropDuplicates(["h"]).orderBy("h").limit(train_rows).select("text").collect()  # a group of copies is one text of the sample
     arr = pa.array([r.text for r in rows], pa.string())
     del rows
     parts, target, done = [], [np.zeros(0)], 0
@@ -250,10 +250,13 @@ def classify(docs: DataFrame, trained: tuple[LabelModel, np.ndarray, float] | No
     """docs plus ``label`` (posterior of good by the labellers), ``quality`` (the scorer's) and ``keep``.
 
     Votes are counted over all rows; the scorer is trained on a bounded sample, unless given.  Null texts count as
-    empty; texts without features get the scorer's bias.  An empty table gives a model without evidence and no rows.
-    All rows and columns stay, and input columns named like the results are replaced; equal texts get equal results.
+    empty; texts without features get the scorer's bias; texts are read whole, whatever their length.  A quality that equals
+    the threshold is kept.  An empty table gives a model without evidence and no rows.  All rows and columns stay; input
+    columns named like the results are replaced, others keep their values whatever their names.  Repeated rows count in the
+    votes as often as they occur, once in the sample; equal texts get equal results.
     """
     model, weights, bias = trained or train(docs)
-    base = bound_batches(docs).drop("label", "quality", "keep", "_q")
-    out = base.withColumn("_q", _scores(weights, bias, model.posterior)(F.coalesce("text", F.lit(""))))
-    return out.select(*base.columns, "_q.label", "_q.quality", (F.col("_q.quality") >= threshold).alias("keep"))
+    own = unused("q", docs)
+    part = F.col(own)
+    out = bound_batches(docs).withColumn(own, _scores(weights, bias, model.posterior)(F.coalesce("text", F.lit(""))))
+    return out.select(*without(docs, "label", "quality", "keep"), part["label"].alias("label"), part["quality"].alias("quality"), (part["quality"] >= threshold).alias("keep"))

@@ -3,6 +3,9 @@ import random
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+RESULTS = "keep label quality shard position token_ids n_tokens round_trip decoded predicted margin rejected lines_dropped char_js word_js n_words flagged item_id group_id group_size license coverage windows".split()
+#: Names that operators give to columns of their own on the way.
+WORKING = "t _t s _s h _h n _n r _at _r _b part _before before stand stretch ahead drop _drop _doc doc lid _lid d _d q _q bpe _bpe gone _later again _again rank _rank dropped Dropped_ e a b id root band text_ a.b `c`".split()
 SYLLABLES = {"en": "the and ing er on th re tion ly of", "de": "der und sch ein ung lich ge keit zu ber", "fr": "le de eau tion ment oi que les an re"}
 
 
@@ -26,10 +29,22 @@ def edges(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
 
-    clash = "keep label quality shard position token_ids n_tokens round_trip decoded predicted margin rejected lines_dropped char_js word_js n_words flagged item_id group_id".split()
-    return df.withColumns({c: F.lit("x") for c in clash})
+    return df.withColumns({c: F.lit("x") for c in RESULTS})
 
 
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """Rows whose further columns are named like results and working columns, each with a value of the row's own."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    boiler = prose(rng, "en", 9)
+    rows = [(f"d{i:02}", "\n".join([prose(rng, lang, 60), *([boiler] if i % 2 else [])]), lang, "s1", 7) for i, lang in enumerate(["en", "de", "fr"] * 6)]
+    rows += [("d90", rows[2][1], "fr", "s2", 7), ("d91", rows[1][1] + " x", "de", None, 7), ("d91", rows[1][1] + " x", "de", None, 7), (None, None, None, "s1", None), (None, "", "en", "s1", 0), ("d92", prose(rng, "en", 30_000), "en", "s1", 7)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("doc_id long", "doc_id string"))
+    return df.select("*", *[F.concat(F.coalesce("doc_id", F.lit("?")), F.lit(":" + c)).alias(c) for c in [*RESULTS, *WORKING]])
