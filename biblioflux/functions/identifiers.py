@@ -68,6 +68,16 @@ def normalize_arxiv_id(c: Column) -> Column:
     return F.lower(F.trim(F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"v[0-9]+$", ""), F.lit("."), F.lit("-"))))
 
 
+def standard_arxiv_id(c: Column) -> Column:
+    """New-style id anywhere in a text (1234.56789, 1234-56789, after arXiv: or in an address) as 1234-56789; other texts as they are.
+
+    A point counts before a hyphen, wherever they stand.
+    """
+    at = lambda p: F.regexp_extract(c, p, 0)
+    point, hyphen = at(r"[0-9]{4}\.[0-9]{4,5}"), at(r"[0-9]{4}-[0-9]{4,5}")
+    return F.when(point != "", F.replace(point, F.lit("."), F.lit("-"))).when(hyphen != "", hyphen).otherwise(c)
+
+
 def publication_id(directory: Column) -> Column:
     """The archive id in a directory name, else the name itself."""
     name = F.element_at(F.split(directory, "/"), -1)

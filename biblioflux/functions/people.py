@@ -79,3 +79,9 @@ def clean_name(c: Column) -> Column:
 def last_name(c: Column) -> Column:
     n = clean_name(c)
     return F.when(F.contains(n, F.lit(",")), F.trim(F.substring_index(n, ",", 1))).otherwise(F.substring_index(n, " ", -1))
+
+
+def listed_overlap(a: Column, b: Column) -> Column:
+    """Shared last names of two arrays of full names over the smaller set; 0 where either is empty."""
+    names = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: F.lower(last_name(x))), lambda n: n != ""))
+    return F.coalesce(overlap(names(a), names(b)), F.lit(0.0))

@@ -1,7 +1,7 @@
 """LaTeX body -> element tree, by a scanner with a stack.
 
 Environments and braces nest, which no regular expression follows; the scanner runs inside ``mapInArrow`` (see
-``operators.hierarchy.parse``) on whole bodies.
+``operators.hierarchy.parse``) on whole bodies, and reads them in place: no tail of a text is copied.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ MAX_DEPTH = 10
 
 _MARK = re.compile(r"\\(?P<sec>chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?\{|\\begin\{(?P<env>itemize|enumerate|figure\*?|table\*?|displaymath|(?:equation|align|eqnarray|gather|multline)\*?)\}|(?P<dollar>\$\$)|(?P<open>\\\[)")
 _EXCLUDED = re.compile(r"\b(?:references?|bibliograph(?:y|ie)|cited\s*literature)\b", re.I)
+_BRACE = re.compile(r"[{}]")
 _HEADING = re.compile(r"\\textbf\{([^}]+\.)\}")
 _TITLE_LINE = re.compile(r"^\s*([A-Z][^\n\\]+)\s*$", re.M)
 _DOTTED = re.compile(r"\b(?:Dr|Mrs?|Ms|Prof|vs|etc|Fig|Eq|No|Vol|et al)\.|\be\.g\.|\bi\.e\.|\bPh\.D\.|\bM\.D\.|\bU\.S\.|\bU\.K\.|\bA\.I\.|\bM\.L\.")
@@ -34,20 +35,20 @@ class Element:
 def closing_brace(text: str, at: int) -> int:
     """Index of the brace that closes the one before ``at``; -1 if none does."""
     depth = 1
-    for m in re.finditer(r"[{}]", text[at:]):
+    for m in _BRACE.finditer(text, at):
         depth += 1 if m.group() == "{" else -1
         if not depth:
-            return at + m.start()
+            return m.start()
     return -1
 
 
 def environment_end(text: str, at: int, env: str) -> tuple[int, int]:
     """(start, end) of the \\end that matches, counting environments of the same name within."""
     depth = 1
-    for m in re.finditer(r"\\(begin|end)\{" + re.escape(env) + r"\}", text[at:]):
+    for m in re.compile(r"\\(begin|end)\{" + re.escape(env) + r"\}").finditer(text, at):
         depth += 1 if m.group(1) == "begin" else -1
         if not depth:
-            return at + m.start(), at + m.end()
+            return m.start(), m.end()
     return len(text), len(text)
 
 
@@ -65,7 +66,7 @@ def caption(text: str, default: str) -> str:
 def split_sentences(text: str) -> list[str]:
     held = _DOTTED.sub(lambda m: m.group().replace(".", "\ue001"), text)
     out = []
-    for s in re.split(r"(?<=[!?.])\s+(?=[0-9A-Z])", held):
+    for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", held):
         s = s.replace("\ue001", ".")
         out += re.split(r"(?<=\.)\s+(?=\d+%)", s) if s.count("%") >= 2 else [s]
     return [s for s in (x.strip() for x in out) if len(s) >= 5 and not _FIGURES.fullmatch(s)]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 #: English function words that ``content_tokens`` leaves out.
 STOP_WORDS = (
@@ -36,14 +42,20 @@ def normalize_keep_signs(c: Column) -> Column:
     return squeeze(unwrap_latex(F.lower(F.coalesce(c, F.lit("")))))
 
 
-_MARKED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥìíîïĩīĭįıĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccddeeeeeeeeegggghiiiiiiiiijkllllnnnnooooooooorrrsssstttuuuuuuuuuuwyyyzzz"
+@arrow_udf(StringType())
+def _decomposed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for arr in batches:
+        yield pa.array([None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in arr.to_pylist()], pa.string())
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents on Latin letters, single spaces; null and blank give ''."""
-    plain = F.translate(F.lower(F.coalesce(c, F.lit(""))), _MARKED, _PLAIN)
-    return squeeze(F.regexp_replace(plain, r"\p{M}", ""))
+    """Lower case, compatibility forms decomposed (NFKD) and without combining marks, single spaces; null and blank give ''.
+
+    Only texts beyond ASCII leave the JVM.
+    """
+    t = F.lower(F.coalesce(c, F.lit("")))
+    plain = ~t.rlike(r"[^\x00-\x7f]")
+    return squeeze(F.when(plain, t).otherwise(F.coalesce(_decomposed(F.when(~plain, t)), F.lit(""))))
 
 
 def strip_latex(c: Column) -> Column:
@@ -58,6 +70,16 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
+def plain_tokens(c: Column) -> Column:
+    """Lower-case words of two characters or more, signs as spaces."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{M}\p{N}_\s]", " "), r"\s+"), lambda w: F.length(w) > 1)
+
+
+def text_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of the ``plain_tokens`` of two texts; 0 where either has none."""
+    return jaccard(F.array_distinct(plain_tokens(a)), F.array_distinct(plain_tokens(b)))
+
+
 def content_tokens(c: Column, min_len: int = 2) -> Column:
     """Words of at least min_len characters, folded, without stop words."""
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])

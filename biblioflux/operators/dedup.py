@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from biblioflux.functions import latex, people, similarity
+from biblioflux.operators.order import cut_lineage
 
 MAX_ROUNDS = 100
 
@@ -30,15 +31,10 @@ def seed_groups(nodes: DataFrame, pairs: DataFrame, checkpoint=None) -> DataFram
     covers its later duplicates, so groups are not transitive.
 
     In rounds: an undecided entry becomes a seed when all its earlier duplicates are covered, and entries with an
-    earlier seed are covered; when none is left, each covered entry joins its first seed.
+    earlier seed are covered; when none is left, each covered entry joins its first seed.  A chain of duplicates takes a
+    round for every second link; one that MAX_ROUNDS do not settle is an error, not a guess.
     """
-    import tempfile
-
-    sc = nodes.sparkSession.sparkContext
-    if checkpoint is None:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        checkpoint = lambda df: df.checkpoint()
+    checkpoint = checkpoint or cut_lineage
     pairs = checkpoint(pairs)
     touched = checkpoint(pairs.select("pub_id", F.explode(F.array("a", "b")).alias("ord")).distinct().withColumn("state", F.lit(0)))
     for _ in range(MAX_ROUNDS):
@@ -48,6 +44,9 @@ def seed_groups(nodes: DataFrame, pairs: DataFrame, checkpoint=None) -> DataFram
         now = touched.join(before, ["pub_id", "ord"], "left").na.fill(0, ["seeded", "open"])
         state = F.when(F.col("state") != 0, F.col("state")).when(F.col("seeded") == 1, 2).when(F.col("open") == 0, 1).otherwise(0)
         touched = checkpoint(now.select("pub_id", "ord", state.alias("state")))
+    else:
+        if not touched.where("state = 0").isEmpty():
+            raise RuntimeError(f"duplicate groups did not settle in {MAX_ROUNDS} rounds")
     seeds = touched.where("state = 1").select("pub_id", F.col("ord").alias("a"))
     joined = pairs.join(seeds, ["pub_id", "a"], "left_semi").join(touched.where("state = 2").select("pub_id", F.col("ord").alias("b")), ["pub_id", "b"], "left_semi")
     member = joined.groupBy("pub_id", F.col("b").alias("ord")).agg(F.min("a").alias("seed"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +16,11 @@ TEXT_FEATURES = (
     "abstract_jaccard venue_similarity text_word_overlap bigram_similarity title_length_ratio"
 ).split()
 HIERARCHY_FEATURES = (
-    "avg_citation_depth citation_count cited_in_abstract cited_in_conclusion cited_in_intro cited_in_methods cited_in_related_work cited_in_results co_citation_count "
-    "first_citation_depth has_citation has_co_citations in_itemize max_citation_depth min_citation_depth near_figure near_formula near_table"
+    "citation_count has_citation "
+    "cited_in_intro cited_in_related_work cited_in_methods cited_in_results cited_in_conclusion cited_in_abstract "
+    "avg_citation_depth min_citation_depth max_citation_depth first_citation_depth "
+    "near_figure near_table near_formula in_itemize "
+    "co_citation_count has_co_citations"
 ).split()
 GROUPS = {"title": TEXT_FEATURES[:5], "author": TEXT_FEATURES[5:10], "year": TEXT_FEATURES[10:14], "text": TEXT_FEATURES[14:], "hierarchy": HIERARCHY_FEATURES}
 
@@ -82,10 +87,86 @@ def attach_hierarchy(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return pairs.join(features, ["pub_id", "bib_key"], "left").na.fill(0, HIERARCHY_FEATURES)
 
 
-def tfidf_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two word arrays under the smoothed idf of just these two texts: ln(3 / (1 + df)) + 1."""
-    shared, idf1 = F.array_intersect(a, b), F.lit(1.0 + 0.4054651081081644)  # ln(3/2): in one of the two texts
-    n = lambda words, w: F.size(F.filter(words, lambda x: x == w)).cast("double")
-    dot = F.aggregate(shared, F.lit(0.0), lambda s, w: s + n(a, w) * n(b, w))
-    norm = lambda words: F.sqrt(F.aggregate(F.array_distinct(words), F.lit(0.0), lambda s, w: s + F.pow(n(words, w) * F.when(F.array_contains(shared, w), 1.0).otherwise(idf1), F.lit(2.0))))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
+#: The common English stop-word list of text classification, as the vectorizer of the match features uses it.
+TFIDF_STOP_WORDS = """a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at
+back be became because become becomes becoming been before beforehand behind being below beside besides between beyond bill both bottom but by call can cannot cant co con could couldnt cry de describe detail do done down due during
+each eg eight either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen fifty fill find fire first five for former formerly forty found four from front full further get give go
+had has hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however hundred i ie if in inc indeed interest into is it its itself keep last latter latterly least less ltd made many may me
+meanwhile might mill mine more moreover most mostly move much must my myself name namely neither never nevertheless next nine no nobody none noone nor not nothing now nowhere of off often on once one only onto or other others otherwise
+our ours ourselves out over own part per perhaps please put rather re same see seem seemed seeming seems serious several she should show side since sincere six sixty so some somehow someone something sometime sometimes somewhere still
+such system take ten than that the their them themselves then thence there thereafter thereby therefore therein thereupon these they thick thin third this those though three through throughout thru thus to together too top toward towards
+twelve twenty two un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with
+within without would yet you your yours yourself yourselves""".split()
+MAX_TERMS = 500
+
+
+def tfidf_terms(c: Column, longest: int = 2) -> Column:
+    """Words of two characters or more, without stop words, and then their runs of up to ``longest`` words."""
+    stops = F.array(*[F.lit(w) for w in TFIDF_STOP_WORDS])
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~F.array_contains(stops, w))
+    return F.concat(words, *[text.ngrams(words, n) for n in range(2, longest + 1)])
+
+
+def tfidf_cosine(a: Column, b: Column, max_terms: int = MAX_TERMS) -> Column:
+    """Cosine of two term arrays under the smoothed idf of just these two texts: ln(3 / (1 + df)) + 1; 0 where either is empty.
+
+    Only the ``max_terms`` terms most frequent in both together count, of equals the first by name.
+    """
+    n = lambda terms, t: F.size(F.filter(terms, lambda x: x == t))
+    every = F.array_distinct(F.concat(a, b))
+    counted = F.transform(every, lambda t: F.struct((-n(a, t) - n(b, t)).alias("k"), t.alias("t"), n(a, t).cast("double").alias("x"), n(b, t).cast("double").alias("y")))
+    counted = F.when(F.size(every) <= max_terms, counted).otherwise(F.slice(F.array_sort(counted), 1, max_terms))
+    idf = lambda r: F.when((r["x"] > 0) & (r["y"] > 0), 1.0).otherwise(1.0 + math.log(1.5))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("d", "p", "q")])
+
+    def add(s: Column, r: Column) -> Column:
+        w = idf(r)
+        return F.struct((s["d"] + r["x"] * r["y"] * w * w).alias("d"), (s["p"] + F.pow(r["x"] * w, F.lit(2.0))).alias("p"), (s["q"] + F.pow(r["y"] * w, F.lit(2.0))).alias("q"))
+
+    return F.aggregate(counted, zero, add, lambda s: F.when((s["p"] > 0) & (s["q"] > 0), s["d"] / (F.sqrt(s["p"]) * F.sqrt(s["q"]))).otherwise(0.0))
+
+
+SECTION_WORDS = ("introduction", "related_work", "method", "experiment", "conclusion")
+
+
+def author_percents(a: Column, b: Column) -> dict[str, Column]:
+    """Author scores of two raw strings, in percent: whole and partial ratio, word Jaccard, and ratio of the initials."""
+    x, y = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (a, b))
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    initials = lambda c: F.array_join(F.transform(words(c), lambda w: F.substring(w, 1, 1)), "")
+    return {
+        "author_fuzz_ratio": 100 * similarity.ratio(x, y),
+        "author_fuzz_partial": 100 * similarity.partial_ratio(x, y),
+        "author_overlap": F.round(100 * text.jaccard(F.array_distinct(words(x)), F.array_distinct(words(y))), 2),
+        "author_initials_match": 100 * similarity.ratio(initials(x), initials(y)),
+    }
+
+
+def year_gaps(a: Column, b: Column) -> dict[str, Column]:
+    """Year scores of two whole-number strings; a year that is missing, 0 or no number is 100 years away."""
+    x, y = (F.nullif(F.when(F.trim(c.cast("string")).rlike(r"^[+-]?[0-9]{1,9}$"), F.trim(c.cast("string")).cast("int")), F.lit(0)) for c in (a, b))
+    gap = F.abs(x - y)
+    return {"year_match": F.coalesce((gap == 0).cast("int"), F.lit(0)), "year_diff": F.coalesce(gap, F.lit(100)), "year_close": F.coalesce((gap <= 1).cast("int"), F.lit(0))}
+
+
+def text_percents(a: Column, b: Column, a_venue: Column, b_venue: Column) -> dict[str, Column]:
+    """Text scores in percent: TF-IDF cosine over single words, venue ratio, and the first text's length up to 500 characters."""
+    x, y = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (a, b))
+    venue = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return {
+        "combined_tfidf": F.round(100 * tfidf_cosine(tfidf_terms(x, 1), tfidf_terms(y, 1), 1 << 30), 2),
+        "venue_fuzz": 100 * similarity.ratio(venue(a_venue), venue(b_venue)),
+        "ref_text_length": F.round(F.least(F.length(x), F.lit(500)) / 5.0, 2),
+    }
+
+
+def place_percents(section: Column, depth: Column, position: Column, context: Column, citations: Column) -> dict[str, Column]:
+    """Scores of a citation's place: a section of note, and depth, position, context and citations clipped to 5, 1, 1000 and 20, in percent."""
+    share = lambda c, most: F.round(100.0 * F.least(c, F.lit(most)) / most, 2)
+    return {
+        "hierarchy_section_match": F.lower(section).isin(*SECTION_WORDS[:3]).cast("int"),
+        "hierarchy_depth": share(depth, 5),
+        "hierarchy_position": share(F.greatest(position, F.lit(0.0)), 1),
+        "context_length": share(context, 1000),
+        "citation_density": share(citations, 20),
+    }

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from biblioflux.functions import latex
 from biblioflux.functions.structure import Scanner
 
 ELEMENT = "pub_id string, version int, element_id string, element_type string, ord long, parent_id string, raw_text string"
+_ELEMENT = pa.schema([("pub_id", pa.string()), ("version", pa.int32()), ("element_id", pa.string()), ("element_type", pa.string()), ("ord", pa.int64()), ("parent_id", pa.string()), ("raw_text", pa.string())])
 _SHORT = {"document": "doc", "section": "sec", "subsection": "subsec", "subsubsection": "subsubsec", "chapter": "chap", "paragraph": "par", "subparagraph": "subpar", "sentence": "sent", "figure": "fig"}
 SECTION_TYPES = ("chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
+TYPES = ("document", *SECTION_TYPES, "sentence", "formula", "figure", "table", "item", "itemize", "enumerate")
 FLAGS = (
     ("cited_in_intro", "intro"),
     ("cited_in_related_work", "related|background|prior|previous"),
@@ -22,18 +25,23 @@ FLAGS = (
     ("cited_in_results", "result|experiment|evaluation|empirical"),
     ("cited_in_conclusion", "conclusion|summary|discussion|future"),
 )
-MAX_CHAIN = 100
+#: Type of the one row of a version whose source could not be read; its text says why.
+FAILED = "failed"
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            ids: dict[int, str] = {}
-            for e in _elements(r.pub_id, r.body):
-                ids[e.ord] = f"{r.pub_id}-v{r.version}-{_SHORT.get(e.kind, e.kind)}-{e.ord}"
-                out.append((r.pub_id, r.version, ids[e.ord], e.kind, e.ord, ids.get(e.parent), e.text))
-        yield pd.DataFrame(out, columns=["pub_id", "version", "element_id", "element_type", "ord", "parent_id", "raw_text"])
+        for publication, version, body in zip(*(batch.column(c).to_pylist() for c in ("pub_id", "version", "body"))):
+            try:
+                found = _elements(publication, body)
+            except Exception as e:  # one publication's fault is not another's
+                row = (publication, version, f"{publication}-v{version}-{FAILED}", FAILED, 0, None, f"{type(e).__name__}: {e}")
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ELEMENT.types)], schema=_ELEMENT)
+                continue
+            ids = {e.ord: f"{publication}-v{version}-{_SHORT.get(e.kind, e.kind)}-{e.ord}" for e in found}
+            n = len(found)
+            columns = ([publication] * n, [version] * n, list(ids.values()), [e.kind for e in found], [e.ord for e in found], [ids.get(e.parent) for e in found], [e.text for e in found])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _ELEMENT.types)], schema=_ELEMENT)
 
 
 def _elements(publication: str, body: str):
@@ -42,13 +50,15 @@ def _elements(publication: str, body: str):
     return scanner.elements
 
 
-def parse(sources: DataFrame) -> DataFrame:
+def parse(sources: DataFrame, failures: bool = False) -> DataFrame:
     """ELEMENT rows of (pub_id, version, text): one tree per version, the document its root.
 
-    Comments go once, before the scan; excluded are bibliographies and the sections named so.  Texts are scanned whole.
+    Comments go once, before the scan; excluded are bibliographies and the sections named so.  Texts are scanned whole.  A
+    version that cannot be scanned does not stop the others; it has no elements, or with ``failures`` one of type FAILED.
     """
-    bodies = sources.select("pub_id", "version", latex.body(latex.remove_comments(F.col("text"))).alias("body"))
-    return bodies.mapInPandas(_scan, ELEMENT)
+    bodies = sources.select(F.col("pub_id").cast("string").alias("pub_id"), F.col("version").cast("int").alias("version"), latex.body(latex.remove_comments(F.col("text"))).alias("body"))
+    found = bodies.mapInArrow(_scan, ELEMENT)
+    return found if failures else found.where(F.col("element_type") != FAILED)
 
 
 def edges(elements: DataFrame) -> DataFrame:
@@ -63,26 +73,60 @@ def citation_index(elements: DataFrame, text: str = "raw_text") -> DataFrame:
     return rows.select("pub_id", F.trim("k").alias("bib_key"), "element_id", "ord", "at").where("bib_key <> ''")
 
 
+def _streamed(key: list[str], rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Groups of equal keys, as lists of rows, from batches sorted by the key."""
+    now, held = None, []
+    for batch in rows:
+        for r in batch.to_pylist():
+            k = tuple(r[c] for c in key)
+            if k != now:
+                if held:
+                    yield now, held
+                now, held = k, []
+            held.append(r)
+    if held:
+        yield now, held
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 5000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), schema.types)], schema=schema)
+            held = []
+    columns = list(zip(*held)) if held else [()] * len(schema)
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, schema.types)], schema=schema)
+
+
 def chains(edge_rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key.., node, chain, depth): ancestors of each node from its parent to the root, at most MAX_CHAIN; a cycle's chain
-    ends before it repeats.  A tree is climbed by one task: it is one publication's, and its edges are narrow."""
+    """(key.., node, chain, depth): ancestors of each node from its parent to the root; a cycle's chain ends before it repeats.
+
+    A tree is climbed by one task: it is one publication's, and its edges are narrow.  Many trees share a batch.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     kinds = {f.name: f.dataType.simpleString() for f in edge_rows.schema}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), f"node {kinds['child_id']}", f"chain array<{kinds['child_id']}>", "depth int"])
+    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), f"node {kinds['child_id']}", f"chain array<{kinds['child_id']}>", "depth int"])
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
 
-    def climb(tree: pd.DataFrame) -> pd.DataFrame:
+    def climb(tree: list[dict]) -> Iterator[tuple]:
         parent: dict = {}
-        for c, p in zip(tree["child_id"].tolist(), tree["parent_id"].tolist()):
-            parent.setdefault(c, p)
-        out = []
+        for r in tree:
+            parent.setdefault(r["child_id"], r["parent_id"])
         for node in parent:
-            chain, at = [], parent[node]
-            while at is not None and at == at and at not in chain and at != node and len(chain) < MAX_CHAIN:
+            chain, seen, at = [], {node}, parent[node]
+            while at is not None and at not in seen:
                 chain.append(at)
+                seen.add(at)
                 at = parent.get(at)
-            out.append((*(tree[k].iloc[0] for k in key), node, chain, len(chain)))
-        return pd.DataFrame(out, columns=[*key, "node", "chain", "depth"])
+            yield node, chain, len(chain)
 
-    return edge_rows.select(*key, "child_id", "parent_id").groupBy(*key).applyInPandas(climb, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(((*k, *row) for k, tree in _streamed(key, batches) for row in climb(tree)), schema)
+
+    return edge_rows.select(*key, "child_id", "parent_id").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ddl)
 
 
 def ancestors(edge_rows: DataFrame, key: list[str]) -> DataFrame:
@@ -97,49 +141,93 @@ def siblings(edge_rows: DataFrame, key: list[str]) -> DataFrame:
     return edge_rows.withColumnRenamed("child_id", "node").join(other, [*key, "parent_id"]).select(*key, "node", "sibling")
 
 
+_FEATURES = "pub_id string, bib_key string, citation_count long, has_citation int, " + ", ".join(f"{n} int" for n, _ in FLAGS) + ", cited_in_abstract int, avg_citation_depth double, min_citation_depth int, max_citation_depth int, first_citation_depth int, near_figure int, near_table int, near_formula int, in_itemize int, co_citation_count int, has_co_citations int"
+_CITE = re.compile(latex.CITE)
+_FLAGS = [re.compile(words) for _, words in FLAGS]
+
+
+def cited_in(text: str) -> list[str]:
+    """Keys of all citations of a text, repeated ones kept."""
+    return [k for m in _CITE.finditer(text or "") for k in (x.strip(" ") for x in m.group(1).split(",")) if k]
+
+
+def _heading(kind: str, title: str) -> tuple[int, ...]:
+    """What a section's heading says of the citations below it: the first of FLAGS it fits, and whether it is the abstract."""
+    out = [0] * (len(FLAGS) + 1)
+    if kind in SECTION_TYPES:
+        first = next((i for i, p in enumerate(_FLAGS) if p.search(title.lower())), None)
+        if first is not None:
+            out[first] = 1
+        out[-1] = int(title.lower().startswith("abstract"))
+    return tuple(out)
+
+
+def _tree_features(elements: list[dict]) -> Iterator[tuple]:
+    """One publication's rows of citation features, by one pass over its elements and one over its citations."""
+    nodes: dict[str, dict] = {}
+    for e in sorted(elements, key=lambda e: (e["version"], e["ord"])):
+        nodes.setdefault(e["element_id"], e)
+    near: dict[str, set] = defaultdict(set)
+    for e in nodes.values():
+        if e["parent_id"] is not None:
+            near[e["parent_id"]].add(e["element_type"])
+    above: dict[str | None, tuple] = {None: (0, (0,) * (len(FLAGS) + 1))}
+
+    def climb(at: str | None) -> tuple:
+        """(number, flags) of a node and its ancestors; a cycle ends before it repeats."""
+        path = []
+        while at not in above and at not in path:
+            path.append(at)
+            at = nodes[at]["parent_id"] if at in nodes else None
+        depth, flags = above.get(at, above[None])
+        for node in reversed(path):
+            own = _heading(nodes[node]["element_type"], nodes[node]["raw_text"] or "") if node in nodes else above[None][1]
+            depth, flags = depth + 1, tuple(max(a, b) for a, b in zip(flags, own))
+            above[node] = (depth, flags)
+        return depth, flags
+
+    cites: dict[str, list] = defaultdict(list)
+    for e in nodes.values():
+        keys = cited_in(e["raw_text"])
+        if not keys:
+            continue
+        depth, flags = climb(e["parent_id"])
+        kinds = near[e["parent_id"]] if e["parent_id"] is not None else set()
+        beside = (int("figure" in kinds), int("table" in kinds), int("formula" in kinds), int(bool(kinds & {"item", "itemize", "enumerate"})))
+        for at, k in enumerate(keys):
+            cites[k].append((e["ord"], at, e["version"], depth, flags, beside, set(keys)))
+    for k, rows in cites.items():
+        depths = [r[3] for r in rows]
+        together = len(set().union(*(r[6] for r in rows)) - {k})
+        top = lambda i: tuple(max(x) for x in zip(*(r[i] for r in rows)))
+        yield k, len(rows), 1, *top(4), sum(depths) / len(depths), min(depths), max(depths), min(rows, key=lambda r: r[:3])[3], *top(5), together, int(together > 0)
+
+
 def citation_features(elements: DataFrame) -> DataFrame:
-    """(pub_id, bib_key, 18 features): how often, where, how deep, near what and with what each key is cited."""
-    first = F.row_number().over(Window.partitionBy("pub_id", "element_id").orderBy("version"))
-    nodes = elements.withColumn("_r", first).where("_r = 1")
-    tree = edges(nodes).select("pub_id", "child_id", "parent_id")
-    cited = citation_index(nodes)
-    contexts = cited.groupBy("pub_id", "bib_key").agg(F.count(F.lit(1)).alias("citation_count"))
-    where = cited.select("pub_id", "bib_key", "element_id", "ord", "at")
-    up = ancestors(tree, ["pub_id"])
-    titles = nodes.select("pub_id", F.col("element_id").alias("ancestor"), F.col("element_type").alias("kind"), F.lower("raw_text").alias("title"))
-    above = up.join(titles, ["pub_id", "ancestor"])
-    section = F.col("kind").isin(*SECTION_TYPES)
-    flags, before = [], F.lit(False)
-    for name, words in FLAGS:  # the first group of words that a heading has is its kind
-        hit = section & F.col("title").rlike(words)
-        flags.append(F.max((hit & ~before).cast("int")).alias(name))
-        before = before | hit
-    flags.append(F.max((F.col("title").rlike("^abstract") & section).cast("int")).alias("cited_in_abstract"))
-    per_node = above.withColumnRenamed("node", "element_id").groupBy("pub_id", "element_id").agg(*flags, F.max("depth").alias("depth"))
-    kinds = nodes.select("pub_id", F.col("element_id").alias("sibling"), F.col("element_type").alias("near"))
-    near = siblings(tree, ["pub_id"]).join(kinds, ["pub_id", "sibling"]).withColumnRenamed("node", "element_id")
-    near = near.groupBy("pub_id", "element_id").agg(
-        F.max((F.col("near") == "figure").cast("int")).alias("near_figure"),
-        F.max((F.col("near") == "table").cast("int")).alias("near_table"),
-        F.max((F.col("near") == "formula").cast("int")).alias("near_formula"),
-        F.max(F.col("near").isin("item", "itemize", "enumerate").cast("int")).alias("in_itemize"),
-    )
-    joined = where.join(per_node, ["pub_id", "element_id"], "left").join(near, ["pub_id", "element_id"], "left")
-    depth = F.coalesce("depth", F.lit(0))
-    one = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(c)
-    summed = joined.groupBy("pub_id", "bib_key").agg(
-        *[one(n) for n, _ in FLAGS],
-        one("cited_in_abstract"),
-        F.avg(depth).alias("avg_citation_depth"),
-        F.min(depth).alias("min_citation_depth"),
-        F.max(depth).alias("max_citation_depth"),
-        F.min_by(depth, F.struct("ord", "at")).alias("first_citation_depth"),
-        *[one(n) for n in ("near_figure", "near_table", "near_formula", "in_itemize")],
-    )
-    together = cocitations(cited)
-    out = contexts.join(summed, ["pub_id", "bib_key"]).join(together, ["pub_id", "bib_key"], "left")
-    n = F.coalesce("co_citation_count", F.lit(0))
-    return out.withColumns({"has_citation": F.lit(1), "co_citation_count": n, "has_co_citations": (n > 0).cast("int")})
+    """(pub_id, bib_key, 18 features): how often, where, how deep, near what and with what each key is cited.
+
+    Elements travel once, by publication; each publication's tree is read in one pass, many to a batch.  Of an element that
+    several versions hold the first counts.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(_FEATURES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(((*k, *row) for k, tree in _streamed(["pub_id"], batches) for row in _tree_features(tree)), schema)
+
+    rows = elements.select("pub_id", "version", "element_id", "element_type", "ord", "parent_id", "raw_text")
+    return rows.repartition("pub_id").sortWithinPartitions("pub_id").mapInArrow(run, _FEATURES)
+
+
+def scan_for_keys(elements: DataFrame, keys: DataFrame, text: str = "raw_text") -> DataFrame:
+    """(pub_id, bib_key, element_id) of the elements that cite the keys, by search in each element: for texts without an index.
+
+    A key counts where it stands as a whole word in a citation command, even beside others in one group.
+    """
+    hay = elements.select("pub_id", "element_id", F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\\cite[pt]?\*?(?:\[[^\]]*\])?\{([^}]*)\}"), F.lit(1)), lambda g: F.split(g, r"[^\w:.+/-]+")))).alias("words"))
+    return hay.select("pub_id", "element_id", F.explode("words").alias("bib_key")).join(keys.select("pub_id", "bib_key").distinct(), ["pub_id", "bib_key"], "left_semi").select("pub_id", "bib_key", "element_id")
 
 
 def cocitations(cited: DataFrame) -> DataFrame:
@@ -168,4 +256,4 @@ def consistency(elements: DataFrame, edge_rows: DataFrame) -> tuple[DataFrame, D
 
 def statistics(elements: DataFrame) -> DataFrame:
     """Element counts by type for each publication version."""
-    return elements.groupBy("pub_id", "version").pivot("element_type", ["sentence", "formula", "figure", "table", "section", "subsection", "chapter", "item", "itemize", "enumerate"]).count().na.fill(0)
+    return elements.groupBy("pub_id", "version").pivot("element_type", list(TYPES)).count().na.fill(0)

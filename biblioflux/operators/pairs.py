@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from biblioflux.functions import identifiers, people, similarity, text
+from biblioflux.operators.order import numbered
 
 QUERY = ["pub_id", "bib_key"]
 
@@ -33,11 +36,16 @@ def auto_label(bib_title: Column, cand_title: Column, bib_year: Column, cand_yea
     return F.when(score >= 1.0, 1).when((score >= 0.9) & near, 1).when((score >= 0.8) & shared, 1)
 
 
-def auto_label_batch(pairs: DataFrame, manual: DataFrame) -> DataFrame:
-    """(pub_id, bib_key, candidate_id): the first candidate with label 1 of each entry that has no manual label."""
+def auto_label_batch(pairs: DataFrame, manual: DataFrame, target: float | None = None) -> DataFrame:
+    """(pub_id, bib_key, candidate_id): the first candidate with label 1 of each entry that has no manual label.
+
+    With ``target``, the strict limit: labelling stops once floor(target x pairs without manual label) entries are labelled
+    (but not before the first), in the order of publication and key.
+    """
     free = pairs.join(manual, QUERY, "left_anti")
     first = F.expr("min_by(candidate_id, cand_ord) filter (where label = 1)")
-    return free.groupBy(*QUERY).agg(first.alias("candidate_id")).where("candidate_id is not null")
+    found = free.groupBy(*QUERY).agg(first.alias("candidate_id")).where("candidate_id is not null")
+    return found if target is None else found.orderBy(*QUERY).limit(max(1, int(free.count() * target)))
 
 
 def merge_labels(pairs: DataFrame, manual: DataFrame, auto: DataFrame) -> DataFrame:
@@ -85,30 +93,92 @@ def auto_accept(suggestions: DataFrame, threshold: float = 85) -> DataFrame:
     return suggestions.where((F.col("rank") == 1) & (F.col("score") >= threshold)).select(*QUERY, "candidate_id")
 
 
-def labelling_candidates(bib: DataFrame, cand: DataFrame, least: int = 20) -> DataFrame:
-    """(pub_id, m, n, potential, status) of each publication, those with most potential labels first."""
+def labelling_candidates(bib: DataFrame, cand: DataFrame, least: int = 20, publications: DataFrame | None = None) -> DataFrame:
+    """(pub_id, m, n, potential, status) of each publication, those with most potential labels first.
+
+    publications (pub_id, has_candidates, has_entries) tells of the files: with it, a publication whose file is missing is
+    told from one whose file is empty, and one without any rows is listed too.
+    """
     m = bib.groupBy("pub_id").agg(F.count(F.lit(1)).alias("m"))
     n = cand.groupBy("pub_id").agg(F.count(F.lit(1)).alias("n"))
-    both = m.join(n, "pub_id", "full").na.fill(0, ["m", "n"]).withColumn("potential", F.least("m", "n"))
-    status = F.when(F.col("m") == 0, "no entries").when(F.col("n") == 0, "no candidates").when(F.col("potential") < least, "too few").otherwise("eligible")
-    return both.withColumn("status", status).orderBy(F.desc("potential"), "pub_id")
+    both = m.join(n, "pub_id", "full")
+    if publications is not None:
+        both = publications.join(both, "pub_id", "left")
+    both = both.na.fill(0, ["m", "n"]).withColumn("potential", F.least("m", "n"))
+    missing = (lambda c: ~F.col(c)) if publications is not None else (lambda c: F.lit(False))
+    status = F.when(missing("has_candidates"), "no candidate file").when(F.col("n") == 0, "no candidates").when(missing("has_entries"), "no entry file").when(F.col("m") == 0, "no entries").when(F.col("potential") < least, "too few").otherwise("eligible")
+    return both.withColumn("status", status).select("pub_id", "m", "n", "potential", "status").orderBy(F.desc("potential"), "pub_id")
+
+
+def labelling_counts(scanned: DataFrame) -> DataFrame:
+    """One row: publications by status of ``labelling_candidates``: five reasons to skip one, those that are eligible, and all."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return scanned.agg(
+        n("no candidate file").alias("no_candidate_file"), n("no candidates").alias("no_candidates"), n("no entry file").alias("no_entry_file"), n("no entries").alias("no_entries"),
+        n("too few").alias("too_few"), n("eligible").alias("eligible"), F.count(F.lit(1)).alias("publications"),
+    )
+
+
+def top_publications(scanned: DataFrame, k: int = 10) -> DataFrame:
+    """The k eligible publications with most potential labels."""
+    return scanned.where("status = 'eligible'").orderBy(F.desc("potential"), "pub_id").limit(k)
+
+
+def one_publication(bib: DataFrame, cand: DataFrame, pub_id: str, k: int = 5) -> DataFrame:
+    """(side, key, title): the first k entries and candidates of a publication, to look at before it is labelled."""
+    sides = [df.where(F.col("pub_id") == pub_id).orderBy(key).limit(k).select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), F.col(title).alias("title")) for df, side, key, title in ((bib, "entry", "bib_key", "bib_title"), (cand, "candidate", "candidate_id", "cand_title"))]
+    return sides[0].unionByName(sides[1])
+
+
+def compliance(pairs: DataFrame, min_publications: int = 5, min_labels: int = 20, min_auto: float = 0.1) -> DataFrame:
+    """(requirement, required, actual, status) from pairs with ``label`` and ``origin``.
+
+    The automatic share is that of publications with automatic labels among those without manual ones, 0 if there are none.
+    """
+    per = pairs.groupBy("pub_id").agg(F.max((F.col("origin") == "manual").cast("int")).alias("m"), F.max((F.col("origin") == "auto").cast("int")).alias("a"), F.count_if((F.col("origin") == "manual") & (F.col("label") == 1)).alias("n"))
+    one = per.agg(F.sum("m").cast("double").alias("pubs"), F.sum("n").cast("double").alias("labels"), F.expr("coalesce(try_divide(sum(if(m = 0, a, 0)), sum(1 - m)), 0.0)").cast("double").alias("auto"))
+    rows = [("manual publications", float(min_publications), "pubs"), ("manual labels", float(min_labels), "labels"), ("automatic share", min_auto, "auto")]
+    listed = F.array(*[F.struct(F.lit(name).alias("requirement"), F.lit(need).alias("required"), F.coalesce(c, F.lit(0.0)).alias("actual")) for name, need, c in rows])
+    return one.select(F.inline(listed)).withColumn("status", F.when(F.col("actual") >= F.col("required"), "PASS").otherwise("FAIL"))
 
 
 def split_publications(pairs: DataFrame, seed: int = 42, train: float = 0.7, valid: float = 0.15) -> DataFrame:
     """(pub_id, split): publications in a seeded order, floor(train n) to train, floor(valid n) to valid, the rest to test."""
-    pubs = pairs.select("pub_id").distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("pub_id"))))
-    # one row per publication: a single small partition
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    r = F.row_number().over(Window.orderBy("_h", "pub_id"))
-    t, v = F.floor(n * train), F.floor(n * valid)
-    return pubs.withColumn("_r", r).withColumn("_t", t).withColumn("_v", v).select("pub_id", F.when(F.col("_r") <= F.col("_t"), "train").when(F.col("_r") <= F.col("_t") + F.col("_v"), "valid").otherwise("test").alias("split"))
+    pubs = pairs.select("pub_id").distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("pub_id").cast("string"))))
+    ranked, n = numbered(pubs, "_r", "_h", "pub_id")
+    t, v = math.floor(n * train), math.floor(n * valid)
+    return ranked.select("pub_id", F.when(F.col("_r") <= t, "train").when(F.col("_r") <= t + v, "valid").otherwise("test").alias("split"))
+
+
+def split_by_labels(pairs: DataFrame, manual: DataFrame, auto: DataFrame, seed: int = 42) -> DataFrame:
+    """(pub_id, split): publications of automatic labels train; those of manual ones, in a seeded order, validate in the first
+    half (rounded down) and test in the second.  A publication of both trains; one of neither is in no split.  Without
+    publications of either kind all are split at random, as ``split_publications`` does."""
+    m, a = manual.select("pub_id").distinct(), auto.select("pub_id").distinct()
+    if m.isEmpty() or a.isEmpty():
+        return split_publications(pairs, seed)
+    halves = split_publications(m, seed, train=0.0, valid=0.5)
+    both = halves.join(a, "pub_id", "left_anti").unionByName(a.withColumn("split", F.lit("train")))
+    return both.join(pairs.select("pub_id").distinct(), "pub_id", "left_semi")
+
+
+def split_queries(pairs: DataFrame, seed: int = 42, test: float = 0.2) -> DataFrame:
+    """(pub_id, bib_key, split): entries in a seeded order, ceil(test n) to test and the rest to train, so that no entry is in both."""
+    keys = pairs.select(*QUERY).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in QUERY])))
+    ranked, n = numbered(keys, "_r", "_h", *QUERY)
+    return ranked.select(*QUERY, F.when(F.col("_r") <= math.ceil(n * test), "test").otherwise("train").alias("split"))
 
 
 def split_by_origin(pairs: DataFrame) -> DataFrame:
     """(pub_id, split): the first manual and first automatic publication test, the second ones validate, the rest train."""
     per = pairs.groupBy("pub_id").agg(F.max(F.when(F.col("origin") == "manual", 2).when(F.col("origin") == "auto", 1).otherwise(0)).alias("_o")).where("_o > 0")
-    r = F.row_number().over(Window.partitionBy("_o").orderBy("pub_id"))
-    return per.withColumn("_r", r).select("pub_id", F.when(F.col("_r") == 1, "test").when(F.col("_r") == 2, "valid").otherwise("train").alias("split"))
+    picked = []
+    for origin in (1, 2):  # the two least of each, by a limit in parallel: four rows
+        rows = per.where(F.col("_o") == origin).orderBy("pub_id").limit(2).select("pub_id").collect()
+        picked += [(r.pub_id, s) for r, s in zip(rows, ("test", "valid"))]
+    kind = per.schema["pub_id"].dataType.simpleString()
+    few = pairs.sparkSession.createDataFrame(picked, f"pub_id {kind}, split string")
+    return per.join(F.broadcast(few), "pub_id", "left").select("pub_id", F.coalesce("split", F.lit("train")).alias("split"))
 
 
 def balance(pairs: DataFrame, ratio: float = 1.0, seed: int = 42, over: bool = False) -> DataFrame:

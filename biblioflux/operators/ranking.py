@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from biblioflux.functions import identifiers
+from biblioflux.operators.order import numbered
 
 QUERY = ["pub_id", "bib_key"]
 
@@ -92,7 +93,14 @@ def precision_at(scored: DataFrame, k: int) -> DataFrame:
 def group_ids(pairs: DataFrame) -> DataFrame:
     """(pub_id, bib_key, n, group_id): rows of each query, numbered by publication and key, so equal keys of two publications stay apart."""
     sizes = pairs.groupBy(*QUERY).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("group_id", F.row_number().over(Window.orderBy(*QUERY)))
+    return numbered(sizes, "group_id", *QUERY)[0]
+
+
+def error_analysis(reported: DataFrame, show: int = 5) -> tuple[DataFrame, DataFrame]:
+    """From the rows of ``report``: one row (entries, errors, error_rate), and the first ``show`` entries that are not ranked first."""
+    wrong = F.coalesce(F.col("rank") != 1, F.lit(True))
+    counts = reported.agg(F.count(F.lit(1)).alias("entries"), F.count_if(wrong).alias("errors")).withColumn("error_rate", F.coalesce(F.expr("try_divide(errors, entries)"), F.lit(0.0)))
+    return counts, reported.where(wrong).orderBy(*QUERY).limit(show)
 
 
 def heuristic_score(title_sort: Column, title_partial: Column, author: Column, same_year: Column) -> Column:

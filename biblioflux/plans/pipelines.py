@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from biblioflux.functions import identifiers
 from biblioflux.operators import dedup, features, hierarchy, learning, pairs, ranking
+from biblioflux.operators.order import cut_lineage
 from biblioflux.sources import bibliography, publications, tables
 
 
@@ -20,14 +21,16 @@ def parse_publications(spark: SparkSession, root: str, deduplicate: bool = True)
     citations, and elements and edges on canonical ids.  A publication without LaTeX has entries only."""
     files = publications.scan(spark, root)
     sources = publications.combined_sources(files)
-    elements = hierarchy.parse(sources)
+    scanned = hierarchy.parse(sources, failures=True)
+    elements = scanned.where(F.col("element_type") != hierarchy.FAILED)
     edges = hierarchy.edges(elements)
     entries = bibliography.entries(files)
     order = Window.partitionBy("pub_id").orderBy("version", "source", "ord", "bib_key")
     entries = entries.withColumn("ord", F.row_number().over(order).cast("long"))
-    out = {"files": files, "elements": elements, "edges": edges, "entries": entries, "candidates": tables.candidates(files), "statistics": hierarchy.statistics(elements)}
+    out = {"files": files, "elements": elements, "edges": edges, "entries": entries, "candidates": tables.candidates(files), "statistics": hierarchy.statistics(elements), "failures": scanned.where(F.col("element_type") == hierarchy.FAILED).select("pub_id", "version", F.col("raw_text").alias("reason"))}
     if not deduplicate:
         return out
+    out["references"] = entries
     merged = dedup.merge_groups(entries, dedup.seed_groups(entries, dedup.duplicate_pairs(entries)))
     renames = dedup.rename_map(merged)
     mapping = dedup.duplicate_elements(elements)
@@ -35,6 +38,25 @@ def parse_publications(spark: SparkSession, root: str, deduplicate: bool = True)
     return out | {"entries": merged, "renames": renames, "sources": dedup.rename_citations(sources, renames), "elements": first, "edges": dedup.remap_edges(edges, mapping)}
 
 
+def parsing_statistics(parsed: dict[str, DataFrame]) -> DataFrame:
+    """(pub_id, versions, files_found, elements, references, deduplicated_refs, failed_versions, status) of each publication."""
+    n = lambda df, name: df.groupBy("pub_id").agg(F.count(F.lit(1)).alias(name))
+    files = parsed["files"].groupBy("pub_id").agg(F.countDistinct(F.when(F.col("name").endswith(".tex"), F.col("version"))).alias("versions"), F.count_if(F.col("name").endswith(".tex")).alias("files_found"))
+    out = files
+    for name, part in (("elements", parsed["elements"]), ("references", parsed.get("references", parsed["entries"])), ("deduplicated_refs", parsed["entries"]), ("failed_versions", parsed["failures"])):
+        out = out.join(n(part, name), "pub_id", "left")
+    out = out.na.fill(0)
+    status = F.when(F.col("failed_versions") > 0, "failed").when(F.col("versions") == 0, "no sources").otherwise("parsed")
+    return out.withColumn("status", status)
+
+
+def parsing_summary(statistics: DataFrame) -> DataFrame:
+    """(value): the statistics of all publications as one JSON object, with totals."""
+    fields = ["pub_id", "versions", "files_found", "elements", "references", "deduplicated_refs", "failed_versions", "status"]
+    whole = statistics.agg(F.count(F.lit(1)).alias("total_publications"), F.count_if(F.col("status") == "failed").alias("failed"), F.array_sort(F.collect_list(F.struct(*fields))).alias("publications"))
+    return whole.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def match_references(entries: DataFrame, candidates: DataFrame, elements: DataFrame | None = None, manual: DataFrame | None = None, k: int = 5, rounds: int = 100) -> dict[str, DataFrame]:
     """pairs with features, labels and split; predictions, metrics and report over the test split; truth.
 
@@ -56,7 +78,7 @@ def match_references(entries: DataFrame, candidates: DataFrame, elements: DataFr
         manual = rows.select("pub_id", "bib_key", "candidate_id").where("false")
     auto = pairs.auto_label_batch(rows, manual)
     labelled = pairs.merge_labels(rows, manual, auto).select("pub_id", "bib_key", "candidate_id", "cand_ord", *columns, "label", "origin")
-    labelled = labelled.persist()  # numbers only; the text work behind them is not done again for the fit and the scores
+    labelled = cut_lineage(labelled)  # numbers only; the text work behind them is not done again for the fit and the scores
     labelled = labelled.join(pairs.split_publications(labelled), "pub_id")
     model = learning.train_ranker(labelled.where("split = 'train'"), columns, rounds)
     if model is None:

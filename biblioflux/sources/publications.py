@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +14,7 @@ from biblioflux.functions import identifiers, latex
 
 MAIN_NAMES = ("main.tex", "paper.tex", "article.tex", "manuscript.tex", "arxiv.tex", "ms.tex")
 MAX_INCLUDES = 10
+_OPEN, _CLOSE = "\ue010", "\ue011"  # around the path of a file that is to be put in
 
 
 def decoded(content):
@@ -38,15 +43,30 @@ def scan(spark: SparkSession, root: str, pattern: str = "*.{tex,bib,bbl,json}")
     )
 
 
+def _commands(text):
+    return F.regexp_extract_all(text, F.lit(latex.INCLUDE), F.lit(0))
+
+
 def include_edges(files: DataFrame) -> DataFrame:
-    """(pub_id, version, path, ord, target): the files a file takes in, in the order of the source; comments do not count."""
-    found = F.regexp_extract_all(latex.remove_comments(F.col("text")), F.lit(latex.INCLUDE), F.lit(0))
-    named = F.transform(found, lambda m: F.trim(F.regexp_extract(m, r"\{([^{}]+)\}$", 1)))
+    """(pub_id, version, path, ord, targets): the files that a file takes in, in the order of the source; comments do not count.
+
+    targets are the places a name may stand for: relative to the including file, then to the root.  The folder of an
+    ``import`` is part of its name.
+    """
+
+    def name(m):
+        file, folder = F.trim(F.regexp_extract(m, r"\{([^{}]+)\}$", 1)), F.trim(F.regexp_extract(m, r"^\\import\{([^}]*)\}", 1))
+        return F.when(folder == "", file).otherwise(F.concat(folder, F.lit("/"), file))
+
     tex = files.where("name like '%.tex'")
-    edges = tex.select("pub_id", "version", "path", F.posexplode(named).alias("ord", "raw"))
+    edges = tex.select("pub_id", "version", "path", F.posexplode(F.transform(_commands(latex.remove_comments(F.col("text"))), name)).alias("ord", "raw"))
     target = F.when(F.col("raw").rlike(r"\.[A-Za-z]+$"), F.col("raw")).otherwise(F.concat("raw", F.lit(".tex")))
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
-    clean = lambda c: F.regexp_replace(F.regexp_replace(c, r"(^|/)\./", "$1"), r"[^/]+/\.\./", "")
+
+    def clean(c):
+        c = F.regexp_replace(F.regexp_replace(c, "/+", "/"), r"(?:(?<=/)|^)(?:\./)+", "")
+        return reduce(lambda x, _: F.regexp_replace(x, r"(?:(?<=/)|^)(?!\.\./)[^/]+/\.\./", ""), range(4), c)
+
     return edges.select("pub_id", "version", "path", "ord", F.array(clean(F.concat(folder, target)), clean(target)).alias("targets"))
 
 
@@ -67,22 +87,44 @@ def main_files(files: DataFrame) -> DataFrame:
     return tex.withColumn("_r", first).where("_r = 1").select("pub_id", "version", "path")
 
 
+def _walk(max_depth: int):
+    """Batches of (pub_id, version, path of the main file, edges) -> the files of a depth-first walk, each where it is met first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                below: dict[str, list] = {}
+                for e in sorted(r.edges if r.edges is not None else (), key=lambda e: (e["path"], e["ord"])):
+                    below.setdefault(e["path"], []).append((e["ord"], e["target"]))
+                seen, work = set(), [(r.path, None, -1, ())]
+                while work:
+                    path, parent, ord_, trail = work.pop()
+                    if path in seen:
+                        continue
+                    seen.add(path)
+                    out.append((r.pub_id, r.version, path, parent, ord_, len(trail), list(trail)))
+                    if len(trail) < max_depth:
+                        work += [(t, path, k, (*trail, k)) for k, t in reversed(below.get(path, []))]
+            yield pd.DataFrame(out, columns=["pub_id", "version", "path", "parent", "ord", "depth", "trail"])
+
+    return run
+
+
 def included_files(files: DataFrame, max_depth: int = MAX_INCLUDES) -> DataFrame:
-    """(pub_id, version, path, depth, trail): the main file and all it takes in, once each, by first use.
+    """(pub_id, version, path, parent, ord, depth, trail): the main file and all it takes in, once each, by first use.
 
-    trail is the path of includes from the main file, so its order is that of a depth-first walk; cycles end.
+    parent and ord say which command takes a file in; trail is the path of commands from the main file, so its order is that
+    of a depth-first walk.  Cycles end.  Files more than max_depth deep are not taken in, and ``ignored_files`` lists them.
     """
-    texts = files.where("name like '%.tex'").select("pub_id", "version", F.col("path").alias("target")).distinct()
-    edges = include_edges(files).select("pub_id", "version", "path", "ord", F.posexplode("targets").alias("way", "target")).join(texts, ["pub_id", "version", "target"])
-    # relative to the including file first, then to the root
-    edges = edges.groupBy("pub_id", "version", "path", "ord").agg(F.min_by("target", "way").alias("target"))
     key = ["pub_id", "version"]
-    level = main_files(files).select(*key, "path", F.array(F.lit(0)).alias("trail"), F.array("path").alias("seen"))
-    found = level
-    for _ in range(max_depth):
-        level = level.join(edges, [*key, "path"]).where(~F.array_contains("seen", F.col("target"))).select(*key, F.col("target").alias("path"), F.concat("trail", F.array(F.col("ord") + 1)).alias("trail"), F.concat("seen", F.array("target")).alias("seen"))
-        found = found.unionByName(level)
-    return found.groupBy(*key, "path").agg(F.min("trail").alias("trail")).withColumn("depth", F.size("trail") - 1)
+    texts = files.where("name like '%.tex'").select(*key, F.col("path").alias("target")).distinct()
+    edges = include_edges(files).select(*key, "path", "ord", F.posexplode("targets").alias("way", "target")).join(texts, [*key, "target"])
+    edges = edges.groupBy(*key, "path", "ord").agg(F.min_by("target", "way").alias("target"))
+    listed = edges.groupBy(*key).agg(F.collect_list(F.struct("path", "ord", "target")).alias("edges"))
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema}
+    schema = f"pub_id {kinds['pub_id']}, version {kinds['version']}, path string, parent string, ord int, depth int, trail array<int>"
+    return main_files(files).join(listed, key, "left").select(*key, "path", "edges").mapInPandas(_walk(max_depth), schema)
 
 
 def ignored_files(files: DataFrame) -> DataFrame:
@@ -90,32 +132,34 @@ def ignored_files(files: DataFrame) -> DataFrame:
     return files.where("name like '%.tex'").join(included_files(files), ["pub_id", "version", "path"], "left_anti").select("pub_id", "version", "path")
 
 
-def combined_sources(files: DataFrame, passes: int = MAX_INCLUDES) -> DataFrame:
-    """(pub_id, version, text, n_files): the main file with included files in place of the commands that include them."""
+def combined_sources(files: DataFrame, max_depth: int = MAX_INCLUDES) -> DataFrame:
+    """(pub_id, version, text, n_files): the main file with included files in place of the commands that take them in.
+
+    Each file stands where a depth-first walk meets it first; commands for files that are not there, or stand elsewhere, leave nothing.
+    """
     key = ["pub_id", "version"]
-    used = included_files(files)
-    parts = files.join(used.where("depth > 0").select(*key, "path"), [*key, "path"]).withColumn("text", latex.remove_comments(F.col("text")))
-    table = parts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("files"), (F.count(F.lit(1)) + 1).alias("n_files"))
-    main = main_files(files).join(files.select(*key, "path", "text"), [*key, "path"])
-    none = F.create_map().cast("map<string,string>")
-    joined = main.join(table, key, "left")
-    return joined.select(*key, _inline(F.col("text"), F.coalesce("files", none), passes).alias("text"), F.coalesce("n_files", F.lit(1)).alias("n_files"))
+    used = included_files(files, max_depth)
+    taken = used.where("parent is not null").groupBy(*key, F.col("parent").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("ord", F.col("path").alias("target")))).alias("targets"))
+    texts = files.join(used.select(*key, "path", "depth"), [*key, "path"]).withColumn("text", latex.remove_comments(F.col("text"))).join(taken, [*key, "path"], "left")
+    # commands become marks that hold the path of the file to put there
+    put = lambda i: F.coalesce(F.concat(F.lit(_OPEN), F.try_element_at("targets", i), F.lit(_CLOSE)), F.lit(""))
+    marked = F.array_join(F.transform(F.split("text", latex.INCLUDE), lambda x, i: F.concat(x, put(i))), "")
+    whole = texts.withColumn("text", marked).groupBy(*key).agg(
+        F.max(F.when(F.col("depth") == 0, F.col("text"))).alias("text"),
+        F.map_from_entries(F.collect_list(F.when(F.col("depth") > 0, F.struct("path", "text")))).alias("files"),
+        F.max("depth").alias("depth"),
+        F.count(F.lit(1)).alias("n_files"),
+    )
+    return whole.select(*key, _inline(F.col("text"), F.col("files"), F.col("depth")).alias("text"), "n_files")
 
 
-def _inline(text, files, passes):
-    """Cut the text at include commands and put the named files in, level by level; each file once, unknown ones leave nothing."""
-    command = r"\\(?:input|include|subfile)\{[^}]+\}|\\import\{[^}]*\}\{[^}]+\}"
+def _inline(text, files, depth):
+    """The text with the named files in place of its marks, level by level as deep as the version's files go."""
+    mark = f"{_OPEN}[^{_CLOSE}]*{_CLOSE}"
 
-    def name(m):
-        raw = F.trim(F.regexp_extract(m, r"\{([^{}]+)\}$", 1))
-        return F.regexp_replace(F.when(raw.rlike(r"\.[A-Za-z]+$"), raw).otherwise(F.concat(raw, F.lit(".tex"))), r"^\./", "")
-
-    def level(state, _):
-        names = F.transform(F.regexp_extract_all(state["t"], F.lit(command), F.lit(0)), lambda m: name(m))
-        fresh = lambda i: ~F.array_contains(state["seen"], F.get(names, i)) & (F.array_position(names, F.get(names, i)) == i + 1)
-        put = lambda i: F.when((i < F.size(names)) & fresh(i), F.coalesce(F.try_element_at(files, F.get(names, i)), F.lit(""))).otherwise("")
-        pieces = F.transform(F.split(state["t"], command), lambda x, i: F.concat(x, put(i)))
-        return F.struct(F.array_join(pieces, "").alias("t"), F.array_union(state["seen"], names).alias("seen"))
-
-    start = F.struct(latex.remove_comments(text).alias("t"), F.array().cast("array<string>").alias("seen"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, level, lambda s: s["t"])
+    def level(t, _):
+        names = F.regexp_extract_all(t, F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), F.lit(1))
+        put = lambda i: F.when(i < F.size(names), F.coalesce(F.try_element_at(files, F.get(names, i)), F.lit(""))).otherwise("")
+        return F.array_join(F.transform(F.split(t, mark), lambda x, i: F.concat(x, put(i))), "")
+
+    return F.when(depth == 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), depth), text, level))

@@ -82,3 +82,50 @@ def prediction_json(predictions: DataFrame, truth: DataFrame, split: DataFrame)
 def write_by_publication(rows: DataFrame, path: str) -> None:
     """One folder of text files per publication from (pub_id, json)."""
     rows.select("pub_id", "json").write.partitionBy("pub_id").text(path)
+
+
+def label_json(labels: DataFrame) -> DataFrame:
+    """(value): one line {pub: {key: candidate}} of each publication, which ``labels`` reads again; keys in order."""
+    by_key = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("bib_key").cast("string"), F.col("candidate_id").cast("string")))))
+    pubs = labels.groupBy(F.col("pub_id").cast("string").alias("pub_id")).agg(by_key.alias("m"))
+    return pubs.select(F.to_json(F.create_map("pub_id", "m")).alias("value"))
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    label_json(labels).write.mode("overwrite").text(path)
+
+
+def report_json(compliance: DataFrame, split: DataFrame, pairs: DataFrame, metrics: DataFrame, importance: DataFrame | None = None, model: dict[str, str] | None = None, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """(value): the evaluation report as one JSON object: compliance, publications of each split by origin of their labels,
+    pairs of each split and label, the sizes of the feature groups, test metrics, the 20 most important features and the
+    model's settings."""
+    rules = compliance.agg(F.collect_list(F.struct("requirement", "required", "actual", "status")).alias("compliance"))
+    origin = pairs.groupBy("pub_id").agg(F.max((F.col("origin") == "manual").cast("int")).alias("m"), F.max((F.col("origin") == "auto").cast("int")).alias("a"), F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
+    per = split.join(origin, "pub_id", "left").na.fill(0).groupBy("split").agg(F.count(F.lit(1)).alias("publications"), F.sum("m").alias("manual"), F.sum("a").alias("auto"), F.sum("n").alias("pairs"), F.sum("p").alias("positive"))
+    splits = per.agg(F.array_sort(F.collect_list(F.struct("split", "publications", "manual", "auto", "pairs", "positive"))).alias("splits"))
+    counts = pairs.agg(F.count(F.lit(1)).alias("total_pairs"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"))
+    counts = counts.select(F.struct("*", F.expr("round(try_divide(negative, positive), 1)").alias("negatives_per_positive")).alias("data"))
+    found = metrics.select(F.struct("*").alias("test_metrics"))
+    out = rules.join(F.broadcast(splits)).join(F.broadcast(counts)).join(F.broadcast(found))
+    if importance is not None:
+        out = out.join(F.broadcast(importance.orderBy(F.desc("importance"), "feature").limit(20).agg(F.sort_array(F.collect_list(F.struct("importance", "feature")), False).alias("top_features"))))
+    sizes = F.to_json(F.map_from_arrays(F.array(*[F.lit(k) for k in groups]), F.array(*[F.lit(len(v)) for v in groups.values()]))) if groups else F.lit("{}")
+    about = F.to_json(F.create_map(*[F.lit(x) for pair in model.items() for x in pair])) if model else F.lit("{}")
+    names = [c for c in out.columns]
+    whole = out.withColumns({"feature_groups": F.from_json(sizes, "map<string,int>"), "model": F.from_json(about, "map<string,string>")})
+    return whole.select(F.to_json(F.struct(*names, "feature_groups", "model")).alias("value"))
+
+
+#: Files that pass through a parse unchanged.
+PASSED_ON = ("metadata.json", "references.json")
+
+
+def passed_on(files: DataFrame) -> DataFrame:
+    """(pub_id, name, text) of the files that go with a publication's results as they are; of several the one with the shortest path."""
+    own = files.where(F.col("name").isin(*PASSED_ON))
+    return own.groupBy("pub_id", "name").agg(F.min_by("text", F.struct(F.length("path"), "path")).alias("text"))
+
+
+def result_path(root: str, publication: Column, name: str) -> Column:
+    """Place of a publication's file: root/<publication>/<name>."""
+    return F.concat_ws("/", F.lit(root.rstrip("/")), publication, F.lit(name))

@@ -1,11 +1,16 @@
 """Operators on small inputs, with nulls, ties, empty sides and cycles."""
 
 import json
+import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from biblioflux.config import Settings
+from biblioflux.functions import identifiers, people, text
 from biblioflux.operators import dedup, features, hierarchy, learning, pairs, profile, ranking
+from biblioflux.operators.order import numbered
 from biblioflux.sources import bibliography, publications, tables
 from biblioflux.streaming import arrivals
 
@@ -172,6 +177,30 @@ def test_publications(spark, tree):
     files.unpersist()
 
 
+def test_includes_are_found_from_the_including_file(spark, tmp_path):
+    files = {
+        "p/v1/main.tex": "\\documentclass{article}\\begin{document}\\input{sec/a} \\input{late} \\import{ch/}{c}\\include{sec/../late}\\end{document}",
+        "p/v1/sec/a.tex": "AAA \\input{b} \\input{./deep/d} AAA-END",
+        "p/v1/sec/b.tex": "BBB \\input{a} \\input{late}",
+        "p/v1/b.tex": "wrong b",
+        "p/v1/sec/deep/d.tex": "DDD \\input{../b} \\input{nowhere}",
+        "p/v1/late.tex": "LATE",
+        "p/v1/ch/c.tex": "CCC",
+    }
+    for name, content in files.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(content)
+    scanned = publications.scan(spark, str(tmp_path)).cache()
+    used = publications.included_files(scanned)
+    assert rows(used, "path", "parent", "depth") == sorted([("main.tex", None, 0), ("sec/a.tex", "main.tex", 1), ("sec/b.tex", "sec/a.tex", 2), ("late.tex", "sec/b.tex", 3), ("sec/deep/d.tex", "sec/a.tex", 2), ("ch/c.tex", "main.tex", 1)])
+    got = publications.combined_sources(scanned).first()
+    assert got.n_files == 6 and " ".join(got.text.split()) == "\\documentclass{article}\\begin{document}AAA BBB LATE DDD AAA-END CCC\\end{document}"
+    assert rows(publications.ignored_files(scanned), "path") == [("b.tex",)]
+    assert publications.included_files(scanned, 1).count() == 4
+    scanned.unpersist()
+
+
 def test_stream(spark, tree, tmp_path_factory):
     counts = arrivals.citation_counts(arrivals.stream_sources(spark, tree))
     q = counts.writeStream.outputMode("complete").format("memory").queryName("cites").start()
@@ -202,6 +231,120 @@ def test_learning(spark):
     assert learning.train_ranker(p.where("label = 0"), ["f", "g"]) is None
 
 
+def test_models_and_reports_are_stored(spark, tmp_path):
+    data = [("p", f"k{i}", str(j), float(i == j) if j else None, "ab"[j % 2], int(i == j)) for i in range(1, 6) for j in range(6)]
+    p = spark.createDataFrame(data, "pub_id string, bib_key string, candidate_id string, f double, g string, label int")
+    model = learning.train_classifier(p, ["f", "g"], 3)
+    learning.save(model, f"{tmp_path}/m", ["f", "g"], {"rate": 0.1}, learning.history(model, learning.balanced_weights(learning.filled(p, ["f", "g"]))))
+    again, about = learning.load(f"{tmp_path}/m")
+    scores = lambda m: rows(learning.predict(m, p), "bib_key", "candidate_id", "score")
+    assert scores(again) == scores(model) and about["columns"] == ["f", "g"] and len(about["training_history"]) == 3
+    assert learning.predict(model, p).columns == [*p.columns, "score"]
+    learning.importance_table(model, ["f", "g"], spark).coalesce(1).write.csv(f"{tmp_path}/i", header=True)
+    assert spark.read.csv(f"{tmp_path}/i", header=True).first().feature == "f"
+    ranker = learning.train_ranker(p, ["f"], 10)
+    assert learning.history(ranker)[-1] <= learning.history(ranker)[0]
+    best, mrr = learning.tune(p, p, ["f"], rates=(0.1,), depths=(2, 3), iterations=(2,))
+    assert mrr == 1.0 and best["depth"] == 2
+    labelled = p.withColumn("origin", F.when(F.col("bib_key") < "k3", "manual").otherwise("auto"))
+    split = spark.createDataFrame([("p", "test"), ("q", "train")], "pub_id string, split string")
+    metrics = spark.createDataFrame([(0.5,)], "mrr double")
+    report = json.loads(tables.report_json(pairs.compliance(labelled), split, labelled, metrics, learning.importance_table(model, ["f", "g"], spark), {"model_type": "classifier"}, {"title": ["f"], "other": ["g"]}).first().value)
+    assert [r["status"] for r in report["compliance"]] == ["FAIL"] * 3 and report["data"]["positive"] == 5 and report["data"]["negatives_per_positive"] == 5.0
+    assert report["test_metrics"] == {"mrr": 0.5} and report["top_features"][0]["feature"] == "f" and report["feature_groups"] == {"title": 1, "other": 1} and report["model"] == {"model_type": "classifier"}
+    assert [(r["split"], r["publications"], r["pairs"]) for r in report["splits"]] == [("test", 1, 30), ("train", 1, 0)]
+    labels = spark.createDataFrame([("p", "k1", "1"), ("p", "k0", "2"), ("q", "k", "3")], "pub_id string, bib_key string, candidate_id string")
+    tables.write_labels(labels, f"{tmp_path}/labels")
+    assert rows(tables.labels(spark.read.text(f"{tmp_path}/labels"))) == rows(labels)
+
+
+def test_row_numbers_and_splits(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    got, n = numbered(df, "n", "x")
+    assert n == 1000 and got.where("n <> x + 1").isEmpty()
+    assert numbered(df.limit(0), "n", "x")[1] == 0
+    keys = df.select(F.col("x").cast("string").alias("pub_id"), F.lit("k").alias("bib_key"))
+    assert rows(pairs.split_queries(keys).groupBy("split").count()) == [("test", 200), ("train", 800)]
+    manual, auto = (spark.createDataFrame([(str(i),) for i in r], "pub_id string") for r in (range(9), range(8, 30)))
+    assert rows(pairs.split_by_labels(keys, manual, auto).groupBy("split").count()) == [("test", 5), ("train", 22), ("valid", 3)]  # one of the first half has automatic labels too
+    assert rows(pairs.split_by_labels(keys, manual.limit(0), auto).groupBy("split").count()) == [("test", 150), ("train", 700), ("valid", 150)]
+    labelled = keys.withColumns({"candidate_id": F.lit("c"), "cand_ord": F.lit(1), "label": F.lit(1)})
+    none = labelled.where("false").select("pub_id", "bib_key")
+    assert pairs.auto_label_batch(labelled, none).count() == 1000 and rows(pairs.auto_label_batch(labelled, none, 0.002), "pub_id") == [("0",), ("1",)]
+
+
+def test_scan_of_labelling_candidates(spark):
+    bib = spark.createDataFrame([("a", f"k{i}", f"t{i}") for i in range(25)] + [("b", "k", "t")], "pub_id string, bib_key string, bib_title string")
+    cand = spark.createDataFrame([(p, str(i), f"c{i}") for p in "ab" for i in range(30)] + [("d", "1", "c")], "pub_id string, candidate_id string, cand_title string")
+    pubs = spark.createDataFrame([("a", True, True), ("b", True, True), ("c", False, True), ("d", True, False), ("e", True, True), ("f", True, True)], "pub_id string, has_candidates boolean, has_entries boolean")
+    cand = cand.unionByName(spark.createDataFrame([("f", "1", "c")], cand.schema))
+    got = pairs.labelling_candidates(bib, cand, 20, pubs)
+    assert dict(rows(got, "pub_id", "status")) == {"a": "eligible", "b": "too few", "c": "no candidate file", "d": "no entry file", "e": "no candidates", "f": "no entries"}
+    assert tuple(pairs.labelling_counts(got).first()) == (1, 1, 1, 1, 1, 1, 6)
+    assert rows(pairs.top_publications(got), "pub_id") == [("a",)] and pairs.one_publication(bib, cand, "a", 3).count() == 6
+
+
+def test_scores_of_raw_strings(spark):
+    df = spark.createDataFrame([("Ann Bee", "ann b", "2018", "2019", "Deep graph networks for graph data", "graph networks of the data", "ICML", "icml"), ("", "", "x", None, "the of", "the of", None, None)], "a string, b string, y string, z string, t string, u string, v string, w string")
+    c = F.col
+    made = features.author_percents(c("a"), c("b")) | features.year_gaps(c("y"), c("z")) | features.text_percents(c("t"), c("u"), c("v"), c("w"))
+    first, second = df.select(*[e.alias(n) for n, e in made.items()]).collect()
+    assert (first.author_fuzz_ratio, first.author_overlap, first.author_initials_match) == (83, 33.33, 100) and (first.year_match, first.year_diff, first.year_close) == (0, 1, 1)
+    x, y = {"deep": 1, "graph": 2, "networks": 1, "data": 1}, {"graph": 1, "networks": 1, "data": 1}
+    weigh = lambda v: {w: n * (1 if w in x and w in y else 1 + math.log(1.5)) for w, n in v.items()}
+    p, q = weigh(x), weigh(y)
+    cosine = sum(p[w] * q.get(w, 0) for w in p) / math.sqrt(sum(n * n for n in p.values()) * sum(n * n for n in q.values()))
+    assert first.combined_tfidf == pytest.approx(100 * cosine, abs=0.01) and first.venue_fuzz == 100 and first.ref_text_length == 6.8
+    assert (second.author_overlap, second.year_diff, second.combined_tfidf, second.ref_text_length) == (0, 100, 0, 1.2)
+    place = df.limit(1).select(*[e.alias(n) for n, e in features.place_percents(F.lit("Method"), F.lit(3), F.lit(1.5), F.lit(250), F.lit(40)).items()]).first()
+    assert tuple(place) == (1, 60.0, 100.0, 25.0, 100.0)
+    terms = df.select(features.tfidf_terms(c("t")).alias("t")).first().t
+    assert terms == ["deep", "graph", "networks", "graph", "data", "deep graph", "graph networks", "networks graph", "graph data"]
+    cut = spark.range(1).select(features.tfidf_cosine(F.array(*map(F.lit, "bbac")), F.array(*map(F.lit, "bad")), 2).alias("s")).first().s
+    assert cut == pytest.approx((2 * 1 + 1) / math.sqrt(5 * 2))  # only b and a are left
+
+
+def test_ids_folding_and_keys_without_an_index(spark):
+    df = spark.createDataFrame([("arXiv:1606.03490v2", "Ünïcode ﬁ  X"), ("see 1606-03490", "plain  Text"), ("none", None)], "a string, t string")
+    got = df.select(identifiers.standard_arxiv_id(F.col("a")).alias("a"), text.fold(F.col("t")).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("1606-03490", "unicode fi x"), ("1606-03490", "plain text"), ("none", "")]
+    e = spark.createDataFrame([("p", "e1", "as \\cite{a1, b.2} and \\citep[x]{c}"), ("p", "e2", "\\cite{a11}")], "pub_id string, element_id string, raw_text string")
+    keys = spark.createDataFrame([("p", k) for k in ("a1", "b.2", "zz")], "pub_id string, bib_key string")
+    assert rows(hierarchy.scan_for_keys(e, keys)) == [("p", "a1", "e1"), ("p", "b.2", "e1")]
+    people_ = spark.createDataFrame([(["Dr. Ann Bee", "Cy Dee"], ["bee, A."])], "a array<string>, b array<string>")
+    assert people_.select(people.listed_overlap(F.col("a"), F.col("b"))).first()[0] == 1.0
+    assert df.select(text.text_jaccard(F.lit("A graph, net x"), F.lit("graph of net"))).first()[0] == pytest.approx(2 / 3)
+
+
+def test_settings():
+    assert Settings().checked().faults() == [] and Settings(top_k=3, model_type="x").faults() == ["five candidates are ranked", "the model is a classifier or a ranker"]
+    with pytest.raises(ValueError, match="five"):
+        Settings(top_k=4).checked()
+    assert Settings(root="out/").path("p", "predictions") == "out/p/pred.json" and Settings().labelling()["min_manual_labels"] == 20 and "seed" in Settings().view()
+
+
+def test_a_failing_publication_does_not_stop_the_others(spark, monkeypatch):
+    def fragile(publication, body):
+        if publication == "bad":
+            raise ValueError("broken")
+        return scanned(publication, body)
+
+    scanned = hierarchy._elements
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"pub_id": ["good", "bad", "other"], "version": pa.array([1, 1, 2], pa.int32()), "body": ["One sentence here.", "x", "\\section{A} Two of them here."]})])
+    monkeypatch.setattr(hierarchy, "_elements", fragile)
+    out = [r for b in hierarchy._scan(batches()) for r in b.to_pylist()]
+    assert [r["raw_text"] for r in out if r["element_type"] == hierarchy.FAILED] == ["ValueError: broken"] and {r["pub_id"] for r in out} == {"good", "bad", "other"}
+
+
+def test_duplicate_groups_that_do_not_settle_are_an_error(spark, monkeypatch):
+    nodes = spark.createDataFrame([("p", i) for i in range(8)], "pub_id string, ord long")
+    chain = spark.createDataFrame([("p", i, i + 1) for i in range(7)], "pub_id string, a long, b long")
+    assert rows(dedup.seed_groups(nodes, chain), "ord", "seed") == [(i, i - i % 2) for i in range(8)]
+    monkeypatch.setattr(dedup, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="settle"):
+        dedup.seed_groups(nodes, chain)
+
+
 def test_entry_without_the_llm_package():
     import __spark_entry__ as e
 
