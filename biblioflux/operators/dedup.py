@@ -89,7 +89,10 @@ def rename_map(merged: DataFrame) -> DataFrame:
 
 
 def rename_citations(texts: DataFrame, renames: DataFrame) -> DataFrame:
-    """texts (pub_id, text, ..) with old keys of all citation commands replaced, in a column of its own; inputs stay as they are."""
+    """texts (pub_id, text, ..) with old keys of all citation commands replaced, in a column of its own; inputs stay as they are.
+
+    A text with an old key has all its keys written without blanks; one without stays as it is.
+    """
     table = renames.groupBy("pub_id").agg(F.map_from_entries(F.collect_list(F.struct("old_key", "new_key"))).alias("_m"))
     joined = texts.join(table, "pub_id", "left")
     command = r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{[^}]+\}"
@@ -98,7 +101,9 @@ def rename_citations(texts: DataFrame, renames: DataFrame) -> DataFrame:
     key = lambda k: F.coalesce(F.try_element_at("_m", F.trim(k)), F.trim(k))
     renamed = F.transform(found, lambda m: F.concat(head(m), F.array_join(F.transform(F.split(F.regexp_extract(m, r"\{([^}]+)\}$", 1), ","), key), ","), F.lit("}")))
     pieces = F.transform(F.split("text", command), lambda t, i: F.concat(t, F.coalesce(F.get(renamed, i), F.lit(""))))
-    return joined.withColumn("renamed_text", F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))).drop("_m")
+    keys = F.flatten(F.transform(found, lambda m: F.split(F.regexp_extract(m, r"\{([^}]+)\}$", 1), ",")))
+    old = F.exists(keys, lambda k: F.try_element_at("_m", F.trim(k)).isNotNull())
+    return joined.withColumn("renamed_text", F.when(old, F.array_join(pieces, "")).otherwise(F.col("text"))).drop("_m")
 
 
 #: Texts that stand for structure, and are no duplicates of each other.

@@ -18,6 +18,26 @@ def top_k(scored: DataFrame, k: int = 5, order: str = "cand_ord") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def jaccard_top_k(bib: DataFrame, cand: DataFrame, k: int = 5) -> DataFrame:
+    """(pub_id, bib_key, candidate_id, score, rank): the k candidates of each entry of (pub_id, bib_key, b) with the highest Jaccard
+    similarity, to six places, of the distinct words b and c; ties by candidate_id.
+
+    Pairs meet by publication and shared word, so those that share none are never made; an entry with fewer than k that do
+    is filled up with the publication's first candidates, of score 0.
+    """
+    x = bib.select(*QUERY, F.size("b").alias("nb"), F.explode("b").alias("w"))
+    y = cand.select("pub_id", "candidate_id", F.size("c").alias("nc"), F.explode("c").alias("w"))
+    met = x.join(y, ["pub_id", "w"]).groupBy(*QUERY, "candidate_id").agg(F.count(F.lit(1)).alias("i"), F.first("nb").alias("nb"), F.first("nc").alias("nc"))
+    scored = met.select(*QUERY, "candidate_id", F.round(F.col("i") / (F.col("nb") + F.col("nc") - F.col("i")), 6).alias("score"))
+    best = top_k(scored, k, "candidate_id").drop("rank")
+    # of k - 1 candidates at most that an entry has, as many among the first 2 k - 1 are not new
+    first = F.row_number().over(Window.partitionBy("pub_id").orderBy("candidate_id"))
+    spare = cand.select("pub_id", "candidate_id").withColumn("_n", first).where(F.col("_n") < 2 * k).drop("_n")
+    short = bib.select(*QUERY).join(best.groupBy(*QUERY).count().where(F.col("count") >= k), QUERY, "left_anti")
+    fill = short.join(spare, "pub_id").join(best.select(*QUERY, "candidate_id"), [*QUERY, "candidate_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.unionByName(fill), k, "candidate_id")
+
+
 def predictions(ranked: DataFrame) -> DataFrame:
     """(pub_id, bib_key, candidates): ranked rows as arrays."""
     rows = F.array_sort(F.collect_list(F.struct("rank", "candidate_id")))

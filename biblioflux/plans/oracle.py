@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from biblioflux.functions.text import STOP_WORDS
+from biblioflux.operators.features import TFIDF_STOP_WORDS
+from biblioflux.operators.hierarchy import TYPES
+
 
 def _norm(x: str) -> str:
     x = rf"regexp_replace(regexp_replace(lower({x}), '\\[A-Za-z]+\{{([^}}]*)\}}', '\1', 'g'), '[{{}}$\\]', '', 'g')"
@@ -32,13 +36,13 @@ def _topk(words: str) -> str:
 _TITLES = _topk(_words("{}"))
 _BIGRAM_WORDS = "list_distinct([array_to_string(list_filter(string_split({0}, ' '), lambda w: w <> '')[i:i + 1], ' ') for i in range(1, len(list_filter(string_split({0}, ' '), lambda w: w <> '')))])"
 
-#: Longest common subsequence of each pair (a, b) of table q, one row of the table at a time:
-#: new[j] is the largest of old[k] and old[k - 1] + (b[k] = character) for k up to j.
+#: Longest common subsequence of each pair (a, b) of table q, one row of the table at a time, and in it one cell after the other:
+#: new[j] is old[j - 1] + 1 where the characters agree, else the larger of old[j] and new[j - 1].
 _LCS = """
     step(a, b, i, row) AS (
         SELECT a, b, 0, [0 for _ in range(len(b) + 1)] FROM q
         UNION ALL
-        SELECT a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max([greatest(row[k], CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN row[k - 1] + 1 ELSE 0 END) for k in range(1, j + 1)]))
+        SELECT a, b, i + 1, list_reduce(CAST(range(1, len(b) + 1) AS INTEGER[]), lambda acc, j: list_append(acc, CASE WHEN b[j] = a[i + 1] THEN row[j] + 1 ELSE greatest(row[j + 1], acc[-1]) END), [0])
         FROM step WHERE i < len(a)),
     lcs AS (SELECT a, b, row[-1] AS n FROM step WHERE i = len(a)),
     ratio AS (SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0 ELSE round_even(100 * (2.0 * n / (len(a) + len(b))), 0) / 100 END AS r FROM lcs)"""
@@ -49,17 +53,17 @@ _LIST = "list_sort(list_filter(string_split(regexp_replace(lower({0}), '[^\\p{{L
 _NAMES = "n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT x.name AS a0, y.name AS b0 FROM n x JOIN n y ON x.name < y.name)"
 
 _PEOPLE = """
-    w AS (SELECT c_custkey, c_nationkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS seg, chr(CAST(65 + c_custkey % 5 AS INTEGER)) AS i1, chr(CAST(65 + c_custkey % 3 AS INTEGER)) AS i2 FROM customer WHERE c_custkey < 300),
-    p AS (SELECT x.c_custkey AS a_key, y.c_custkey AS b_key, lower(x.seg) AS sa, lower(y.seg) AS sb, x.i1 AS a1, y.i1 AS b1, x.i2 AS a2, y.i2 AS b2 FROM w x JOIN w y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey)"""
+    w AS (SELECT c_custkey, c_nationkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS seg, chr(CAST(65 + c_custkey % 5 AS INTEGER)) AS i1, chr(CAST(65 + c_custkey % 3 AS INTEGER)) AS i2 FROM customer),
+    p AS (SELECT x.c_custkey AS a_key, y.c_custkey AS b_key, lower(x.seg) AS sa, lower(y.seg) AS sb, x.i1 AS a1, y.i1 AS b1, x.i2 AS a2, y.i2 AS b2 FROM w x JOIN w y ON x.c_nationkey = y.c_nationkey AND x.c_custkey // 500 = y.c_custkey // 500 AND x.c_custkey < y.c_custkey)"""
 
 _PARTS = """
-    e AS (SELECT p_partkey AS ord, 'part' || p_partkey AS bib_key, p_name || ' ' || lower(p_type) AS title, replace(p_brand, '#', ' ') || ' and Common' AS author, CAST(1990 + p_size % 3 AS VARCHAR) AS year,
-        CASE WHEN p_size % 2 = 0 THEN lower(p_brand) END AS journal, CASE WHEN p_size % 3 = 0 THEN 'article' ELSE 'misc' END AS entry_type FROM part WHERE p_partkey < {n})"""
+    e AS (SELECT 'p' || (p_partkey // 20) AS pub_id, p_partkey AS ord, 'part' || p_partkey AS bib_key, p_name || ' ' || lower(p_type) AS title, replace(p_brand, '#', ' ') || ' and Common' AS author, CAST(1990 + p_size % 3 AS VARCHAR) AS year,
+        CASE WHEN p_size % 2 = 0 THEN lower(p_brand) END AS journal, CASE WHEN p_size % 3 = 0 THEN 'article' ELSE 'misc' END AS entry_type FROM part)"""
 
 _AUTO = (
-    _PARTS.format(n=60)
+    _PARTS
     + """,
-    pp AS (SELECT x.bib_key, y.bib_key AS candidate_id, x.ord AS bib_ord, y.ord AS cand_ord, x.title AS t1, y.title AS t2, x.year AS y1, y.year AS y2, x.author AS w1, y.author AS w2 FROM e x JOIN e y ON x.ord <> y.ord),
+    pp AS (SELECT pub_id, x.bib_key, y.bib_key AS candidate_id, x.ord AS bib_ord, y.ord AS cand_ord, x.title AS t1, y.title AS t2, x.year AS y1, y.year AS y2, x.author AS w1, y.author AS w2 FROM e x JOIN e y USING (pub_id) WHERE x.ord <> y.ord),
     q AS (SELECT DISTINCT t1 AS a, t2 AS b FROM pp), """
     + _LCS
     + """,
@@ -86,9 +90,9 @@ _SPLIT = """
     split AS (SELECT pub_id, CASE WHEN r <= floor(n * 0.7) THEN 'train' WHEN r <= floor(n * 0.7) + floor(n * 0.15) THEN 'valid' ELSE 'test' END AS split FROM r)"""
 
 _GROUPS = (
-    _PARTS.format(n=120)
+    _PARTS
     + """,
-    pp AS (SELECT x.ord AS x, y.ord AS y, lower(x.title) AS t1, lower(y.title) AS t2, x.author AS w1, y.author AS w2 FROM e x JOIN e y ON x.ord < y.ord),
+    pp AS (SELECT x.ord AS x, y.ord AS y, lower(x.title) AS t1, lower(y.title) AS t2, x.author AS w1, y.author AS w2 FROM e x JOIN e y ON x.pub_id = y.pub_id AND x.ord < y.ord),
     q AS (SELECT DISTINCT t1 AS a, t2 AS b FROM pp), """
     + _LCS
     + """,
@@ -128,6 +132,74 @@ _VECTORS = """
     truth AS (SELECT bib_key, arg_min(candidate_id, (abs(candidate_id - bib_key), candidate_id)) AS candidate_id FROM s WHERE same GROUP BY bib_key),
     r AS (SELECT truth.bib_key, truth.candidate_id, top.rank FROM truth LEFT JOIN top USING (bib_key, candidate_id))"""
 
+_STOPS = "[" + ", ".join(f"'{w}'" for w in TFIDF_STOP_WORDS) + "]"
+
+
+def _terms(x: str) -> str:
+    """Words of two characters or more of a title, without stop words."""
+    return rf"list_filter(string_split(regexp_replace(lower(substr({x}, 1, 80)), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: len(w) > 1 AND NOT list_contains({_STOPS}, w))"
+
+
+def _pairs_of(w: str) -> str:
+    return f"[{w}[i] || ' ' || {w}[i + 1] for i in range(1, len({w}))]"
+
+
+def _fuzz(x: str) -> str:
+    """Sorted words as the token scores see them, without the characters U+0080 to U+00FF."""
+    return rf"list_sort(list_filter(string_split(regexp_replace(regexp_replace(lower({x}), '[\x{{80}}-\x{{FF}}]', '', 'g'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+
+def _sets(x: str, y: str) -> str:
+    """Columns i, ix and iy: the shared words of two lists, and these followed by each list's own."""
+    both = f"array_to_string(list_sort(list_intersect({x}, {y})), ' ')"
+    own = lambda a, b: f"trim({both} || ' ' || array_to_string(list_sort(list_distinct(list_filter({a}, lambda w: NOT list_contains({b}, w)))), ' '))"
+    return f"{both} AS i, {own(x, y)} AS ix, {own(y, x)} AS iy"
+
+
+_STRIPPED = (
+    _LATEX
+    + r""",
+    cl AS (SELECT doc_id, list_filter(string_split(replace(text, '\%', chr(57344)), chr(10)), lambda x: NOT regexp_matches(x, '^\s*%')) AS x FROM t),
+    st AS (SELECT doc_id, replace(array_to_string([rtrim(regexp_replace(regexp_replace(l, '(^|[^0-9])%.*$', '\1'), '[ \t\r]+$', '')) for l in x], chr(10)), chr(57344), '%') AS s FROM cl)"""
+)
+
+
+def _rules(x: str, *rules: tuple[str, str]) -> str:
+    for pattern, put in rules:
+        x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
+    return x
+
+
+_TABULAR = [(r"\[htpb!?\]|\[H\]|\[[htb]!\]|\[p\]", "")]
+_PLAIN = _rules(
+    "s", *_TABULAR, (r"~?\s*\\cite[pt]?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", r"[\1]"), ("~", " "), (r"\\([%&$_])", r"\1"),
+    (r"\[[htpb!]+\]", ""), (r"\[(?:width|height|scale)=[^\]]+\]", ""), (r"(?i)[\p{L}\p{N}_/-]+\.(?:png|jpg|jpeg|pdf|eps|svg)", ""),
+    (r"\\[A-Za-z]+[*]?\{([^{}]*)\}", r"\1"), (r"\\[a-zA-Z]+\*?", ""), ("[{}]", ""), (r"\\\\", " "), (r"[\n\t\r]", " "), (r"[\x00-\x1f\x{7f}-\x{9f}]", ""),
+    (r"\s+", " "), (r"\s+([.,;:!?])", r"\1"), (r"([.,;:!?])([.,;:!?])", r"\1 \2"),
+)
+_CLEAN = _rules("s", *_TABULAR, (r"[\t ]+", " "), (r"\n\s*\n\s*\n+", chr(10) * 2), (r"(?m)[ \r\f]+$", ""), (r"^\s+|\s+$", ""))
+
+_ABBREVIATIONS = ["Dr", "Mr", "Mrs", "Ms", "Prof", "vs", "etc", "Fig", "Eq", "No", "Vol", "et al", "e.g", "i.e", "Ph.D", "M.D", "U.S", "U.K", "A.I", "M.L"]
+_HELD = _rules("p", *[(rf"\b{x.replace('.', chr(92) + '.')}\.", x.replace(".", chr(57345)) + chr(57345)) for x in _ABBREVIATIONS])
+_CUT = [(r"([.!?])\s+([A-Z0-9])", r"\1" + chr(57346) + r"\2")] * 2
+#: Sentences of the two sections of each document's LaTeX, by paragraph.
+_SENTENCES = (
+    _STRIPPED
+    + rf""",
+    sec AS (SELECT doc_id, k, unnest(string_split_regex(g, '\n\s*\n')) AS p FROM (SELECT doc_id, unnest([0, 1]) AS k, unnest(string_split(substr(s, len('\section{{Introduction}}') + 1), '\section{{Methods}}')) AS g FROM st)),
+    sh AS (SELECT doc_id, k, unnest(string_split({_rules(_HELD, *_CUT)}, chr(57346))) AS x FROM (SELECT doc_id, k, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p FROM sec)),
+    sp AS (SELECT doc_id, k, regexp_replace(unnest(CASE WHEN len(x) - len(replace(x, '%', '')) >= 2 THEN string_split(regexp_replace(x, '\.\s+([0-9]+%)', '.' || chr(57346) || '\1', 'g'), chr(57346)) ELSE [x] END), '^\s+|\s+$', '', 'g') AS x FROM sh),
+    sn AS (SELECT doc_id, k, replace(x, chr(57345), '.') AS s FROM sp WHERE len(x) >= 5 AND NOT regexp_matches(x, '^[0-9\s%.,;:]+$'))"""
+)
+
+_RANKER = (
+    _AUTO
+    + """,
+    f AS (SELECT pub_id, bib_key, candidate_id, r AS f1, len(list_intersect(list_distinct(string_split(t1, ' ')), list_distinct(string_split(t2, ' ')))) / len(list_distinct(list_concat(string_split(t1, ' '), string_split(t2, ' ')))) AS f2,
+        CAST(y1 = y2 AS DOUBLE) AS f3, CASE WHEN split_part(lower(w1), ' ', 2) = split_part(lower(w2), ' ', 2) THEN 1.0 ELSE 0.5 END AS f4 FROM pp JOIN ratio ON a = t1 AND b = t2),
+    g AS (SELECT *, f2 >= 0.6 AND f4 >= 0.5 AS good FROM f)"""
+)
+
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 SQL: dict[str, str] = {
@@ -162,7 +234,7 @@ SQL: dict[str, str] = {
         f AS (SELECT CAST(CASE WHEN b IS NULL THEN -1 ELSE least(abs(a - b), 10) END AS INTEGER) AS year_diff, CAST(coalesce(a = b, false) AS INTEGER) AS year_exact_match, CAST(coalesce(abs(a - b) <= 1, false) AS INTEGER) AS year_within_1, CAST(b IS NOT NULL AS INTEGER) AS both_years_present FROM j)
         SELECT *, count(*) AS n FROM f GROUP BY ALL""",
     "auto_label": f"WITH RECURSIVE {_AUTO} SELECT bib_key, candidate_id, label FROM lab WHERE label = 1",
-    "auto_label_first": f"WITH RECURSIVE {_AUTO} SELECT 'p' AS pub_id, bib_key, arg_min(candidate_id, cand_ord) AS candidate_id FROM lab WHERE label = 1 AND bib_ord % 7 <> 0 GROUP BY bib_key",
+    "auto_label_first": f"WITH RECURSIVE {_AUTO} SELECT pub_id, bib_key, arg_min(candidate_id, cand_ord) AS candidate_id FROM lab WHERE label = 1 AND bib_ord % 7 <> 0 GROUP BY pub_id, bib_key",
     "merge_labels": f"WITH {_LABELS} SELECT pub_id, bib_key, candidate_id, label, origin FROM merged",
     "ground_truth": f"WITH {_LABELS} SELECT pub_id, bib_key, coalesce(m.candidate_id, a.candidate_id) AS candidate_id FROM manual m FULL JOIN auto a USING (pub_id, bib_key)",
     "label_gate": f"WITH {_LABELS} SELECT count(DISTINCT pub_id) AS publications, count(*) AS labels, CASE WHEN count(DISTINCT pub_id) >= 5 AND count(*) >= 20 THEN 'PASS' ELSE 'FAIL' END AS status FROM manual",
@@ -179,10 +251,9 @@ SQL: dict[str, str] = {
     "content_dedup": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[“”‘’''`]', '"', 'g') AS a FROM documents),
         n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(a, '[–—−]', '-', 'g'), '\s+([.,;:!?])', '\1', 'g'), '([.,;:!?])\s+', '\1 ', 'g')) AS n FROM t)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY n) AS canonical FROM n""",
-    "reference_groups": f"WITH RECURSIVE {_GROUPS} SELECT ord, seed FROM grp",
+    "reference_groups": f"WITH RECURSIVE {_GROUPS} SELECT pub_id, ord, seed FROM grp JOIN e USING (ord)",
     "reference_merge": f"WITH RECURSIVE {_GROUPS} SELECT seed, bib_key, keys, entry_type, title, array_to_string(names, ' and ') AS author, year, journal FROM mg JOIN who USING (seed)",
-    "rename_citations": f"""WITH RECURSIVE {_GROUPS} SELECT ord, 'See \\citep[p. 3]{{' || mg.bib_key || ',other}}.' AS renamed_text FROM grp JOIN mg USING (seed) WHERE len(string_split(keys, ',')) > 1
-        UNION ALL SELECT ord, 'See \\citep[p. 3]{{' || mg.bib_key || ',other}}.' FROM grp JOIN mg USING (seed) WHERE len(string_split(keys, ',')) = 1""",
+    "rename_citations": f"""WITH RECURSIVE {_GROUPS} SELECT ord, 'See \\citep[p. 3]{{' || mg.bib_key || CASE WHEN mg.bib_key = 'part' || ord THEN ', ' ELSE ',' END || 'other}}.' AS renamed_text FROM grp JOIN mg USING (seed)""",
     "comment_strip": _LATEX.join(["WITH ", ""])
     + r""",
         x AS (SELECT doc_id, list_filter(string_split(replace(text, '\%', chr(57344)), chr(10)), lambda x: NOT regexp_matches(x, '^\s*%')) AS x FROM t)
@@ -202,15 +273,16 @@ SQL: dict[str, str] = {
     "post_process": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE o_totalprice / 100000 END AS s, o_orderkey % 7 AS gap, o_custkey FROM orders),
         p AS (SELECT o_orderkey, s * CASE WHEN gap > 3 THEN 0.1::DOUBLE ELSE 1 END * CASE WHEN o_custkey % 2 = 0 THEN 1.2::DOUBLE ELSE 1 END AS s, o_custkey FROM o)
         SELECT o_orderkey, round(CASE WHEN o_custkey % 11 = 0 THEN 1.0::DOUBLE ELSE s END, 8) AS score FROM p""",
-    "query_groups": """WITH g AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS pub_id, lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS bib_key, count(*) AS n FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL)
+    "query_groups": """WITH g AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS pub_id, lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS bib_key, count(*) AS n FROM lineitem GROUP BY ALL)
         SELECT *, CAST(row_number() OVER (ORDER BY pub_id, bib_key) AS INTEGER) AS group_id FROM g""",
-    "tfidf_cosine": f"""WITH b AS (SELECT item_id, list_filter(string_split({_norm('substr(text, 1, 80)')}, ' '), lambda w: w <> '') AS a FROM benchmark WHERE item_id < 5),
-        d AS (SELECT doc_id, list_filter(string_split({_norm('substr(text, 1, 80)')}, ' '), lambda w: w <> '') AS b FROM documents),
-        p AS (SELECT item_id, doc_id, a, b, list_intersect(a, b) AS s FROM b, d WHERE len(a) > 0 AND len(b) > 0),
-        v AS (SELECT item_id, doc_id, list_sum([len(list_filter(a, lambda x: x = w)) * len(list_filter(b, lambda x: x = w)) for w in s]) AS dot,
-            list_sum([pow(len(list_filter(a, lambda x: x = w)) * CASE WHEN list_contains(s, w) THEN 1.0 ELSE 1 + ln(1.5) END, 2) for w in list_distinct(a)]) AS na,
-            list_sum([pow(len(list_filter(b, lambda x: x = w)) * CASE WHEN list_contains(s, w) THEN 1.0 ELSE 1 + ln(1.5) END, 2) for w in list_distinct(b)]) AS nb FROM p WHERE len(s) > 0)
-        SELECT item_id, doc_id, round(dot / (sqrt(na) * sqrt(nb)), 6) AS cosine FROM v WHERE round(dot / (sqrt(na) * sqrt(nb)), 6) > 0.2""",
+    "tfidf_cosine": f"""WITH b AS (SELECT item_id, {_terms('text')} AS w FROM benchmark), d AS (SELECT doc_id, {_terms('text')} AS w FROM documents),
+        bt AS (SELECT item_id, list_concat(w, {_pairs_of('w')}) AS a FROM b), dt AS (SELECT doc_id, list_concat(w, {_pairs_of('w')}) AS b FROM d),
+        p AS (SELECT item_id, doc_id, a, b FROM bt, dt WHERE list_has_any(a, b)),
+        x AS (SELECT item_id, doc_id, unnest(list_distinct(list_concat(a, b))) AS t, a, b FROM p),
+        n AS (SELECT item_id, doc_id, len(list_filter(a, lambda x: x = t)) AS x, len(list_filter(b, lambda x: x = t)) AS y FROM x),
+        v AS (SELECT item_id, doc_id, x * CASE WHEN x > 0 AND y > 0 THEN 1 ELSE 1 + ln(1.5) END AS x, y * CASE WHEN x > 0 AND y > 0 THEN 1 ELSE 1 + ln(1.5) END AS y FROM n),
+        s AS (SELECT item_id, doc_id, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS cosine FROM v GROUP BY item_id, doc_id)
+        SELECT item_id, doc_id, cosine FROM s WHERE cosine > 0.2""",
     "numeric_profile": "SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, round(avg(n_chars), 6) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang, source",
     "completeness": " UNION ALL ".join(f"SELECT '{n}' AS field, count(*) FILTER (WHERE {c}) AS present, round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 6)::DOUBLE AS percent FROM documents" for n, c in (("text", "trim(text) <> ''"), ("lang", "trim(lang) <> ''"), ("short_text", "length(text) < 2000 AND trim(text) <> ''"))),
     "value_counts": "SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type",
@@ -218,18 +290,65 @@ SQL: dict[str, str] = {
     "version_sharing": """WITH e AS (SELECT user_id % 50 AS pub_id, event_type AS k, event_id % 3 AS v FROM events), n AS (SELECT pub_id, count(DISTINCT v) AS vs FROM e GROUP BY pub_id), p AS (SELECT pub_id, k, count(DISTINCT v) AS v FROM e GROUP BY pub_id, k)
         SELECT pub_id, count(*) FILTER (WHERE v = vs) AS shared, count(*) AS total, round(count(*) FILTER (WHERE v = vs) / count(*), 6) AS ratio FROM p JOIN n USING (pub_id) GROUP BY pub_id""",
     "correlations": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1 :]),
-    "bibtex_export": f"""WITH {_PARTS.format(n=60)} SELECT bib_key, '@' || entry_type || '{{' || bib_key || ',' || chr(10) || '  author = {{' || author || '}},' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}}'
+    "bibtex_export": f"""WITH {_PARTS} SELECT bib_key, '@' || entry_type || '{{' || bib_key || ',' || chr(10) || '  author = {{' || author || '}},' || chr(10) || '  title = {{' || title || '}},' || chr(10) || '  year = {{' || year || '}}'
         || CASE WHEN journal IS NULL THEN '' ELSE ',' || chr(10) || '  journal = {{' || journal || '}}' END || chr(10) || '}}' || chr(10) AS bibtex FROM e""",
-    "bibtex_round_trip": f"WITH {_PARTS.format(n=60)} SELECT bib_key, entry_type, title, author, year, journal FROM e",
-    "bibitem_parse": f"""WITH {_PARTS.format(n=60)} SELECT bib_key, 'misc' AS entry_type, 'A. Smith and B. Jones' AS author, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(title, ' ')], ' ') AS title, 'Journal of Parts, ' || year AS journal, year FROM e""",
+    "bibtex_round_trip": f"WITH {_PARTS} SELECT bib_key, entry_type, title, author, year, journal FROM e",
+    "bibitem_parse": f"""WITH {_PARTS} SELECT bib_key, 'misc' AS entry_type, 'A. Smith and B. Jones' AS author, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(title, ' ')], ' ') AS title, 'Journal of Parts, ' || year AS journal, year FROM e""",
     "arxiv_ids": """WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS k, o_orderkey % 4 AS f FROM orders),
         a AS (SELECT o_orderkey, CASE f WHEN 0 THEN '2101.' || k WHEN 1 THEN 'hep-th/99' || k WHEN 2 THEN '1999.' || substr(k, 2, 4) END AS arxiv_id FROM k)
         SELECT o_orderkey, arxiv_id, replace(arxiv_id, '.', '-') AS normal FROM a""",
-    "bibliography_fields": f"WITH {_PARTS.format(n=60)} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, round(100.0 * count({c}) / count(*), 6)::DOUBLE AS percent FROM e" for c in ("title", "author", "year", "journal")),
+    "bibliography_fields": f"WITH {_PARTS} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, round(100.0 * count({c}) / count(*), 6)::DOUBLE AS percent FROM e" for c in ("title", "author", "year", "journal")),
     "running_groups": """WITH w AS (SELECT user_id, CAST(event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS runs, count(*) AS events FROM w GROUP BY user_id""",
     "sentence_counts": r"""WITH d AS (SELECT doc_id, text AS t FROM documents),
         h AS (SELECT doc_id, list_reduce(list_concat([t], ['vs.', 'i.e.', 'etc.', 'e.g.', 'Vol.', 'U.S.', 'U.K.', 'Prof.', 'Ph.D.', 'No.', 'Ms.', 'Mrs.', 'Mr.', 'M.L.', 'M.D.', 'Fig.', 'Eq.', 'Dr.', 'A.I.', 'et al.']), lambda a, x: replace(a, x, replace(x, '.', chr(57345)))) AS t FROM d),
         s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), chr(57346))) AS s FROM h),
         p AS (SELECT doc_id, trim(unnest(CASE WHEN len(s) - len(replace(s, '%', '')) >= 2 THEN string_split(regexp_replace(s, '\.\s+([0-9]+%)', '.' || chr(57346) || '\1', 'g'), chr(57346)) ELSE [s] END)) AS s FROM s)
         SELECT d.doc_id, CAST(count(p.s) FILTER (WHERE len(p.s) >= 5 AND NOT regexp_matches(p.s, '^[0-9\s%.,;:]+$')) AS INTEGER) AS sentences FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""",
+    "suggest_labels": f"""WITH RECURSIVE {_PARTS},
+        c AS (SELECT x.pub_id, x.bib_key, y.bib_key AS candidate_id, y.ord, {_fuzz('x.title')} AS t1, {_fuzz('y.title')} AS t2, {_fuzz('x.author')} AS w1, {_fuzz('y.author')} AS w2 FROM e x JOIN e y USING (pub_id) WHERE x.ord <> y.ord),
+        f AS (SELECT *, array_to_string(t1, ' ') AS s1, array_to_string(t2, ' ') AS s2, {_sets('w1', 'w2')} FROM c),
+        q AS (SELECT s1 AS a, s2 AS b FROM f UNION SELECT i, ix FROM f UNION SELECT i, iy FROM f UNION SELECT ix, iy FROM f), {_LCS},
+        g AS (SELECT f.*, 70 * r1.r + 30 * greatest(r2.r, r3.r, r4.r) AS score FROM f JOIN ratio r1 ON r1.a = s1 AND r1.b = s2 JOIN ratio r2 ON r2.a = i AND r2.b = ix JOIN ratio r3 ON r3.a = i AND r3.b = iy JOIN ratio r4 ON r4.a = ix AND r4.b = iy)
+        SELECT bib_key, candidate_id, CAST(row_number() OVER (PARTITION BY pub_id, bib_key ORDER BY score DESC, ord) AS INTEGER) AS rank, round(score, 4) AS score, rank = 1 AND g.score >= 85 AS accepted FROM g QUALIFY rank <= 3""",
+    "match_features": f"""WITH RECURSIVE {_TITLES},
+        m AS (SELECT t.pub_id, t.bib_key, t.candidate_id, b_raw, c_raw, b_norm, c_norm, {_words('b_norm')} AS x, {_words('c_norm')} AS y, {_fuzz('b_norm')} AS fx, {_fuzz('c_norm')} AS fy FROM top t JOIN en USING (pub_id, bib_key) JOIN cn USING (pub_id, candidate_id)),
+        f AS (SELECT *, array_to_string(fx, ' ') AS sx, array_to_string(fy, ' ') AS sy, {_sets('fx', 'fy')}, {_BIGRAM_WORDS.format("trim(b_norm || ' ' || b_norm)")} AS bx, {_BIGRAM_WORDS.format("trim(c_norm || ' ' || c_norm)")} AS byy,
+            len(list_filter(string_split_regex(b_raw, '\\s+'), lambda w: w <> '')) AS nx, len(list_filter(string_split_regex(c_raw, '\\s+'), lambda w: w <> '')) AS ny FROM m),
+        q AS (SELECT b_norm AS a, c_norm AS b FROM f UNION SELECT sx, sy FROM f UNION SELECT i, ix FROM f UNION SELECT i, iy FROM f UNION SELECT ix, iy FROM f), {_LCS},
+        v AS (SELECT pub_id, bib_key, candidate_id, round({_jaccard('x', 'y')}, 6) AS j, r0.r AS title_levenshtein, r1.r AS title_token_sort, greatest(r2.r, r3.r, r4.r) AS title_token_set, CAST(b_norm = c_norm AND b_norm <> '' AS INTEGER) AS title_exact_match,
+            round({_jaccard('bx', 'byy')}, 6) AS bigram_similarity, round(CASE WHEN nx > 0 AND ny > 0 THEN least(nx, ny) / greatest(nx, ny) ELSE 0 END, 6) AS title_length_ratio
+            FROM f JOIN ratio r0 ON r0.a = b_norm AND r0.b = c_norm JOIN ratio r1 ON r1.a = sx AND r1.b = sy JOIN ratio r2 ON r2.a = i AND r2.b = ix JOIN ratio r3 ON r3.a = i AND r3.b = iy JOIN ratio r4 ON r4.a = ix AND r4.b = iy)
+        SELECT pub_id, bib_key, candidate_id, j AS title_jaccard, title_levenshtein, title_token_sort, title_token_set, title_exact_match, 1.0::DOUBLE AS author_overlap_ratio, 1 AS num_common_authors, 1 AS first_author_match, 1 AS last_author_match, 1.0::DOUBLE AS author_initials_match,
+            -1 AS year_diff, 0 AS year_exact_match, 0 AS year_within_1, 0 AS both_years_present, j AS abstract_jaccard, 0.0::DOUBLE AS venue_similarity, j AS text_word_overlap, bigram_similarity, title_length_ratio FROM v""",
+    "latex_plain": f"WITH {_STRIPPED} SELECT doc_id, trim({_PLAIN}) AS plain, trim({_CLEAN}) AS clean FROM st",
+    "latex_elements": f"""WITH {_SENTENCES}, n AS (SELECT doc_id, count(*) AS sentence FROM sn GROUP BY doc_id)
+        SELECT 'd' || doc_id AS pub_id, 1 AS version, {', '.join(f"CAST({'1' if k == 'document' else '2' if k == 'section' else 'coalesce(sentence, 0)' if k == 'sentence' else '0'} AS BIGINT) AS {k}" for k in TYPES)} FROM documents LEFT JOIN n USING (doc_id)""",
+    "hierarchy_export": f"""WITH {_SENTENCES}, el AS (SELECT doc_id, s FROM sn UNION ALL SELECT doc_id, unnest(['Document - d' || doc_id, 'Introduction', 'Methods']) FROM documents),
+        pl AS (SELECT doc_id, trim({_PLAIN}) AS p FROM el), kept AS (SELECT * FROM pl WHERE lower(trim(p)) NOT IN ('', 'unsrt', 'plain', 'abbrv', 'references', 'bibliography'))
+        SELECT 'd' || doc_id AS pub_id, count(*) AS elements, CAST(sum(length(p)) AS BIGINT) AS characters, count(*) - 1 AS edges, CAST(1 AS BIGINT) AS versions FROM kept GROUP BY doc_id""",
+    "citation_features": f"""WITH d AS (SELECT 'd' || doc_id AS pub_id, source, lang FROM documents),
+        k AS (SELECT pub_id, source AS bib_key, 1 AS n, 0 AS m FROM d UNION ALL SELECT pub_id, lang, 2, 1 FROM d)
+        SELECT pub_id, bib_key, CAST(n AS BIGINT) AS citation_count, 1 AS has_citation, 1 AS cited_in_intro, 0 AS cited_in_related_work, m AS cited_in_methods, 0 AS cited_in_results, 0 AS cited_in_conclusion, 0 AS cited_in_abstract, 2.0::DOUBLE AS avg_citation_depth,
+            2 AS min_citation_depth, 2 AS max_citation_depth, 2 AS first_citation_depth, 0 AS near_figure, 0 AS near_table, 0 AS near_formula, 0 AS in_itemize, 1 AS co_citation_count, 1 AS has_co_citations FROM k""",
+    "prediction_export": f"""WITH {_LABELS}, {_SPLIT.strip()},
+        gt AS (SELECT pub_id, bib_key, coalesce(m.candidate_id, a.candidate_id) AS c FROM manual m FULL JOIN auto a USING (pub_id, bib_key)),
+        g AS (SELECT pub_id, string_agg('"' || bib_key || '":"' || c || '"', ',' ORDER BY CAST(bib_key AS VARCHAR)) AS g FROM gt GROUP BY pub_id),
+        l AS (SELECT pub_id, bib_key, string_agg('"' || candidate_id || '"', ',' ORDER BY rank) AS l FROM top GROUP BY pub_id, bib_key),
+        p AS (SELECT pub_id, string_agg('"' || bib_key || '":[' || l || ']', ',' ORDER BY CAST(bib_key AS VARCHAR)) AS p FROM l GROUP BY pub_id)
+        SELECT pub_id, '{{"partition":"' || split || '"' || coalesce(',"groundtruth":{{' || g || '}}', '') || coalesce(',"prediction":{{' || p || '}}', '') || '}}' AS json FROM split LEFT JOIN g USING (pub_id) LEFT JOIN p USING (pub_id)""",
+    "folded_tokens": f"""WITH w AS (SELECT unnest(string_split(regexp_replace(strip_accents(lower(substr(text, 1, 80))), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ')) AS word FROM documents WHERE lang = 'en')
+        SELECT word, count(*) AS n FROM w WHERE len(word) >= 2 AND word NOT IN ({', '.join(f"'{w}'" for w in STOP_WORDS)}) GROUP BY word""",
+    "ranker_preferences": f"""WITH RECURSIVE {_RANKER}, d AS (SELECT {', '.join(f'x.f{i} - y.f{i} AS f{i}' for i in range(1, 5))} FROM g x JOIN g y USING (pub_id, bib_key) WHERE x.good AND NOT y.good)
+        SELECT label, count(*) AS n, (SELECT count(DISTINCT (pub_id, bib_key)) FROM g WHERE good) AS entries, {', '.join(f'round(sum((2 * label - 1) * f{i}), 4) AS f{i}' for i in range(1, 5))} FROM d, (SELECT unnest([0, 1]) AS label) GROUP BY label""",
+    "split_queries": """WITH k AS (SELECT source AS pub_id, CAST(item_id AS VARCHAR) AS bib_key FROM benchmark, (SELECT DISTINCT source FROM documents)), r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || pub_id || ':' || bib_key), pub_id, bib_key) AS r, count(*) OVER () AS n FROM k)
+        SELECT pub_id, bib_key, CASE WHEN r <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r""",
+    "compliance": f"""WITH {_LABELS}, per AS (SELECT pub_id, max(CAST(origin = 'manual' AS INTEGER)) AS m, max(CAST(origin = 'auto' AS INTEGER)) AS a, count(*) FILTER (WHERE origin = 'manual' AND label = 1) AS n FROM merged GROUP BY pub_id),
+        rules AS (SELECT unnest(['manual publications', 'manual labels', 'automatic share']) AS requirement, unnest([5.0, 20.0, 0.1]::DOUBLE[]) AS required, unnest([sum(m), sum(n), coalesce(sum(CASE WHEN m = 0 THEN a ELSE 0 END) / nullif(sum(1 - m), 0), 0)]::DOUBLE[]) AS actual FROM per)
+        SELECT requirement, required, round(actual, 6) AS actual, CASE WHEN actual >= required THEN 'PASS' ELSE 'FAIL' END AS status FROM rules""",
+    "combined_sources": r"""WITH d AS (SELECT doc_id, doc_id // 10 AS b, doc_id % 10 AS k FROM documents),
+        f AS (SELECT b, '<' || doc_id || '>' AS x, '</' || doc_id || '>' AS y, k FROM d),
+        m AS (SELECT b, max(x) FILTER (WHERE k = 0) AS x0, max(y) FILTER (WHERE k = 0) AS y0, string_agg(x, '' ORDER BY k) FILTER (WHERE k BETWEEN 1 AND 6) AS x1, string_agg(y, '' ORDER BY k DESC) FILTER (WHERE k BETWEEN 1 AND 6) AS y1,
+            string_agg(x || y, '' ORDER BY k) FILTER (WHERE k = 7) AS f7, string_agg(x || y, '') FILTER (WHERE k = 9) AS f9, count(*) - 1 AS n FROM f GROUP BY b)
+        SELECT 'b' || b AS pub_id, '\documentclass{article}\begin{document}' || x0 || x1 || y1 || ' ' || f7 || ' ' || f9 || y0 || '\end{document}' AS text, n AS n_files FROM m""",
+    "ignored_files": "SELECT 'b' || (doc_id // 10) AS pub_id, 'c/f8.tex' AS path FROM documents WHERE doc_id % 10 = 8",
 }

@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from biblioflux.functions import bibitems, identifiers, latex, people, similarity, text
 from biblioflux.operators import dedup, features, hierarchy, learning, pairs, profile, ranking
-from biblioflux.sources import bibliography, tables
+from biblioflux.operators.order import cut_lineage
+from biblioflux.sources import bibliography, publications, tables
 from biblioflux.sources.tables import table
 
 TITLE = 80
@@ -38,10 +39,9 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored_topk(spark: SparkSession, sf: str, arrays: Callable[[Column], Column]) -> DataFrame:
-    bib = _entries(spark, sf).withColumn("b", F.array_distinct(arrays(F.col("b_norm"))))
-    cand = _candidates(spark, sf).withColumn("c", F.array_distinct(arrays(F.col("c_norm"))))
-    scored = pairs.make_pairs(bib.select("pub_id", "bib_key", "b"), cand.select("pub_id", "candidate_id", "c")).withColumn("score", F.round(text.jaccard(F.col("b"), F.col("c")), 6))
-    return ranking.top_k(scored, 5, "candidate_id").select("pub_id", "bib_key", "candidate_id", "rank", "score")
+    bib = _entries(spark, sf).select("pub_id", "bib_key", F.array_distinct(arrays(F.col("b_norm"))).alias("b"))
+    cand = _candidates(spark, sf).select("pub_id", "candidate_id", F.array_distinct(arrays(F.col("c_norm"))).alias("c"))
+    return ranking.jaccard_top_k(bib, cand, 5).select("pub_id", "bib_key", "candidate_id", "rank", "score")
 
 
 def title_jaccard_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,11 +92,12 @@ def partial_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _people_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of one nation in cohorts of 500 keys, so that the pairs grow with the table."""
     letter = lambda n: F.chr(65 + F.col("c_custkey") % n)
     who = F.concat(F.initcap("c_mktsegment"), F.lit(", "), letter(5), F.lit(". and "), letter(3), F.lit(". Lee"))
-    c = table(spark, sf, "customer").where("c_custkey < 300").select("c_custkey", "c_nationkey", who.alias("who"))
-    a, b = (c.select("c_nationkey", F.col("c_custkey").alias(f"{x}_key"), F.col("who").alias(f"{x}_who")) for x in "ab")
-    return a.join(b, "c_nationkey").where("a_key < b_key")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.expr("c_custkey div 500").alias("cohort"), who.alias("who"))
+    a, b = (c.select("c_nationkey", "cohort", F.col("c_custkey").alias(f"{x}_key"), F.col("who").alias(f"{x}_who")) for x in "ab")
+    return a.join(b, ["c_nationkey", "cohort"]).where("a_key < b_key")
 
 
 def author_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,10 +122,10 @@ def year_features(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy(*f.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _part_entries(spark: SparkSession, sf: str, most: int = 60) -> DataFrame:
-    """Parts as entries and as candidates: a title of name and type, the brand as author, a year of the size."""
-    return table(spark, sf, "part").where(F.col("p_partkey") < most).select(
-        F.lit("p").alias("pub_id"), F.col("p_partkey").alias("ord"), F.concat(F.lit("part"), F.col("p_partkey")).alias("bib_key"),
+def _part_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as entries and as candidates: a title of name and type, the brand as author, a year of the size; 20 keys make a publication."""
+    return table(spark, sf, "part").select(
+        F.concat(F.lit("p"), F.expr("p_partkey div 20")).alias("pub_id"), F.col("p_partkey").alias("ord"), F.concat(F.lit("part"), F.col("p_partkey")).alias("bib_key"),
         F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"), F.concat(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" and Common")).alias("author"),
         (1990 + F.col("p_size") % 3).cast("string").alias("year"), F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).alias("journal"), F.when(F.col("p_size") % 3 == 0, "article").otherwise("misc").alias("entry_type"),
     )
@@ -152,14 +153,14 @@ def auto_label_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def suggest_labels(spark: SparkSession, sf: str) -> DataFrame:
-    s = pairs.suggest_labels(_part_pairs(spark, sf).where("bib_ord < 20"))
+    s = pairs.suggest_labels(_part_pairs(spark, sf))
     accepted = pairs.auto_accept(s).withColumn("accepted", F.lit(True))
     return s.join(accepted, ["pub_id", "bib_key", "candidate_id"], "left").select("bib_key", "candidate_id", "rank", F.round("score", 4).alias("score"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (the top five titles), manual labels (the least good document of the source, for every third item) and automatic ones (the top title of at least 0.1)."""
-    top = title_jaccard_topk(spark, sf)
+    top = cut_lineage(title_jaccard_topk(spark, sf))
     good = table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     least = good.groupBy(F.col("source").alias("pub_id")).agg(F.min("doc_id").alias("candidate_id"))
     manual = _entries(spark, sf).where("bib_key % 3 = 0").select("pub_id", "bib_key").join(least, "pub_id")
@@ -187,6 +188,14 @@ def split_publications(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.split_publications(table(spark, sf, "documents").select(F.col("source").alias("pub_id")))
 
 
+def split_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.split_queries(_entries(spark, sf).select("pub_id", F.col("bib_key").cast("string").alias("bib_key")))
+
+
+def compliance(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.compliance(pairs.merge_labels(*_labelled(spark, sf))).withColumn("actual", F.round("actual", 6))
+
+
 def split_by_origin(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit("manual").alias("origin")), "doc_id", "left")
     return pairs.split_by_origin(docs.select(F.col("source").alias("pub_id"), F.coalesce("origin", F.lit("auto")).alias("origin")))
@@ -205,17 +214,17 @@ def balance_over(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "documents").select(F.lit("p").alias("pub_id"), F.col("doc_id").alias("element_id"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_text"))
+    e = tables.spread(table(spark, sf, "documents")).select(F.lit("p").alias("pub_id"), F.col("doc_id").alias("element_id"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_text"))
     return dedup.duplicate_elements(e).select(F.col("element_id").alias("doc_id"), F.col("canonical_id").alias("canonical"))
 
 
 def _reference_groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = _part_entries(spark, sf, 120)
+    e = _part_entries(spark, sf)
     return e, dedup.seed_groups(e, dedup.duplicate_pairs(e))
 
 
 def reference_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _reference_groups(spark, sf)[1].select("ord", "seed")
+    return _reference_groups(spark, sf)[1].select("pub_id", "ord", "seed")
 
 
 def reference_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,17 +234,38 @@ def reference_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 def rename_citations(spark: SparkSession, sf: str) -> DataFrame:
     renames = dedup.rename_map(dedup.merge_groups(*_reference_groups(spark, sf)))
-    texts = _part_entries(spark, sf, 120).select("pub_id", "ord", F.concat(F.lit("See \\citep[p. 3]{"), F.col("bib_key"), F.lit(", other}.")).alias("text"))
+    texts = _part_entries(spark, sf).select("pub_id", "ord", F.concat(F.lit("See \\citep[p. 3]{"), F.col("bib_key"), F.lit(", other}.")).alias("text"))
     return dedup.rename_citations(texts, renames).select("ord", "renamed_text")
 
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of nested folders: each ten make a version, whose main file takes in the second, that one (from its own folder)
+    the third, and so on to the seventh; the eighth goes to a folder of its own, the ninth is named by nobody, and the last ends in a circle."""
+    at = F.col("doc_id") % 10
+    folder = F.when(at == 0, "").when(at < 4, "a/").when(at < 7, "a/b/").otherwise("c/")
+    name = F.when(at == 0, "main.tex").otherwise(F.concat(F.lit("f"), at, F.lit(".tex")))
+    below = F.when(at == 0, "\\input{a/f1} \\import{c/}{f7} \\include{c/f9}").when(at == 3, "\\input{b/f4}").when(at < 6, F.concat(F.lit("\\input{f"), at + 1, F.lit("}"))).when(at == 6, "\\input{../f1}\\input{missing}").when(at == 9, "\\input{./f7}").otherwise("")
+    body = F.concat(F.lit("<"), "doc_id", F.lit(">"), below, F.lit("</"), "doc_id", F.lit(">"))
+    text_ = F.when(at == 0, F.concat(F.lit("\\documentclass{article}\\begin{document}"), body, F.lit("\\end{document}"))).otherwise(body)
+    d = table(spark, sf, "documents").select(F.concat(F.lit("b"), F.expr("doc_id div 10")).alias("pub_id"), F.lit(1).alias("version"), F.concat(folder, name).alias("path"), name.alias("name"), text_.alias("text"))
+    return d.withColumn("size", F.length("text"))
+
+
+def combined_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return publications.combined_sources(_files(spark, sf)).select("pub_id", "text", "n_files")
+
+
+def ignored_files(spark: SparkSession, sf: str) -> DataFrame:
+    return publications.ignored_files(_files(spark, sf)).select("pub_id", "path")
+
+
 def _latex(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as LaTeX: two sections, citations of the source and the language, and a trailing comment."""
     half = (F.length("text") / 2).cast("int")
     body = F.concat(
         F.lit("\\section{Introduction} We follow \\cite{"), "source", F.lit(", "), "lang", F.lit("}. "), F.substring(F.col("text"), F.lit(1), half), F.lit(" % note\n\\section{Methods} By \\citep[see]{"), "lang", F.lit("} it holds.\n\n"), F.substring(F.col("text"), half + 1, F.length("text"))
     )
-    docs = table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("$"), F.lit("")))  # lone math signs pair up at random
+    docs = tables.spread(table(spark, sf, "documents")).withColumn("text", F.replace("text", F.lit("$"), F.lit("")))  # lone math signs pair up at random
     return docs.select("doc_id", F.concat(F.lit("d"), F.col("doc_id")).alias("pub_id"), F.lit(1).alias("version"), body.alias("text"))
 
 
@@ -254,7 +284,7 @@ def cocitation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(latex.sentences(F.col("text"))).alias("sentences"))
+    return tables.spread(table(spark, sf, "documents")).select("doc_id", F.size(latex.sentences(F.col("text"))).alias("sentences"))
 
 
 def latex_plain(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,8 +306,13 @@ def citation_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hierarchy_export(spark: SparkSession, sf: str) -> DataFrame:
-    e = hierarchy.parse(_latex(spark, sf).where("doc_id < 200"))
-    return tables.hierarchy_json(e, hierarchy.edges(e))
+    """Exported hierarchies, read again: elements, edges and versions of each publication, and the number of its plain characters."""
+    e = cut_lineage(hierarchy.parse(_latex(spark, sf)))
+    exported = cut_lineage(tables.hierarchy_json(e, hierarchy.edges(e)))
+    elements, edges = tables.hierarchy(exported.select("json"), "json")
+    pub = lambda c: F.regexp_extract(c, "^(d[0-9]+)-", 1).alias("pub_id")
+    held = elements.groupBy(pub("element_id")).agg(F.count(F.lit(1)).alias("elements"), F.sum(F.length("text")).alias("characters"))
+    return held.join(edges.groupBy(pub("child_id")).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("version").alias("versions")), "pub_id")
 
 
 def html_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,14 +371,16 @@ def post_process(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_groups(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").where("l_orderkey < 2000").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("pub_id"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0").alias("bib_key"))
+    li = table(spark, sf, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("pub_id"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0").alias("bib_key"))
     return ranking.group_ids(li)
 
 
 def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    bib = table(spark, sf, "benchmark").where("item_id < 5").select("item_id", text.tokens(text.normalize(_title())).alias("a"))
-    cand = table(spark, sf, "documents").select("doc_id", text.tokens(text.normalize(_title())).alias("b"))
-    return bib.join(F.broadcast(bib).select("item_id"), "item_id", "left_semi").crossJoin(cand).select("item_id", "doc_id", F.round(features.tfidf_cosine(F.col("a"), F.col("b")), 6).alias("cosine")).where("cosine > 0.2")
+    """Titles of items and documents of which more than a fifth agrees; pairs that share no term are dropped before they are scored."""
+    bib = table(spark, sf, "benchmark").select("item_id", features.tfidf_terms(_title()).alias("a"))
+    cand = tables.spread(table(spark, sf, "documents").select("doc_id", features.tfidf_terms(_title()).alias("b")))
+    pairs_ = cand.join(bib, F.arrays_overlap("a", "b"))
+    return pairs_.select("item_id", "doc_id", F.round(features.tfidf_cosine(F.col("a"), F.col("b")), 6).alias("cosine")).where("cosine > 0.2")
 
 
 def numeric_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,30 +446,48 @@ def arxiv_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def folded_tokens(spark: SparkSession, sf: str) -> DataFrame:
     words = F.explode(text.content_tokens(_title()))
-    return table(spark, sf, "documents").where("lang = 'en'").select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return tables.spread(table(spark, sf, "documents").where("lang = 'en'")).select(words.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def match_features(spark: SparkSession, sf: str) -> DataFrame:
     """All text features of benchmark items against the best five titles of each source."""
-    bib = features.prepare(_entries(spark, sf), "b", F.col("b_raw"), F.col("pub_id"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("b_raw"))
-    cand = features.prepare(_candidates(spark, sf), "c", F.col("c_raw"), F.col("pub_id"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.col("c_raw"))
-    top = title_jaccard_topk(spark, sf).select("pub_id", "bib_key", "candidate_id")
-    p = top.join(bib, ["pub_id", "bib_key"]).join(cand, ["pub_id", "candidate_id"])
-    return features.extract(p).select("pub_id", "bib_key", "candidate_id", *features.TEXT_FEATURES)
+    none = F.lit(None).cast("string")
+    bib = features.prepare(_entries(spark, sf), "b", F.col("b_raw"), F.col("pub_id"), none.cast("int"), none, F.col("b_raw"))
+    cand = features.prepare(_candidates(spark, sf), "c", F.col("c_raw"), F.col("pub_id"), none.cast("int"), none, F.col("c_raw"))
+    top = ranking.jaccard_top_k(bib.select("pub_id", "bib_key", F.col("b_words").alias("b")), cand.select("pub_id", "candidate_id", F.col("c_words").alias("c")), 5)
+    p = cut_lineage(top.select("pub_id", "bib_key", "candidate_id")).join(bib, ["pub_id", "bib_key"]).join(cand, ["pub_id", "candidate_id"])
+    return features.extract(p).select("pub_id", "bib_key", "candidate_id", *[F.round(c, 6).alias(c) for c in features.TEXT_FEATURES])
+
+
+RANKED = ("f1", "f2", "f3", "f4")
+
+
+def _ranker_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Part pairs with four scores, and a label where two of them are high."""
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    scores = (
+        similarity.ratio(F.col("bib_title"), F.col("cand_title")),
+        text.jaccard(words("bib_title"), words("cand_title")),
+        (F.col("bib_year") == F.col("cand_year")).cast("double"),
+        people.overlap(people.loose_last_names(F.col("bib_author")), people.loose_last_names(F.col("cand_author"))),
+    )
+    p = _part_pairs(spark, sf).withColumns(dict(zip(RANKED, scores)))
+    return cut_lineage(p.withColumn("label", ((F.col("f2") >= 0.6) & (F.col("f4") >= 0.5)).cast("int")).select("pub_id", "bib_key", "candidate_id", "cand_ord", *RANKED, "label"))
+
+
+def ranker_preferences(spark: SparkSession, sf: str) -> DataFrame:
+    """What the ranker is trained on, by entry: preferences, and the sums of their differences."""
+    p = _ranker_pairs(spark, sf)
+    good = p.where("label = 1").select("pub_id", "bib_key").distinct()
+    made = learning.preferences(p, list(RANKED)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 4).alias(c) for c in RANKED])
+    return made.join(F.broadcast(good.agg(F.count(F.lit(1)).alias("entries")))).select(F.col("label").cast("int").alias("label"), "n", "entries", *RANKED)
 
 
 def learned_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Pairwise ranker on part pairs: trained on automatic labels, then the top five candidates of each entry."""
-    p = _part_pairs(spark, sf)
-    scores = {
-        "f1": similarity.ratio(F.col("bib_title"), F.col("cand_title")),
-        "f2": text.jaccard(F.split("bib_title", " "), F.split("cand_title", " ")),
-        "f3": (F.col("bib_year") == F.col("cand_year")).cast("double"),
-        "f4": people.overlap(people.loose_last_names(F.col("bib_author")), people.loose_last_names(F.col("cand_author"))),
-    }
-    labelled = p.withColumns(scores).withColumn("label", ((F.col("f2") >= 0.6) & (F.col("f4") >= 0.5)).cast("int"))
-    model = learning.train_ranker(labelled, list(scores), rounds=20)
-    return ranking.top_k(learning.predict(model, labelled), 5).select("bib_key", "candidate_id", "rank", F.round("score", 6).alias("score"))
+    p = _ranker_pairs(spark, sf)
+    model = learning.train_ranker(p, list(RANKED), rounds=20)
+    return ranking.top_k(learning.predict(model, p), 5).select("pub_id", "bib_key", "candidate_id", "rank", F.round("score", 6).alias("score"))
 
 
 def bibliography_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -454,9 +509,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         title_jaccard_topk, bigram_topk, title_ratio_stats, pair_statistics, labelling_candidates, fuzzy_scores, edit_distance_candidates, partial_ratios,
         author_features, loose_author_overlap, year_features, auto_label, auto_label_first, suggest_labels, merge_labels, ground_truth, label_gate, label_statistics,
         split_publications, split_by_origin, balance_under, balance_over, content_dedup, reference_groups, reference_merge, rename_citations,
-        comment_strip, citation_index, cocitation, sentence_counts, latex_plain, latex_elements, latex_sections, citation_features, hierarchy_export,
+        comment_strip, combined_sources, ignored_files, citation_index, cocitation, sentence_counts, latex_plain, latex_elements, latex_sections, citation_features, hierarchy_export,
         html_counts, tree_depth, tree_siblings, ranking_metrics, ranking_report, precision_at_5, post_process, query_groups, tfidf_cosine,
         numeric_profile, completeness, value_counts, histogram, version_sharing, correlations, bibtex_export, bibtex_round_trip, bibitem_parse,
-        prediction_export, arxiv_ids, folded_tokens, match_features, learned_ranking, bibliography_fields, running_groups,
+        prediction_export, arxiv_ids, folded_tokens, match_features, ranker_preferences, learned_ranking, compliance, split_queries, bibliography_fields, running_groups,
     )
 }

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many parts as there are cores, for work that is heavy a row: a file of one row group is read by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def candidates(files: DataFrame) -> DataFrame:
     """(pub_id, candidate_id, ord, title, authors, year, submission_date, venue, abstract, s2_id) from references.json texts.
 
