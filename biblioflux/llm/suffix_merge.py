@@ -2,7 +2,7 @@
 
 1. Anchors.  In every window of MIN_WORDS words the least hash among its K-word runs marks an anchor.  Equal windows
    have equal anchors at equal places, so a window can only repeat if its anchor occurs in two documents.
-2. The windows around such anchors, cut into segments that share one anchor, are gathered by anchor.
+2. The windows around such anchors, cut into segments that share one anchor, are gathered by anchor, equal ones once.
 3. The segments of an anchor are spread over shards.  Each shard sorts the suffixes of its own segments, which gives
    its transform.  The transforms are then merged by refining their interleave: after h rounds the rows of all shards are
    in the order of their first h words, and each round follows from the last one by stepping every row to its
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
@@ -214,65 +214,56 @@ def repeated_windows(texts: list[str], low: np.ndarray, high: np.ndarray, size:
     return text[once], word[once], first[once]
 
 
+def _ranked(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct ids in order, of whatever type, and each value's place among them."""
+    known = values.dictionary_encode()
+    order = pc.sort_indices(known.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return known.dictionary.take(order), rank[known.indices.to_numpy()]
+
+
 def _merge_blocks(size: int):
-    """Arrow batches sorted by (a, seg) -> runs (doc, h, lo, hi, first) of repeated windows, by word number."""
-
-    def flush(held: list[pa.Table]) -> pa.RecordBatch:
-        table = pa.concat_tables(held).unify_dictionaries().combine_chunks()
-        seg = table.column("seg").chunk(0) if table.num_rows else None
-        names = ["doc", "h", "lo", "hi", "first"]
-        kind = table.schema.field("doc").type
-        empty = pa.RecordBatch.from_arrays([pa.array([], t) for t in (kind, pa.int64(), pa.int32(), pa.int32(), kind)], names=names)
-        if seg is None:
-            return empty
-        code = seg.indices.to_numpy()
-        texts = seg.dictionary.to_pylist()
-        row, start = (table.column(c).to_numpy() for c in ("h", "start"))
-        known = table.column("doc").chunk(0).dictionary_encode()  # ids of any type, by their rank
-        ranked = pc.sort_indices(known.dictionary)
-        ids, rank = known.dictionary.take(ranked), np.empty(len(ranked), np.int64)
-        rank[ranked.to_numpy()] = np.arange(len(ranked))
-        doc = rank[known.indices.to_numpy()]
-        low, high = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
-        np.minimum.at(low, code, doc)
-        np.maximum.at(high, code, doc)
-        text, word, first = repeated_windows(texts, low, high, size)
-        if not len(text):
-            return empty
-        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1] + 1)]))
-        stop = np.append(new[1:], len(text)) - 1
-        run_text, lo, hi, least = text[new], word[new], word[stop], np.minimum.reduceat(first, new)
-        run_at = np.searchsorted(run_text, np.arange(len(texts) + 1))
-        n_runs = np.diff(run_at)[code]  # each member of a text has the text's runs
-        member = np.repeat(np.arange(len(code)), n_runs)
-        total = np.cumsum(n_runs)
-        pick = np.arange(len(member)) - np.repeat(total - n_runs, n_runs) + run_at[code[member]]
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[member])), pa.array(row[member]), pa.array((start[member] + lo[pick]).astype(np.int32)), pa.array((start[member] + hi[pick]).astype(np.int32)), ids.take(pa.array(least[pick]))], names=names)
+    """Arrow batches (a, seg, key, least, greatest) of distinct segments, sorted by (a, seg) -> runs (a, key, lo, hi, first) of repeated windows, by word number."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        column = lambda c: pa.concat_arrays([b.column(c) for b in held])
+        a, key = column("a"), column("key")
+        n = len(a)
+        ids, rank = _ranked(pa.concat_arrays([column("least"), column("greatest")]))
+        text, word, first = repeated_windows([t for b in held for t in b.column("seg").to_pylist()], rank[:n], rank[n:], size)
+        new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1] + 1)])) if len(text) else np.zeros(0, np.int64)
+        stop = np.append(new[1:], len(text))[: len(new)] - 1
+        at = pa.array(text[new])
+        least = np.minimum.reduceat(first, new) if len(new) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([a.take(at), key.take(at), pa.array(word[new].astype(np.int32)), pa.array(word[stop].astype(np.int32)), ids.take(pa.array(least))], names=["a", "key", "lo", "hi", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        rows = 0
+        held: list[pa.RecordBatch] = []
+        rows, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = table.set_column(table.schema.get_field_index("seg"), "seg", table.column("seg").dictionary_encode())
-            a = batch.column("a").to_numpy()
             cut = 0
             if rows >= BLOCK_SEGMENTS:  # cut where the anchor changes
-                change = np.flatnonzero(a != held[-1].column("a")[-1].as_py())
+                change = np.flatnonzero(batch.column("a").to_numpy() != last)
                 if len(change):
                     cut = int(change[0])
-                    yield flush([*held, table.slice(0, cut)])
+                    yield flush([*held, batch.slice(0, cut)])
                     held, rows = [], 0
-            held.append(table.slice(cut))
-            rows += table.num_rows - cut
+            held.append(batch.slice(cut))
+            rows += batch.num_rows - cut
+            last = batch.column("a")[-1].as_py()
         if held:
             yield flush(held)
 
     return run
 
 
+def _segment_key() -> Column:
+    return F.unhex(F.md5("seg"))
+
+
 def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id): the maximal passages of each document made of repeated windows.
 
@@ -293,7 +284,12 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     held = int(places.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0])
     located = texts.join(small_side(places, 96 + 4 * held // max(1, places.count())), ["doc", "h"])
     segments = located.select("doc", "h", F.inline(_segments(size)("text", "anchors")))
-    runs = segments.repartition("a").sortWithinPartitions("a", "seg").mapInArrow(_merge_blocks(size), f"doc {kind}, h long, lo int, hi int, first {kind}")
+    # Equal segments are merged as one, with the least and greatest of their documents; only the distinct ones meet by anchor.
+    distinct = segments.groupBy("a", "seg").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"))
+    blocks = distinct.select("a", "seg", _segment_key().alias("key"), "least", "greatest").repartition("a").sortWithinPartitions("a", "seg")
+    found = cut_lineage(blocks.mapInArrow(_merge_blocks(size), f"a long, key binary, lo int, hi int, first {kind}"), "a", "key")
+    members = segments.select("doc", "h", "a", "start", _segment_key().alias("key")).distinct()
+    runs = members.join(small_side(found, 96), ["a", "key"]).select("doc", "h", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "first")
     order = Window.partitionBy("doc", "h").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = runs.distinct().withColumn("new", F.coalesce((F.col("lo") > reach + size).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
