@@ -78,6 +78,12 @@ def cut_lineage(df: DataFrame, *keys: str) -> DataFrame:
     return (df.repartition(*keys) if keys else df).checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, in at least as many parts as there are cores: a file of one row group would be one task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a (checkpointed, hence cheap to count) join side for broadcast if it is small enough.
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioflux.llm import bpe, decontaminate, divergence, language_id, licenses, line_templates, minhash, sharding, suffix_merge, weak_labels
+from biblioflux.llm.arrow_text import spread
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
