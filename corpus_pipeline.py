@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioflux.llm import bpe, decontaminate, language_id, line_templates, minhash
-from biblioflux.llm.arrow_text import column, ensure_checkpoint_dir, unused
+from biblioflux.llm.arrow_text import column, ensure_checkpoint_dir, spread, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.mkdirs(root)
     files.deleteOnExit(root)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
