@@ -31,6 +31,11 @@ def _drop(text: Column, *patterns: str) -> Column:
     return _sub(text, *[(p, "") for p in patterns])
 
 
+def _unwrap(text: Column, command: str) -> Column:
+    """What the commands hold, one level a pass; a text in which no command is left is not searched again."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), text, lambda t, _: F.when(F.contains(t, F.lit("\\")), F.regexp_replace(t, command, "$1")).otherwise(t))
+
+
 def remove_comments(text: Column, faithful: bool = False) -> Column:
     """No comment lines, no trailing comments, lines right-trimmed; a percent sign after a digit is not a comment.
 
@@ -72,14 +77,12 @@ def plain_text(text: Column, strip_comments: bool = True) -> Column:
     t = _drop(t, r"\\(?:begin|end)\{(?:abstract|document)\}", r"(?s)\\begin\{tcolorbox\}.*?\]", r"\\end\{tcolorbox\}")
     t = _sub(t, (r"\\(?:title|author|IEEEauthorblockN)\{([^}]*)\}", "$1"))
     t = _drop(t, r"\\(?:affiliation|email|institution)\{[^}]*\}", *_LAYOUT, *_TABULAR)
-    for _ in range(PASSES):
-        t = F.regexp_replace(t, _STYLED, "$1")
+    t = _unwrap(t, _STYLED)
     t = _drop(t, _SIZES)
     t = _sub(t, (r"~?\s*\\cite[pt]?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"), (r"\\cite(?:author|year)\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"))
     t = _sub(t, (r"\\ref\{([^}]*)\}", "$1"), (r"\\label\{[^}]*\}", ""), ("~", " "), (r"\\([%&$_])", "$1"))
     t = _drop(t, r"\[[htpb!]+\]", r"\[(?:width|height|scale)=[^\]]+\]", r"(?i)[\p{L}\p{N}_/-]+\.(?:png|jpg|jpeg|pdf|eps|svg)", r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}")
-    for _ in range(PASSES):
-        t = F.regexp_replace(t, r"\\[A-Za-z]+[*]?\{([^{}]*)\}", "$1")
+    t = _unwrap(t, r"\\[A-Za-z]+[*]?\{([^{}]*)\}")
     t = _drop(t, r"\\[a-zA-Z]+\*?", r"[{}]")
     t = _sub(t, (r"\\\\", " "), (r"[\n\t\r]", " "), (r"[\x00-\x1f\x7f-\x9f]", ""), (r"\s+", " "), (r"\s+([.,;:!?])", "$1"), (r"([.,;:!?])([.,;:!?])", "$1 $2"))
     return F.trim(t)

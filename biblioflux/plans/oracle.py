@@ -220,7 +220,6 @@ SQL: dict[str, str] = {
         q AS (SELECT a0 AS a, b0 AS b FROM p UNION SELECT sx, sy FROM f UNION SELECT i, ix FROM f UNION SELECT i, iy FROM f UNION SELECT ix, iy FROM f), {_LCS}
         SELECT f.a0 AS a, f.b0 AS b, r1.r AS indel, r2.r AS token_sort, greatest(r3.r, r4.r, r5.r) AS token_set FROM f
         JOIN ratio r1 ON r1.a = f.a0 AND r1.b = f.b0 JOIN ratio r2 ON r2.a = sx AND r2.b = sy JOIN ratio r3 ON r3.a = i AND r3.b = ix JOIN ratio r4 ON r4.a = i AND r4.b = iy JOIN ratio r5 ON r5.a = ix AND r5.b = iy""",
-    "edit_distance_candidates": f"WITH {_NAMES} SELECT a0 AS a, b0 AS b, CAST(levenshtein(a0, b0) AS INTEGER) AS distance FROM p WHERE levenshtein(a0, b0) <= 4",
     "partial_ratios": f"""WITH RECURSIVE p AS (SELECT n_name, r_name, CASE WHEN len(n_name) <= len(r_name) THEN n_name ELSE r_name END AS s, CASE WHEN len(n_name) <= len(r_name) THEN r_name ELSE n_name END AS l FROM nation, region),
         w AS (SELECT n_name, r_name, s, unnest([substr(l, greatest(1, i), len(s) + least(0, i - 1)) for i in range(2 - len(s), len(l) + 1)]) AS x FROM p),
         q AS (SELECT DISTINCT s AS a, x AS b FROM w WHERE x <> ''), {_LCS}
@@ -262,7 +261,6 @@ SQL: dict[str, str] = {
     "cocitation": f"""WITH {_CITES}, d AS (SELECT DISTINCT doc_id, bib_key FROM k)
         SELECT x.bib_key, CAST(count(DISTINCT y.bib_key) AS INTEGER) AS co_citation_count FROM d x JOIN d y ON x.doc_id = y.doc_id AND x.bib_key <> y.bib_key GROUP BY x.bib_key""",
     "latex_sections": "SELECT 'Introduction' AS raw_text, count(*) AS n FROM documents UNION ALL SELECT 'Methods', count(*) FROM documents",
-    "html_counts": "SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '(?i)<{t}[ >]')) AS INTEGER) AS {t}" for t in ("h1", "li", "p", "a")) + " FROM pages",
     "tree_depth": f"""WITH RECURSIVE {_TREE}, c(conv_id, turn, node, depth, chain) AS (SELECT conv_id, turn, parent, 1, CAST(parent AS VARCHAR) FROM x WHERE parent IS NOT NULL
         UNION ALL SELECT c.conv_id, c.turn, x.parent, depth + 1, chain || '>' || x.parent FROM c JOIN x ON x.conv_id = c.conv_id AND x.turn = c.node WHERE x.parent IS NOT NULL)
         SELECT conv_id, turn, depth, chain FROM c QUALIFY depth = max(depth) OVER (PARTITION BY conv_id, turn)""",
@@ -295,10 +293,9 @@ SQL: dict[str, str] = {
     "bibtex_round_trip": f"WITH {_PARTS} SELECT bib_key, entry_type, title, author, year, journal FROM e",
     "bibitem_parse": f"""WITH {_PARTS} SELECT bib_key, 'misc' AS entry_type, 'A. Smith and B. Jones' AS author, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(title, ' ')], ' ') AS title, 'Journal of Parts, ' || year AS journal, year FROM e""",
     "arxiv_ids": """WITH k AS (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS k, o_orderkey % 4 AS f FROM orders),
-        a AS (SELECT o_orderkey, CASE f WHEN 0 THEN '2101.' || k WHEN 1 THEN 'hep-th/99' || k WHEN 2 THEN '1999.' || substr(k, 2, 4) END AS arxiv_id FROM k)
-        SELECT o_orderkey, arxiv_id, replace(arxiv_id, '.', '-') AS normal FROM a""",
+        a AS (SELECT o_orderkey, CASE f WHEN 0 THEN '2101.' || k WHEN 1 THEN 'hep-th/99' || k WHEN 2 THEN '1999.' || substr(k, 2, 4) END AS arxiv_id, CASE f WHEN 1 THEN 'https://example.org/abs/hep-th/99' || k WHEN 3 THEN 'none' END AS other FROM k)
+        SELECT o_orderkey, arxiv_id, replace(arxiv_id, '.', '-') AS normal, coalesce(other, replace(arxiv_id, '.', '-')) AS standard FROM a""",
     "bibliography_fields": f"WITH {_PARTS} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, round(100.0 * count({c}) / count(*), 6)::DOUBLE AS percent FROM e" for c in ("title", "author", "year", "journal")),
-    "running_groups": """WITH w AS (SELECT user_id, CAST(event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS runs, count(*) AS events FROM w GROUP BY user_id""",
     "sentence_counts": r"""WITH d AS (SELECT doc_id, text AS t FROM documents),
         h AS (SELECT doc_id, list_reduce(list_concat([t], ['vs.', 'i.e.', 'etc.', 'e.g.', 'Vol.', 'U.S.', 'U.K.', 'Prof.', 'Ph.D.', 'No.', 'Ms.', 'Mrs.', 'Mr.', 'M.L.', 'M.D.', 'Fig.', 'Eq.', 'Dr.', 'A.I.', 'et al.']), lambda a, x: replace(a, x, replace(x, '.', chr(57345)))) AS t FROM d),
         s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(57346) || '\2', 'g'), chr(57346))) AS s FROM h),
@@ -351,4 +348,27 @@ SQL: dict[str, str] = {
             string_agg(x || y, '' ORDER BY k) FILTER (WHERE k = 7) AS f7, string_agg(x || y, '') FILTER (WHERE k = 9) AS f9, count(*) - 1 AS n FROM f GROUP BY b)
         SELECT 'b' || b AS pub_id, '\documentclass{article}\begin{document}' || x0 || x1 || y1 || ' ' || f7 || ' ' || f9 || y0 || '\end{document}' AS text, n AS n_files FROM m""",
     "ignored_files": "SELECT 'b' || (doc_id // 10) AS pub_id, 'c/f8.tex' AS path FROM documents WHERE doc_id % 10 = 8",
+    "auto_label_strict": f"""WITH RECURSIVE {_AUTO}, f AS (SELECT pub_id, bib_key, arg_min(candidate_id, cand_ord) AS candidate_id FROM lab WHERE label = 1 GROUP BY pub_id, bib_key)
+        SELECT * FROM f QUALIFY row_number() OVER (ORDER BY pub_id, bib_key) <= (SELECT greatest(1, floor(count(*) * 0.001)) FROM pp)""",
+    "raw_scores": f"""WITH RECURSIVE {_PARTS},
+        p AS (SELECT pub_id, x.bib_key, y.bib_key AS candidate_id, y.ord - x.ord AS gap, y.ord, lower(x.author) AS a1, lower(y.author) AS b1, x.title AS t1, y.title AS t2, CAST(x.year AS INTEGER) AS y1, nullif(CAST(y.year AS INTEGER), 1991) AS y2 FROM e x JOIN e y USING (pub_id) WHERE x.ord <> y.ord),
+        i AS (SELECT *, array_to_string([w[1] for w in string_split(a1, ' ')], '') AS i1, array_to_string([w[1] for w in string_split(b1, ' ')], '') AS i2, string_split(a1, ' ') AS w1, string_split(b1, ' ') AS w2,
+            list_filter(string_split(t1, ' '), lambda w: len(w) > 1 AND NOT list_contains({_STOPS}, w)) AS u1, list_filter(string_split(t2, ' '), lambda w: len(w) > 1 AND NOT list_contains({_STOPS}, w)) AS u2 FROM p),
+        s AS (SELECT DISTINCT a1, b1, CASE WHEN len(a1) <= len(b1) THEN a1 ELSE b1 END AS s, CASE WHEN len(a1) <= len(b1) THEN b1 ELSE a1 END AS l FROM i),
+        w AS (SELECT a1, b1, s, unnest([substr(l, greatest(1, k), len(s) + least(0, k - 1)) for k in range(2 - len(s), len(l) + 1)]) AS x FROM s),
+        q AS (SELECT a1 AS a, b1 AS b FROM s UNION SELECT i1, i2 FROM i UNION SELECT s, x FROM w WHERE x <> ''), {_LCS},
+        m AS (SELECT a1, b1, max(r) AS r FROM w JOIN ratio ON a = s AND b = x GROUP BY a1, b1),
+        t AS (SELECT i.*, [[len(list_filter(u1, lambda x: x = w)) * CASE WHEN list_contains(u1, w) AND list_contains(u2, w) THEN 1 ELSE 1 + ln(1.5) END, len(list_filter(u2, lambda x: x = w)) * CASE WHEN list_contains(u1, w) AND list_contains(u2, w) THEN 1 ELSE 1 + ln(1.5) END] for w in list_distinct(list_concat(u1, u2))] AS v FROM i)
+        SELECT pub_id, bib_key, candidate_id, 100 * r1.r AS author_fuzz_ratio, 100 * m.r AS author_fuzz_partial, round(100 * len(list_intersect(w1, w2)) / len(list_distinct(list_concat(w1, w2))), 2) AS author_overlap, 100 * r2.r AS author_initials_match,
+            CAST(coalesce(y1 = y2, false) AS DOUBLE) AS year_match, CAST(coalesce(abs(y1 - y2), 100) AS DOUBLE) AS year_diff, CAST(coalesce(abs(y1 - y2) <= 1, false) AS DOUBLE) AS year_close,
+            round(100 * list_sum([x[1] * x[2] for x in v]) / (sqrt(list_sum([x[1] * x[1] for x in v])) * sqrt(list_sum([x[2] * x[2] for x in v]))), 2) AS combined_tfidf, 0.0::DOUBLE AS venue_fuzz, round(least(len(t1), 500) / 5, 2) AS ref_text_length,
+            CAST(gap > 0 AS DOUBLE) AS hierarchy_section_match, round(100.0 * least(abs(gap), 5) / 5, 2) AS hierarchy_depth, round(100.0 * least(greatest(gap / 10, 0), 1), 2) AS hierarchy_position, round(100.0 * least(100 * ord, 1000) / 1000, 2) AS context_length, round(100.0 * least(abs(gap), 20) / 20, 2) AS citation_density
+        FROM t JOIN ratio r1 ON r1.a = a1 AND r1.b = b1 JOIN ratio r2 ON r2.a = i1 AND r2.b = i2 JOIN m ON m.a1 = t.a1 AND m.b1 = t.b1""",
+    "label_export": f"WITH {_LABELS} SELECT pub_id, CAST(bib_key AS VARCHAR) AS bib_key, CAST(coalesce(m.candidate_id, a.candidate_id) AS VARCHAR) AS candidate_id FROM manual m FULL JOIN auto a USING (pub_id, bib_key)",
+    "labelling_counts": """WITH d AS (SELECT source, least(count(*), (SELECT count(*) FROM benchmark)) AS n FROM documents GROUP BY source)
+        SELECT CAST(0 AS BIGINT) AS no_candidate_file, CAST(0 AS BIGINT) AS no_candidates, CAST(0 AS BIGINT) AS no_entry_file, CAST(0 AS BIGINT) AS no_entries, count(*) FILTER (WHERE n < 20) AS too_few, count(*) FILTER (WHERE n >= 20) AS eligible, count(*) AS publications FROM d""",
+    "split_by_labels": """WITH m AS (SELECT DISTINCT source AS pub_id FROM documents WHERE source <= 'src15'), r AS (SELECT pub_id, row_number() OVER (ORDER BY md5('42:' || pub_id), pub_id) AS r, count(*) OVER () AS n FROM m)
+        SELECT pub_id, CASE WHEN r <= floor(n * 0.5) THEN 'valid' ELSE 'test' END AS split FROM r WHERE pub_id < 'src14' UNION ALL SELECT DISTINCT source, 'train' FROM documents WHERE source >= 'src14'""",
+    "error_analysis": f"WITH {_VECTORS}, f AS (SELECT bib_key, CAST(rank AS INTEGER) AS rank FROM r WHERE rank IS DISTINCT FROM 1 ORDER BY bib_key LIMIT 5) SELECT f.*, (SELECT count(*) FROM r) AS entries, (SELECT count(*) FROM r WHERE rank IS DISTINCT FROM 1) AS errors, round((SELECT avg(CAST(rank IS DISTINCT FROM 1 AS INTEGER)) FROM r), 6) AS error_rate FROM f",
+    "key_scan": "SELECT source AS bib_key, count(*) AS elements FROM documents GROUP BY source UNION ALL SELECT lang, count(*) FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang",
 }

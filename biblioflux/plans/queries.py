@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from biblioflux.functions import bibitems, identifiers, latex, people, similarity, text
 from biblioflux.operators import dedup, features, hierarchy, learning, pairs, profile, ranking
@@ -82,10 +81,6 @@ def fuzzy_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _name_pairs(spark, sf).select("a", "b", similarity.ratio(a, b).alias("indel"), similarity.token_sort(fa, fb).alias("token_sort"), similarity.token_set(fa, fb).alias("token_set"))
 
 
-def edit_distance_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return _name_pairs(spark, sf).select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 4")
-
-
 def partial_ratios(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.col("n_name").alias("a")).join(table(spark, sf, "region").select(F.col("r_name").alias("b")))
     return n.select("a", "b", similarity.partial_ratio(F.col("a"), F.col("b")).alias("partial"))
@@ -152,6 +147,27 @@ def auto_label_first(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.auto_label_batch(p, p.where("bib_ord % 7 = 0").select("pub_id", "bib_key").distinct())
 
 
+def auto_label_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """Automatic labels up to one for every thousand pairs."""
+    p = _auto(spark, sf)
+    return pairs.auto_label_batch(p, p.where("false").select("pub_id", "bib_key"), 0.001)
+
+
+def raw_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of part pairs from their raw strings, and of a place made of their keys."""
+    c = F.col
+    gap = c("cand_ord") - c("bib_ord")
+    made = features.author_percents(c("bib_author"), c("cand_author")) | features.year_gaps(c("bib_year"), F.nullif(c("cand_year"), F.lit("1991"))) | features.text_percents(c("bib_title"), c("cand_title"), c("bib_author"), F.lit(None).cast("string"))
+    made |= features.place_percents(F.when(gap > 0, "Method").otherwise("appendix"), F.abs(gap).cast("int"), gap / 10.0, 100 * c("cand_ord"), F.abs(gap).cast("int"))
+    return _part_pairs(spark, sf).select("pub_id", "bib_key", "candidate_id", *[e.cast("double").alias(n) for n, e in made.items()])
+
+
+def label_export(spark: SparkSession, sf: str) -> DataFrame:
+    """True candidates written as label files, and read again."""
+    _, manual, auto = _labelled(spark, sf)
+    return tables.labels(tables.label_json(pairs.ground_truth(manual, auto)))
+
+
 def suggest_labels(spark: SparkSession, sf: str) -> DataFrame:
     s = pairs.suggest_labels(_part_pairs(spark, sf))
     accepted = pairs.auto_accept(s).withColumn("accepted", F.lit(True))
@@ -188,6 +204,16 @@ def split_publications(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.split_publications(table(spark, sf, "documents").select(F.col("source").alias("pub_id")))
 
 
+def labelling_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.labelling_counts(labelling_candidates(spark, sf))
+
+
+def split_by_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources up to src15 by name have manual labels, those from src14 on automatic ones."""
+    pubs = table(spark, sf, "documents").select(F.col("source").alias("pub_id"))
+    return pairs.split_by_labels(pubs, pubs.where("pub_id <= 'src15'"), pubs.where("pub_id >= 'src14'"))
+
+
 def split_queries(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.split_queries(_entries(spark, sf).select("pub_id", F.col("bib_key").cast("string").alias("bib_key")))
 
@@ -278,6 +304,13 @@ def citation_index(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.citation_index(e).groupBy("bib_key").agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("element_id").alias("elements"))
 
 
+def key_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements that cite the sources and two of the languages, found by search."""
+    e = _latex(spark, sf).select(F.lit("p").alias("pub_id"), F.col("doc_id").alias("element_id"), F.col("text").alias("raw_text"))
+    keys = table(spark, sf, "documents").select(F.explode(F.array(F.col("source"), F.lit("de"), F.lit("fr"))).alias("bib_key")).select(F.lit("p").alias("pub_id"), "bib_key").distinct()
+    return hierarchy.scan_for_keys(e, keys).groupBy("bib_key").agg(F.count(F.lit(1)).alias("elements"))
+
+
 def cocitation(spark: SparkSession, sf: str) -> DataFrame:
     e = _latex(spark, sf).select(F.lit("p").alias("pub_id"), F.col("doc_id").alias("element_id"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_text"))
     return hierarchy.cocitations(hierarchy.citation_index(e)).select("bib_key", "co_citation_count")
@@ -288,7 +321,8 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latex_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return _latex(spark, sf).select("doc_id", latex.plain_text(F.col("text")).alias("plain"), latex.clean(F.col("text")).alias("clean"))
+    stripped = _latex(spark, sf).select("doc_id", latex.remove_comments(F.col("text")).alias("s"))
+    return stripped.select("doc_id", latex.plain_text(F.col("s"), strip_comments=False).alias("plain"), latex.clean(F.col("s"), strip_comments=False).alias("clean"))
 
 
 def latex_elements(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,11 +349,6 @@ def hierarchy_export(spark: SparkSession, sf: str) -> DataFrame:
     return held.join(edges.groupBy(pub("child_id")).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("version").alias("versions")), "pub_id")
 
 
-def html_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tag = lambda t: F.regexp_count("html", F.lit(f"(?i)<{t}[ >]")).alias(t)
-    return table(spark, sf, "pages").select("page_id", tag("h1"), tag("li"), tag("p"), tag("a"))
-
-
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of a conversation as a tree: turn t hangs below turn (t - 1) / 2."""
     return table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("child_id"), F.expr("if(turn = 0, null, (turn - 1) div 2)").alias("parent_id")).where("parent_id is not null")
@@ -360,6 +389,12 @@ def ranking_report(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("bib_key", "candidate_id", "rank", "found", F.round("rr", 6).alias("rr"))
 
 
+def error_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries that are not ranked first: their share, and the first five."""
+    counts, shown = ranking.error_analysis(ranking_report(spark, sf).withColumn("pub_id", F.lit("p")))
+    return shown.select("bib_key", "rank").crossJoin(F.broadcast(counts.withColumn("error_rate", F.round("error_rate", 6))))
+
+
 def precision_at_5(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.precision_at(_embedding_ranks(spark, sf)[0].withColumn("cand_ord", F.col("candidate_id")), 5).select(F.round("precision_at_5", 6).alias("precision_at_5"))
 
@@ -441,7 +476,7 @@ def arxiv_ids(spark: SparkSession, sf: str) -> DataFrame:
     form = F.col("o_orderkey") % 4
     raw = F.when(form == 0, F.concat(F.lit("arXiv:2101."), k, F.lit("v2"))).when(form == 1, F.concat(F.lit("https://example.org/abs/hep-th/99"), k)).when(form == 2, F.concat(F.lit("see 1999."), F.substring(k, 2, 4), F.lit("."))).otherwise(F.lit("none"))
     found = identifiers.parse_arxiv_id(raw)
-    return table(spark, sf, "orders").select("o_orderkey", found.alias("arxiv_id"), F.nullif(identifiers.normalize_arxiv_id(found), F.lit("")).alias("normal"))
+    return table(spark, sf, "orders").select("o_orderkey", found.alias("arxiv_id"), F.nullif(identifiers.normalize_arxiv_id(found), F.lit("")).alias("normal"), identifiers.standard_arxiv_id(raw).alias("standard"))
 
 
 def folded_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -496,22 +531,15 @@ def bibliography_fields(spark: SparkSession, sf: str) -> DataFrame:
     return profile.completeness(e, [c for c in bibitems.FIELDS if c in e.columns]).withColumn("percent", F.round("percent", 6))
 
 
-def running_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Run-length groups of event types in order of time for each user, as plain window functions."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumn("_new", F.coalesce((F.col("event_type") != F.lag("event_type").over(w)).cast("int"), F.lit(1)))
-    return e.withColumn("run", F.sum("_new").over(w)).groupBy("user_id").agg(F.max("run").alias("runs"), F.count(F.lit(1)).alias("events"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        title_jaccard_topk, bigram_topk, title_ratio_stats, pair_statistics, labelling_candidates, fuzzy_scores, edit_distance_candidates, partial_ratios,
-        author_features, loose_author_overlap, year_features, auto_label, auto_label_first, suggest_labels, merge_labels, ground_truth, label_gate, label_statistics,
-        split_publications, split_by_origin, balance_under, balance_over, content_dedup, reference_groups, reference_merge, rename_citations,
-        comment_strip, combined_sources, ignored_files, citation_index, cocitation, sentence_counts, latex_plain, latex_elements, latex_sections, citation_features, hierarchy_export,
-        html_counts, tree_depth, tree_siblings, ranking_metrics, ranking_report, precision_at_5, post_process, query_groups, tfidf_cosine,
+        title_jaccard_topk, bigram_topk, title_ratio_stats, pair_statistics, labelling_candidates, fuzzy_scores, partial_ratios,
+        author_features, loose_author_overlap, year_features, auto_label, auto_label_first, auto_label_strict, raw_scores, label_export, suggest_labels, merge_labels, ground_truth, label_gate, label_statistics,
+        split_publications, split_by_origin, split_by_labels, labelling_counts, balance_under, balance_over, content_dedup, reference_groups, reference_merge, rename_citations,
+        comment_strip, combined_sources, ignored_files, citation_index, key_scan, cocitation, sentence_counts, latex_plain, latex_elements, latex_sections, citation_features, hierarchy_export,
+        tree_depth, tree_siblings, ranking_metrics, ranking_report, error_analysis, precision_at_5, post_process, query_groups, tfidf_cosine,
         numeric_profile, completeness, value_counts, histogram, version_sharing, correlations, bibtex_export, bibtex_round_trip, bibitem_parse,
-        prediction_export, arxiv_ids, folded_tokens, match_features, ranker_preferences, learned_ranking, compliance, split_queries, bibliography_fields, running_groups,
+        prediction_export, arxiv_ids, folded_tokens, match_features, ranker_preferences, learned_ranking, compliance, split_queries, bibliography_fields,
     )
 }

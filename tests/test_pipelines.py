@@ -5,6 +5,7 @@ import json
 import pytest
 
 from biblioflux.plans import pipelines
+from biblioflux.sources import tables
 
 WORDS = "graph neural kernel sparse robust causal tensor policy fairness ranking entropy lattice".split()
 
@@ -26,6 +27,12 @@ def root(tmp_path_factory):
 
 def test_parse_and_match(spark, root):
     parsed = pipelines.parse_publications(spark, root)
+    stats = pipelines.parsing_statistics(parsed).orderBy("pub_id").collect()
+    assert [(r.versions, r.files_found, r.references, r.deduplicated_refs, r.failed_versions, r.status) for r in stats] == [(1, 1, 6, 5, 0, "parsed")] * 4 and all(r.elements > 5 for r in stats)
+    summary = json.loads(pipelines.parsing_summary(pipelines.parsing_statistics(parsed)).first().value)
+    assert summary["total_publications"] == 4 and summary["failed"] == 0 and summary["publications"][0]["pub_id"] == "2101.00000"
+    assert parsed["failures"].isEmpty()
+    assert tables.passed_on(parsed["files"]).count() == 4
     entries = parsed["entries"].cache()
     assert entries.count() == 20  # the duplicate is merged
     assert {(r.old_key, r.new_key) for r in parsed["renames"].collect()} == {("again", "k0")}
