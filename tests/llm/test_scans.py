@@ -314,3 +314,22 @@ def test_sharding(spark, edges, empty):
     got = sharding.interleave(edges, 4)
     assert got.count() == edges.count() and got.where("shard is null or position is null").isEmpty() and dict(got.dtypes)["shard"] == "bigint"
     assert sharding.interleave(empty).count() == 0
+
+
+def test_ties(spark, words):
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(1, "b a d c b a", "en"), (2, "d é", "en")], "doc_id long, text string, lang string")
+    assert divergence.references(docs, 3)["en"][1:] == (["a", "b", "d"], [2, 2, 2, 2])  # equally common words by their bytes; the rest last
+    text = words(rng, "en", 80)
+    rows = spark.createDataFrame([(i, text) for i in range(4)] + [(9, words(rng, "de", 30).upper() + " ***")], "doc_id long, text string")
+    trained = weak_labels.train(rows)
+    same = weak_labels.classify(rows.where("doc_id < 4"), trained).select("label", "quality", "keep").distinct().collect()
+    assert len(same) == 1
+    assert weak_labels.classify(rows.where("doc_id < 4"), trained, same[0].quality).where("keep").count() == 4  # equal to the threshold
+    twins = {"x": "alpha beta gamma", "y": "gamma, Beta alpha", "z": "alpha beta gamma"}
+    held = spark.createDataFrame([(1, "so alpha beta gamma and alpha beta gamma")], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.scan(held, twins).collect()] == [(1, "x", 1.0), (1, "z", 1.0)]
+    two = language_id.identify(held, {"a": b"alpha beta gamma", "b": b"alpha beta gamma"}).first()
+    assert two.predicted == "a" and two.margin == 0 and two.rejected
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "Alpha beta, gamma"), (2, "alpha beta gamma")], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.contaminated(held, items).collect())) == [(1, 1, 1), (1, 2, 1)]
