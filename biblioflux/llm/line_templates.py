@@ -10,6 +10,7 @@ hold it of which no two are near copies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,14 @@ PARTS = 64
 
 
 def masked(text: Column) -> Column:
-    """Text whose lines have single spaces, and a field for each token that holds a digit."""
-    plain = F.when(text.rlike(r"[\t\r\x0B\f]|  "), F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")).otherwise(text)
+    """Text whose lines have single spaces, and a field for each token that holds a digit.
+
+    Texts in which there is nothing to replace, as most are, are told by plain searches.
+    """
+    odd = reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\f")])
+    plain = F.when(odd, F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")).otherwise(text)
     # one step a character: tokens are entered at their start only, and what holds no digit is not given back
-    return F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)).otherwise(plain)
 
 
 def token_count(line: Column) -> Column:
