@@ -101,7 +101,7 @@ def test_coverage_is_that_of_the_best_of_all_windows():
 
 def test_licenses(spark, edges, empty, words):
     rng = random.Random(9)
-    mit = licenses.NOTICES["mit-text"]
+    mit = licenses.default_templates()["mit-text"]
     texts = [(1, words(rng) + "\nLICENSED under the *Apache License*, Version 2.0.\n" + words(rng)), (2, "the License of Apache under Version 2.0, licensed"), (3, words(rng) + " " + mit.replace("any person", "each person") + " " + words(rng)), (4, "All rights reserved"), (None, "released under the MIT license"), (5, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     got = {(r.doc_id, r.license): r.coverage for r in licenses.scan(docs).collect()}
@@ -109,7 +109,7 @@ def test_licenses(spark, edges, empty, words):
     assert got[1, "apache-2.0"] == 1.0 and 0.9 < got[3, "mit-text"] < 1.0
     # the bound that rules rows out changes nothing
     for i, t in texts:
-        for name, template in licenses.NOTICES.items():
+        for name, template in licenses.default_templates().items():
             c = licenses.coverage(licenses.plain_words(template), licenses.plain_words(t or ""))
             assert (c >= licenses.MIN_COVERAGE) == ((i, name) in got)
     assert licenses.scan(edges).count() == 0 == licenses.scan(empty).count()
@@ -117,7 +117,7 @@ def test_licenses(spark, edges, empty, words):
 
 def test_whole_licence_texts(spark, words):
     rng = random.Random(19)
-    t = licenses.NOTICES
+    t = licenses.default_templates()
     clause = "Permission is hereby granted, free of charge, to any person obtaining a copy"
     bsd3 = t["bsd-3-clause"].replace("Redistributions", "* Redistributions").replace("promote products", "promote works")
     texts = [t["mit-text"].replace("free of charge", "gratis"), t["mit-text"].replace(clause, "Anyone may freely get a copy"), f"The text begins {clause} and so on", clause + " of the software and accompanying documentation covered by this license", t["bsd-2-clause"], bsd3, t["bsd-notice"]]
