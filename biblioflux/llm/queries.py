@@ -106,6 +106,23 @@ ORACLE_SQL: dict[str, str] = {
         z AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, h ORDER BY lo) AS island FROM y)
         SELECT doc_id, CAST(min(lo) AS INTEGER) AS start_word, CAST(max(lo) - min(lo) + 50 AS INTEGER) AS n_words, min(first) AS first_doc_id
         FROM z GROUP BY doc_id, h, island""",
+    "op8_near_duplicates": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(string_agg(text, chr(10) ORDER BY text)), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) GROUP BY doc_id),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[k:k + 2], ' ') for k in range(1, len(w) - 1)] ELSE [array_to_string(w, ' ')] END) AS s FROM d WHERE len(w) > 0),
+        c AS (SELECT doc_id, s, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM s GROUP BY doc_id, s),
+        f AS (SELECT doc_id, md5(string_agg(s || ':' || n, '|' ORDER BY s)) AS f FROM c GROUP BY doc_id),
+        first AS (SELECT f, min(doc_id) AS doc_id FROM f GROUP BY f),
+        u AS (SELECT c.* FROM c JOIN first USING (doc_id)),
+        -- no similarity exceeds the sum of the smaller shares
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, max(x.total) AS ta, max(y.total) AS tb, sum(x.n) AS sa, sum(y.n) AS sb FROM u x JOIN u y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id HAVING sum(least(x.n / x.total, y.n / y.total)) >= 0.499),
+        e AS (SELECT p.a, p.b, p.ta - p.sa AS oa, p.tb - p.sb AS ob, x.n AS na, y.n AS nb, x.n / y.n AS r FROM p JOIN u x ON x.doc_id = p.a JOIN u y ON y.doc_id = p.b AND y.s = x.s),
+        g AS (SELECT a, b, r, oa, ob, na, nb, sum(na) OVER (PARTITION BY a, b ORDER BY r RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ua,
+            sum(nb) OVER (PARTITION BY a, b ORDER BY r RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(nb) OVER (PARTITION BY a, b, r) AS ub FROM e),
+        j AS (SELECT a, b FROM g GROUP BY a, b HAVING sum(1 / ((ua + oa) / na + (ub + ob) / nb)) >= 0.5),
+        k AS (SELECT a, b FROM j UNION SELECT b, a FROM j UNION SELECT first.doc_id, f.doc_id FROM f JOIN first USING (f) WHERE f.doc_id <> first.doc_id UNION SELECT f.doc_id, first.doc_id FROM f JOIN first USING (f) WHERE f.doc_id <> first.doc_id),
+        reach(x, y) AS (SELECT a, a FROM k UNION SELECT reach.x, k.b FROM reach JOIN k ON k.a = reach.y),
+        roots AS (SELECT x AS doc_id, min(y) AS group_id FROM reach GROUP BY x)
+        SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM roots""",
     "op10_decontamination": r"""
         WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
         b AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
