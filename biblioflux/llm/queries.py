@@ -96,6 +96,41 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT *, (CAST(r AS DOUBLE) - 1 + u) / CAST(n AS DOUBLE) AS stand FROM r),
         p AS (SELECT *, row_number() OVER (ORDER BY stand, s, h, doc_id) - 1 AS p FROM x)
         SELECT doc_id, text, lang, source, n_chars, p // 250 AS shard, CAST(p % 250 + 1 AS INTEGER) AS position FROM p""",
+    "op4_line_templates": r"""
+        WITH RECURSIVE t AS (SELECT text, row_number() OVER (ORDER BY md5(text)) AS t FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+        l AS (SELECT t, generate_subscripts(x, 1) AS k, unnest(x) AS x FROM (SELECT t, string_split(text, chr(10)) AS x FROM t)),
+        m AS (SELECT t, k, regexp_replace(trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g')), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM l),
+        n AS (SELECT t, k, m, string_split(m, ' ') AS w FROM m WHERE m <> ''),
+        q AS (SELECT len(w) AS n, w[1:2] AS head, m, w, count(*) AS c FROM n GROUP BY m, w),
+        leaf AS (SELECT n, head, ceil(0.75 * n) AS need, list(m ORDER BY m) AS ms, list(w ORDER BY m) AS ws FROM q GROUP BY n, head HAVING sum(c) >= 5),
+        walk AS (
+            SELECT n, head, need, ms, ws, 0 AS i, CAST([] AS VARCHAR[][]) AS g, CAST([] AS BIGINT[]) AS a FROM leaf
+            UNION ALL
+            SELECT n, head, need, ms, ws, i + 1,
+                CASE WHEN best > 0 THEN [CASE WHEN j = best THEN [CASE WHEN g[j][p] = ws[i + 1][p] THEN g[j][p] END for p in range(1, n + 1)] ELSE g[j] END for j in range(1, len(g) + 1)] ELSE list_append(g, ws[i + 1]) END,
+                list_append(a, CASE WHEN best > 0 THEN best ELSE len(g) + 1 END)
+            FROM (SELECT *, CASE WHEN coalesce(list_max(s), 0) >= need THEN list_position(s, list_max(s)) ELSE 0 END AS best FROM (SELECT *, [len(list_filter(range(1, n + 1), lambda p: coalesce(y[p] = ws[i + 1][p], false))) for y in g] AS s FROM walk WHERE i < len(ws)))),
+        template AS (SELECT n, head, unnest(ms) AS m, unnest(a) AS g FROM walk WHERE i = len(ws)),
+        hold AS (SELECT DISTINCT x.n, x.head, x.g, y.t FROM template x JOIN n y USING (m)),
+        wide AS (SELECT n, head, g, list(t ORDER BY t) AS ts FROM hold GROUP BY n, head, g HAVING count(*) >= 5),
+        -- texts that are near copies, as op8 has it
+        d AS (SELECT t, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM t WHERE t IN (SELECT unnest(ts) FROM wide)),
+        s AS (SELECT t, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[k:k + 2], ' ') for k in range(1, len(w) - 1)] ELSE [array_to_string(w, ' ')] END) AS s FROM d),
+        u AS (SELECT t, s, count(*) AS n, sum(count(*)) OVER (PARTITION BY t) AS total FROM s GROUP BY t, s),
+        p AS (SELECT x.t AS a, y.t AS b, max(x.total) AS ta, max(y.total) AS tb, sum(x.n) AS sa, sum(y.n) AS sb FROM u x JOIN u y ON x.s = y.s AND x.t < y.t GROUP BY x.t, y.t HAVING sum(least(x.n / x.total, y.n / y.total)) >= 0.499),
+        e AS (SELECT p.a, p.b, p.ta - p.sa AS oa, p.tb - p.sb AS ob, x.n AS na, y.n AS nb, x.n / y.n AS r FROM p JOIN u x ON x.t = p.a JOIN u y ON y.t = p.b AND y.s = x.s),
+        w AS (SELECT a, b, oa, ob, na, nb, sum(na) OVER (PARTITION BY a, b ORDER BY r RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ua,
+            sum(nb) OVER (PARTITION BY a, b ORDER BY r RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(nb) OVER (PARTITION BY a, b, r) AS ub FROM e),
+        near AS (SELECT b, list(a) AS before FROM (SELECT a, b FROM w GROUP BY a, b HAVING sum(1 / ((ua + oa) / na + (ub + ob) / nb)) >= 0.5) GROUP BY b),
+        held AS (SELECT n, head, g, ts, list(coalesce(before, []) ORDER BY x.t) AS near FROM (SELECT n, head, g, ts, unnest(ts) AS t FROM wide) x LEFT JOIN near ON near.b = x.t GROUP BY n, head, g, ts),
+        lead AS (
+            SELECT n, head, g, ts, near, 0 AS i, CAST([] AS BIGINT[]) AS led FROM held
+            UNION ALL
+            SELECT n, head, g, ts, near, i + 1, CASE WHEN list_has_any(led, near[i + 1]) THEN led ELSE list_append(led, ts[i + 1]) END FROM lead WHERE i < len(ts) AND len(led) < 5),
+        recurs AS (SELECT DISTINCT n, head, g FROM lead WHERE len(led) >= 5),
+        gone AS (SELECT t, list(k) AS ks FROM n JOIN template USING (m) JOIN recurs ON recurs.n = template.n AND recurs.head = template.head AND recurs.g = template.g GROUP BY t)
+        SELECT doc_id, CASE WHEN ks IS NULL THEN d.text ELSE array_to_string([x for x, i in string_split(d.text, chr(10)) if NOT list_contains(ks, i)], chr(10)) END AS text, CAST(coalesce(len(ks), 0) AS INTEGER) AS lines_dropped
+        FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN gone USING (t)""",
     "op7_repeated_passages": r"""
         WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         s AS (SELECT doc_id, hash(text) AS h, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM t),
