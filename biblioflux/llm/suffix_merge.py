@@ -288,10 +288,11 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     distinct = segments.groupBy("a", "seg").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"))
     blocks = distinct.select("a", "seg", _segment_key().alias("key"), "least", "greatest").repartition("a").sortWithinPartitions("a", "seg")
     found = cut_lineage(blocks.mapInArrow(_merge_blocks(size), f"a long, key binary, lo int, hi int, first {kind}"), "a", "key")
-    members = segments.select("doc", "h", "a", "start", _segment_key().alias("key")).distinct()
-    runs = members.join(small_side(found, 96), ["a", "key"]).select("doc", "h", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "first")
+    members = segments.select("doc", "h", "a", "start", _segment_key().alias("key"))
+    # what is found grows with the corpus, so both sides are always shuffled
+    runs = members.join(found.hint("shuffle_hash"), ["a", "key"]).select("doc", "h", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "first")
     order = Window.partitionBy("doc", "h").orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = runs.distinct().withColumn("new", F.coalesce((F.col("lo") > reach + size).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = runs.repartition("doc", "h").distinct().withColumn("new", F.coalesce((F.col("lo") > reach + size).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     passages = islands.groupBy("doc", "h", "island").agg(F.min("lo").alias("start_word"), (F.max("hi") - F.min("lo") + size).cast("int").alias("n_words"), F.min("first").alias("first_doc_id"))
     return passages.select(F.col("doc").alias("doc_id"), "start_word", "n_words", "first_doc_id")
