@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, mix, row_chunks, small_side, text_buffer, unused, window_hashes, word_hashes, words
+from biblioflux.llm.arrow_text import bound_batches, concat, cut_lineage, list_array, mix, release, row_chunks, small_side, text_buffer, unused, window_hashes, word_hashes, words
 
 SHINGLE = 3
 BANDS = 32
 ROWS = 3
 THRESHOLD = 0.5
+#: Shingles of a band's members, as counted with repeats among members, that are compared within one part of it.
+PART_SHINGLES = 1 << 20
 
 _TOP = np.uint64(20)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,6 +162,101 @@ def _similarity():
     return run
 
 
+def linked(h: np.ndarray, w: np.ndarray, offsets: np.ndarray, root: np.ndarray, part: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of rows of at least the threshold that join all rows which such pairs join, given that rows of one root are joined.
+
+    h, w: shingles and counts of all rows, ascending in each, cut by offsets.  Where rows are of two parts only pairs of
+    different ones are looked at.  If rows share shingles of mass X in one and Y in the other, their similarity is at most
+    1 / (1/X + 1/Y - 1).  So both masses are at least t, and one is at least 2t / (1 + t); with shingles in one order, rare
+    ones first, the first that they share has at most the rest before it.  No pair is given up by that.
+    """
+    n, size = len(offsets) - 1, np.diff(offsets)
+    row = np.repeat(np.arange(n), size)
+    _, code, held = np.unique(h, return_inverse=True, return_counts=True)
+    mass = w / np.bincount(row, w, n)[row]
+    order = np.lexsort((code, held[code], row))
+    run = np.cumsum(mass[order])
+    before = run - mass[order] - (run - mass[order])[offsets[:-1]][row]
+    light = (held[code[order]] > 1) & (before <= 1 - threshold + 1e-9)
+    heavy = light & (before <= (1 - threshold) / (1 + threshold) + 1e-9)
+    by_code = np.argsort(code[order][light], kind="stable")
+    posted = row[light][by_code]
+    post = np.searchsorted(code[order][light][by_code], np.arange(len(held) + 1))
+    mine, start = code[order][heavy], np.searchsorted(row[heavy], np.arange(n + 1))
+    two, root, share = len(np.unique(part)) > 1, root.copy(), np.zeros(len(held))
+    found = []
+    for i in np.flatnonzero(np.diff(start)).tolist():
+        near = np.unique(np.concatenate([posted[post[c] : post[c + 1]] for c in mine[start[i] : start[i + 1]].tolist()]))
+        near = near[(root[near] != root[i]) & ((part[near] != part[i]) | (not two))]
+        if not len(near):
+            continue
+        own = slice(offsets[i], offsets[i + 1])
+        share[code[own]] = mass[own]
+        total = np.cumsum(size[near])
+        at = np.arange(int(total[-1])) + np.repeat(offsets[near] - (total - size[near]), size[near])
+        x = share[code[at]]
+        share[code[own]] = 0
+        x, y = np.add.reduceat(x, total - size[near]), np.add.reduceat(np.where(x > 0, mass[at], 0), total - size[near])
+        for j in near[1 / x + 1 / y <= 1 + 1 / threshold + 1e-9].tolist():
+            other = slice(offsets[j], offsets[j + 1])
+            if root[j] != root[i] and probability_jaccard(h[own], w[own], h[other], w[other]) >= threshold:
+                found.append((i, j))
+                root[root == root[j]] = root[i]
+    return found
+
+
+def _linked(threshold: float):
+    """Arrow batches (band, p, q, part, id, root, v), sorted by (band, p, q) -> (a, b), the pairs that ``linked`` gives of each (band, p, q)."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        get = lambda c: whole.column(c).combine_chunks()
+        v, ids = get("v"), get("id")
+        lists = v.field("h")
+        offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        root = get("root").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        pairs = np.array(linked(lists.flatten().to_numpy(zero_copy_only=False), v.field("w").flatten().to_numpy(zero_copy_only=False).astype(np.float64), offsets, root, get("part").to_numpy(zero_copy_only=False), threshold), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(pairs[:, 0])), ids.take(pa.array(pairs[:, 1]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "p", "q")])
+            new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if last is not None and (keys[:, 0] != last).any():
+                new = np.concatenate([[0], new])
+            lo = 0
+            for cut in new.tolist():
+                if cut > lo:
+                    held.append(batch.slice(lo, cut - lo))
+                yield flush(held)
+                held, lo = [], cut
+            held.append(batch.slice(lo))
+            last = keys[:, -1]
+        if held:
+            yield flush(held)
+        release()
+
+    return run
+
+
+def _across(split: DataFrame, vectors: DataFrame, threshold: float, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Pairs (a, b) of members (band, id, root) that share a band, of at least the threshold, which join all that such pairs join.
+
+    A band's members meet in one task, where they have up to part_shingles shingles; those of a larger band are dealt into
+    parts, of which each two meet.
+    """
+    sized = cut_lineage(split.join(vectors.select("id", F.size("v.h").alias("k")), "id").withColumn("parts", F.ceil(F.sum("k").over(Window.partitionBy("band")) / part_shingles).cast("int")).drop("k"))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.select("band", F.least("part", "o").cast("int").alias("p"), F.greatest("part", "o").cast("int").alias("q"), "part", "id", "root")
+    met = cells.join(vectors.hint("shuffle_hash"), "id").select("band", "p", "q", "part", "id", "root", "v").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    kind = split.schema["id"].dataType.simpleString()
+    return cut_lineage(met.mapInArrow(_linked(threshold), f"a {kind}, b {kind}"))
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose similarity is at least the threshold."""
     b = pairs.join(vectors.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
@@ -217,8 +314,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE,
     root = components(links)
     placed = shared.join(root, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
     split = placed.withColumn("r", F.min("root").over(in_band)).withColumn("r2", F.max("root").over(in_band)).where("r <> r2").select("band", "id", "root")
-    rest = split.alias("x").join(split.alias("y"), F.expr("x.band = y.band and x.root <> y.root and x.id < y.id")).selectExpr("x.id as a", "y.id as b").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _verified(cut_lineage(rest), vectors, threshold)
+    more = _across(split, vectors, threshold)
     # Exact copies follow the first of their text; only documents of several texts can tie groups together.
     several = cut_lineage(sketch.select("id", "e").distinct().groupBy("id").count().where("count > 1").select("id"))
     ties = copies.join(several, "id", "left_semi").select("a", F.col("id").alias("b"))

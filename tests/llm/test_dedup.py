@@ -66,6 +66,52 @@ def test_groups_against_brute_force(spark, words):
     assert kept == {i for i in range(len(v)) if got.get(i, i) == i}
 
 
+def boilerplate(rng, words, n):
+    """Texts that share a line or two, of a fifth to nine tenths of their words."""
+    lines = [words(rng, "en", 14) for _ in range(2)]
+    out = []
+    for _ in range(n):
+        parts = [words(rng, "en", rng.randint(2, 40))] + rng.choice([lines[:1], lines[:1] * 2, lines])
+        rng.shuffle(parts)
+        out.append("\n".join(parts))
+    return out
+
+
+def joined(n, pairs, root=None):
+    """The least row that pairs, and equal roots, join each of n rows to."""
+    label = list(range(n)) if root is None else [list(root).index(r) for r in root]
+    for a, b in pairs:
+        x, y = sorted((label[a], label[b]))
+        label = [x if k == y else k for k in label]
+    return label
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_members_of_a_band_against_all_pairs(words, threshold):
+    rng = random.Random(3)
+    texts = boilerplate(rng, words, 120) + ["w " * 30, "w " * 40 + "x", "one two"]
+    row, h, w = minhash.shingles(pa.array(texts))
+    offsets = np.searchsorted(row, np.arange(len(texts) + 1))
+    vectors = [(h[a:b], w[a:b]) for a, b in zip(offsets, offsets[1:])]
+    every = [(a, b) for a in range(len(texts)) for b in range(a) if minhash.probability_jaccard(*vectors[a], *vectors[b]) >= threshold]
+    for root, part in ((np.arange(len(texts)), np.zeros(len(texts), int)), (np.arange(len(texts)) % 50, np.zeros(len(texts), int)), (np.arange(len(texts)), np.arange(len(texts)) % 2)):
+        got = minhash.linked(h, w.astype(float), offsets, root, part, threshold)
+        asked = [(a, b) for a, b in every if part.max() == 0 or part[a] != part[b]]
+        assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in asked} and len(got) < len(texts)
+        assert joined(len(texts), got, root) == joined(len(texts), asked, root)
+
+
+def test_pairs_of_a_band_do_not_leave_their_task(spark, words, monkeypatch):
+    texts = boilerplate(random.Random(4), words, 400)
+    docs = spark.createDataFrame([(f"d{i:03}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    sent, verified, across = [], minhash._verified, minhash._across
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *a: (sent.append(pairs.count()), verified(pairs, *a))[1])
+    got = {(r.doc_id, r.group_id) for r in minhash.near_groups(docs).collect()}
+    assert sum(sent) < 10 * len(texts)
+    monkeypatch.setattr(minhash, "_across", lambda *a: across(*a, part_shingles=2000))  # bands in parts
+    assert {(r.doc_id, r.group_id) for r in minhash.near_groups(docs).collect()} == got and len(got) > 100
+
+
 def test_near_dedup_edges(spark, edges, empty):
     got = {r.doc_id: (r.group_id, r.group_size) for r in minhash.near_groups(edges).collect()}
     assert got == {1: (1, 2), 26: (1, 2)}
