@@ -39,6 +39,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SHORT = 128
 #: Text whose distinct words are encoded together.
 PIECE_BYTES = 512 << 10
+#: log2 of the number of pairs of tokens whose arc is remembered.
+ASKED_BITS = 18
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
@@ -149,6 +151,8 @@ class Automaton:
         self._never = never
         self._lacks = _Table(np.fromiter(lacks, np.int64, len(lacks)), np.fromiter(lacks.values(), np.int32, len(lacks)), never)
         self._build_trie(labels)
+        #: By slot: the pair of tokens last asked for there, and in the lowest bit whether it has an arc.
+        self._asked = np.full(1 << ASKED_BITS, -1, np.int64)
 
     def arc(self, t: int, x: int) -> bool:
         """Whether the state after token t (-1: the start) has an arc for token x."""
@@ -184,9 +188,23 @@ class Automaton:
             token[node] = i
         self.token_of = np.array(token, np.int32)
         self._goto = _Table(np.fromiter(child, np.int64, len(child)), np.fromiter(child.values(), np.int32, len(child)), -1)
+        #: Nodes of all first bytes, and of all first two.
+        self._one = self._goto.get(np.arange(256))
+        pair = np.arange(1 << 16)
+        self._two = np.where(self._one[pair >> 8] >= 0, self._goto.get(self._one[pair >> 8].astype(np.int64) << 8 | pair & 255), -1).astype(np.int32)
 
     def arcs(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """``arc`` for arrays."""
+        """``arc`` for arrays.  Most pairs were asked for before; a pair that took another's slot is searched for again."""
+        key = (last.astype(np.int64) + 1) << 33 | token.astype(np.int64) << 1
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)
+        there = self._asked[slot]
+        new = np.flatnonzero((there & ~1) != key)
+        if len(new):
+            there[new] = key[new] | self._search(last[new], token[new])
+            self._asked[slot[new]] = there[new]
+        return (there & 1).astype(bool)
+
+    def _search(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
         out = np.ones(len(last), bool)
         at = np.flatnonzero(last >= 0)
         t, x, until = last[at], token[at], np.full(len(at), self._never, np.int32)
@@ -234,7 +252,12 @@ class Automaton:
         pos, edge, room = np.repeat(starts, length) + rel, np.repeat(first, length) + rel, np.repeat(length, length) - rel
         node, depth, found = np.zeros(len(pos), np.int32), 0, []
         while len(pos):
-            node = self._goto.get((node.astype(np.int64) << 8) | data[pos + depth])
+            if depth == 0:
+                node = self._one[data[pos]]
+            elif depth == 1:
+                node = self._two[data[pos].astype(np.int64) << 8 | data[pos + 1]]
+            else:
+                node = self._goto.get((node.astype(np.int64) << 8) | data[pos + depth])
             depth += 1
             token = np.where(node >= 0, self.token_of[node], -1)
             hit = np.flatnonzero(token >= 0)
@@ -242,7 +265,7 @@ class Automaton:
             live = np.flatnonzero((node >= 0) & (room > depth))
             pos, edge, room, rel, node = pos[live], edge[live], room[live], rel[live], node[live]
         edge, token, size, level = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(level, kind="stable")
+        order = np.argsort(level.astype(np.min_scalar_type(int(level.max()))), kind="stable")  # short integers are sorted by digit
         edge, token, size, level = edge[order], token[order], size[order], level[order]
         back, chosen = np.zeros(edges, np.int64), np.full(edges, -1, np.int32)
         cuts = np.searchsorted(level, np.arange(1, int(level.max()) + 2))

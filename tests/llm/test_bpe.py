@@ -67,6 +67,27 @@ def test_automaton_accepts_just_what_merging_gives(seed):
             assert machine.arc(t, x) == machine.state_has_arc(int(machine.target[t]), x) == bool(machine.arcs(np.array([t]), np.array([x]))[0])
 
 
+def test_arcs_asked_for_before_are_not_searched_again(monkeypatch):
+    labels, merges = random_merges(random.Random(3))
+    data = np.frombuffer(bytes(random.Random(4).choice(b"abc") for _ in range(400)), np.uint8)
+    ends = np.arange(20, 401, 20)
+    machine = bpe.Automaton(labels, merges)
+    want = machine.encode_words(data, ends - 20, ends)
+    monkeypatch.setattr(machine._lacks, "get", None)
+    again = machine.encode_words(data, ends - 20, ends)
+    assert (want[0] == again[0]).all() and (want[1] == again[1]).all()
+
+
+def test_pairs_that_share_a_slot(monkeypatch):
+    monkeypatch.setattr(bpe, "ASKED_BITS", 2)
+    labels, merges = random_merges(random.Random(5))
+    machine = bpe.Automaton(labels, merges)
+    live = [i for i in range(len(labels)) if machine.target[i] >= 0]
+    t, x = (np.array(v, np.int32) for v in zip(*[(t, x) for t in [-1, *live[-30:]] for x in live[-30:]]))
+    for _ in range(2):
+        assert machine.arcs(t, x).tolist() == [t < 0 or machine.arc(t, x) for t, x in zip(t.tolist(), x.tolist())]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab'strveldmé1 2½\n\t!?. 中\U0001f600"), max_size=18), min_size=1, max_size=4))
 def test_pre_split_is_the_pattern(texts):
