@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -49,26 +51,58 @@ def best_window_percent(a: str, b: str) -> int:
     return max(percent(a, b[max(0, i) : i + n]) for i in range(1 - n, len(b)))
 
 
-def _kernel(f):
+def set_percent(a: str, b: str) -> int:
+    """Best ``percent`` among the shared words alone, and these followed by each side's own, of words parted by single spaces; 0 where either has none."""
+    if not a or not b:
+        return 0
+    x, y = set(a.split(" ")), set(b.split(" "))
+    both = " ".join(sorted(x & y))
+    with_a, with_b = (f"{both} {' '.join(sorted(own))}".strip(" ") for own in (x - y, y - x))
+    return max(percent(both, with_a), percent(both, with_b), percent(with_a, with_b))
+
+
+#: Pairs that a kernel remembers from batch to batch, and the most characters of such a pair.
+REMEMBERED, MAX_CHARS = 1 << 16, 1000
+
+
+def each_distinct(f, x: pa.Array, y: pa.Array, seen: dict) -> np.ndarray:
+    """f of each row of two text arrays, null as '', called once for each distinct pair; ``seen`` holds results of earlier batches."""
+    x, y = (pc.fill_null(c, "").dictionary_encode() for c in (x, y))
+    a, b = x.dictionary.to_pylist(), y.dictionary.to_pylist()
+    n = max(1, len(b))
+    codes, at = np.unique(x.indices.to_numpy().astype(np.int64) * n + y.indices.to_numpy(), return_inverse=True)
+    out = []
+    for c in codes.tolist():
+        p = a[c // n], b[c % n]
+        if (v := seen.get(p)) is None:
+            v = f(*p)
+            if len(p[0]) + len(p[1]) <= MAX_CHARS:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[p] = v
+        out.append(v)
+    return np.array(out)[at] if out else np.array([])
+
+
+def kernel(f, kind: str = "int"):
+    """Maker of a function of two text columns that computes f(a, b) once for each distinct pair of a batch, or of several."""
+    to = {"int": pa.int32(), "double": pa.float64()}[kind]
+
     def make():
-        @arrow_udf("int")
+        @arrow_udf(kind)
         def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            seen: dict = {}
             for x, y in batches:
-                seen: dict[tuple[str, str], int] = {}
-                out = []
-                for p in zip(x.to_pylist(), y.to_pylist()):
-                    if p not in seen:
-                        seen[p] = f(p[0] or "", p[1] or "")
-                    out.append(seen[p])
-                yield pa.array(out, pa.int32())
+                yield pa.array(each_distinct(f, x, y, seen), to)
 
         return run
 
     return make
 
 
-_percent = _kernel(percent)
-_window = _kernel(best_window_percent)
+_percent = kernel(percent)
+_window = kernel(best_window_percent)
+_set = kernel(set_percent)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -113,9 +147,4 @@ def token_sort(a: Column, b: Column) -> Column:
 
 def token_set(a: Column, b: Column) -> Column:
     """Best ratio among the shared words alone, and these followed by each side's own; takes results of ``fuzz_words``."""
-    join = lambda x: F.array_join(F.array_sort(x), " ")
-    both = join(F.array_intersect(a, b))
-    with_a = F.trim(F.concat_ws(" ", both, join(F.array_except(a, b))))
-    with_b = F.trim(F.concat_ws(" ", both, join(F.array_except(b, a))))
-    none = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(none, 0.0).otherwise(F.greatest(ratio(both, with_a), ratio(both, with_b), ratio(with_a, with_b)))
+    return _set()(F.array_join(a, " "), F.array_join(b, " ")) / 100

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from biblioflux.functions import identifiers, people, similarity, text
-from biblioflux.operators.order import numbered
+from biblioflux.operators.order import numbered, parted
 
 QUERY = ["pub_id", "bib_key"]
 
@@ -19,6 +19,11 @@ def make_pairs(bib: DataFrame, cand: DataFrame) -> DataFrame:
     return bib.join(cand, "pub_id")
 
 
+def make_small_pairs(bib: DataFrame, cand: DataFrame) -> DataFrame:
+    """``make_pairs`` of many small publications: both sides are parted by publication, so that scoring the pairs keeps all cores at work."""
+    return make_pairs(parted(bib, "pub_id"), parted(cand, "pub_id"))
+
+
 def pair_statistics(pairs: DataFrame) -> DataFrame:
     """One row: publications, pairs, mean entries and candidates per publication, and negatives per positive (n - 1)."""
     per = pairs.groupBy("pub_id").agg(F.countDistinct("bib_key").alias("m"), F.countDistinct("candidate_id").alias("n"), F.count(F.lit(1)).alias("p"))
@@ -81,16 +86,25 @@ def label_statistics(pairs: DataFrame) -> DataFrame:
     return per.agg(F.sum("m").alias("manual_publications"), F.sum(F.when(F.col("m") == 0, F.col("a")).otherwise(0)).alias("auto_publications"), F.expr("try_divide(100.0 * sum(if(m = 0, a, 0)), sum(if(m = 0, 1, 0)))").alias("auto_percent"))
 
 
+def with_words(side: DataFrame, prefix: str) -> DataFrame:
+    """side plus the words that ``suggest_labels`` compares, found once per row and not once per pair."""
+    return side.withColumns({f"{prefix}_{c}_words": similarity.fuzz_words(F.col(f"{prefix}_{c}")) for c in ("title", "author")})
+
+
 def suggest_labels(pairs: DataFrame, top_n: int = 3) -> DataFrame:
-    """The top candidates of each entry by 0.7 sorted-title and 0.3 author-set similarity, in percent."""
-    words = similarity.fuzz_words
-    score = 70 * similarity.token_sort(words(F.col("bib_title")), words(F.col("cand_title"))) + 30 * similarity.token_set(words(F.col("bib_author")), words(F.col("cand_author")))
+    """The top candidates of each entry by 0.7 sorted-title and 0.3 author-set similarity, in percent; sides may come from ``with_words``."""
+    words = lambda c: F.col(f"{c}_words") if f"{c}_words" in pairs.columns else similarity.fuzz_words(F.col(c))
+    score = 70 * similarity.token_sort(words("bib_title"), words("cand_title")) + 30 * similarity.token_set(words("bib_author"), words("cand_author"))
     rank = F.row_number().over(Window.partitionBy(*QUERY).orderBy(F.desc("score"), "cand_ord"))
     return pairs.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= top_n)
 
 
+def is_accepted(threshold: float = 85) -> Column:
+    return (F.col("rank") == 1) & (F.col("score") >= threshold)
+
+
 def auto_accept(suggestions: DataFrame, threshold: float = 85) -> DataFrame:
-    return suggestions.where((F.col("rank") == 1) & (F.col("score") >= threshold)).select(*QUERY, "candidate_id")
+    return suggestions.where(is_accepted(threshold)).select(*QUERY, "candidate_id")
 
 
 def labelling_candidates(bib: DataFrame, cand: DataFrame, least: int = 20, publications: DataFrame | None = None) -> DataFrame:
