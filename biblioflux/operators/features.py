@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,23 +109,29 @@ def tfidf_terms(c: Column, longest: int = 2) -> Column:
     return F.concat(words, *[text.ngrams(words, n) for n in range(2, longest + 1)])
 
 
+#: Stands between joined terms, which hold no control characters.
+_TERM_END = "\u0001"
+
+
+def _cosine(a: str, b: str, max_terms: int) -> float:
+    x, y = (Counter(t.split(_TERM_END)) if t else Counter() for t in (a, b))
+    terms = list(x | y)
+    if len(terms) > max_terms:
+        terms = sorted(terms, key=lambda t: (-x[t] - y[t], t))[:max_terms]
+    d = p = q = 0.0
+    for t in terms:
+        w = 1.0 if x[t] and y[t] else 1.0 + math.log(1.5)
+        u, v = x[t] * w, y[t] * w
+        d, p, q = d + u * v, p + u * u, q + v * v
+    return d / (math.sqrt(p) * math.sqrt(q)) if p and q else 0.0
+
+
 def tfidf_cosine(a: Column, b: Column, max_terms: int = MAX_TERMS) -> Column:
     """Cosine of two term arrays under the smoothed idf of just these two texts: ln(3 / (1 + df)) + 1; 0 where either is empty.
 
     Only the ``max_terms`` terms most frequent in both together count, of equals the first by name.
     """
-    n = lambda terms, t: F.size(F.filter(terms, lambda x: x == t))
-    every = F.array_distinct(F.concat(a, b))
-    counted = F.transform(every, lambda t: F.struct((-n(a, t) - n(b, t)).alias("k"), t.alias("t"), n(a, t).cast("double").alias("x"), n(b, t).cast("double").alias("y")))
-    counted = F.when(F.size(every) <= max_terms, counted).otherwise(F.slice(F.array_sort(counted), 1, max_terms))
-    idf = lambda r: F.when((r["x"] > 0) & (r["y"] > 0), 1.0).otherwise(1.0 + math.log(1.5))
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("d", "p", "q")])
-
-    def add(s: Column, r: Column) -> Column:
-        w = idf(r)
-        return F.struct((s["d"] + r["x"] * r["y"] * w * w).alias("d"), (s["p"] + F.pow(r["x"] * w, F.lit(2.0))).alias("p"), (s["q"] + F.pow(r["y"] * w, F.lit(2.0))).alias("q"))
-
-    return F.aggregate(counted, zero, add, lambda s: F.when((s["p"] > 0) & (s["q"] > 0), s["d"] / (F.sqrt(s["p"]) * F.sqrt(s["q"]))).otherwise(0.0))
+    return similarity.kernel(partial(_cosine, max_terms=max_terms), "double")()(F.array_join(a, _TERM_END), F.array_join(b, _TERM_END))
 
 
 SECTION_WORDS = ("introduction", "related_work", "method", "experiment", "conclusion")
@@ -149,12 +157,21 @@ def year_gaps(a: Column, b: Column) -> dict[str, Column]:
     return {"year_match": F.coalesce((gap == 0).cast("int"), F.lit(0)), "year_diff": F.coalesce(gap, F.lit(100)), "year_close": F.coalesce((gap <= 1).cast("int"), F.lit(0))}
 
 
-def text_percents(a: Column, b: Column, a_venue: Column, b_venue: Column) -> dict[str, Column]:
-    """Text scores in percent: TF-IDF cosine over single words, venue ratio, and the first text's length up to 500 characters."""
-    x, y = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (a, b))
+def single_terms(c: Column) -> Column:
+    """Terms that ``text_percents`` compares."""
+    return tfidf_terms(F.trim(F.coalesce(c, F.lit(""))), 1)
+
+
+def text_percents(a: Column, b: Column, a_venue: Column, b_venue: Column, terms: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    """Text scores in percent: TF-IDF cosine over single words, venue ratio, and the first text's length up to 500 characters.
+
+    ``terms`` are the texts' ``single_terms``, where they were found per row before the rows were paired.
+    """
+    x = F.lower(F.trim(F.coalesce(a, F.lit(""))))
+    s, t = terms or (single_terms(a), single_terms(b))
     venue = lambda c: F.lower(F.coalesce(c, F.lit("")))
     return {
-        "combined_tfidf": F.round(100 * tfidf_cosine(tfidf_terms(x, 1), tfidf_terms(y, 1), 1 << 30), 2),
+        "combined_tfidf": F.round(100 * tfidf_cosine(s, t, 1 << 30), 2),
         "venue_fuzz": 100 * similarity.ratio(venue(a_venue), venue(b_venue)),
         "ref_text_length": F.round(F.least(F.length(x), F.lit(500)) / 5.0, 2),
     }

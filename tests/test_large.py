@@ -55,3 +55,16 @@ def test_suggest_labels_scores_its_pairs_once(spark):
     from biblioflux.plans import queries
 
     assert plan(queries.suggest_labels(spark, "/root/testdata/sf0.001")).count("Join") == 1
+
+
+def test_terms_of_sides_give_the_same_text_scores(spark):
+    from biblioflux.operators import features
+
+    texts = [("Large ring TIN", "large ring brass"), ("a of", "the"), (None, "bolt"), ("bolt bolt nut", "nut bolt")]
+    df = spark.createDataFrame(texts, "a string, b string")
+    none = F.lit(None).cast("string")
+    ahead = df.withColumns({f"{c}_terms": features.single_terms(F.col(c)) for c in "ab"})
+    score = lambda d, *terms: [r.s for r in d.select(features.text_percents(F.col("a"), F.col("b"), none, none, *terms)["combined_tfidf"].alias("s")).collect()]
+    got = score(ahead, (F.col("a_terms"), F.col("b_terms")))
+    w = (1 + 0.4054651081081644) ** 2
+    assert got == score(df) == [round(100 * 2 / (2 + w), 2), 0, 0, round(100 * 3 / 10**0.5, 2)]
