@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StringType
 
 from biblioflux.functions import identifiers, people, similarity, text
+from biblioflux.operators.order import cut_lineage
 
 TEXT_FEATURES = (
     "title_jaccard title_levenshtein title_token_sort title_token_set title_exact_match "
@@ -100,6 +106,8 @@ such system take ten than that the their them themselves then thence there there
 twelve twenty two un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with
 within without would yet you your yours yourself yourselves""".split()
 MAX_TERMS = 500
+#: Terms of items that are sent to all documents; of more, both sides are shuffled.
+BROADCAST_ROWS = 1 << 19
 
 
 def tfidf_terms(c: Column, longest: int = 2) -> Column:
@@ -134,6 +142,37 @@ def tfidf_cosine(a: Column, b: Column, max_terms: int = MAX_TERMS) -> Column:
     return similarity.kernel(partial(_cosine, max_terms=max_terms), "double")()(F.array_join(a, _TERM_END), F.array_join(b, _TERM_END))
 
 
+def _counted(df: DataFrame, key: str, terms: str, n: str) -> DataFrame:
+    """(key, t, n, nn): each distinct term of a row with its count, and the sum of the squares of the row's counts."""
+    kind = dict(df.dtypes)[key]
+    types = (df.select(key).schema.fields[0].dataType, StringType(), DoubleType(), DoubleType())
+    schema = pa.schema([(name, to_arrow_type(t)) for name, t in zip((key, "t", n, 2 * n), types)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(row or ()) for row in batch.column(1).to_pylist()]
+            sizes = np.array([len(c) for c in found], np.int64)
+            squares = np.array([float(sum(v * v for v in c.values())) for c in found])
+            columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), sizes))).cast(schema.types[0]), pa.array([t for c in found for t in c], pa.string()), pa.array([float(v) for c in found for v in c.values()], pa.float64()), pa.array(np.repeat(squares, sizes), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return df.select(key, terms).mapInArrow(run, f"`{key}` {kind}, t string, {n} double, {2 * n} double")
+
+
+def tfidf_cosines(bib: DataFrame, cand: DataFrame) -> DataFrame:
+    """(item_id, doc_id, cosine) of all pairs of (item_id, a) and (doc_id, b) that share a term: ``tfidf_cosine`` of texts of fewer than MAX_TERMS / 2 terms.
+
+    Pairs meet by their shared terms alone. A term of both texts weighs 1 and one of either 1 + ln(1.5), so the squares of the
+    terms not shared are what is left of each side's sum.  Terms that no item has go before pairs are summed up.
+    """
+    x, y = cut_lineage(_counted(bib, "item_id", "a", "x")), _counted(cand, "doc_id", "b", "y")
+    small = x.count() <= BROADCAST_ROWS
+    met = y.join(F.broadcast(x) if small else x, "t").groupBy("doc_id", "item_id").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("p"), F.sum(F.col("y") * F.col("y")).alias("q"), F.first("xx").alias("xx"), F.first("yy").alias("yy"))
+    own = (1.0 + math.log(1.5)) ** 2
+    rest = lambda whole, shared: F.sqrt(F.col(shared) + own * (F.col(whole) - F.col(shared)))
+    return met.select("item_id", "doc_id", (F.col("d") / (rest("xx", "p") * rest("yy", "q"))).alias("cosine"))
+
+
 SECTION_WORDS = ("introduction", "related_work", "method", "experiment", "conclusion")
 
 

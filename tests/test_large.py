@@ -68,3 +68,17 @@ def test_terms_of_sides_give_the_same_text_scores(spark):
     got = score(ahead, (F.col("a_terms"), F.col("b_terms")))
     w = (1 + 0.4054651081081644) ** 2
     assert got == score(df) == [round(100 * 2 / (2 + w), 2), 0, 0, round(100 * 3 / 10**0.5, 2)]
+
+
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_pairs_that_meet_by_term_have_the_cosine_of_their_texts(spark, monkeypatch, most):
+    from biblioflux.operators import features
+
+    monkeypatch.setattr(features, "BROADCAST_ROWS", most)
+    bib = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["c"]), (3, [])], "item_id int, a array<string>")
+    cand = spark.createDataFrame([(7, ["b", "a", "d", "d"]), (8, ["b", "b", "a"]), (9, ["e"]), (10, None)], "doc_id int, b array<string>")
+    met = features.tfidf_cosines(bib, cand)
+    assert "CartesianProduct" not in (text := met._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in text
+    want = bib.crossJoin(cand).where(F.arrays_overlap("a", "b")).select("item_id", "doc_id", features.tfidf_cosine(F.col("a"), F.col("b")).alias("cosine"))
+    found = {(r.item_id, r.doc_id): r.cosine for r in met.collect()}
+    assert found == pytest.approx({(r.item_id, r.doc_id): r.cosine for r in want.collect()}) and set(found) == {(1, 7), (1, 8)}
