@@ -101,3 +101,15 @@ def test_bibliographies_are_files_of_their_publications(spark):
     for q in (queries.bibtex_round_trip, queries.bibitem_parse):
         df = q(spark, "/root/testdata/sf0.001")
         assert "Aggregate [pub_id" in plan(df) and df.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_combined_sources_of_a_version_that_is_cut_off(spark, tmp_path):
+    import duckdb
+
+    from biblioflux.plans import oracle, queries
+
+    spark.range(12).select(F.col("id").alias("doc_id")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(oracle.SQL["combined_sources"]).fetchall()
+    assert sorted(map(tuple, queries.combined_sources(spark, str(tmp_path)).collect())) == sorted(want) and ("b1", None, 1) in want
