@@ -113,3 +113,39 @@ def test_combined_sources_of_a_version_that_is_cut_off(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = db.execute(oracle.SQL["combined_sources"]).fetchall()
     assert sorted(map(tuple, queries.combined_sources(spark, str(tmp_path)).collect())) == sorted(want) and ("b1", None, 1) in want
+
+
+def test_blocks_give_the_best_cosines_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from biblioflux.operators import ranking, vectors
+
+    for name, value in (("ENTRIES", 4), ("CANDIDATES", 8), ("TILE", (3, 4))):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(7)
+    e = rng.normal(size=(60, 5)).astype(np.float32).astype(float)
+    e[20:40] = e[20]  # copies tie
+    e[43] = 0  # no cosine
+    rows = [(i, e[i].tolist() if i != 47 else None, i % 3) for i in range(60)]
+    v = spark.createDataFrame(rows, "id int, e array<double>, l int")
+    a, b = v.where("id % 10 = 0").select(F.col("id").alias("bib_key"), "e", F.col("l").alias("la")), v.where("id % 2 = 1").select(F.col("id").alias("candidate_id"), "e", F.col("l").alias("lb"))
+    pub = F.lit("p").alias("pub_id")
+    met = vectors.cosine_candidates(a, b, 3).select(pub, "*")
+    got = ranking.top_k(met, 3, "candidate_id").select("bib_key", "rank", "candidate_id", "score").collect()
+    want = []
+    for i in range(0, 60, 10):
+        score = {j: None if j in (43, 47) else round(float(e[i] @ e[j] / (np.linalg.norm(e[i]) * np.linalg.norm(e[j]))), 6) for j in range(1, 60, 2)}
+        best = sorted(score, key=lambda j: (score[j] is None, -(score[j] or 0), j))[:3]
+        want += [(i, r, j, score[j]) for r, j in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == want and met.count() < 6 * 30
+    near = vectors.nearest_key(a.select("bib_key", F.col("la").alias("l")), b.select("candidate_id", F.col("lb").alias("l"))).collect()
+    assert {tuple(r) for r in near} == {(i, min((j for j in range(1, 60, 2) if j % 3 == i % 3), key=lambda j: (abs(j - i), j))) for i in range(0, 60, 10)}
+    few = vectors.cosine_candidates(a.limit(1), b.where("candidate_id in (1, 43)"), 3)
+    assert sorted((r.candidate_id, r.score is None) for r in few.collect()) == [(1, False), (43, True)]
+
+
+def test_embedding_ranks_make_no_join_of_all_pairs(spark):
+    from biblioflux.plans import queries
+
+    scored, truth = queries._embedding_ranks(spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(scored) and "Join" not in plan(truth)
