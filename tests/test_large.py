@@ -149,3 +149,11 @@ def test_embedding_ranks_make_no_join_of_all_pairs(spark):
 
     scored, truth = queries._embedding_ranks(spark, "/root/testdata/sf0.001")
     assert "Join" not in plan(scored) and "Join" not in plan(truth)
+
+
+def test_names_are_parsed_before_people_are_paired(spark):
+    from biblioflux.plans import queries
+
+    for q in (queries.author_features, queries.loose_author_overlap):
+        pairs_side = plan(q(spark, "/root/testdata/sf0.001")).split("Join", 1)[0]
+        assert "split(" not in pairs_side and "Regexp" not in pairs_side.title()
