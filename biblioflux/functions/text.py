@@ -99,9 +99,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
+def word_count(c: Column) -> Column:
+    """Words of a raw text."""
+    return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""))
+
+
 def length_ratio(a: Column, b: Column) -> Column:
     """Smaller over larger word count of two raw texts; 0 where either has none."""
-    x, y = (F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")) for c in (a, b))
+    return count_ratio(word_count(a), word_count(b))
+
+
+def count_ratio(x: Column, y: Column) -> Column:
+    """Smaller over larger of two counts; 0 where either is."""
     return F.when((x > 0) & (y > 0), F.least(x, y) / F.greatest(x, y)).otherwise(0.0)
 
 

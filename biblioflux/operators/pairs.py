@@ -30,6 +30,19 @@ def pair_statistics(pairs: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("publications"), F.sum("p").alias("pairs"), F.avg("m").alias("avg_m"), F.avg("n").alias("avg_n"), (F.avg("n") - 1).alias("imbalance"))
 
 
+def title_statistics(bib: DataFrame, cand: DataFrame) -> DataFrame:
+    """(pub_id, ratio, exact): over all pairs of a publication the mean ``length_ratio`` of (raw), and the number of equal (norm) that are not empty.
+
+    Both depend on how many entries and candidates have a number of words, or a title: pairs of these are made, none of rows.
+    """
+    of = lambda side, n, key: side.groupBy("pub_id", key).agg(F.count(F.lit(1)).alias(n))
+    words = lambda side, key: side.select("pub_id", text.word_count(F.col("raw")).alias(key))
+    met = of(words(bib, "x"), "m", "x").join(of(words(cand, "y"), "n", "y"), "pub_id").withColumn("w", F.col("m") * F.col("n"))
+    ratio = met.groupBy("pub_id").agg((F.sum(text.count_ratio(F.col("x"), F.col("y")) * F.col("w")) / F.sum("w")).alias("ratio"))
+    same = of(bib, "m", "norm").join(of(cand, "n", "norm"), ["pub_id", "norm"]).where("norm <> ''").groupBy("pub_id").agg(F.sum(F.col("m") * F.col("n")).alias("exact"))
+    return ratio.join(same, "pub_id", "left").na.fill(0, ["exact"])
+
+
 def auto_label(bib_title: Column, cand_title: Column, bib_year: Column, cand_year: Column, bib_author: Column, cand_author: Column) -> Column:
     """1 where titles (over 10 characters) are equal, or 90 % alike within a year, or 80 % alike with 60 % of last names
     shared; null otherwise: similarity never labels a pair as wrong."""

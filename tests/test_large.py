@@ -157,3 +157,15 @@ def test_names_are_parsed_before_people_are_paired(spark):
     for q in (queries.author_features, queries.loose_author_overlap):
         pairs_side = plan(q(spark, "/root/testdata/sf0.001")).split("Join", 1)[0]
         assert "split(" not in pairs_side and "Regexp" not in pairs_side.title()
+
+
+def test_title_statistics_of_counts_are_those_of_all_pairs(spark):
+    from biblioflux.functions import text
+
+    bib = spark.createDataFrame([("p", "a b", "a b"), ("p", "a b", "a b"), ("p", "", ""), ("q", "x", "x"), ("r", "y", "y")], "pub_id string, raw string, norm string")
+    cand = spark.createDataFrame([("p", "A  b", "a b"), ("p", None, ""), ("p", "c d e", "c d e"), ("q", "z z z", "z z z"), ("s", "y", "y")], "pub_id string, raw string, norm string")
+    both = bib.toDF("pub_id", "x", "m").join(cand.toDF("pub_id", "y", "n"), "pub_id")
+    want = both.groupBy("pub_id").agg(F.round(F.avg(text.length_ratio(F.col("x"), F.col("y"))), 9), F.sum(text.exact_match(F.col("m"), F.col("n"))))
+    got = pairs.title_statistics(bib, cand)
+    assert sorted((r.pub_id, round(r.ratio, 9), r.exact) for r in got.collect()) == sorted(map(tuple, want.collect()))
+    assert "Aggregate [pub_id" in plan(got).split("Join")[-1]
