@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from biblioflux.functions import latex, people, similarity
-from biblioflux.operators.order import cut_lineage
+from biblioflux.operators.order import cut_lineage, parted
 
 MAX_ROUNDS = 100
 
@@ -18,6 +18,7 @@ def duplicate_pairs(entries: DataFrame, title: int = 95, both: int = 80, author:
     Lengths that cannot reach ``both`` are ruled out on the JVM before the subsequence is computed.
     """
     own = entries.select("pub_id", "ord", F.lower(F.trim("title")).alias("t"), people.loose_last_names(F.col("author")).alias("who")).where("t <> ''")
+    own = parted(own, "pub_id")
     x, y = (own.select("pub_id", *[F.col(c).alias(f"{p}_{c}") for c in ("ord", "t", "who")]) for p in ("a", "b"))
     pairs = x.join(y, (x["pub_id"] == y["pub_id"]) & (F.col("a_ord") < F.col("b_ord")) & similarity.may_reach(F.col("a_t"), F.col("b_t"), both)).drop(y["pub_id"])
     s = F.round(100 * similarity.ratio(F.col("a_t"), F.col("b_t")))

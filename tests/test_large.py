@@ -169,3 +169,18 @@ def test_title_statistics_of_counts_are_those_of_all_pairs(spark):
     got = pairs.title_statistics(bib, cand)
     assert sorted((r.pub_id, round(r.ratio, 9), r.exact) for r in got.collect()) == sorted(map(tuple, want.collect()))
     assert "Aggregate [pub_id" in plan(got).split("Join")[-1]
+
+
+def test_only_rows_of_best_pairs_are_prepared(spark):
+    from biblioflux.plans import queries
+
+    df = plan(queries.match_features(spark, "/root/testdata/sf0.001"))
+    assert "c_fuzz" in df and "c_fuzz" not in df.split("Join", 1)[1] and "b_fuzz" not in df.split("Join", 1)[1]
+
+
+def test_duplicate_pairs_keep_publications_in_parts(spark):
+    from biblioflux.operators import dedup
+
+    e = spark.createDataFrame([("p", 1, "one title of it", "A Lee"), ("p", 2, "one title of it", "A Lee")], "pub_id string, ord int, title string, author string")
+    df = dedup.duplicate_pairs(e)
+    assert plan(df).count("RepartitionByExpression [pub_id") == 2 and [tuple(r) for r in df.collect()] == [("p", 1, 2)]
