@@ -32,8 +32,18 @@ def _drop(text: Column, *patterns: str) -> Column:
 
 
 def _unwrap(text: Column, command: str) -> Column:
-    """What the commands hold, one level a pass; a text in which no command is left is not searched again."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), text, lambda t, _: F.when(F.contains(t, F.lit("\\")), F.regexp_replace(t, command, "$1")).otherwise(t))
+    """What the commands hold, one level a pass; a text that a pass left as it was, or in which no command is left, is not searched again."""
+    state = lambda t, more: F.struct(t.alias("t"), more.alias("more"))
+
+    def once(s: Column, _: Column) -> Column:
+        return F.when(~s["more"], s).otherwise(_let(F.regexp_replace(s["t"], command, "$1"), lambda t: state(t, (t != s["t"]) & F.contains(t, F.lit("\\")))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), _let(text, lambda t: state(t, F.contains(t, F.lit("\\")))), once, lambda s: s["t"])
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def remove_comments(text: Column, faithful: bool = False) -> Column:
@@ -73,7 +83,16 @@ def clean(text: Column, strip_comments: bool = True) -> Column:
 
 def plain_text(text: Column, strip_comments: bool = True) -> Column:
     """Text as read: citations as [keys], no commands, braces, layout, image names or control characters."""
-    t = remove_comments(text) if strip_comments else F.coalesce(text, F.lit(""))
+    special = "[\\\\~\\[{}%]" if strip_comments else r"[\\~\[{}]"
+    return _let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(special), _tidy(_bare(remove_comments(t) if strip_comments else t))).otherwise(_tidy(_drop(t, _IMAGE))))
+
+
+#: Names of image files. A run of their characters is tried from its start alone, or from where the last name ended.
+_IMAGE = r"(?i)(?:(?<![\p{L}\p{N}_/-])|\G)[\p{L}\p{N}_/-]++\.(?:png|jpg|jpeg|pdf|eps|svg)"
+
+
+def _bare(t: Column) -> Column:
+    """Text without commands, braces and image names: what none of \\ ~ [ { } is in has only the last to lose."""
     t = _drop(t, r"\\(?:begin|end)\{(?:abstract|document)\}", r"(?s)\\begin\{tcolorbox\}.*?\]", r"\\end\{tcolorbox\}")
     t = _sub(t, (r"\\(?:title|author|IEEEauthorblockN)\{([^}]*)\}", "$1"))
     t = _drop(t, r"\\(?:affiliation|email|institution)\{[^}]*\}", *_LAYOUT, *_TABULAR)
@@ -81,10 +100,14 @@ def plain_text(text: Column, strip_comments: bool = True) -> Column:
     t = _drop(t, _SIZES)
     t = _sub(t, (r"~?\s*\\cite[pt]?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"), (r"\\cite(?:author|year)\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"))
     t = _sub(t, (r"\\ref\{([^}]*)\}", "$1"), (r"\\label\{[^}]*\}", ""), ("~", " "), (r"\\([%&$_])", "$1"))
-    t = _drop(t, r"\[[htpb!]+\]", r"\[(?:width|height|scale)=[^\]]+\]", r"(?i)[\p{L}\p{N}_/-]+\.(?:png|jpg|jpeg|pdf|eps|svg)", r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}")
+    t = _drop(t, r"\[[htpb!]+\]", r"\[(?:width|height|scale)=[^\]]+\]", _IMAGE, r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}")
     t = _unwrap(t, r"\\[A-Za-z]+[*]?\{([^{}]*)\}")
-    t = _drop(t, r"\\[a-zA-Z]+\*?", r"[{}]")
-    t = _sub(t, (r"\\\\", " "), (r"[\n\t\r]", " "), (r"[\x00-\x1f\x7f-\x9f]", ""), (r"\s+", " "), (r"\s+([.,;:!?])", "$1"), (r"([.,;:!?])([.,;:!?])", "$1 $2"))
+    return _sub(_drop(t, r"\\[a-zA-Z]+\*?", r"[{}]"), (r"\\\\", " "))
+
+
+def _tidy(t: Column) -> Column:
+    """Single spaces, none before signs, and no control characters."""
+    t = _sub(t, (r"[\n\t\r]", " "), (r"[\x00-\x1f\x7f-\x9f]", ""), (r"\s+", " "), (r"\s+([.,;:!?])", "$1"), (r"([.,;:!?])([.,;:!?])", "$1 $2"))
     return F.trim(t)
 
 

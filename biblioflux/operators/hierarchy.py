@@ -217,7 +217,8 @@ def citation_features(elements: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(((*k, *row) for k, tree in _streamed(["pub_id"], batches) for row in _tree_features(tree)), schema)
 
-    rows = elements.select("pub_id", "version", "element_id", "element_type", "ord", "parent_id", "raw_text")
+    read = F.col("element_type").isin(*SECTION_TYPES) | F.contains("raw_text", F.lit("\\cite"))  # headings and citations: no other text travels
+    rows = elements.select("pub_id", "version", "element_id", "element_type", "ord", "parent_id", F.when(read, F.col("raw_text")).alias("raw_text"))
     return rows.repartition("pub_id").sortWithinPartitions("pub_id").mapInArrow(run, _FEATURES)
 
 
