@@ -15,7 +15,7 @@ _LAYOUT = [
     r"\\[vh]space\*?\{[^}]*\}",
     r"\\par\b",
 ]
-_TABULAR = [r"\[htpb!?\]|\[H\]|\[[htb]!\]|\[p\]", r"\\(?:midrule|toprule|bottomrule|hline)", r"\\cline\{[^}]*\}"]
+_TABULAR = [r"\[(?:htpb!?|H|[htb]!|p)\]", r"\\(?:midrule|toprule|bottomrule|hline)", r"\\cline\{[^}]*\}"]
 _STYLED = r"\\(?:textbf|textit|emph|underline|textrm|textsf|texttt|text)\{([^}]*)\}"
 _SIZES = r"\\(?:tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge)\b"
 CITE = r"\\cite(?:p|t|author|year|alp)?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}"
@@ -69,7 +69,7 @@ def normalize_math(text: Column) -> Column:
 
 
 def standardize_whitespace(text: Column) -> Column:
-    t = _sub(text, (r"[\t ]+", " "), (r"\n\s*\n\s*\n+", "\n\n"), (r"(?m)[ \r\f]+$", ""))
+    t = _sub(text, (r"[\t ]{2,}|\t", " "), (r"\n\s*\n\s*\n+", "\n\n"), (r"(?m)[ \r\f]+$", ""))
     return t
 
 
@@ -84,13 +84,17 @@ def clean(text: Column, strip_comments: bool = True) -> Column:
 def plain_text(text: Column, strip_comments: bool = True) -> Column:
     """Text as read: citations as [keys], no commands, braces, layout, image names or control characters."""
     special = "[\\\\~\\[{}%]" if strip_comments else r"[\\~\[{}]"
-    return _let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(special), _tidy(_bare(remove_comments(t) if strip_comments else t))).otherwise(_tidy(_drop(t, _IMAGE))))
+    return _let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(special), _tidy(_bare(remove_comments(t) if strip_comments else t))).otherwise(_tidy(_drop_images(t))))
 
 
 #: Names of image files. A run of their characters is tried from its start alone, or from where the last name ended.
 _IMAGE = r"(?i)(?:(?<![\p{L}\p{N}_/-])|\G)[\p{L}\p{N}_/-]++\.(?:png|jpg|jpeg|pdf|eps|svg)"
 
 
+def _drop_images(text: Column) -> Column:
+    return _let(text, lambda t: F.when(t.rlike(r"(?i)\.(?:png|jpg|jpeg|pdf|eps|svg)"), _drop(t, _IMAGE)).otherwise(t))
+
+
 def _bare(t: Column) -> Column:
     """Text without commands, braces and image names: what none of \\ ~ [ { } is in has only the last to lose."""
     t = _drop(t, r"\\(?:begin|end)\{(?:abstract|document)\}", r"(?s)\\begin\{tcolorbox\}.*?\]", r"\\end\{tcolorbox\}")
@@ -100,14 +104,15 @@ def _bare(t: Column) -> Column:
     t = _drop(t, _SIZES)
     t = _sub(t, (r"~?\s*\\cite[pt]?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"), (r"\\cite(?:author|year)\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"))
     t = _sub(t, (r"\\ref\{([^}]*)\}", "$1"), (r"\\label\{[^}]*\}", ""), ("~", " "), (r"\\([%&$_])", "$1"))
-    t = _drop(t, r"\[[htpb!]+\]", r"\[(?:width|height|scale)=[^\]]+\]", _IMAGE, r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}")
+    t = _drop(t, r"\[[htpb!]+\]", r"\[(?:width|height|scale)=[^\]]+\]")
+    t = _drop(_drop_images(t), r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}")
     t = _unwrap(t, r"\\[A-Za-z]+[*]?\{([^{}]*)\}")
     return _sub(_drop(t, r"\\[a-zA-Z]+\*?", r"[{}]"), (r"\\\\", " "))
 
 
 def _tidy(t: Column) -> Column:
-    """Single spaces, none before signs, and no control characters."""
-    t = _sub(t, (r"[\n\t\r]", " "), (r"[\x00-\x1f\x7f-\x9f]", ""), (r"\s+", " "), (r"\s+([.,;:!?])", "$1"), (r"([.,;:!?])([.,;:!?])", "$1 $2"))
+    """Single spaces, none before signs, and no control characters; with the first two rules no whitespace but spaces is left."""
+    t = _sub(t, (r"[\n\t\r]", " "), (r"[\x00-\x1f\x7f-\x9f]", ""), (" {2,}", " "), (" ([.,;:!?])", "$1"), (r"([.,;:!?])([.,;:!?])", "$1 $2"))
     return F.trim(t)
 
 

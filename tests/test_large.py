@@ -184,3 +184,33 @@ def test_duplicate_pairs_keep_publications_in_parts(spark):
     e = spark.createDataFrame([("p", 1, "one title of it", "A Lee"), ("p", 2, "one title of it", "A Lee")], "pub_id string, ord int, title string, author string")
     df = dedup.duplicate_pairs(e)
     assert plan(df).count("RepartitionByExpression [pub_id") == 2 and [tuple(r) for r in df.collect()] == [("p", 1, 2)]
+
+
+def test_plain_text_without_commands_takes_the_short_way(spark):
+    from biblioflux.functions import latex
+
+    texts = ["A  plain \t\r\n sentence , with fig.png and a_b/c.PDF.x png.pngb.png end.!", "in \x0b\x07 50% of  \n% gone\nb\\%c", "\\textbf{a \\emph{b \\textit{c}}} d~e", "x[htp]y [h!] {z}", None, "", "é.jpgé.jpg -a.b.svg \x0c", "a.pngb.png/c.eps", "abc" * 50 + ".pdf " + "-" * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for strip in (True, False):
+        long = latex._tidy(latex._bare(latex.remove_comments(F.col("t")) if strip else F.coalesce("t", F.lit(""))))
+        for r in df.select(latex.plain_text(F.col("t"), strip).alias("short"), long.alias("long")).collect():
+            assert r.short == r.long
+    old = r"(?i)[\p{L}\p{N}_/-]+\.(?:png|jpg|jpeg|pdf|eps|svg)"
+    for r in df.select(F.regexp_replace("t", old, "").alias("old"), F.regexp_replace("t", latex._IMAGE, "").alias("new")).collect():
+        assert r.old == r.new
+
+
+def test_exported_texts_are_cleaned_once(spark):
+    from biblioflux.sources import tables
+
+    e = spark.createDataFrame([("p", 1, "a", None, "\\textbf{x} y"), ("p", 1, "b", "a", "References"), ("p", 1, "c", "a", "z~1")], "pub_id string, version int, element_id string, parent_id string, raw_text string")
+    edges = e.where("parent_id is not null").select("pub_id", "version", F.col("element_id").alias("child_id"), "parent_id")
+    out = tables.hierarchy_json(e, edges)
+    assert "regexp_replace" not in plan(out) and [r.json for r in out.collect()] == ['{"elements":{"a":"x y","c":"z 1"},"hierarchy":{"1":{"c":"a"}}}']
+
+
+def test_only_texts_that_are_read_travel_with_citations(spark):
+    from biblioflux.operators import hierarchy
+
+    e = spark.createDataFrame([], hierarchy.ELEMENT)
+    assert "cite" in hierarchy.citation_features(e)._jdf.queryExecution().analyzed().toString()
