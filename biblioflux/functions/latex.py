@@ -12,33 +12,43 @@ from pyspark.sql import functions as F
 
 _LAYOUT = [
     r"\\(?:centering|raggedright|raggedleft|noindent|vfill|hfill|newpage|clearpage|pagebreak|linebreak|smallskip|medskip|bigskip|maketitle|quad|qquad)",
-    r"\\[vh]space\*?\{[^}]*\}",
-    r"\\par\b",
+    (r"\\[vh]space\*?\{[^}]*\}", "space"),
+    (r"\\par\b", "\\par"),
 ]
-_TABULAR = [r"\[(?:htpb!?|H|[htb]!|p)\]", r"\\(?:midrule|toprule|bottomrule|hline)", r"\\cline\{[^}]*\}"]
+_TABULAR = [r"\[(?:htpb!?|H|[htb]!|p)\]", (r"\\(?:midrule|toprule|bottomrule|hline)", "rule", "\\hline"), (r"\\cline\{[^}]*\}", "\\cline")]
 _STYLED = r"\\(?:textbf|textit|emph|underline|textrm|textsf|texttt|text)\{([^}]*)\}"
+_STYLES = ("\\text", "\\emph", "\\underline")  # one of these is in every match of _STYLED
 _SIZES = r"\\(?:tiny|scriptsize|footnotesize|small|normalsize|large|Large|LARGE|huge|Huge)\b"
 CITE = r"\\cite(?:p|t|author|year|alp)?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}"
 #: Nested commands are unwrapped from the inside, one level a pass; passes beyond the nesting change nothing.
 PASSES = 10
 
 
-def _sub(text: Column, *rules: tuple[str, str]) -> Column:
-    return reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text)
+def _sub(text: Column, *rules: tuple[str, ...]) -> Column:
+    """Rules (pattern, put, *needs) one after the other; a text with none of a rule's needs, one of which every match holds, is not searched."""
 
+    def apply(t: Column, rule: tuple[str, ...]) -> Column:
+        pattern, put, *needs = rule
+        if not needs:
+            return F.regexp_replace(t, pattern, put)
+        return _let(t, lambda x: F.when(reduce(Column.__or__, [F.contains(x, F.lit(n)) for n in needs]), F.regexp_replace(x, pattern, put)).otherwise(x))
 
-def _drop(text: Column, *patterns: str) -> Column:
-    return _sub(text, *[(p, "") for p in patterns])
+    return reduce(apply, rules, text)
 
 
-def _unwrap(text: Column, command: str) -> Column:
-    """What the commands hold, one level a pass; a text that a pass left as it was, or in which no command is left, is not searched again."""
+def _drop(text: Column, *patterns: str | tuple[str, ...]) -> Column:
+    return _sub(text, *[(p, "") if isinstance(p, str) else (p[0], "", *p[1:]) for p in patterns])
+
+
+def _unwrap(text: Column, command: str, *needs: str) -> Column:
+    """What the commands hold, one level a pass; a text that a pass left as it was, or in which none of the needs is left, is not searched again."""
+    some = lambda t: reduce(Column.__or__, [F.contains(t, F.lit(n)) for n in needs or ("\\",)])
     state = lambda t, more: F.struct(t.alias("t"), more.alias("more"))
 
     def once(s: Column, _: Column) -> Column:
-        return F.when(~s["more"], s).otherwise(_let(F.regexp_replace(s["t"], command, "$1"), lambda t: state(t, (t != s["t"]) & F.contains(t, F.lit("\\")))))
+        return F.when(~s["more"], s).otherwise(_let(F.regexp_replace(s["t"], command, "$1"), lambda t: state(t, (t != s["t"]) & some(t))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), _let(text, lambda t: state(t, F.contains(t, F.lit("\\")))), once, lambda s: s["t"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), _let(text, lambda t: state(t, some(t))), once, lambda s: s["t"])
 
 
 def _let(value: Column, use) -> Column:
@@ -65,7 +75,7 @@ def remove_comments(text: Column, faithful: bool = False) -> Column:
 def normalize_math(text: Column) -> Column:
     """\\(x\\) and math environments as $x$; $$x$$ and \\[x\\] as equation environments."""
     block = r"\\begin{equation}$1\\end{equation}"
-    return _sub(text, (r"(?s)\\\((.+?)\\\)", r"\$$1\$"), (r"(?s)\\begin\{math\}(.+?)\\end\{math\}", r"\$$1\$"), (r"(?s)\$\$(.+?)\$\$", block), (r"(?s)\\\[(.+?)\\\]", block))
+    return _sub(text, (r"(?s)\\\((.+?)\\\)", r"\$$1\$", "\\("), (r"(?s)\\begin\{math\}(.+?)\\end\{math\}", r"\$$1\$", "\\begin{math}"), (r"(?s)\$\$(.+?)\$\$", block, "$$"), (r"(?s)\\\[(.+?)\\\]", block, "\\["))
 
 
 def standardize_whitespace(text: Column) -> Column:
@@ -77,7 +87,7 @@ def clean(text: Column, strip_comments: bool = True) -> Column:
     """LaTeX for further parsing: no comments, layout, table rules and fonts; math in one notation."""
     t = remove_comments(text) if strip_comments else text
     t = _drop(t, *_LAYOUT, *_TABULAR)
-    t = _drop(F.regexp_replace(t, _STYLED, "$1"), _SIZES)
+    t = _drop(_sub(t, (_STYLED, "$1", *_STYLES)), _SIZES)
     return F.trim(_drop(standardize_whitespace(normalize_math(t)), r"^\s+|\s+$"))
 
 
@@ -97,17 +107,17 @@ def _drop_images(text: Column) -> Column:
 
 def _bare(t: Column) -> Column:
     """Text without commands, braces and image names: what none of \\ ~ [ { } is in has only the last to lose."""
-    t = _drop(t, r"\\(?:begin|end)\{(?:abstract|document)\}", r"(?s)\\begin\{tcolorbox\}.*?\]", r"\\end\{tcolorbox\}")
-    t = _sub(t, (r"\\(?:title|author|IEEEauthorblockN)\{([^}]*)\}", "$1"))
-    t = _drop(t, r"\\(?:affiliation|email|institution)\{[^}]*\}", *_LAYOUT, *_TABULAR)
-    t = _unwrap(t, _STYLED)
+    t = _drop(t, (r"\\(?:begin|end)\{(?:abstract|document)\}", "{abstract}", "{document}"), (r"(?s)\\begin\{tcolorbox\}.*?\]", "{tcolorbox}"), (r"\\end\{tcolorbox\}", "{tcolorbox}"))
+    t = _sub(t, (r"\\(?:title|author|IEEEauthorblockN)\{([^}]*)\}", "$1", "\\title", "\\author", "\\IEEE"))
+    t = _drop(t, (r"\\(?:affiliation|email|institution)\{[^}]*\}", "\\affiliation", "\\email", "\\institution"), *_LAYOUT, *_TABULAR)
+    t = _unwrap(t, _STYLED, *_STYLES)
     t = _drop(t, _SIZES)
-    t = _sub(t, (r"~?\s*\\cite[pt]?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"), (r"\\cite(?:author|year)\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"))
-    t = _sub(t, (r"\\ref\{([^}]*)\}", "$1"), (r"\\label\{[^}]*\}", ""), ("~", " "), (r"\\([%&$_])", "$1"))
-    t = _drop(t, r"\[[htpb!]+\]", r"\[(?:width|height|scale)=[^\]]+\]")
-    t = _drop(_drop_images(t), r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}")
+    t = _sub(t, (r"~?\s*\\cite[pt]?\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]"), (r"\\cite(?:author|year)\*?\s*(?:\[[^\[\]]*\]\s*)?\{([^{}]+)\}", "[$1]", "\\citeauthor", "\\citeyear"))
+    t = _sub(t, (r"\\ref\{([^}]*)\}", "$1", "\\ref"), (r"\\label\{[^}]*\}", "", "\\label"), ("~", " ", "~"), (r"\\([%&$_])", "$1", "\\%", "\\&", "\\$", "\\_"))
+    t = _drop(t, r"\[[htpb!]+\]", (r"\[(?:width|height|scale)=[^\]]+\]", "[width=", "[height=", "[scale="))
+    t = _drop(_drop_images(t), (r"\\includegraphics(?:\[[^\]]*\])?\{[^}]*\}", "\\includegraphics"))
     t = _unwrap(t, r"\\[A-Za-z]+[*]?\{([^{}]*)\}")
-    return _sub(_drop(t, r"\\[a-zA-Z]+\*?", r"[{}]"), (r"\\\\", " "))
+    return _sub(_drop(t, r"\\[a-zA-Z]+\*?", r"[{}]"), (r"\\\\", " ", "\\\\"))
 
 
 def _tidy(t: Column) -> Column:

@@ -214,3 +214,14 @@ def test_only_texts_that_are_read_travel_with_citations(spark):
 
     e = spark.createDataFrame([], hierarchy.ELEMENT)
     assert "cite" in hierarchy.citation_features(e)._jdf.queryExecution().analyzed().toString()
+
+
+def test_rules_search_only_texts_that_hold_what_they_need(spark):
+    from biblioflux.functions import latex
+
+    df = spark.createDataFrame([("a",), ("az",), ("ay",), (None,)], "t string")
+    assert [r.x for r in df.select(latex._sub(F.col("t"), ("a", "b", "z", "y")).alias("x")).collect()] == ["a", "bz", "by", None]
+    rich = "\\title{T} \\textbf{a \\emph{b}} \\paragraph{x}\\hspace{1cm}\\par [H]\\hline\\cline{1-2} \\tiny s~\\citep[see]{k, l} \\citeauthor{z} \\ref{r}\\label{l} 5\\% [ht!] [width=3cm] fig/a.PNG \\includegraphics[width=1]{f.eps} \\foo{\\bar{y}} \\\\ \\(m\\) \\begin{math}w\\end{math}"
+    r = spark.createDataFrame([(rich,)], "t string").select(latex.plain_text(F.col("t"), False).alias("plain"), latex.clean(F.col("t"), False).alias("clean")).first()
+    assert "textbf" not in r.plain and "a b" in r.plain and "[k, l] [z] r 5%" in r.plain and "PNG" not in r.plain and "hline" not in r.plain
+    assert "$m$" in r.clean and "$w$" in r.clean and "hspace" not in r.clean and "\\par " not in r.clean and "\\paragraph{x}" in r.clean
