@@ -213,7 +213,7 @@ def test_only_texts_that_are_read_travel_with_citations(spark):
     from biblioflux.operators import hierarchy
 
     e = spark.createDataFrame([], hierarchy.ELEMENT)
-    assert "cite" in hierarchy.citation_features(e)._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN" in hierarchy.citation_features(e)._jdf.queryExecution().analyzed().toString()
 
 
 def test_rules_search_only_texts_that_hold_what_they_need(spark):
